@@ -51,34 +51,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp) -> (key, node, fp): for each bit, its segment with that bit blanked."""
+def variants(wild: bool):
+    """(node, fp) -> (key, node, fp): each segment as it is, or with each of its bits blanked in turn."""
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
-    for b in batches:
-        node, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for start, width in SEGMENTS:
-            part = (fp.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << width) - 1)
-            for bit in range(width):
-                yield batch(schema, ((start + bit) << 22) | (part & ~(1 << bit)), node, fp)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for start, width in SEGMENTS:
+                part = (fp.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << width) - 1)
+                for bit in range(width) if wild else [None]:
+                    yield batch(schema, (start + (bit or 0)) << 22 | (part & ~(1 << bit) if wild else part), node, fp)
+
+    return run
 
 
-def search(node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links of a large group: what is reached is never compared again."""
+def search(node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between the nodes of a large group: what is reached is never compared again."""
     left = np.arange(len(fp))
     while len(left):
-        front, left = left[:1], left[1:]
+        own = node[left] == node[left[0]]
+        front, left = left[own], left[~own]
         while len(front) and len(left):
             f, front = front[:64], front[64:]
             near = popcount(fp[f][:, None] ^ fp[left][None, :]) <= NEAR
-            hit = near.any(axis=0)
-            if hit.any():
-                new = left[hit]
-                yield node[f[near[:, hit].argmax(axis=0)]], node[new]
-                front, left = np.concatenate([front, new]), left[~hit]
+            hit = np.flatnonzero(near.any(axis=0))
+            if len(hit):
+                reached, one = np.unique(node[left[hit]], return_index=True)
+                yield from zip(node[f[near[:, hit[one]].argmax(axis=0)]].tolist(), reached.tolist(), strict=True)
+                new = np.isin(node[left], reached)
+                front, left = np.concatenate([front, left[new]]), left[~new]
+
+
+def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that join what the pairs before have not joined."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
 
 
 def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, fp) of whole keys -> verified links (a, b) that connect what is within NEAR bits."""
+    """Rows (key, node, fp) of whole keys -> verified links (a, b) that connect all nodes within NEAR bits of each other."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
     if not parts:
@@ -86,39 +110,35 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((node, key))
     key, node, fp = key[order], node[order], fp[order].view(np.uint64)
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    start = np.flatnonzero(first)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([start, [len(key)]]))
-    for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        for a, b in search(node[s : s + n], fp[s : s + n]):
-            yield batch(schema, a, b)
+    found = [np.array(list(search(node[s : s + n], fp[s : s + n])), np.int64).reshape(-1, 2) for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True)]
     small = np.repeat((size > 1) & (size <= SMALL), size)
     key, node, fp = key[small], node[small], fp[small]
-    found = []
-    for d in range(1, SMALL):
-        same = np.flatnonzero(key[:-d] == key[d:]) if d < len(key) else key[:0]
-        if not len(same):
-            break
+    for d in range(1, min(SMALL, len(key))):
+        same = np.flatnonzero((key[:-d] == key[d:]) & (node[:-d] != node[d:]))
         same = same[popcount(fp[same] ^ fp[same + d]) <= NEAR]
         found.append(np.stack([node[same], node[same + d]], axis=1))
-    if found:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield batch(schema, pairs[:, 0], pairs[:, 1])
+    pairs = forest(np.unique(np.concatenate(found), axis=0)) if found else []
+    yield batch(schema, [a for a, _ in pairs], [b for _, b in pairs])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Documents -> (doc_id, fingerprint, component_id, fp): one row per document.
 
     Documents with one fingerprint are one node, named by their smallest doc_id, so copies are
-    never paired. A group under one variant key yields a spanning forest of its links, not all
-    of them; as at most 679,121 fingerprints lie within four bits of one, groups are bounded.
-    Rows without doc_id keep a fingerprint and have no component. Empty table: no rows.
+    never paired. First, fingerprints with an equal segment are linked and joined to components;
+    then one-wildcard variants link components. A group under one key, or one task, yields a
+    spanning forest of its links, not all of them; as at most 679,121 fingerprints lie within four
+    bits of one, groups are bounded. Rows without doc_id keep a fingerprint and have no component.
+    Empty table: no rows.
     """
     fps = written(fingerprints(docs))
-    nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    keyed = nodes.select("node", "fp").mapInArrow(variants, "key long, node long, fp long").repartition("key")
-    edges = keyed.mapInArrow(links, "a long, b long")
-    roots = connected_components(edges)
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("root")))
+    for wild in (False, True):
+        keyed = nodes.select(F.col("root").alias("node"), "fp").mapInArrow(variants(wild), "key long, node long, fp long").repartition("key")
+        roots = connected_components(keyed.mapInArrow(links, "a long, b long"))
+        nodes = written(nodes.join(roots.withColumnsRenamed({"node": "was", "root": "new"}), F.col("root") == F.col("was"), "left").select("fp", F.coalesce("new", "root").alias("root")))
+    named = nodes.withColumnRenamed("root", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(named, "fp", "left").select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "fp")
