@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.llm import context_tree
 from sheaf.llm.ann import neighbours
 from sheaf.llm.common import table
 from sheaf.llm.decontaminate import leaks
@@ -35,6 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The vocabulary, and the same one as ranks."""
     import public_tokenizers
@@ -59,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
