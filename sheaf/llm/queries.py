@@ -12,6 +12,7 @@ from sheaf.llm.ann import neighbours
 from sheaf.llm.common import table
 from sheaf.llm.decontaminate import leaks
 from sheaf.llm.langid import identified
+from sheaf.llm.licenses import scanned
 from sheaf.llm.packing import packed_documents
 from sheaf.llm.sharding import shards_by_bytes
 from sheaf.llm.simhash import near_duplicates
@@ -36,6 +37,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_licenses": op5_licenses, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
