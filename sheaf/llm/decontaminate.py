@@ -158,3 +158,21 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         if index.ids:
             out = one(index) if out is None else out.unionByName(one(index))
     return rows.sparkSession.createDataFrame([], ddl) if out is None else out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents, columns as they are, in which no test item is found. Null texts stay."""
+    out, at = docs, docs.columns.index("text")
+
+    def one(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not (t and index.search(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    for held in blocks_of(items):
+        index = Index(held)
+        if index.ids:
+            out = out.mapInArrow(one(index), docs.schema)
+    return out

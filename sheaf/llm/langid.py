@@ -102,8 +102,8 @@ def learn(docs: DataFrame, top: int = TOP) -> Profiles:
 
 def predict(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
     """docs -> keep, lang_pred, score. A text that is null or has no letter is 'und' with score 0."""
-    rows = docs.select(*keep, "text")
-    out = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+    out = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = letters()
