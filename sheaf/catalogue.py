@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from sheaf.plans import scalars
+
+MODULES: tuple = (scalars,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
