@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.plans import scalars
+from sheaf.plans import relational, scalars
 
-MODULES: tuple = (scalars,)
+MODULES: tuple = (scalars, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,3 +11,82 @@ def prefix_labels(rows: DataFrame, rules: DataFrame, path: str, default: str, la
     r = rules.select(F.struct("prefix", "ord", F.col(label).alias("v")).alias("rule")).agg(F.sort_array(F.collect_list(F.struct(F.col("rule.ord"), F.col("rule.prefix"), F.col("rule.v")))).alias("_rules"))
     hit = F.filter("_rules", lambda x: F.col(path).startswith(x["prefix"]))
     return rows.crossJoin(F.broadcast(r)).withColumn(label, F.coalesce(F.try_element_at(hit, F.lit(1))["v"], F.lit(default))).drop("_rules")
+
+
+def changed(current: DataFrame, state: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose hash differs from the stored one or has none."""
+    s = state.select(F.col(key).alias("_k"), F.col("content_hash").alias("_h"))
+    return current.join(s, F.col(key) == F.col("_k"), "left").where(~F.col("content_hash").eqNullSafe(F.col("_h"))).drop("_k", "_h")
+
+
+def deleted(current: DataFrame, state: DataFrame, key: str = "doc_id") -> DataFrame:
+    return state.join(current.select(key), key, "left_anti")
+
+
+def freshness(sources: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, status) of sources(doc_id, hash, updated) against index(doc_id, hash, built): missing, stale, changed or orphaned."""
+    s, i = sources.select("doc_id", "hash", "updated"), index.select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "built")
+    both = s.join(i, F.col("doc_id") == F.col("_d"), "full_outer")
+    status = F.when(F.col("doc_id").isNull(), "orphaned").when(F.col("_d").isNull(), "missing").when(F.col("hash") != F.col("_h"), "changed").when(F.col("updated") > F.col("built"), "stale")
+    return both.select(F.coalesce("doc_id", "_d").alias("doc_id"), status.alias("status")).where("status is not null")
+
+
+def message_key(text) -> "F.Column":
+    return F.sha1(F.trim(F.translate(text, " ", " ")))
+
+
+def unseen(messages: DataFrame, seen: DataFrame) -> DataFrame:
+    """Messages whose hash is not among those seen(msg_hash)."""
+    return messages.withColumn("msg_hash", message_key(F.col("text"))).join(seen.select("msg_hash").distinct(), "msg_hash", "left_anti")
+
+
+def unmapped(names: DataFrame, registry: DataFrame, ignored: DataFrame) -> DataFrame:
+    """names(name) that are neither a canonical name, nor an alias, nor ignored."""
+    known = registry.select("canonical").union(registry.select(F.explode("aliases"))).union(ignored.select("name")).toDF("name").distinct()
+    return names.join(known, "name", "left_anti")
+
+
+def alias_variants(questions: DataFrame, registry: DataFrame) -> DataFrame:
+    """(question_id, ord, variant): the question, then with the first name of an entry found in it replaced by each other name.
+
+    The registry is a bounded, curated table (one row an entry) and goes to every task.
+    """
+    names = registry.select("canonical", F.concat(F.array("canonical"), F.col("aliases")).alias("names"))
+    found = questions.crossJoin(F.broadcast(names))
+    pattern = lambda n: F.concat(F.lit("(?i)(^|[^A-Za-z0-9])\\Q"), n, F.lit("\\E([^A-Za-z0-9]|$)"))
+    hit = F.try_element_at(F.filter("names", lambda n: F.regexp_like(F.col("text"), pattern(n))), F.lit(1))
+    found = found.withColumn("hit", hit).where(F.col("hit").isNotNull())
+    other = found.select("question_id", "text", "hit", "canonical", F.posexplode(F.filter("names", lambda n: n != F.col("hit"))).alias("pos", "other"))
+    swapped = F.regexp_replace(F.col("text"), pattern(F.col("hit")), F.concat(F.lit("$1"), F.col("other"), F.lit("$2")))
+    return questions.select("question_id", F.struct(F.lit("").alias("c"), F.lit(0).alias("p")).alias("ord"), F.col("text").alias("variant")).unionByName(
+        other.select("question_id", F.struct(F.col("canonical").alias("c"), (F.col("pos") + 1).alias("p")).alias("ord"), swapped.alias("variant"))
+    )
+
+
+def fuzzy_titles(left: DataFrame, right: DataFrame, least: float = 0.6, bonus: float = 0.2) -> DataFrame:
+    """(left_id, right_id, score): the best right title by shared tokens over the smaller set, more if one holds the other.
+
+    left(id, tokens), right(id, tokens). Candidates meet on a token, never by a cross join.
+    """
+    a = left.select(F.col("id").alias("left_id"), F.size("tokens").alias("n_left"), F.explode("tokens").alias("token"))
+    b = right.select(F.col("id").alias("right_id"), F.size("tokens").alias("n_right"), F.explode("tokens").alias("token"))
+    pairs = a.join(b, "token").groupBy("left_id", "right_id", "n_left", "n_right").agg(F.count("*").alias("shared"))
+    small = F.least("n_left", "n_right")
+    scored = pairs.withColumn("score", F.col("shared") / small + F.when(F.col("shared") == small, bonus).otherwise(0.0)).where(F.col("score") >= least)
+    return scored.groupBy("left_id").agg(F.min_by("right_id", F.struct(-F.col("score"), "right_id")).alias("right_id"), F.max("score").alias("score"))
+
+
+def nearest_event(rows: DataFrame, events: DataFrame, by: str) -> DataFrame:
+    """rows(id, by, day) with the event(event_id, by, event_day) of the same group: same day, else within a day, else latest before, else earliest."""
+    e = events.select(by, "event_id", "event_day")
+    gap = F.datediff("event_day", "day")
+    tier = F.when(gap == 0, 0).when(F.abs(gap) == 1, 1).when(gap < 0, 2).otherwise(3)
+    order = F.struct(tier.alias("tier"), F.when(tier == 2, -gap).otherwise(F.abs(gap)).alias("gap"), F.col("event_id"))
+    return rows.join(e, by).groupBy("id").agg(F.min_by("event_id", order).alias("event_id"), F.min(order)["tier"].alias("tier"))
+
+
+def longest_keyword(lines: DataFrame, keywords: DataFrame) -> DataFrame:
+    """lines(line_id, text) with the longest keyword found in each; keywords(keyword, source) are a bounded list."""
+    hits = lines.join(F.broadcast(keywords), F.lower("text").contains(F.lower("keyword")))
+    best = F.struct((-F.length("keyword")).alias("n"), F.col("keyword"))
+    return hits.groupBy("line_id").agg(F.min_by("keyword", best).alias("keyword"), F.min_by("source", best).alias("source"))
