@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.plans import relational, scalars
+from sheaf.plans import relational, retrieving, scalars
 
-MODULES: tuple = (scalars, relational)
+MODULES: tuple = (scalars, relational, retrieving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
