@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.plans import relational, retrieving, scalars
+from sheaf.plans import relational, reporting, retrieving, scalars
 
-MODULES: tuple = (scalars, relational, retrieving)
+MODULES: tuple = (scalars, relational, retrieving, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return queries()["rt7_hybrid_query"](spark, sf_dir)

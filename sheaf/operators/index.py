@@ -25,6 +25,16 @@ def build_plan(docs: DataFrame, state: DataFrame, old: DataFrame, size: int = 20
     return kept.unionByName(chunks(new, size, overlap)), docs.select("doc_id", "content_hash", "meta_hash")
 
 
+def attach_vectors(rows: DataFrame, size: int = 256, text: str = "chunk") -> DataFrame:
+    """rows with ``embedding`` (array<float>): hashed term counts of unit length, the offline stand-in for a model's vectors."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = rows.withColumn("_w", F.split(F.lower(text), "[^0-9a-zà-ỹđ]+"))
+    unit = Normalizer(inputCol="_t", outputCol="_u").transform(HashingTF(inputCol="_w", outputCol="_t", numFeatures=size).transform(words))
+    return unit.withColumn("embedding", vector_to_array("_u", "float32")).drop("_w", "_t", "_u")
+
+
 class ChunkTable:
     """A chunk table of immutable snapshots under a folder; a small pointer names the current one."""
 

@@ -250,7 +250,20 @@ def rt13(spark, d):
     return new.select("doc_id", "chunk_index", F.md5("chunk").alias("body"))
 
 
-P.over_docs("rt15_vector_attach", lambda d: chunking.chunks(d).groupBy("doc_id").agg(F.count("*").alias("chunks")), "SELECT doc_id, CASE WHEN length(text) <= 2048 THEN 1 ELSE cast(ceil((length(text) - 2048) / 1792.0) AS bigint) + 1 END AS chunks FROM docs")
+@P.query("rt15_vector_attach")
+def rt15(spark, d):
+    return index.attach_vectors(chunking.chunks(docs(spark, d)), 64).select("chunk_id", "embedding")
+
+
+@P.query("ux6_split_function", with_chunks("SELECT doc_id, piece, md5(text) AS body FROM (SELECT doc_id, cast(chunk_index AS int) AS piece, text FROM chunks) WHERE doc_id % 5 = 0"))
+def ux6(spark, d):
+    from sheaf.functions.tables import split_pieces
+
+    spark.udtf.register("split_pieces", split_pieces)
+    docs(spark, d).where("doc_id % 5 = 0").select("doc_id", "text").createOrReplaceTempView("ux6_docs")
+    return spark.sql("SELECT doc_id, piece, md5(body) AS body FROM ux6_docs, LATERAL split_pieces(text, 2048, 256)")
+
+
 P.over_docs("rt16_provider_route", lambda d: d.groupBy("project").agg(F.when(F.bool_or(c("sensitivity") == "confidential"), "local").otherwise("remote").alias("route")), "SELECT project, CASE WHEN bool_or(sensitivity = 'confidential') THEN 'local' ELSE 'remote' END AS route FROM docs GROUP BY 1")
 
 

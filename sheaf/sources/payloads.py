@@ -176,7 +176,7 @@ def pipe_tables(docs: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy("n")
     run = F.sum((F.col("is_row") & ~F.lag("is_row", 1, False).over(by)).cast("int")).over(by)
     first = line.withColumn("run", run).where("is_row and run = 1").withColumn("row_no", F.row_number().over(by) - 1)
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|"), lambda x: F.trim(x))
     return first.where((F.col("row_no") > 0) & ~F.col("line").rlike("^[ |:-]+$")).select("doc_id", "row_no", cells.alias("cells"))
 
 
