@@ -114,8 +114,14 @@ def by_bucket(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[p
 
 
 def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the keys, most significant first, and whether a row differs from the one before in all keys but the last two."""
+    """Order by the keys, most significant first, without repeated rows; and whether a row's keys but the last two are new."""
     order = np.lexsort(keys[::-1])
+    if len(order):
+        other = np.ones(len(order), bool)
+        other[1:] = False
+        for k in keys:
+            other[1:] |= k[order[1:]] != k[order[:-1]]
+        order = order[other]
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys[:-2]:
@@ -248,7 +254,7 @@ def sorted_bucket(length: int):
         h, doc, lo, n = (np.concatenate(c) for c in zip(*held, strict=True))
         text = np.concatenate(text)
         at = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
-        order = np.argsort(h, kind="stable")
+        order, _ = firsts(h, doc, lo)  # rows with one doc_id and one text are one document
         h, doc, lo, n, at = (x[order] for x in (h, doc, lo, n, at))
         last = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1
         view = np.lib.stride_tricks.sliding_window_view(text, length)
