@@ -57,7 +57,8 @@ class Classifier:
         self.vocabulary = {g: n for n, g in enumerate(sorted({g for _, t in statements for g in grams(WORD.findall(t.lower()))}))}
         self.pairs = {g for g in self.vocabulary if " " in g}
         self.templates = {k: [{g for g in grams(WORD.findall(t.lower())) if " " in g} for t in v] for k, v in TEMPLATES.items()}
-        rows = [(0, WORD.findall(t.lower())) for t in negatives if not any(likeness(WORD.findall(t.lower()), p) >= LIKE for v in self.templates.values() for p in v)]
+        stated = [{g for g in grams(WORD.findall(t.lower())) if " " in g} for _, t in statements]
+        rows = [(0, w) for t in negatives if not any(likeness(w := WORD.findall(t.lower()), p) >= LIKE for p in stated)]
         for c, t in statements:
             words = WORD.findall(t.lower())
             for i in range(VARIANTS):
