@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Precomposed letters and what they fold to. The letter with a stroke keeps it under fold A, loses it under fold B.
 MARKED = "áàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ"
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyy"
-OTHER_MARKED, OTHER_PLAIN = "äëïöüÿçñåîûìòùõãčďěňřšťůžćńóśźżğąęý", "aeiouycnaiuiouaacdenrstuzcnoszzgaey"
+OTHER_MARKED, OTHER_PLAIN = "äëïöüÿçñåîûìòùõãčďěňřšťůžćńóśźżğąęý", "aeiouycnaiuiouoacdenrstuzcnoszzgaey"
 
 # Words that are no keyword.
 STOPWORDS = """a an and are as at bị by cho các cần còn có của da dang de den di do for from gi gì hay how in is khi không ko

@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 from sheaf.operators.filters import pruned_path
 
 
+def note_folders(spark: SparkSession, root: str) -> list[str]:
+    """The root, and every folder under it whose name starts with an underscore: those a recursive scan passes over."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs, todo, found = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration()), [root], [root]
+    while todo:
+        for s in fs.listStatus(hadoop(todo.pop())):
+            if s.isDirectory() and not s.getPath().getName().startswith("."):
+                path = s.getPath().toString()
+                todo.append(path)
+                found += [path] if s.getPath().getName().startswith("_") else []
+    return found
+
+
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, modified, raw): every *.md under the root but README.md; blank files are left out."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(note_folders(spark, root), wholetext=True)
     path = F.regexp_replace("_metadata.file_path", "^.*?" + root.removeprefix("file:").rstrip("/") + "/", "")
     rows = raw.select(path.alias("rel_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
-    return rows.where((F.element_at(F.split("rel_path", "/"), -1) != "README.md") & (F.trim("raw") != ""))
+    return rows.where((F.element_at(F.split("rel_path", "/"), -1) != "README.md") & F.col("raw").rlike("\\S"))
 
 
 def frontmatter(raw: Column) -> tuple[Column, Column, Column]:
@@ -34,7 +47,7 @@ def frontmatter(raw: Column) -> tuple[Column, Column, Column]:
 def documents(notes: DataFrame, tenant: str) -> DataFrame:
     """Notes as documents with ids, hashes and labels; blank bodies are left out."""
     meta, body, before = frontmatter(F.col("raw"))
-    m = notes.withColumns({"meta": meta, "text": body, "lines_before": before}).where(F.trim("text") != "")
+    m = notes.withColumns({"meta": meta, "text": body, "lines_before": before}).where(F.col("text").rlike("\\S"))
     get = lambda k: F.try_element_at("meta", F.lit(k))
     date = F.coalesce(get("date"), F.substring(get("converted_at"), 1, 10), F.date_format("modified", "yyyy-MM-dd"))
     return m.select(

@@ -65,13 +65,13 @@ class Quota(StatefulProcessor):
 
 
 class Thread(StatefulProcessor):
-    """Memory of each (user, thread): how many events, the last id; it expires after ``ttl`` ms without one."""
+    """Memory of each (user, thread): how many events, the last id; with ``ttl`` it expires after so many ms without one."""
 
-    def __init__(self, ttl: int = 30 * 24 * 3600 * 1000):
+    def __init__(self, ttl: int | None = None):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", "n long, last_id long", self.ttl)
+        self.memory = handle.getValueState("memory", "n long, last_id long", *([self.ttl] if self.ttl else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, last = self.memory.get() if self.memory.exists() else (0, -1)
@@ -94,9 +94,10 @@ def quota_charges(events: DataFrame, quota: float) -> DataFrame:
     return events.select("user_id", "event_id", used.alias("used"), F.greatest(F.lit(0.0), F.lit(quota) - used).alias("remaining"))
 
 
-def thread_memory(events: DataFrame) -> DataFrame:
+def thread_memory(events: DataFrame, ttl: int | None = None) -> DataFrame:
+    """(user_id, event_type, n, last_id). A ttl needs a processing-time trigger: a run that ends by itself would wait for it."""
     if events.isStreaming:
-        return events.groupBy("user_id", "event_type").transformWithStateInPandas(Thread(), "user_id long, event_type string, n long, last_id long", "Update", "ProcessingTime")
+        return events.groupBy("user_id", "event_type").transformWithStateInPandas(Thread(ttl), "user_id long, event_type string, n long, last_id long", "Update", "ProcessingTime" if ttl else "None")
     return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
