@@ -16,7 +16,7 @@ from sheaf.llm.common import remainder
 
 WORD = re.compile(r"\w+")
 #: Labelled rows of either class that the classifier is fitted on (expected number, by a hash of doc_id).
-EXAMPLES = 8000
+EXAMPLES = 2000
 #: A term counts if its 2x2 chi-square between label and presence reaches this; most terms of an index; examples of a block; neighbours.
 CHI2, TERMS, BLOCK, NEAREST = 30.0, 20000, 64, 25
 
@@ -56,11 +56,11 @@ class Index:
         for n, v in enumerate(vectors):
             for t, x in zip(v[3], v[4], strict=True):
                 post[t].append((n, x))
-        self.post = [(np.array([n for n, _ in p], np.int64), np.array([x for _, x in p])) for p in post]
+        self.post = [(at := np.array([n for n, _ in p], np.int64), np.array([x for _, x in p]), at // BLOCK) for p in post]
         self.top = []
-        for at, x in self.post:
+        for at, x, block in self.post:
             m = np.zeros(self.blocks)
-            np.maximum.at(m, at // BLOCK, x)
+            np.maximum.at(m, block, x)
             self.top.append((np.flatnonzero(m), m[m > 0]))
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
         if len(vectors):
@@ -80,17 +80,15 @@ class Index:
             bound[at] += q * m
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for i in range(0, len(order), 8):
-            if len(ids) >= k and bound[order[i]] < least - 1e-12:
-                break
-            got = np.zeros(8 * BLOCK)
-            some = order[i : i + 8]
+        ids, sims, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
+        while len(order) and (len(ids) < k or bound[order[0]] >= least - 1e-12):
+            some, order, step = order[:step], order[step:], step * 2
             slot = np.full(self.blocks, -1)
             slot[some] = np.arange(len(some))
+            got = np.zeros(len(some) * BLOCK)
             for t, q in zip(terms, x, strict=True):
-                at, v = self.post[t]
-                s = slot[at // BLOCK]
+                at, v, block = self.post[t]
+                s = slot[block]
                 in_ = s >= 0
                 got[s[in_] * BLOCK + at[in_] % BLOCK] += q * v[in_]
             hit = np.flatnonzero(got > 0)
