@@ -172,10 +172,10 @@ P.over_docs("jn28_workspace_rollup", lambda d: d.sparkSession.createDataFrame([(
     "SELECT workspace, coalesce(n, 0) AS n, coalesce(langs, 0) AS langs FROM (VALUES ('src1'), ('src2'), ('nope')) w(workspace) LEFT JOIN (SELECT project, count(*) AS n, count(DISTINCT lang) AS langs FROM docs GROUP BY 1) ON project = workspace")
 
 
-@P.query("jn29_drafts_listing", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 10 OR p_size > 40 ORDER BY l_orderkey DESC, l_linenumber LIMIT 100")
+@P.query("jn29_drafts_listing", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 10 OR p_size > 40 ORDER BY l_orderkey DESC, l_linenumber, p_name, s_name LIMIT 100")
 def jn29(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "part"), c("p_partkey") == c("l_partkey")).join(table(spark, d, "supplier"), c("s_suppkey") == c("l_suppkey"))
-    return j.where("s_nationkey < 10 or p_size > 40").orderBy(c("l_orderkey").desc(), "l_linenumber").limit(100).select("l_orderkey", "l_linenumber", "p_name", "s_name")
+    return j.where("s_nationkey < 10 or p_size > 40").orderBy(c("l_orderkey").desc(), "l_linenumber", "p_name", "s_name").limit(100).select("l_orderkey", "l_linenumber", "p_name", "s_name")
 
 
 @P.query("jn30_valid_sessions", "SELECT event_id, c_name FROM events JOIN customer ON c_custkey = user_id WHERE ts >= (SELECT max(ts) - interval 10 day FROM events)")
