@@ -25,8 +25,8 @@ def folded(chunks: DataFrame) -> DataFrame:
 
 
 def whole(hay: Column, term: Column) -> Column:
-    """The term stands alone: no letter or digit before or after."""
-    return F.regexp_like(hay, F.concat(F.lit("(^|[^a-z0-9])\\Q"), term, F.lit("\\E([^a-z0-9]|$)")))
+    """The term stands alone: no letter or digit before or after. The pattern is only built where the term is there at all."""
+    return F.when(hay.contains(term), F.regexp_like(hay, F.concat(F.lit("(^|[^a-z0-9])\\Q"), term, F.lit("\\E([^a-z0-9]|$)")))).otherwise(False)
 
 
 def points(*cases: tuple[Column, int]) -> Column:
