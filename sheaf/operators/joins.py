@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,9 @@ def freshness(sources: DataFrame, index: DataFrame) -> DataFrame:
     return both.select(F.coalesce("doc_id", "_d").alias("doc_id"), status.alias("status")).where("status is not null")
 
 
-def message_key(text) -> "F.Column":
-    return F.sha1(F.trim(F.translate(text, " ", " ")))
+def message_key(text: Column) -> Column:
+    """Hash of a message, no-break spaces as spaces, trimmed."""
+    return F.sha1(F.trim(F.translate(text, "\u00a0", " ")))
 
 
 def unseen(messages: DataFrame, seen: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def test_fold_tables_are_the_letters_without_marks():
         assert "".join(ch for ch in unicodedata.normalize("NFD", marked) if unicodedata.category(ch) != "Mn") == plain
 
 
+def test_fold_compat(spark):
+    from sheaf.functions.compat import fold_compat
+
+    rows = spark.createDataFrame([("Đường ﬁ ①",), (None,), ("",)], "t string").select(fold_compat("t").alias("x")).collect()
+    assert [r.x for r in rows] == ["Duong fi 1", None, ""]
+
+
 def test_notes(spark, tree):
     rows = {r.rel_path: r for r in notes.documents(notes.read_notes(spark, str(tree)), "t").collect()}
     assert set(rows) == {k for k in NOTES if k not in ("blank.md", "README.md")}
