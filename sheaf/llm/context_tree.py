@@ -14,27 +14,36 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import batch, partitions, remainder, utf8, written
 
-#: Bytes of context, depths whose nodes are kept for prediction (deepest first), and strings that a depth keeps at most.
-DEPTH, LEVELS, STRINGS = 5, (5, 3, 1), 600_000
+#: Bytes of context, and depths whose nodes are kept for prediction (all, deepest first).
+DEPTH = 5
+LEVELS = tuple(range(DEPTH, -1, -1))
 #: Bytes of text that are counted or scored at once, and bytes of a pack.
-AT_ONCE, PACKED = 1 << 20, 4 << 20
+AT_ONCE, PACKED = 1 << 20, 16 << 20
 
 
-def strings(texts: list[bytes], depth: int) -> np.ndarray:
+def strings(texts: list[bytes], depth: int, turned: bool = False) -> np.ndarray:
     """Each byte of each text after its ``depth`` bytes of context, as one number, the byte last.
 
-    Before a text stand zero bytes; one more zero byte ends it.
+    Before a text stand zero bytes; one more zero byte ends it. Turned: the nearest byte of the context first.
     """
     pad = b"\0" * depth
     x = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8).astype(np.uint64)
     code = np.zeros(len(x) - depth, np.uint64)
     for i in range(depth + 1):
-        code = code << np.uint64(8) | x[i : i + len(code)]
+        code |= x[i : i + len(code)] << np.uint64(8 * (depth - i if not turned else (i + 1) % (depth + 1)))
     size = np.array([len(t) + 1 for t in texts], np.int64)
     start = np.cumsum(size + depth) - size - depth
     return code[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
 
 
+def turned_back(code: np.ndarray) -> np.ndarray:
+    """Turned strings of DEPTH bytes of context in the usual order."""
+    out = code & np.uint64(255)
+    for i in range(1, DEPTH + 1):
+        out = out | (code >> np.uint64(8 * i) & np.uint64(255)) << np.uint64(8 * (DEPTH + 1 - i))
+    return out
+
+
 def grouped(texts: Iterator[tuple[object, bytes]], most: int = AT_ONCE) -> Iterator[list[tuple[object, bytes]]]:
     held, size = [], 0
     for k, t in texts:
@@ -47,20 +56,21 @@ def grouped(texts: Iterator[tuple[object, bytes]], most: int = AT_ONCE) -> Itera
         yield held
 
 
-def counted(depth: int):
-    """(text) -> (code, n) of the task."""
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+def distinct(rows: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, held out) -> the turned strings of all texts in order, and how often training texts have each."""
+    codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for out in (False, True):
+        for held in grouped((None, t) for t, h in rows if h == out):
+            c, n = np.unique(strings([t for _, t in held], DEPTH, True), return_counts=True)
+            codes.append(c)
+            counts.append(n * (not out))
+    every, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for held in grouped((None, t) for b in batches for t in utf8(b.column(0))):
-            new, n = np.unique(strings([t for _, t in held], depth), return_counts=True)
-            both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            codes, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-        for i in range(0, len(codes), 50_000):
-            yield batch(schema, codes[i : i + 50_000].view(np.int64), counts[i : i + 50_000])
 
-    return run
+def bucket_of(turned: np.ndarray, buckets: int) -> np.ndarray:
+    """By the two nearest bytes of context, so that all that shares them is in one bucket."""
+    return ((turned >> np.uint64(8 * (DEPTH - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -87,87 +97,97 @@ class Nodes:
         self.zeros = np.bincount(self.of, n, len(self.key)) - self.ones
 
 
-def mixed(tables: list[tuple[np.ndarray, np.ndarray]], levels: tuple[int, ...] = LEVELS) -> dict[int, np.ndarray]:
-    """{depth: for each kept string, the probability of each of its 8 bits} under the weighted mixture of all depths up to it.
+def dense(key: np.ndarray, bit: int) -> np.ndarray:
+    """Depth-1 nodes of a bit as numbers under 65,536: the context's byte, then a one and the bits so far."""
+    low = np.uint64((1 << bit) - 1)
+    return (((key >> np.uint64(bit)) & np.uint64(255)) << np.uint64(8) | np.uint64(1 << bit) | key & low).astype(np.int64)
+
+
+def weighed(nodes: list[Nodes], bit: int, first: int = 0, below: np.ndarray | None = None) -> tuple[list, list[np.ndarray], np.ndarray]:
+    """Nodes of the depths from ``first`` on -> (parents' places, shares that stop, logarithms of the first depth's weighted estimates).
+
+    below: the sums of the weighted logarithms under the deepest nodes; None: nothing is under them.
+    """
+    parent = [None] + [np.searchsorted(nodes[i - 1].key, nodes[i].key & np.uint64((1 << (8 * (first + i - 1) + bit)) - 1)) for i in range(1, len(nodes))]
+    stop: list[np.ndarray] = [np.zeros(0)] * len(nodes)
+    weighted = None
+    for i in range(len(nodes) - 1, -1, -1):
+        own = kt(nodes[i].zeros, nodes[i].ones)
+        if weighted is None and below is None:
+            stop[i], weighted = np.ones(len(own)), own
+            continue
+        if weighted is not None:
+            up, size = parent[i + 1], len(own)
+            rest = [np.maximum(0, a - np.bincount(up, b, size)) for a, b in ((nodes[i].zeros, nodes[i + 1].zeros), (nodes[i].ones, nodes[i + 1].ones))]
+            below = np.bincount(up, weighted, size) + np.where(rest[0] + rest[1] > 0, kt(*rest), 0.0)
+        weighted = np.logaddexp(own, below) - math.log(2)
+        stop[i] = np.exp(own - math.log(2) - weighted)
+    return parent, stop, weighted
+
+
+def mixed(tables: list[tuple[np.ndarray, np.ndarray]], levels: tuple[int, ...] = LEVELS, first: int = 0, above=None, below: np.ndarray | None = None):
+    """({depth: for each string, the probability of each of its 8 bits} under the weighted mixture of all depths up to it, passed).
 
-    tables[d]: strings of d bytes of context and a byte, sorted, with counts over all training text. Strings that
-    a depth doesn't keep are one more context of their parent, so that each weight is over all of its data.
+    tables: from depth ``first`` on, strings of d bytes of context and a byte, sorted, with counts over all training
+    text. above: by dense(), (probability mass, weight left) that depth 1 passes to depth 2, where first is 2;
+    below: by dense(), what is under depth 1, where that is the deepest; ``passed`` is then the like of ``above``.
     """
-    deepest = len(tables) - 1
-    out = {d: np.zeros((len(tables[d][0]), 8)) for d in levels}
+    out = {d: np.zeros((len(tables[d - first][0]), 8)) for d in levels if first <= d < first + len(tables)}
+    passed = np.zeros((2, 1 << 16))
     for bit in range(8):
         nodes = [Nodes(c, n.astype(float), bit) for c, n in tables]
-        parent = [None] + [np.searchsorted(nodes[d - 1].key, nodes[d].key & np.uint64((1 << (8 * (d - 1) + bit)) - 1)) for d in range(1, deepest + 1)]
-        stop: list[np.ndarray] = [np.zeros(0)] * (deepest + 1)
-        weighted = None
-        for d in range(deepest, -1, -1):
-            own = kt(nodes[d].zeros, nodes[d].ones)
-            if weighted is None:
-                stop[d], weighted = np.ones(len(own)), own
-                continue
-            up, size = parent[d + 1], len(own)
-            rest = [np.maximum(0, a - np.bincount(up, b, size)) for a, b in ((nodes[d].zeros, nodes[d + 1].zeros), (nodes[d].ones, nodes[d + 1].ones))]
-            below = np.bincount(up, weighted, size) + np.where(rest[0] + rest[1] > 0, kt(*rest), 0.0)
-            weighted = np.logaddexp(own, below) - math.log(2)
-            stop[d] = np.exp(own - math.log(2) - weighted)
-        held, left = np.zeros(1), np.ones(1)
-        for d in range(deepest + 1):
-            if d:
-                held, left = held[parent[d]], left[parent[d]]
-            one = (nodes[d].ones + 0.5) / (nodes[d].zeros + nodes[d].ones + 1)
-            if d in out:
-                p = (held + left * one)[nodes[d].of]  # a path that ends here has all its weight left
-                out[d][:, bit] = np.where(nodes[d].bit == 1, p, 1 - p)
-            held, left = held + left * stop[d] * one, left * (1 - stop[d])
+        parent, stop, _ = weighed(nodes, bit, first, None if below is None else below[dense(nodes[-1].key, bit)])
+        held, left = (np.zeros(1), np.ones(1)) if above is None else above[:, dense(nodes[0].key & np.uint64((1 << (8 + bit)) - 1), bit)]
+        for i in range(len(tables)):
+            if i:
+                held, left = held[parent[i]], left[parent[i]]
+            one = (nodes[i].ones + 0.5) / (nodes[i].zeros + nodes[i].ones + 1)
+            if first + i in out:
+                p = (held + left * one)[nodes[i].of]  # a path that ends here has all its weight left
+                out[first + i][:, bit] = np.where(nodes[i].bit == 1, p, 1 - p)
+            held, left = held + left * stop[i] * one, left * (1 - stop[i])
+        if below is not None:
+            passed[:, dense(nodes[-1].key, bit)] = held, left
+    return out, passed
+
+
+def shortened(code: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Strings and counts by depth of context, from ``first`` to ``last``."""
+    out = []
+    for d in range(first, last + 1):
+        key, of = np.unique(code & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        out.append((key, np.bincount(of, n, len(key)).astype(np.int64)))
     return out
 
 
 class Model:
-    """Probabilities of kept strings, by depth, with a hash table over the deepest."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], levels: tuple[int, ...] = LEVELS):
-        self.levels = tuple(d for d in levels if len(tables[d][0]))
-        bits = mixed(tables, self.levels) if self.levels else {}
-        self.codes = {d: tables[d][0] for d in self.levels}
-        self.bits = {d: bits[d].astype(np.float32) for d in self.levels}
-        if self.levels:
-            top = self.levels[0]
-            self.whole = np.log2(bits[top]).sum(axis=1).astype(np.float32)
-            self.room = max(4, int(len(self.whole) * 2.5).bit_length())
-            self.slots = np.full(1 << self.room, -1, np.int32)
-            todo, at = np.arange(len(self.whole), dtype=np.int32), self._slot(self.codes[top])
-            while len(todo):
-                free = self.slots[at] < 0
-                self.slots[at[free]] = todo[free]
-                lost = self.slots[at] != todo
-                todo, at = todo[lost], (at[lost] + 1) & ((1 << self.room) - 1)
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.room)).astype(np.int64)
+    """Probabilities of strings by depth. With ``top`` (see crown), the tables are those of depth 2 and more of some contexts."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], levels: tuple[int, ...] = LEVELS, top: dict | None = None):
+        first = 0 if top is None else 2
+        self.codes, self.bits = (dict(top["codes"]), dict(top["bits"])) if top else ({}, {})
+        if len(tables[0][0]):
+            self.bits |= mixed(tables, levels, first, None if top is None else top["passed"])[0]
+            self.codes |= {d: tables[d - first][0] for d in levels if d >= first}
+        self.levels = tuple(d for d in levels if d in self.codes and len(self.codes[d]))
 
     def bits_of(self, code: np.ndarray) -> np.ndarray:
         """log2 of the probability of each string's last byte after the bytes before it."""
-        if not self.levels:
+        if not self.levels or not len(code):
             return np.full(len(code), -8.0)
-        top, out = self.levels[0], np.zeros(len(code))
-        todo, at = np.arange(len(code)), self._slot(code)
-        lost: list[np.ndarray] = []
-        while len(todo):
-            held = self.slots[at]
-            hit = (held >= 0) & (self.codes[top][np.maximum(held, 0)] == code[todo])
-            out[todo[hit]] = self.whole[held[hit]]
-            lost.append(todo[held < 0])
-            more = (held >= 0) & ~hit
-            todo, at = todo[more], (at[more] + 1) & ((1 << self.room) - 1)
-        miss = np.concatenate(lost)
-        out[miss] = self._unseen(code[miss])
+        keys = self.codes[self.levels[0]]
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        hit = keys[at] == code
+        out = np.zeros(len(code))
+        out[hit] = np.log2(self.bits[self.levels[0]]).sum(axis=1)[at[hit]]
+        out[~hit] = self._unseen(code[~hit])
         return out
 
     def _unseen(self, code: np.ndarray) -> np.ndarray:
         """Bit by bit, from the deepest level that has the node: its bits so far are those of a neighbour in order."""
         total, bit = np.zeros(len(code)), np.zeros(len(code), np.int64)
         for d in self.levels:
-            keys, probs = self.codes[d], self.bits[d].astype(float)
+            keys, probs = self.codes[d], self.bits[d]
             c = code & np.uint64((1 << (8 * (d + 1))) - 1)
             at = np.searchsorted(keys, c)
             best, agree = np.zeros(len(c), np.int64), np.full(len(c), -1)
@@ -185,40 +205,9 @@ class Model:
         return total - (8 - bit)
 
 
-def log_probability(model: Model, texts: list[bytes]) -> np.ndarray:
-    """log2 of the probability of each text and its end, AT_ONCE bytes at a time."""
-    out, first = np.zeros(len(texts)), 0
-    for held in grouped(((None, t) for t in texts), AT_ONCE):
-        size = np.array([len(t) + 1 for _, t in held], np.int64)
-        code = strings([t for _, t in held], DEPTH)
-        bits = np.concatenate([model.bits_of(code[i : i + AT_ONCE]) for i in range(0, len(code), AT_ONCE)])
-        out[first : first + len(held)] = np.add.reduceat(bits, np.cumsum(size) - size)
-        first += len(held)
-    return out
-
-
-def learn(train: DataFrame, depth: int = DEPTH, most: int = STRINGS) -> Model:
-    """The model of docs(text): counts over every text; a depth keeps at most ``most`` strings, the most frequent."""
-    counts = written(train.select("text").mapInArrow(counted(depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    tables = []
-    for d in range(depth + 1):
-        part = counts if d == depth else counts.groupBy((F.col("code").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))).alias("code")).agg(F.sum("n").alias("n"))
-        sizes = part.groupBy(F.least(F.col("n"), F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        total, least = 0, 100_001
-        for r in sizes:
-            total += r["count"]
-            if total > most:
-                break
-            least = r["n"]
-        kept = part.where(F.col("n") >= least).toArrow()
-        code, n = kept["code"].to_numpy().astype(np.int64).view(np.uint64), kept["n"].to_numpy()
-        order = np.argsort(code)
-        tables.append((code[order], n[order]))
-    return Model(tables)
-
-
-PACK, WORDS, REPLY = range(3)
+PACK, WORDS, STRINGS, REPLY, SCORES = range(5)
 SENT, SENT_DDL = pa.schema([("place", pa.int64()), ("kind", pa.int32()), ("pack", pa.int64()), ("load", pa.binary())]), "place long, kind int, pack long, load binary"
+SUMS, SUMS_DDL = pa.schema([("place", pa.int64()), ("n", pa.int64()), ("below", pa.float64())]), "place long, n long, below double"
 
 
 def squeeze(*parts: bytes) -> bytes:
@@ -235,48 +224,124 @@ def unsqueeze(load: bytes) -> list[bytes]:
     return out
 
 
-def packs(model, buckets: int):
-    """(doc_id, held_out, text) -> packs of documents with scores and word counts, and each pack's distinct words by bucket.
+def planes(code: np.ndarray) -> bytes:
+    """Ordered strings as differences, byte by byte of the numbers, which compresses well."""
+    return np.ascontiguousarray(np.diff(code, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[: DEPTH + 1]).tobytes()
+
+
+def from_planes(load: bytes) -> np.ndarray:
+    x = np.frombuffer(load, np.uint8).reshape(DEPTH + 1, -1)
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, : DEPTH + 1] = x.T
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def worded(rows: list[tuple[bytes, bool]], buckets: int):
+    """(text, held out) -> the pack's distinct words, their buckets and training counts, their order by bucket, and
+    by document how many distinct words it has, which (as places in the order), and how often."""
+    vocabulary: dict[bytes, int] = {}
+    number, times, kinds, train = [], [], [], {}
+    for t, held_out in rows:
+        own: dict[bytes, int] = {}
+        for w in t.lower().split():
+            own[w] = own.get(w, 0) + 1
+        at = [vocabulary.setdefault(w, len(vocabulary)) for w in own]
+        number += at
+        times += own.values()
+        kinds.append(len(at))
+        if not held_out:
+            for i, n in zip(at, own.values(), strict=True):
+                train[i] = train.get(i, 0) + n
+    words = list(vocabulary)
+    bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], np.int64)
+    counts = np.array([train.get(i, 0) for i in range(len(words))], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words, bucket, counts, order, np.array(kinds, np.int64), place[np.array(number, np.int64)], np.array(times, np.int64)
+
+
+def stretches(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bucket, where its stretch of the order begins, the stretch)."""
+    if len(order):
+        cut = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1), len(order)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield int(bucket[order[a]]), int(a), order[a:b]
+
+
+def packs(buckets: int):
+    """(doc_id, held_out, text) -> packs of documents, and each pack's distinct words and strings by bucket, with their training counts.
 
     A pack's number is random per task attempt only in its name: its rows are written before use.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = Model.__new__(Model)
-        vars(lm).update(model.value)
         rows = (((d, h), t) for b in batches for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True))
         for held in grouped(rows, PACKED):
-            texts = [t for _, t in held]
-            size = np.array([len(t) + 1 for t in texts], np.int64)
-            score = log_probability(lm, texts) * math.log10(2)
-            vocabulary: dict[bytes, int] = {}
-            number, times, kinds, train = [], [], [], {}
-            for ((_, held_out), t) in held:
-                own: dict[bytes, int] = {}
-                for w in t.lower().split():
-                    own[w] = own.get(w, 0) + 1
-                at = [vocabulary.setdefault(w, len(vocabulary)) for w in own]
-                number += at
-                times += own.values()
-                kinds.append(len(at))
-                if not held_out:
-                    for i, n in zip(at, own.values(), strict=True):
-                        train[i] = train.get(i, 0) + n
-            words = list(vocabulary)
-            bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], np.int64)
-            counts = np.array([train.get(i, 0) for i in range(len(words))], np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words))
-            key = xxhash.xxh3_64_intdigest(repr([k for k, _ in held[:1]] + [len(held), len(words)]).encode() + texts[0][:4096] + texts[-1][-4096:]) >> 1
+            texts = [(t, h) for (_, h), t in held]
+            words, bucket, counts, order, *_ = worded(texts, buckets)
+            code, n = distinct(texts)
+            key = xxhash.xxh3_64_intdigest(repr([k for k, _ in held[:1]] + [len(held), len(words)]).encode() + texts[0][0][:4096] + texts[-1][0][-4096:]) >> 1
             ids = pa.array([d for (d, _), _ in held], pa.int64())
             known = np.array([d is not None for (d, _), _ in held], bool)
-            load = squeeze(np.array(ids.fill_null(0).to_pylist(), np.int64).tobytes(), known.tobytes(), np.array([h for (_, h), _ in held], bool).tobytes(), score.tobytes(), size.tobytes(), np.array(kinds, np.int64).tobytes(), place[np.array(number, np.int64)].tobytes() if number else b"", np.array(times, np.int32).tobytes(), len(words).to_bytes(8, "little"))
+            size = np.array([len(t) for t, _ in texts], np.int64)
+            load = squeeze(np.array(ids.fill_null(0).to_pylist(), np.int64).tobytes(), known.tobytes(), np.array([h for _, h in texts], bool).tobytes(), size.tobytes(), b"".join(t for t, _ in texts), planes(code))
             yield batch(SENT, [key], [PACK], [key], [load])
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else [0]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                some = order[a:b]
-                yield batch(SENT, [bucket[some[0]]], [WORDS], [key], [squeeze(b" ".join(words[i] for i in some), counts[some].tobytes(), int(a).to_bytes(8, "little"))])
+            for b, a, some in stretches(bucket, order):
+                yield batch(SENT, [b], [WORDS], [key], [squeeze(b" ".join(words[i] for i in some), counts[some].tobytes(), a.to_bytes(8, "little"))])
+            bucket = bucket_of(code, buckets)
+            for b, a, some in stretches(bucket, np.argsort(bucket, kind="stable")):
+                yield batch(SENT, [b], [STRINGS], [key], [squeeze(planes(code[some]), n[some].tobytes(), a.to_bytes(8, "little"))])
+
+    return run
+
+
+def gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, np.ndarray]]]:
+    """One bucket of strings -> they in order, their training counts, and for each pack (pack, start, where its strings are)."""
+    parts = [(p, *unsqueeze(x)) for p, x in zip(rows["pack"].to_pylist(), rows["load"].to_pylist(), strict=True)]
+    own = [from_planes(c) for _, c, _, _ in parts]
+    code, at = np.unique(turned_back(np.concatenate(own)), return_inverse=True)
+    n = np.bincount(at, np.concatenate([np.frombuffer(n, np.int64) for _, _, n, _ in parts]), len(code)).astype(np.int64)
+    ends = np.cumsum([len(c) for c in own])
+    return code, n, [(p, start, x) for (p, _, _, start), x in zip(parts, np.split(at, ends[:-1]), strict=True)]
+
+
+def weights(rows: pa.Table) -> pa.Table:
+    """One bucket of strings -> (place, n, below): under 65,536 counts of strings of depth 1, above them what the bucket has under their nodes."""
+    code, n, _ = gathered(rows)
+    code, n = code[n > 0], n[n > 0]
+    top, count = shortened(code, n, 1, 1)[0]
+    out = [batch(SUMS, top.astype(np.int64), count, np.zeros(len(top)))]
+    tables = shortened(code, n, 2, DEPTH)
+    for bit in range(8) if len(code) else ():
+        nodes = [Nodes(c, k.astype(float), bit) for c, k in tables]
+        place, of = np.unique(dense(nodes[0].key & np.uint64((1 << (8 + bit)) - 1), bit), return_inverse=True)
+        below = np.bincount(of, weighed(nodes, bit, 2)[2], len(place))
+        out.append(batch(SUMS, place + (1 << 16), np.zeros(len(place), np.int64), below))
+    return pa.Table.from_batches(out, SUMS)
+
+
+def crown(rows: list) -> dict:
+    """Sums of weights() over all buckets -> probabilities of the strings of depths 1 and 0, and what depth 1 passes to depth 2."""
+    count, below = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+    for r in rows:
+        if r.place < 1 << 16:
+            count[r.place] = r.n
+        else:
+            below[r.place - (1 << 16)] = r.below
+    code = np.flatnonzero(count).astype(np.uint64)
+    tables = shortened(code, count[code.astype(np.int64)], 0, 1)
+    bits, passed = mixed(tables, (1, 0), 0, None, below)
+    return {"codes": {d: c for d, (c, _) in enumerate(tables)}, "bits": bits, "passed": passed}
+
+
+def guessed(top):
+    """One bucket of strings -> for each pack, log2 of the probability of each of its strings there."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        code, n, parts = gathered(rows)
+        value = Model(shortened(code[n > 0], n[n > 0], 2, DEPTH), LEVELS, top.value).bits_of(code).astype(np.float32)
+        return pa.Table.from_batches([batch(SENT, *zip(*[(p, SCORES, p, squeeze(value[at].tobytes(), start)) for p, start, at in parts], strict=True))])
 
     return run
 
@@ -294,29 +359,43 @@ def answered(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(SENT, *zip(*out, strict=True))])
 
 
-def totalled(tokens: int, distinct: int, documents: int):
+def totalled(tokens: int, distinct: int, documents: int, buckets: int):
     """A pack with the replies to it -> its documents' rows."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(rows: pa.Table) -> pa.Table:
         kinds, loads = rows["kind"].to_pylist(), rows["load"].to_pylist()
-        replies = [unsqueeze(x) for k, x in zip(kinds, loads, strict=True) if k == REPLY]
+        replies = {k: [unsqueeze(x) for kind, x in zip(kinds, loads, strict=True) if kind == k] for k in (REPLY, SCORES)}
         out = []
         for load in (x for k, x in zip(kinds, loads, strict=True) if k == PACK):
-            ids, known, held, score, size, n, at, times, words = unsqueeze(load)
-            counts = np.zeros(int.from_bytes(words, "little"), np.int64)
-            for c, start in replies:
+            ids, known, held, size, text, code = unsqueeze(load)
+            size, held, code = np.frombuffer(size, np.int64), np.frombuffer(held, bool), from_planes(code)
+            ends = np.cumsum(size).tolist()
+            texts = [text[b - n : b] for b, n in zip(ends, size.tolist(), strict=True)]
+            words, _, _, _, n, at, times = worded([(t, True) for t in texts], buckets)
+            counts = np.zeros(len(words), np.int64)
+            for c, start in replies[REPLY]:
                 c, start = np.frombuffer(c, np.int64), int.from_bytes(start, "little")
                 counts[start : start + len(c)] = c
-            n, at, times = np.frombuffer(n, np.int64), np.frombuffer(at, np.int32), np.frombuffer(times, np.int32)
+            value = np.zeros(len(code))
+            for v, start in replies[SCORES]:
+                v, start = np.frombuffer(v, np.float32), int.from_bytes(start, "little")
+                value[start : start + len(v)] = v
+            by_code = np.empty(len(code))
+            by_code[np.argsort(bucket_of(code, buckets), kind="stable")] = value
+            score, first = np.zeros(len(texts)), 0
+            for some in grouped((None, t) for t in texts):
+                many = np.array([len(t) + 1 for _, t in some], np.int64)
+                bits = by_code[np.searchsorted(code, strings([t for _, t in some], DEPTH, True))]
+                score[first : first + len(some)] = np.add.reduceat(bits, np.cumsum(many) - many)
+                first += len(some)
             doc = np.repeat(np.arange(len(n)), n)
             c = counts[at]
             n_tokens = np.bincount(doc, times, len(n)).astype(np.int64) + 1
             n_known = np.bincount(doc, times * (c > 0), len(n)).astype(np.int64) + (documents > 0)
             base = np.bincount(doc, times * np.log10(c + 1.0), len(n)) + math.log10(documents + 1) - n_tokens * math.log10(tokens + distinct + 1)
-            score, size = np.frombuffer(score), np.frombuffer(size, np.int64)
             doc_ids = pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(known, bool))
-            out.append(batch(schema, doc_ids, np.frombuffer(held, bool), n_tokens, n_known, np.full(len(n), tokens), base, score, -score / math.log10(2) / size))
+            out.append(batch(schema, doc_ids, held, n_tokens, n_known, np.full(len(n), tokens), base, score * math.log10(2), -score / (size + 1)))
         return pa.Table.from_batches(out, schema)
 
     return run
@@ -327,19 +406,21 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Learnt from the texts of rows whose crc32(doc_id) mod 7 is not 2. The score is the log10 probability of the
     text's bytes and its end. Null texts are empty: one end token. Rows with one doc_id are scored one by one.
-    No training row: every byte costs 8 bits. Words travel to their counts and back as each pack's distinct
-    words by bucket, never as (document, word) rows; the model has at most STRINGS strings a depth.
+    No training row: every byte costs 8 bits. Words and strings of context travel to their counts and back as each
+    pack's distinct ones by bucket, never as (document, word) rows. Every string of the training text counts: a
+    bucket has all contexts that share two bytes, and only what is under depth 1 (65,536 nodes at most) meets.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    train = rows.where("not held_out")
-    model = spark.sparkContext.broadcast(vars(learn(train)))  # arrays alone: a task needs no import of this class
-    documents = train.count()
-    sent = written(rows.mapInArrow(packs(model, 2 * partitions(spark)), SENT_DDL))
-    model.destroy()  # what needed it is in the shared folder
-    asked = sent.where(F.col("kind") == WORDS)
-    replies = written(asked.groupBy("place").applyInArrow(answered, SENT_DDL))
+    documents, buckets = rows.where("not held_out").count(), 2 * partitions(spark)
+    sent = written(rows.mapInArrow(packs(buckets), SENT_DDL))
+    asked = sent.where(F.col("kind") == STRINGS)
+    below = F.aggregate(F.array_sort(F.collect_list("below")), F.lit(0.0), lambda a, x: a + x)  # in one order, whatever the tasks'
+    top = spark.sparkContext.broadcast(crown(asked.groupBy("place").applyInArrow(weights, SUMS_DDL).groupBy("place").agg(F.sum("n").alias("n"), below.alias("below")).collect()))
+    guesses = written(asked.groupBy("place").applyInArrow(guessed(top), SENT_DDL))
+    top.destroy()  # what needed it is in the shared folder
+    replies = written(sent.where(F.col("kind") == WORDS).groupBy("place").applyInArrow(answered, SENT_DDL))
     sums = replies.where("place = -1").agg(F.sum("pack").alias("v"), F.sum(F.col("load").cast("string").cast("long")).alias("n")).first()
     tokens, distinct = (sums.n or 0) + documents, (sums.v or 0) + (documents > 0)
-    both = sent.where(F.col("kind") == PACK).unionByName(replies.where("place <> -1"))
-    return both.groupBy("pack").applyInArrow(totalled(tokens, distinct, documents), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    both = sent.where(F.col("kind") == PACK).unionByName(replies.where("place <> -1")).unionByName(guesses)
+    return both.groupBy("pack").applyInArrow(totalled(tokens, distinct, documents, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -166,6 +166,53 @@ def test_base_scores_are_the_brute_force(spark, cases):
         assert abs(r.base_score - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 and r.score < 0
 
 
+def test_context_tree_scores_are_the_definition(spark, cases):
+    """Every string counts, and what depth 5 lacks is taken from the deepest depth that has the bits so far."""
+    from collections import defaultdict
+    from functools import cache
+    from math import lgamma, log, log10, pi
+
+    rows = [(i, t and t[:120], lang) for i, t, lang in cases[:60]] + [(i, t, "aa") for i, t in ((2000, "ba!e lo kex"), (2001, "zzba kelo"), (2002, "Ä"))]
+    held = [i for i in range(3000, 3100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows += list(zip(held, ["xbalo mi", "tu?ke lo ba", "", "q\u4e16"], ["aa"] * 4, strict=True))
+    count, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def bits(t):
+        b = b"\0" * 5 + t.encode() + b"\0"
+        for at in range(5, len(b)):
+            for k in range(8):
+                yield b[at - 5 : at], (k, b[at] >> (8 - k)), b[at] >> (7 - k) & 1
+
+    for i, t, _ in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for ctx, node, bit in bits(t or ""):
+                for d in range(6):
+                    count[ctx[5 - d :], node][bit] += 1
+                    if d:
+                        below[ctx[6 - d :], node].add(ctx[5 - d :])
+    own = lambda ctx, node: lgamma((c := count[ctx, node])[0] + 0.5) + lgamma(c[1] + 0.5) - lgamma(sum(c) + 1) - log(pi)
+
+    @cache
+    def weighted(ctx, node):
+        return own(ctx, node) if len(ctx) == 5 else np.logaddexp(own(ctx, node), sum(weighted(c, node) for c in below[ctx, node])) - log(2)
+
+    @cache
+    def log_p(ctx, node, bit):
+        mass, left, p = 0.0, 1.0, 0.5
+        for d in range(6):
+            c = ctx[5 - d :]
+            if (c, node) not in count:
+                break
+            one = (count[c, node][bit] + 0.5) / (sum(count[c, node]) + 1)
+            p, stop = mass + left * one, np.exp(own(c, node) - log(2) - weighted(c, node)) if d < 5 else 1.0
+            mass, left = mass + left * stop * one, left * (1 - stop)
+        return log10(p)
+
+    got = {r.doc_id: r.score for r in context_tree.scored(rows_of(spark, rows)).collect()}
+    for i, t, _ in rows:
+        assert abs(got[i] - sum(log_p(*x) for x in bits(t or ""))) < 1e-4, i
+
+
 def check_packing(got, docs, room=2048):
     by, seq = {}, {}
     for r in got:
