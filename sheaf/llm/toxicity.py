@@ -16,9 +16,11 @@ from sheaf.llm.common import remainder
 
 WORD = re.compile(r"\w+")
 #: Labelled rows of either class that the classifier is fitted on (expected number, by a hash of doc_id).
-EXAMPLES = 2000
-#: A term counts if its 2x2 chi-square between label and presence reaches this; most terms of an index; examples of a block; neighbours.
-CHI2, TERMS, BLOCK, NEAREST = 30.0, 20000, 64, 25
+EXAMPLES = 8000
+#: Examples that a term's toxic share is shrunk by, so that few occurrences weigh little at any number of labels; examples of a block; neighbours.
+SHRUNK, BLOCK, NEAREST = 10.0, 64, 25
+#: Distinct terms that a task counts before it gives them out.
+HELD = 500_000
 
 
 def label_sample(labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
@@ -52,16 +54,14 @@ class Index:
         self.y = np.array([v[1] for v in vectors], float)
         self.weight = np.array([v[2] for v in vectors], float)
         self.blocks = -(-len(vectors) // BLOCK)
-        post: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for n, v in enumerate(vectors):
-            for t, x in zip(v[3], v[4], strict=True):
-                post[t].append((n, x))
-        self.post = [(at := np.array([n for n, _ in p], np.int64), np.array([x for _, x in p]), at // BLOCK) for p in post]
-        self.top = []
-        for at, x, block in self.post:
-            m = np.zeros(self.blocks)
-            np.maximum.at(m, block, x)
-            self.top.append((np.flatnonzero(m), m[m > 0]))
+        term = np.concatenate([np.zeros(0, np.int64), *(v[3] for v in vectors)])
+        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[3]) for v in vectors])
+        x = np.concatenate([np.zeros(0), *(v[4] for v in vectors)])
+        order = np.argsort(term, kind="stable")
+        term, at, x = term[order], at[order], x[order]
+        self.post = np.searchsorted(term, np.arange(len(idf) + 1)), at, x
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(at // BLOCK, prepend=-1) != 0))
+        self.top = np.searchsorted(term[first], np.arange(len(idf) + 1)), at[first] // BLOCK, np.maximum.reduceat(x, first) if len(x) else x
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
         if len(vectors):
             self.calibrate([(v[3], v[4]) for v in vectors])
@@ -74,28 +74,28 @@ class Index:
 
     def nearest(self, terms: np.ndarray, x: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Exactly the k largest cosines (ties: earlier example). Blocks whose bound can't reach the k-th are skipped."""
-        bound = np.zeros(self.blocks)
-        for t, q in zip(terms, x, strict=True):
-            at, m = self.top[t]
-            bound[at] += q * m
+        none = np.zeros(0, np.int64)
+        tops, posts = ([(a[p[t] : p[t + 1]], v[p[t] : p[t + 1]]) for t in terms.tolist()] for p, a, v in (self.top, self.post))
+        spread = lambda lists: np.concatenate([v for _, v in lists] or [none]) * np.repeat(x, [len(v) for _, v in lists])
+        bound = np.bincount(np.concatenate([b for b, _ in tops] or [none]), spread(tops), self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        ids, sims, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
+        at, part = np.concatenate([a for a, _ in posts] or [none]), spread(posts)
+        # where bounds are alike, none can be skipped and all blocks are opened at once
+        step = len(order) if len(order) and bound[order[len(order) // 2]] * 2 > bound[order[0]] else 4
+        ids, sims, least = none, np.zeros(0), 0.0
         while len(order) and (len(ids) < k or bound[order[0]] >= least - 1e-12):
-            some, order, step = order[:step], order[step:], step * 2
-            slot = np.full(self.blocks, -1)
-            slot[some] = np.arange(len(some))
-            got = np.zeros(len(some) * BLOCK)
-            for t, q in zip(terms, x, strict=True):
-                at, v, block = self.post[t]
-                s = slot[block]
-                in_ = s >= 0
-                got[s[in_] * BLOCK + at[in_] % BLOCK] += q * v[in_]
-            hit = np.flatnonzero(got > 0)
-            ids = np.concatenate([ids, some[hit // BLOCK] * BLOCK + hit % BLOCK])
-            sims = np.concatenate([sims, got[hit]])
+            some, order, step = order[:step], order[step:], step * 16
+            slot = np.zeros(self.blocks, bool)
+            slot[some] = True
+            in_ = slice(None) if slot.all() else slot[at // BLOCK]
+            got = np.bincount(at[in_], part[in_], len(self.ids))
             if but >= 0:
-                sims, ids = sims[ids != but], ids[ids != but]
+                got[but] = 0
+            if np.count_nonzero(got) > k:
+                got[got < np.partition(got, -k)[-k]] = 0
+            hit = np.flatnonzero(got > 0)
+            ids, sims = np.concatenate([ids, hit]), np.concatenate([sims, got[hit]])
             best = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[best], sims[best]
             least = sims[-1] if len(sims) else 0.0
@@ -133,52 +133,73 @@ class Index:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """The index over a bounded sample of labelled training rows; its terms are those that tell the labels apart."""
+    """The index over a bounded sample of labelled training rows, with all their terms.
+
+    A term weighs its IDF over all documents times how far the shrunk toxic share of its examples is from that of all.
+    """
     spark = docs.sparkSession
     sample = label_sample(labels).collect()  # about 2 * EXAMPLES rows
     rows = spark.createDataFrame([(r.doc_id, r.toxic, r.weight) for r in sample], "doc_id long, toxic int, weight double")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
-    n = {r.toxic: r["count"] for r in text.groupBy("toxic").count().collect()}
-    if not n:
+    examples = text.select("doc_id", "toxic", "weight", "text").mapInArrow(counts_of, "doc_id long, toxic int, weight double, words array<string>, counts array<int>").toArrow()
+    if not len(examples):
         return Index({}, [])
-    words = text.select("toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))).alias("w"))
-    df = words.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    pos, all_ = float(n.get(1, 0)), float(sum(n.values()))
-    c, d = F.lit(pos) - a, F.lit(all_ - pos) - b
-    chi2 = F.lit(all_) * (a * d - b * c) * (a * d - b * c) / F.greatest(F.lit(1e-9), F.lit(pos) * F.lit(all_ - pos) * F.col("n") * (F.lit(all_) - F.col("n")))
-    terms = df.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "w").limit(TERMS).select("w", "n").collect()
-    idf = {r.w: float(np.log((1 + all_) / (1 + r.n)) + 1) for r in terms}
-    examples = text.select("doc_id", "toxic", "weight", "text").mapInArrow(only(set(idf)), "doc_id long, toxic int, weight double, words array<string>, counts array<int>").collect()
-    return Index(idf, [(r.doc_id, r.toxic, r.weight, dict(zip(r.words, r.counts, strict=True))) for r in examples])
-
-
-def only(terms: set[str]):
-    """(..., text) -> (..., words, counts) over the given terms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [{w: n for w, n in counted(t).items() if w in terms} for t in b.column(3).to_pylist()]
-            columns = [*b.columns[:3], pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "weight", "words", "counts"])
-
-    return run
+    among, toxic, same, kept = Counter(), Counter(), {}, []
+    for b in examples.to_batches(256):
+        for i, y, weight, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = [same.setdefault(w, w) for w in words]  # one string a term
+            among.update(words)
+            toxic.update(words if y else ())
+            kept.append((i, y, weight, dict(zip(words, counts, strict=True))))
+    share = sum(y for _, y, _, _ in kept) / len(kept)
+    told = spark.createDataFrame(pa.table({"w": pa.array(list(among), pa.string())}))
+    every = docs.select("text").mapInArrow(frequencies, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    got = every.join(told, "w", "left_semi").toArrow()
+    df = dict(zip(got["w"].to_pylist(), got["n"].to_pylist(), strict=True))
+    n = docs.count()
+    idf = {w: float((np.log((1 + n) / (1 + df[w])) + 1) * abs((toxic[w] + SHRUNK * share) / (k + SHRUNK) - share)) for w, k in among.items()}
+    return Index({w: x for w, x in idf.items() if x > 0}, kept)
+
+
+def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., text) -> (..., words, counts)."""
+    for b in batches:
+        got = [counted(t) for t in b.column(3).to_pylist()]
+        columns = [*b.columns[:3], pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "weight", "words", "counts"])
+
+
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (term, documents that have it), added up over parts of a task."""
+    give = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
+    df: Counter = Counter()
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            df.update(set(WORD.findall(t.lower())) if t else ())
+        if len(df) > HELD:
+            yield give(df)
+            df = Counter()
+    yield give(df)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents -> (doc_id, held_out, score, predicted, evidence, terms): one row per document.
 
     Fitted on about EXAMPLES labelled rows of either class whose crc32(doc_id) mod 5 is not 0 (all, if
-    fewer), weighted back to their class. A text without a telling term, null and empty ones included,
+    fewer), weighted back to their class. A text without an indexed term, null and empty ones included,
     gets the rate of such examples. Repeated labels: toxic if any row says so. No labels: 0.5.
     """
-    index = fit(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast(vars(fit(docs, labels)))  # arrays alone: a task needs no import of this class
     rows = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), "text")
     schema = rows.drop("text").schema.add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.__new__(Index)
+        vars(index).update(held.value)
         for b in batches:
-            got = [index.score(t) for t in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            once = {t: index.score(t) for t in dict.fromkeys(texts)}
+            got = [once[t] for t in texts]
             columns = [*b.columns[:2], pa.array([s for s, _, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _, _ in got], pa.int32()), pa.array([e for _, e, _ in got], pa.list_(pa.int64())), pa.array([t for _, _, t in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence", "terms"])
 

@@ -127,6 +127,42 @@ def test_toxicity_finds_the_exact_neighbours_and_holds_out(spark):
     assert not toxicity.scored(docs, labels.limit(0)).where("score <> 0.5").count()
 
 
+def test_toxicity_nearest_is_the_brute_force_cosine():
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    draw = lambda: {w: rng.randint(1, 4) for w in rng.sample(words, rng.randint(1, 9))}
+    examples = [(i, i % 2, 1.0, draw()) for i in range(1500)]
+    ix = toxicity.Index({w: 0.1 + i / 9 for i, w in enumerate(words)}, examples)
+    dense = np.zeros((len(ix.ids), len(words)))
+    for at, i in enumerate(ix.ids):
+        t, x = ix.vector(examples[i][3])
+        dense[at, t] = x
+    for but in (-1, 3):
+        for _ in range(30):
+            t, x = ix.vector(draw())
+            sims = dense[:, t] @ x
+            if but >= 0:
+                sims[but] = 0
+            ids, got = ix.nearest(t, x, 25, but)
+            want = np.sort(sims)[::-1][: len(ids)]
+            assert len(ids) == min(25, (sims > 0).sum()) and np.allclose(got, want) and np.allclose(sims[ids], got)
+
+
+def test_toxicity_keeps_rare_terms_and_counts_them_over_all_documents(spark):
+    """A term of three toxic examples tells; its document frequency is that of the whole table."""
+    rows = [(i, "ba ke lo " + ("vile" if i < 3 else "foul" if i < 300 else "mi"), "aa") for i in range(3000)]
+    rows += [(5000 + i, "ba vile", "aa") for i in range(40)]
+    docs = rows_of(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(3000) if i >= 3 or zlib.crc32(str(i).encode()) % 5], "doc_id long, toxic int")
+    ix = toxicity.fit(docs, labels)
+    assert {"vile", "foul", "mi"} <= set(ix.term)
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3))
+    train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    share = sum(i < 300 for i in train) / len(train)
+    want = (np.log(3041 / 44) + 1) * ((n + 10 * share) / (n + 10) - share)
+    assert abs(ix.idf[ix.term["vile"]] - want) < 1e-9
+
+
 def test_licences_are_found_and_unknown_ones_said(spark):
     lines = ["ba ke lo", "Licensed under the Apache License, Version 2.0.", "ke lo\nReleased under the MIT License.", "Licensed under the terms of our own licence agreement.", None, "", "of the and for"]
     got = {r.doc_id: r for r in licenses.scanned(rows_of(spark, [(i, t, "en") for i, t in enumerate(lines)])).collect()}
