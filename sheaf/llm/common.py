@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder. A local session, which has one machine, may do with a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sheaf-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -27,11 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read it back.
 
-    A lost executor then costs a re-read, not the work before it.
+    A lost executor then costs a re-read, not the work before it. The files go when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sheaf-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,3 +64,8 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+def apart(df: DataFrame, *used: str) -> DataFrame:
+    """The columns under names that no result has, but for those that are used; their order stays."""
+    return df.toDF(*(c if c in used else f"_own_{n}" for n, c in enumerate(df.columns)))
