@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +18,19 @@ from sheaf.llm.common import batch, partitions, remainder, utf8, written
 #: Bytes of context, and depths whose nodes are kept for prediction (all, deepest first).
 DEPTH = 5
 LEVELS = tuple(range(DEPTH, -1, -1))
-#: Bytes of text that are counted or scored at once, and bytes of a pack.
-AT_ONCE, PACKED = 1 << 20, 16 << 20
+#: The symbol that ends a text and stands before it: a byte that no UTF-8 text has.
+EDGE = b"\xff"
+#: Bytes of text that are counted or scored at once, bytes of a pack, and bytes of text for which a bucket is made at least.
+AT_ONCE, PACKED, BUCKET = 1 << 20, 16 << 20, 16 << 20
 
 
 def strings(texts: list[bytes], depth: int, turned: bool = False) -> np.ndarray:
     """Each byte of each text after its ``depth`` bytes of context, as one number, the byte last.
 
-    Before a text stand zero bytes; one more zero byte ends it. Turned: the nearest byte of the context first.
+    Before a text stand edges; one more edge ends it. Turned: the nearest byte of the context first.
     """
-    pad = b"\0" * depth
-    x = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8).astype(np.uint64)
+    pad = EDGE * depth
+    x = np.frombuffer(b"".join(pad + t + EDGE for t in texts), np.uint8).astype(np.uint64)
     code = np.zeros(len(x) - depth, np.uint64)
     for i in range(depth + 1):
         code |= x[i : i + len(code)] << np.uint64(8 * (depth - i if not turned else (i + 1) % (depth + 1)))
@@ -272,16 +275,17 @@ def stretches(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int,
 def packs(buckets: int):
     """(doc_id, held_out, text) -> packs of documents, and each pack's distinct words and strings by bucket, with their training counts.
 
-    A pack's number is random per task attempt only in its name: its rows are written before use.
+    A pack's number is its task's and its place there. The rows are written before use, and of a task's attempts
+    one is written, so no two packs share a number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (((d, h), t) for b in batches for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True))
-        for held in grouped(rows, PACKED):
+        task = TaskContext.get().partitionId() << 32
+        for key, held in enumerate(grouped(rows, PACKED), task):
             texts = [(t, h) for (_, h), t in held]
             words, bucket, counts, order, *_ = worded(texts, buckets)
             code, n = distinct(texts)
-            key = xxhash.xxh3_64_intdigest(repr([k for k, _ in held[:1]] + [len(held), len(words)]).encode() + texts[0][0][:4096] + texts[-1][0][-4096:]) >> 1
             ids = pa.array([d for (d, _), _ in held], pa.int64())
             known = np.array([d is not None for (d, _), _ in held], bool)
             size = np.array([len(t) for t, _ in texts], np.int64)
@@ -405,14 +409,16 @@ def scored(docs: DataFrame) -> DataFrame:
     """Documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
 
     Learnt from the texts of rows whose crc32(doc_id) mod 7 is not 2. The score is the log10 probability of the
-    text's bytes and its end. Null texts are empty: one end token. Rows with one doc_id are scored one by one.
-    No training row: every byte costs 8 bits. Words and strings of context travel to their counts and back as each
+    text's bytes and its end. Null texts are empty: one end token. Rows with one doc_id, equal or not, are scored one
+    by one. No training row: every byte costs 8 bits. Empty table: no rows. A text of any length is counted and
+    scored a megabyte at a time. Words and strings of context travel to their counts and back as each
     pack's distinct ones by bucket, never as (document, word) rows. Every string of the training text counts: a
     bucket has all contexts that share two bytes, and only what is under depth 1 (65,536 nodes at most) meets.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    documents, buckets = rows.where("not held_out").count(), 2 * partitions(spark)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("documents")).first()
+    documents, buckets = size.documents, max(2 * partitions(spark), (size.bytes or 0) // BUCKET)
     sent = written(rows.mapInArrow(packs(buckets), SENT_DDL))
     asked = sent.where(F.col("kind") == STRINGS)
     below = F.aggregate(F.array_sort(F.collect_list("below")), F.lit(0.0), lambda a, x: a + x)  # in one order, whatever the tasks'
