@@ -1,4 +1,9 @@
-"""Licence scan: a trained paragraph classifier over word n-grams, confirmed against templates."""
+"""Licence scan: a trained classifier over the words and word pairs of paragraphs, confirmed against templates.
+
+A paragraph is a block between blank lines, however its lines are wrapped. Overlapping windows of a paragraph's
+words are classified; windows that state a licence are joined to regions, and a region's family must be confirmed
+by a statement of that family.
+"""
 
 from __future__ import annotations
 
@@ -14,71 +19,193 @@ from pyspark.sql import types as T
 from sheaf.llm.common import texts
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-# Statements by which well-known licences are declared, by SPDX-like family.
+BLANK = re.compile(r"\n[^\S\n]*\n\s*")
+# Statements by which well-known licences are declared, by SPDX-like family. The first of each family is its usual short form.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3."),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Distributed under the Apache License 2.0."),
-    "BSD": ("Released under the BSD License.", "Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Distributed under the Apache License 2.0.",
+        "Apache License Version 2.0, January 2004",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "BSD": (
+        "Released under the BSD License.",
+        "Licensed under the BSD 3-Clause License.",
+        "Licensed under the BSD 2-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0."),
-    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
-}
+    "CC0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0.", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication."),
+    "EPL-2.0": ("Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"),
+    "GPL-2.0": (
+        "Licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "GPL-3.0": (
+        "Licensed under the GNU General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "ISC": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "LGPL": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
+    ),
+    "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"),
+    "Unlicense": (
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "Zlib": (
+        "Licensed under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "SPDX-License-Identifier: Zlib",
+    ),
+}
 # Licence-like statements that name none of the families.
-OTHER = ("Licensed under the terms of our own licence agreement.", "Copyright by the authors. All rights reserved.", "Released under a proprietary license.", "Use of this work requires written permission of the copyright holder.", "Licensed under the Example Community License, version 7.", "Distributed under the terms of the partner license.")
+OTHER = (
+    "Licensed under the terms of our own licence agreement.",
+    "Copyright by the authors. All rights reserved.",
+    "Released under a proprietary license.",
+    "Use of this work requires written permission of the copyright holder.",
+    "Licensed under the Example Community License, version 7.",
+    "Distributed under the terms of the partner license.",
+    "No part of this publication may be reproduced or distributed in any form without the prior written permission of the publisher.",
+    "This software is the confidential and proprietary information of the company and may be used only under a license agreement.",
+    "You may use and copy this software for evaluation purposes only; redistribution in any form is not permitted.",
+    "This document may be shared freely as long as the author is credited and no fee is charged.",
+    "Permission to reprint this work for teaching is granted if the notice below is kept.",
+    "This data is made available under the Open Example License; see the terms of use for details.",
+)
 NONE, UNKNOWN = "none", "unknown"
-#: Negative documents of the training sample at most (expected), variants of a statement, training steps, least word-pair likeness to a template.
+#: Negative documents of the training sample at most (expected), variants of a statement, training steps, least word-pair likeness to a statement.
 SAMPLE, VARIANTS, STEPS, LIKE = 400, 40, 150, 0.6
+#: Share of the corpus windows from which a word is vocabulary.
+COMMON = 0.01
+#: Words of a window and from one window to the next.
+WIDTH, HOP = 24, 8
 
 
-def grams(words: list[str]) -> list[str]:
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+def paragraphs(text: str | None) -> list[str]:
+    return [p for p in BLANK.split(text or "") if p.strip()]
 
 
-def likeness(words: list[str], template: set[str]) -> float:
-    """Share of the template's word pairs that stand in the paragraph."""
-    return len(template.intersection(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))) / len(template)
+def pairs_of(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:], strict=False))
 
 
 class Classifier:
-    """Multinomial logistic regression over the n-grams of the templates and the share of other words."""
+    """Multinomial logistic regression over counts of words and word pairs in a window of WIDTH words.
+
+    The vocabulary is the words and pairs of the statements and those that stand in COMMON of the corpus windows. A
+    word or pair that it lacks counts as one other. A window's logits are differences of running sums, so that all
+    windows of a text cost one pass over its words.
+    """
 
     def __init__(self, negatives: list[str], seed: int = 11):
         rng = np.random.default_rng(seed)
         self.classes = [NONE, UNKNOWN, *sorted(TEMPLATES)]
-        statements = [(self.classes.index(k), t) for k, v in sorted(TEMPLATES.items()) for t in v] + [(1, t) for t in OTHER]
-        self.vocabulary = {g: n for n, g in enumerate(sorted({g for _, t in statements for g in grams(WORD.findall(t.lower()))}))}
-        self.pairs = {g for g in self.vocabulary if " " in g}
-        self.templates = {k: [{g for g in grams(WORD.findall(t.lower())) if " " in g} for t in v] for k, v in TEMPLATES.items()}
-        stated = [{g for g in grams(WORD.findall(t.lower())) if " " in g} for _, t in statements]
-        rows = [(0, w) for t in negatives if not any(likeness(w := WORD.findall(t.lower()), p) >= LIKE for p in stated)]
-        for c, t in statements:
+        stated = [(self.classes.index(k), WORD.findall(t.lower())) for k, v in sorted(TEMPLATES.items()) for t in v] + [(1, WORD.findall(t.lower())) for t in OTHER]
+        self.templates = {k: [pairs_of(WORD.findall(t.lower())) for t in v] for k, v in TEMPLATES.items()}
+        every = [p for v in self.templates.values() for p in v] + [pairs_of(w) for c, w in stated if c == 1]
+        plain = []
+        for t in negatives:
             words = WORD.findall(t.lower())
+            plain += [w for i in range(0, max(1, len(words) - WIDTH // 2), WIDTH) if (w := words[i : i + WIDTH]) and not any(len(p & pairs_of(w)) >= LIKE * len(p) for p in every)]
+        # statements alone, and within the prose of the corpus; of every third statement, half of the variants calibrate
+        rows, held = [(0, w) for w in plain], []
+        prose = [w for p in plain for w in p]
+        for w in plain[::3]:  # fragments, and words over and over
+            rows.append((0, w[: int(rng.integers(1, 9))]))
+            a, b = (w[int(k)] for k in rng.integers(0, len(w), 2))
+            turn = int(rng.integers(0, WIDTH))
+            rows.append((0, [a] * turn + [b] * (WIDTH - turn)))
+        rows += [(0, [w] * WIDTH) for w in sorted({w for _, words in stated for w in words})]
+        for n, (c, words) in enumerate(stated):
             for i in range(VARIANTS):
-                # all words, or most of them, at times within a few words of other text
-                kept = [w for w in words if i == 0 or rng.random() > 0.06]
-                extra = ["" if i == 0 else "x" for _ in range(int(rng.integers(0, 4)) if i else 0)]
-                rows.append((c, extra + kept))
-        order = rng.permutation(len(rows))
-        x, y = np.stack([self.vector(rows[i][1]) for i in order]), np.array([rows[i][0] for i in order])
-        hold = len(rows) // 5
-        self.weights, self.heat = self._fit(x[hold:], y[hold:]), 1.0
-        logits = x[:hold] @ self.weights
-        heats = np.linspace(0.25, 4, 61)
-        self.heat = float(heats[np.argmin([-np.log(self._soft(logits / h)[np.arange(hold), y[:hold]] + 1e-12).mean() for h in heats])]) if hold else 1.0
-
-    def vector(self, words: list[str]) -> np.ndarray:
-        v = np.zeros(len(self.vocabulary) + 2, np.float32)
-        at = [self.vocabulary[g] for g in grams(words) if g in self.vocabulary]
-        v[at] = 1 / max(1.0, np.sqrt(len(words)))
-        v[-2], v[-1] = 1, sum(w not in self.vocabulary for w in words) / max(1, len(words))
+                kept = [w for w in words if i < 2 or rng.random() > 0.06]
+                if len(kept) > WIDTH:
+                    at = int(rng.integers(0, len(kept) - WIDTH + 1))
+                    kept = kept[at : at + WIDTH]
+                room = min(len(prose), WIDTH - len(kept))
+                room = 0 if i == 0 else room if i % 4 else int(rng.integers(0, room + 1))
+                before = int(rng.integers(0, room + 1))
+                cut = int(rng.integers(0, len(prose) - room + 1))
+                own = prose[cut : cut + room]
+                (held if n % 3 == 2 and i % 2 else rows).append((c, own[:before] + kept + own[before:]))
+        rows = [rows[i] for i in rng.permutation(len(rows))]
+        held += [r for r in rows if r[0] == 0][: len(plain) // 5]
+        seen: dict[str, int] = {}
+        for w in plain:
+            for g in {*w, *(f"{a} {b}" for a, b in pairs_of(w))}:
+                seen[g] = seen.get(g, 0) + 1
+        known = {g for g, n in seen.items() if n >= max(2, COMMON * len(plain))}.union(*({*w, *(f"{a} {b}" for a, b in pairs_of(w))} for _, w in stated))
+        self.words = {g: n + 1 for n, g in enumerate(sorted(g for g in known if " " not in g))}
+        base = len(self.words) + 1
+        code = np.array([self.words[a] * base + self.words[b] for a, b in (g.split(" ") for g in known if " " in g) if a in self.words and b in self.words], np.int64)
+        self.pairs = np.sort(code)
+        x, y = np.stack([self._features(w) for _, w in rows]), np.array([c for c, _ in rows])
+        weights, self.heat = self._fit(x, y), 1.0
+        self.bias, self.weights = weights[-1], weights[:-1]
+        if held:
+            z, y = np.stack([self._features(w) for _, w in held]) @ weights, np.array([c for c, _ in held])
+            heats = np.linspace(0.25, 4, 61)
+            self.heat = float(heats[np.argmin([-np.log(self._soft(z / h)[np.arange(len(y)), y] + 1e-12).mean() for h in heats])])
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the weights for each word, and for each pair: word 0 and pair 0 are any other."""
+        get, base = self.words.get, len(self.words) + 1
+        one = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        two = one[:-1] * base + one[1:]
+        at = np.minimum(np.searchsorted(self.pairs, two), max(0, len(self.pairs) - 1))
+        two = np.where((one[:-1] > 0) & (one[1:] > 0) & (self.pairs[at] == two), at + 1, 0) if len(self.pairs) else np.zeros(len(two), np.int64)
+        return one, base + two
+
+    def _features(self, words: list[str]) -> np.ndarray:
+        v = np.zeros(len(self.words) + 1 + len(self.pairs) + 1 + 1, np.float32)
+        one, two = self._ids(words)
+        np.add.at(v, one, 1 / WIDTH**0.5)
+        np.add.at(v, two, 1 / WIDTH**0.5)
+        v[-1] = 1
         return v
 
     @staticmethod
@@ -87,11 +214,11 @@ class Classifier:
         return e / e.sum(axis=1, keepdims=True)
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Adam on the class-balanced log loss with a small ridge."""
+        """Adam on the log loss with a small ridge; half of the loss is that of windows without a licence, the rest is shared by the classes."""
         k = len(self.classes)
         w, m, v = (np.zeros((x.shape[1], k), np.float32) for _ in range(3))
         goal = np.eye(k, dtype=np.float32)[y]
-        share = (1 / np.maximum(1, np.bincount(y, minlength=k)))[y][:, None]
+        share = (np.where(np.arange(k) == 0, k - 1, 1) / np.maximum(1, np.bincount(y, minlength=k)))[y][:, None]
         share = (share / share.sum()).astype(np.float32)
         for i in range(1, STEPS + 1):
             g = x.T @ ((self._soft(x @ w) - goal) * share) + 1e-5 * w
@@ -99,40 +226,60 @@ class Classifier:
             w = w - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
         return w
 
-    def paragraph(self, text: str) -> tuple[str, float, float] | None:
-        """(family or 'unknown', calibrated probability, likeness to its best template), or None if no licence."""
+    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, calibrated probabilities by class) of the windows of a paragraph; the last one ends with it."""
+        one, two = self._ids(words)
+        each = self.weights[one]
+        each[1:] += self.weights[two]
+        total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=float)])
+        start = np.unique(np.append(np.arange(0, max(1, len(words) - WIDTH + 1), HOP), max(0, len(words) - WIDTH)))
+        end = np.minimum(start + WIDTH, len(words))
+        z = total[end] - total[start]
+        z[start > 0] -= self.weights[two[start[start > 0] - 1]]  # the pair that leads into the window
+        return start, self._soft((z / WIDTH**0.5 + self.bias) / self.heat)
+
+    def paragraph(self, text: str) -> list[tuple[str, float, float]]:
+        """(family or 'unknown', calibrated probability, likeness to its best statement) of each region that states a licence."""
         words = WORD.findall(text.lower())
-        if self.pairs.isdisjoint(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)):
-            return None
-        p = self._soft((self.vector(words) @ self.weights)[None] / self.heat)[0]
-        if p[0] >= 0.5:
-            return None
-        best = self.classes[2 + int(p[2:].argmax())]
-        like = max(likeness(words, t) for t in self.templates[best])
-        if like >= LIKE and p[2:].max() >= p[1]:
-            return best, float(p[2:].max()), like
-        return UNKNOWN, float(1 - p[0] - p[2:].max() if like < LIKE else p[1]), like
+        if not words:
+            return []
+        start, p = self.windows(words)
+        says = np.flatnonzero(p[:, 0] < 0.5)
+        if not len(says):
+            return []
+        out = []
+        for part in np.split(says, np.flatnonzero(start[says[1:]] > start[says[:-1]] + WIDTH) + 1):
+            region = pairs_of(words[start[part[0]] : start[part[-1]] + WIDTH])
+            told = p[part].max(axis=0)
+            like, sure, best = max((max(len(t & region) / len(t) for t in own), float(told[2 + n]), k) for n, (k, own) in enumerate(sorted(self.templates.items())))
+            if like >= LIKE:
+                # the family whose statement stands there, as sure as the classifier is that a family's does
+                out.append((best, max(sure, float(1 - p[part, :2].sum(axis=1).min())), like))
+            else:
+                out.append((UNKNOWN, float(1 - p[part, 0].min()), like))
+        return out
 
     def document(self, text: str | None) -> tuple[int, list[tuple[str, float, float, int]]]:
-        """Paragraphs (lines that are not blank) and, of each that states a licence, its result and number."""
-        lines = [x for x in (text or "").split("\n") if x.strip()]
-        return len(lines), [(*got, n) for n, x in enumerate(lines) if (got := self.paragraph(x))]
+        """How many paragraphs, and of each region that states a licence its result and paragraph."""
+        own = paragraphs(text)
+        return len(own), [(*got, n) for n, x in enumerate(own) for got in self.paragraph(x)]
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """A classifier whose negatives are the paragraphs of about ``sample`` documents (by a hash of the text)."""
     n = docs.count()
     some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit("licences")), F.lit(1_000_000)) < int(min(1.0, sample / max(1, n)) * 1_000_000)))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''").distinct().orderBy(F.xxhash64("line"), "line").limit(5 * sample).collect()
-    return Classifier([r.line for r in lines])
+    lines = some.select(F.explode(F.split(F.substring("text", 1, 1 << 20), r"\n[ \t\r\f]*\n")).alias("part")).where("trim(part) <> ''").distinct().orderBy(F.xxhash64("part"), "part").limit(5 * sample)
+    return Classifier([r.part[: 1 << 14] for r in lines.collect()])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """Documents -> (doc_id, n_paragraphs, licence, confidence, likeness, findings): one row a document.
 
-    licence is the family of the most confident finding, 'unknown' if a licence is stated that no family's
-    template confirms, or null. Every paragraph of every text is classified; only the negatives of
-    the training set are a bounded sample. Null and empty texts have no paragraph.
+    licence is the family of the most confident finding (ties: the earliest), 'unknown' if a licence is stated
+    that no family's statement confirms, or null. Every window of every paragraph of every text is classified;
+    only the negatives of the training set are a bounded sample. Repeated rows are scanned one by one. A text of
+    any length is scanned a paragraph at a time. Null and empty texts have no paragraph. Empty table: no rows.
     """
     model = trained(docs)
     rows = texts(docs)
