@@ -1,8 +1,9 @@
-"""Benchmark decontamination: BM25 index of test items, block-max pruning, overlap verification."""
+"""Benchmark decontamination: BM25 index of test items, block-max WAND, verified overlap with question and answer."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import batch, texts
 
 WORD = re.compile(r"\w+")
-#: Words of a shingle, the least share of an item's shingles, items of an index block, bytes of items in one index.
-WIDTH, LEAST, BLOCK, INDEX_BYTES = 5, 0.8, 8, 8 << 20
+#: What stands before the answer of an item: a question mark, or a line that begins with a word for it.
+ANSWER = re.compile(r"\?|^[ \t]*(?:answer|solution|a)[ \t]*:", re.IGNORECASE | re.MULTILINE)
+#: Words of a shingle, the least share of an item's shingles, the share of the words of question and of answer that must be exceeded, items of an index block, bytes of items in one index.
+WIDTH, LEAST, MOST, BLOCK, INDEX_BYTES = 5, 0.8, 0.5, 8, 8 << 20
 K1, B = 1.2, 0.75
 
 
 def parts(text: str) -> tuple[int, int]:
-    """Words of the question and of the answer: what follows the last question mark, or else the last line."""
-    for mark in ("?", "\n"):
-        head, found, tail = text.rstrip().rpartition(mark)
-        if found and WORD.search(head) and WORD.search(tail):
+    """Words of the question and of the answer: what follows ANSWER's last match; without one, all is question."""
+    for found in reversed(list(ANSWER.finditer(text))):
+        head, tail = text[: found.end()], text[found.end() :]
+        if WORD.search(text[: found.start()]) and WORD.search(tail):
             return len(WORD.findall(head)), len(WORD.findall(tail))
     return len(WORD.findall(text)), 0
 
@@ -63,6 +66,7 @@ class Index:
             self.total.append(count)
         self.blocks = -(-len(words) // BLOCK)
         self.post, self.top = self._rows(post), self._rows(top)
+        self.peak = [max(x.values(), default=0.0) for x in post]
         self.widths = sorted({len(s) for s in self.shingles})
 
     @staticmethod
@@ -79,6 +83,50 @@ class Index:
         pick = np.repeat(start[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return np.bincount(cell + at[pick], value[pick], count * width).reshape(count, width)
 
+    def wand(self, terms: list[int]) -> Iterator[int]:
+        """Items that score 1 or more for a passage with these terms, in order.
+
+        Lists stand in order of the item that each is at. The pivot is the first at which the peaks add up to 1: no
+        item before it can. If the maxima of its block add up to less, all lists up to it go on to the next block.
+        """
+        start, item, value = self.post
+        top_start, top_block, top_value = self.top
+        most = {t: dict(zip(top_block[a:b].tolist(), top_value[a:b].tolist(), strict=True)) for t in terms for a, b in [top_start[t : t + 2]]}
+        lists = {t: item[start[t] : start[t + 1]].tolist() for t in terms}
+        place = dict.fromkeys(terms, 0)
+        heads = sorted((own[0], t) for t, own in lists.items() if own)
+        while heads:
+            reach, pivot = 0.0, -1
+            for n, (_, t) in enumerate(heads):
+                reach += self.peak[t]
+                if reach >= 1 - 1e-9:
+                    pivot = n
+                    break
+            if pivot < 0:
+                return
+            at = heads[pivot][0]
+            while pivot + 1 < len(heads) and heads[pivot + 1][0] == at:
+                pivot += 1
+            block = at // BLOCK
+            if sum(most[t].get(block, 0.0) for _, t in heads[: pivot + 1]) < 1 - 1e-9:
+                # those in the block's bound can reach nothing up to its end or the next list's item
+                to = (block + 1) * BLOCK
+                if pivot + 1 < len(heads):
+                    to = min(to, max(heads[pivot + 1][0], at + 1))
+            elif heads[0][0] == at:
+                if sum(value[start[t] + place[t]] for i, t in heads[: pivot + 1]) >= 1:
+                    yield at
+                to = at + 1
+            else:
+                to = at
+            moved = []
+            for i, t in heads[: pivot + 1]:
+                if i < to:
+                    place[t] = bisect_left(lists[t], to, place[t])
+                if place[t] < len(lists[t]):
+                    moved.append((lists[t][place[t]], t))
+            heads = sorted(moved + heads[pivot + 1 :])
+
     def search(self, text: str) -> list[tuple[int, float, float, float, int]]:
         """(item_id, overlap, question overlap, answer overlap, word position) of every leaked item."""
         get = self.term.get
@@ -96,26 +144,23 @@ class Index:
             pair = np.unique(np.concatenate([base[base < 512] * len(self.term) + ids[pos[base < 512]], (base[base > 0] - 1) * len(self.term) + ids[pos[base > 0]]]))
             passage, term = pair // len(self.term), pair % len(self.term)
             count = int(passage.max()) + 1
-            bound = self._sums(self.top, passage, term, self.blocks, count) >= 1
-            open_ = bound.any(axis=1)[passage]
-            if not open_.any():
-                continue
-            score = self._sums(self.post, passage[open_], term[open_], len(self.ids), count)
-            for p, n in np.argwhere((score >= 1) & np.repeat(bound, BLOCK, axis=1)[:, : len(self.ids)]):
-                at = lo + int(p) * self.most
-                got = self._overlap(ids[at : at + 2 * self.most].tolist(), int(n))
-                if got[0] >= LEAST and got[0] > best.get(int(n), (0.0,))[0]:
-                    best[int(n)] = (*got, at)
+            # most passages reach the threshold in no block; these need no pivot
+            for p in np.flatnonzero((self._sums(self.top, passage, term, self.blocks, count) >= 1 - 1e-9).any(axis=1)).tolist():
+                at = lo + p * self.most
+                words = ids[at : at + 2 * self.most].tolist()
+                for n in self.wand(term[passage == p].tolist()):
+                    got = self._overlap(words, n)
+                    if got[0] >= LEAST and min(got[1:]) > MOST and got > best.get(n, (0.0,))[:3]:
+                        best[n] = (*got, at)
         return [(self.ids[n], *x) for n, x in sorted(best.items())]
 
     def _overlap(self, words: list[int], n: int) -> tuple[float, float, float]:
-        found = {at for width in self.widths for i in range(len(words) - width + 1) for m, at in self.shingles.get(tuple(words[i : i + width]), ()) if m == n}
+        """Shares of the item's shingles found, and of the words of its question and its answer that these cover."""
+        found = [(at, width) for width in self.widths for i in range(len(words) - width + 1) for m, at in self.shingles.get(tuple(words[i : i + width]), ()) if m == n]
+        covered = {at + k for at, width in found for k in range(width)}
         q, a = self.split[n]
-        # a shingle belongs to the part its first word is in; a one-part item is all question
-        asked = min(q, self.total[n]) if a else self.total[n]
-        in_q = sum(at < asked for at in found)
-        rest = self.total[n] - asked
-        return len(found) / self.total[n], in_q / asked, (len(found) - in_q) / rest if rest else 1.0
+        asked = sum(k < q for k in covered)
+        return len({at for at, _ in found}) / self.total[n], asked / q, (len(covered) - asked) / a if a else 1.0
 
 
 def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -134,8 +179,10 @@ def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, question_overlap, answer_overlap, position): an item found in a document.
 
-    A pair counts if some passage has at least LEAST of the item's five-word shingles (fewer words:
-    the whole sequence). One row per document row and item, for its best passage. Null or empty texts
+    A pair counts if some passage has at least LEAST of the item's five-word shingles (fewer words: the whole
+    sequence), and the shingles found cover more than MOST of the words of the question and of the answer, where the
+    item has one: a question alone is no leak. answer_overlap is 1 without an answer part. One row per
+    document row and item, for its best passage; ties go to the earliest. Null or empty texts
     and items without words match nothing; an empty benchmark gives no rows. Every word of every
     document is queried, one document in memory at a time; the index has a bounded size and a
     larger benchmark takes one pass a block.
