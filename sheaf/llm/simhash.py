@@ -18,6 +18,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 NEAR = 4
 #: Up to this many fingerprints under one variant are compared pair by pair in arrays, more by a breadth-first search.
 SMALL = 48
+#: Rows that a task compares at once.
+LOAD = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -101,13 +103,8 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, fp) of whole keys -> verified links (a, b) that connect all nodes within NEAR bits of each other."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+def linked(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+    """Rows in order of the key, groups whole -> a forest of the verified links between nodes under one key."""
     order = np.lexsort((node, key))
     key, node, fp = key[order], node[order], fp[order].view(np.uint64)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -119,8 +116,29 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.flatnonzero((key[:-d] == key[d:]) & (node[:-d] != node[d:]))
         same = same[popcount(fp[same] ^ fp[same + d]) <= NEAR]
         found.append(np.stack([node[same], node[same + d]], axis=1))
-    pairs = forest(np.unique(np.concatenate(found), axis=0)) if found else []
-    yield batch(schema, [a for a, _ in pairs], [b for _, b in pairs])
+    return forest(np.unique(np.concatenate(found), axis=0)) if found else []
+
+
+def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, fp) in order of the key -> verified links (a, b) that connect all nodes within NEAR bits of each other.
+
+    A task holds LOAD rows and the rest of a group, not its whole partition.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held, size = [], 0
+    for b in batches:
+        held.append(tuple(c.to_numpy() for c in b.columns))
+        size += b.num_rows
+        if size >= LOAD:
+            key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if whole:
+                pairs = linked(key[:whole], node[:whole], fp[:whole])
+                yield batch(schema, [a for a, _ in pairs], [b for _, b in pairs])
+            held, size = [(key[whole:], node[whole:], fp[whole:])], 0
+    if held:
+        pairs = linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield batch(schema, [a for a, _ in pairs], [b for _, b in pairs])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -128,16 +146,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with one fingerprint are one node, named by their smallest doc_id, so copies are
     never paired. First, fingerprints with an equal segment are linked and joined to components;
-    then one-wildcard variants link components. A group under one key, or one task, yields a
-    spanning forest of its links, not all of them; as at most 679,121 fingerprints lie within four
-    bits of one, groups are bounded. Rows without doc_id keep a fingerprint and have no component.
-    Empty table: no rows.
+    then one-wildcard variants link components. A group under one key yields a spanning forest of
+    its links, not all of them. A key fixes 20 or 21 bits, so a group has about a 2,000,000th of all
+    different fingerprints, and is searched breadth-first: what is reached is not compared again.
+    Rows without doc_id keep a fingerprint and have no component. Rows with one doc_id and different
+    texts are one document with several fingerprints: all their links count. A tie between names goes
+    to the smallest doc_id. A text of any length is hashed by itself. Empty table: no rows.
     """
     fps = written(fingerprints(docs))
     nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("root")))
+    torn = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
+    own = fps.join(torn, "doc_id").join(nodes, "fp").select("doc_id", "root")
+    same = own.join(own.groupBy("doc_id").agg(F.min("root").alias("b")), "doc_id").select(F.col("root").alias("a"), "b")
     for wild in (False, True):
-        keyed = nodes.select(F.col("root").alias("node"), "fp").mapInArrow(variants(wild), "key long, node long, fp long").repartition("key")
-        roots = connected_components(keyed.mapInArrow(links, "a long, b long"))
+        keyed = nodes.select(F.col("root").alias("node"), "fp").mapInArrow(variants(wild), "key long, node long, fp long").repartition("key").sortWithinPartitions("key")
+        found = keyed.mapInArrow(links, "a long, b long")
+        roots = connected_components(found if wild else found.unionByName(same))
         nodes = written(nodes.join(roots.withColumnsRenamed({"node": "was", "root": "new"}), F.col("root") == F.col("was"), "left").select("fp", F.coalesce("new", "root").alias("root")))
     named = nodes.withColumnRenamed("root", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
