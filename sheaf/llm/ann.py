@@ -14,10 +14,12 @@ from sheaf.llm.common import batch, written
 
 #: Trees, distinct vectors that they are fitted on at most (expected number), vectors that set the search effort, and the recall aimed at.
 TREES, SAMPLE, TRIED, RECALL = 16, 20_000, 64, 0.96
+#: Results that a task holds before it gives them out.
+HELD = 1_000_000
 
 
-def packed_vectors(rows: DataFrame) -> DataFrame:
-    """(id, vector) -> (vec_id, v): components as 8-byte floats; null, empty, zero and non-finite vectors take no part."""
+def packed_vectors(rows: DataFrame, kind: str, width: int) -> DataFrame:
+    """(id, vector) -> (vec_id, v): ``width`` components as floats of a kind, zeros after the last; null, empty, zero and non-finite vectors take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -25,7 +27,9 @@ def packed_vectors(rows: DataFrame) -> DataFrame:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None or not v or any(x is None for x in v):
                     continue
-                a = np.array(v, "<f8") + 0.0
+                a = np.zeros(width, kind)
+                a[: len(v)] = v
+                a += 0.0  # one zero for both signs
                 if np.isfinite(a).all() and a.any():
                     out.append((i, a.tobytes()))
             yield batch(pa.schema([("vec_id", pa.int64()), ("v", pa.binary())]), *(zip(*out, strict=True) if out else [[]] * 2))
@@ -33,9 +37,9 @@ def packed_vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v binary")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, "<f8").reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def vectors(packed: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one width as rows of doubles."""
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(float) if packed else np.zeros((0, 0))
 
 
 class Forest:
@@ -107,43 +111,55 @@ def top_rows(held: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def merge(held: dict, q: int, ids: np.ndarray, d: np.ndarray, k: int) -> None:
     if q in held:
         ids, d = np.concatenate([held[q][0], ids]), np.concatenate([held[q][1], d])
-        ids, one = np.unique(ids, return_index=True)
-        d = d[one]
+        near = np.argsort(d, kind="stable")
+        ids, one = np.unique(ids[near], return_index=True)  # of an id's vectors the nearest
+        d = d[near][one]
         best = np.lexsort((ids, d))[:k]
         ids, d = ids[best], d[best]
     held[q] = (ids, d)
 
 
-def scan(queries: list[tuple[int, bytes]], k: int):
+def scan(queries: list[tuple[int, bytes]], k: int, kind: str):
     """Brute force of a bounded list of queries: rows (vec_id, v) -> the k nearest of each in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+            ids, x = b.column(0).to_numpy(), vectors(b.column(1).to_pylist(), kind)
             for q, v in queries if len(ids) else ():
-                merge(held, q, *nearest_in(x, ids, np.frombuffer(v, "<f8"), k), k)
+                merge(held, q, *nearest_in(x, ids, vectors([v], kind)[0], k), k)
         yield top_rows(held)
 
     return run
 
 
-def searched(k: int):
-    """Rows (cell, qid, vec_id, v), a cell's together, a query's without vec_id -> the k nearest of each query in the task."""
+def searched(k: int, kind: str):
+    """Rows (cell, qid, vec_id, v) in order of the cell, its queries (without vec_id) first -> nearest vectors of each query.
+
+    A task holds the queries of one cell, one batch of rows, and up to HELD results: each query's k nearest so far.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[int, list] = {}
+        held, now, asked = {}, None, []
         for b in batches:
-            for c, q, i, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                cells.setdefault(c, [[], []])[q is not None].append((q if q is not None else i, v))
-        held: dict = {}
-        for rows, queries in cells.values():
-            if not rows or not queries:
-                continue
-            ids = np.array([i for i, _ in rows], np.int64)
-            x = np.frombuffer(b"".join(v for _, v in rows), "<f8").reshape(len(ids), -1)
-            for q, v in queries:
-                merge(held, q, *nearest_in(x, ids, np.frombuffer(v, "<f8"), k), k)
+            cells, n = b.column(0).to_numpy(), b.num_rows
+            cut = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), n] if n else [0]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if cells[lo] != now:
+                    now, asked = cells[lo], []
+                own = b.slice(lo, hi - lo)
+                new = own.column(1).drop_null().to_pylist()
+                x = vectors(own.column(3).to_pylist(), kind)
+                asked += zip(new, x[: len(new)], strict=True)
+                ids, x = own.column(2).drop_null().to_numpy(), x[len(new) :]
+                while len(ids):  # each id once a turn
+                    _, once = np.unique(ids, return_index=True)
+                    for q, v in asked:
+                        merge(held, q, *nearest_in(x[once], ids[once], v, k), k)
+                    ids, x = np.delete(ids, once), np.delete(x, once, axis=0)
+            if len(held) * k > HELD:
+                yield top_rows(held)
+                held = {}
         yield top_rows(held)
 
     return run
@@ -160,15 +176,17 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     others are searched; equal queries are searched once. Trees are fitted on about SAMPLE distinct
     vectors and every vector is put into a leaf of every tree. The number of leaves that a query visits
     is the least at which TRIED vectors, compared with all rows, find RECALL of their true neighbours.
-    Vectors must have one length: others than the most common length take no part. Repeated vec_ids of
-    one vector count once. Fewer than k others: all of them. Empty table: no rows.
+    A vector shorter than the longest counts as one with zeros after its last component. A vec_id with one vector
+    in several rows counts once; with several vectors it is a candidate, or a query, with each of them: a candidate's
+    distance is that of its nearest, and a query's results are those of all its vectors together. Ties go to the
+    smaller vec_id. Fewer than k others: all of them. Empty table: no rows.
     """
     spark, none = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
-    every_row = written(packed_vectors(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))))
-    common = every_row.groupBy(F.length("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if common is None:
+    kind = "<f4" if rows.schema["embedding"].dataType.jsonValue()["elementType"] == "float" else "<f8"
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    if width is None or width < 1:
         return spark.createDataFrame([], none)
-    every_row = every_row.where(F.length("v") == common["size"])
+    every_row = written(packed_vectors(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), kind, width))
     # smallest ids of each vector, in two steps so that a very common vector is not one task
     some = every_row.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
     inner = Window.partitionBy("v", "salt").orderBy("vec_id")
@@ -176,22 +194,24 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     held = written(first(some, "v", k + 1, "vec_id").select("vec_id", "v", "rank"))
     one = held.where("rank = 1")
     n = one.count()
+    if not n:
+        return spark.createDataFrame([], none)
     draw = F.pmod(F.xxhash64("v", F.lit("trees")), F.lit(1_000_000)) < int(min(1.0, SAMPLE / n) * 1_000_000)
-    sample = np.array([np.frombuffer(r.v, "<f8") for r in one.where(draw).orderBy("v").limit(2 * SAMPLE).collect()] or [np.frombuffer(one.first().v, "<f8")])
+    sample = vectors([bytes(r.v) for r in one.where(draw).orderBy("v").limit(2 * SAMPLE).collect() or [one.orderBy("v").first()]], kind)
     # about as many leaves as a leaf has vectors, and at least 8 of the sample in each
     depth = max(0, min(round(np.log2(n) / 2), int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest(sample, depth)
     tried = [(r.vec_id, bytes(r.v)) for r in one.orderBy(F.xxhash64("v", F.lit("tried")), "vec_id").limit(TRIED).collect()]
-    true = first(one.select("vec_id", "v").mapInArrow(scan(tried, k + 1), "qid long, vec_id long, score double"), "qid", k + 1, "score", "vec_id")
+    true = first(one.select("vec_id", "v").mapInArrow(scan(tried, k + 1, kind), "qid long, vec_id long, score double"), "qid", k + 1, "score", "vec_id")
     true = true.where("qid <> vec_id").join(one.select("vec_id", "v"), "vec_id").select("qid", "v").collect()  # TRIED * (k + 1) rows
-    place = {q: {c: i for i, c in enumerate(forest.visits(np.frombuffer(v, "<f8"), 1 << 30))} for q, v in tried}
-    need = sorted(min(place[r.qid][c] for c in forest.leaves(np.frombuffer(r.v, "<f8")[None])[0].tolist()) + 1 for r in true)
+    place = {q: {c: i for i, c in enumerate(forest.visits(vectors([v], kind)[0], 1 << 30))} for q, v in tried}
+    need = sorted(min(place[r.qid][c] for c in forest.leaves(vectors([bytes(r.v)], kind))[0].tolist()) + 1 for r in true)
     most = need[min(len(need) - 1, int(RECALL * len(need)))] if need else 1
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cell", pa.int64()), ("qid", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
         for b in batches:
-            leaf = forest.leaves(matrix(b.column(1))) if b.num_rows else np.zeros((0, 0), np.int64)
+            leaf = forest.leaves(vectors(b.column(1).to_pylist(), kind)) if b.num_rows else np.zeros((0, 0), np.int64)
             for t in range(leaf.shape[1]):
                 yield batch(schema, leaf[:, t], pa.nulls(b.num_rows, pa.int64()), b.column(0), b.column(1))
 
@@ -199,16 +219,17 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         schema = pa.schema([("cell", pa.int64()), ("qid", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary())])
         for b in batches:
             for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cells = forest.visits(np.frombuffer(v, "<f8"), most)
+                cells = forest.visits(vectors([v], kind)[0], most)
                 yield batch(schema, cells, [q] * len(cells), pa.nulls(len(cells), pa.int64()), [v] * len(cells))
 
     ddl = "cell long, qid long, vec_id long, v binary"
     queries = every_row.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
-    each = queries.groupBy("v").agg(F.min("vec_id").alias("qid"))
+    each = queries.select("v").distinct().withColumn("qid", F.xxhash64("v"))
     rows_of = held.select("vec_id", "v").mapInArrow(indexed, ddl)
-    cells = rows_of.unionByName(each.select("qid", "v").mapInArrow(asked, ddl)).repartition("cell")
-    found = cells.mapInArrow(searched(k + 1), "qid long, vec_id long, score double").distinct()
+    cells = rows_of.unionByName(each.select("qid", "v").mapInArrow(asked, ddl)).repartition("cell").sortWithinPartitions("cell", F.col("vec_id").isNotNull())
+    found = cells.mapInArrow(searched(k + 1, kind), "qid long, vec_id long, score double")
+    found = found.groupBy("qid", "vec_id").agg(F.min("score").alias("score"))
     found = first(found, "qid", k + 1, "score", "vec_id").drop("rank")
     named = queries.join(each, "v").select(F.col("vec_id").alias("query_id"), "qid")
-    out = named.join(found, "qid").where("query_id <> vec_id")
+    out = named.join(found, "qid").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return first(out, "query_id", k, "score", "vec_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
