@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -61,6 +62,17 @@ def test_suffix_dedup_is_the_brute_force(spark, cases, monkeypatch):
         assert len(got) == len(cases) and {r[0]: tuple(r[1:]) for r in got} == want
 
 
+def test_suffix_dedup_of_one_doc_id_with_two_texts(spark):
+    """Each text loses its own bytes: what the other, or an earlier document, holds as well."""
+    rng = random.Random(1)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, a, "x"), (2, a[:150] + b, "x"), (2, c + b[50:300], "x"), (2, a[:150] + b, "x")]
+    got = [(r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.without_repeats(rows_of(spark, rows)).collect()]
+    first = (550, 150, b) in got
+    want = [(400, 0, a)] + ([(550, 150, b)] * 2 + [(650, 250, c)] if first else [(550, 400, b[:50] + b[300:])] * 2 + [(650, 0, c + b[50:300])])
+    assert sorted(got) == sorted(want)
+
+
 def test_sampled_windows_agree_on_their_offset():
     a, b = b"xyz" * 9 + b"the same hundred and more bytes stand here " * 4, b"q" * 31 + b"the same hundred and more bytes stand here " * 4
     names = lambda t: {t[s : s + 100]: (int(h), s) for h, _, lo, n in zip(*suffix_dedup.runs(t), strict=True) for s in range(lo, lo + n)}
@@ -90,6 +102,21 @@ def test_simhash_components_are_the_brute_force(spark, cases, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == up
 
 
+def test_simhash_rows_of_one_doc_id_are_one_document(spark):
+    docs = rows_of(spark, [(5, "one two three four five six", "aa"), (5, "other words stand here for once", "aa"), (1, "one two three four five six", "aa"), (9, "other words stand here for once", "aa"), (7, "neither of the two texts before", "aa")])
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1)]
+
+
+def test_simhash_groups_are_whole_across_loads(spark, cases, monkeypatch):
+    want = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(rows_of(spark, cases)).collect())
+    monkeypatch.setattr(simhash, "LOAD", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(rows_of(spark, cases)).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_simhash_large_groups_keep_their_components():
     rng = np.random.default_rng(0)
     fp = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, (300, 3)).astype(np.uint64)).sum(axis=1, dtype=np.uint64))
@@ -107,6 +134,33 @@ def test_language_id(spark, cases):
     assert {r.lang_pred for r in odd if r.doc_id < 150} <= {"aa", "bb"}
 
 
+def test_language_id_is_the_brute_force(spark):
+    """Profiles, distances and scores from strings, for every document of a table."""
+    from collections import Counter
+
+    def grams(t):
+        own = []
+        for ch in "\1" + "".join(x if x.isalpha() else "\1" for x in t.lower()) + "\1":
+            if ch != "\1" or not own or own[-1] != "\1":
+                own.append(ch)
+        own = "".join(own)
+        return [x for x in own if x != "\1"] + [own[i : i + 2] for i in range(len(own) - 1)] + [own[i : i + 3] for i in range(len(own) - 2) if own[i + 1] != "\1"]
+
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:300]]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows, by = docs.collect(), {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            by.setdefault(r.lang, Counter()).update(grams(r.text))
+    profiles = {k: {g: n for n, g in enumerate(ranked(v))} for k, v in sorted(by.items())}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(docs).collect()}
+    for r in rows:
+        own = ranked(Counter(grams(r.text)))
+        apart = {k: sum(min(abs(p[g] - n), 300) if g in p else 300 for n, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(apart, key=lambda k: (apart[k], k))
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - (1 - apart[best] / (300 * len(own)))) < 1e-12
+
+
 def test_out_of_place_distance_by_hand():
     p = langid.Profiles({"x": np.array([5, 6, 7]), "y": np.array([7, 9])}, top=3)
     assert p.predict(np.array([7, 7, 9])) == ("y", 1.0)
@@ -114,38 +168,47 @@ def test_out_of_place_distance_by_hand():
     assert p.predict(np.array([1])) == ("x", 0.0) and p.predict(np.zeros(0, np.int64)) == ("und", 0.0)
 
 
-def test_toxicity_finds_the_exact_neighbours_and_holds_out(spark):
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(12)]
-    draw = lambda: {w: rng.randint(1, 3) for w in rng.sample(words, rng.randint(1, 5))}
-    ix = toxicity.Index({w: 1 + i / 9 for i, w in enumerate(words)}, [(i, i % 2, 1.0, draw()) for i in range(700)])
-    assert len(ix.ids) == 700
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    docs = docs.unionByName(spark.createDataFrame([(5000, None, None, None, None), (5001, "", "en", "s", 0)], docs.schema))
+def test_toxicity_learns_labels_and_holds_out(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    odd = [(50_000, None, None, None, None), (50_001, "", "en", "s", 0), (50_002, "x " * 300_000, "en", "s", 600_000)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(5))
     got = toxicity.scored(docs, labels).collect()
-    assert len(got) == 202 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
-    assert not toxicity.scored(docs, labels.limit(0)).where("score <> 0.5").count()
-
-
-def test_toxicity_nearest_is_the_brute_force_cosine():
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(r.score, toxic[r.doc_id]) for r in got if r.held_out and r.doc_id in toxic]
+    above = [(a > b) + (a == b) / 2 for a, x in held if x for b, y in held if not y]
+    assert above and sum(above) / len(above) > 0.85
+    # what is held out does not tell: other labels there leave the scores as they are
+    other = labels.withColumn("toxic", F.when(common.remainder(5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {(r.doc_id, r.score) for r in toxicity.scored(docs, other).collect()} == {(r.doc_id, r.score) for r in got}
+    assert not toxicity.scored(docs.limit(20), labels.limit(0)).where("score <> 0.5").count()
+
+
+def test_toxicity_nearest_is_the_brute_force_cosine(monkeypatch):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(60)]
-    draw = lambda: {w: rng.randint(1, 4) for w in rng.sample(words, rng.randint(1, 9))}
-    examples = [(i, i % 2, 1.0, draw()) for i in range(1500)]
-    ix = toxicity.Index({w: 0.1 + i / 9 for i, w in enumerate(words)}, examples)
-    dense = np.zeros((len(ix.ids), len(words)))
-    for at, i in enumerate(ix.ids):
-        t, x = ix.vector(examples[i][3])
-        dense[at, t] = x
-    for but in (-1, 3):
-        for _ in range(30):
-            t, x = ix.vector(draw())
-            sims = dense[:, t] @ x
-            if but >= 0:
-                sims[but] = 0
-            ids, got = ix.nearest(t, x, 25, but)
-            want = np.sort(sims)[::-1][: len(ids)]
-            assert len(ids) == min(25, (sims > 0).sum()) and np.allclose(got, want) and np.allclose(sims[ids], got)
+    draw = lambda: {w: rng.randint(1, 4) for w in rng.sample(words[: rng.choice([5, 60])], rng.randint(1, 5))}
+    examples = [draw() for _ in range(1500)]
+    start = np.concatenate([[0], np.cumsum([len(e) for e in examples])])
+    term, n = (np.array([x for e in examples for x in c(e)]) for c in (lambda e: [words.index(w) for w in e], dict.values))
+    for dense in (0, 10, 512):  # short lists alone, both kinds, long lists alone
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        ix = toxicity.Index(pa.array(words), 0.1 + np.arange(60) / 9, np.array([(i, i % 2, 1.0) for i in range(1500)]), start, term, n)
+        ix = toxicity.received(toxicity.shipped(ix))
+        every = np.zeros((len(ix.ids), len(words)))
+        for at, i in enumerate(ix.ids):
+            t, x = ix.vector(examples[i])
+            every[at, t] = x
+        asked = [ix.vector(draw()) for _ in range(90)] + [ix.vector({})]
+        left = np.array([rng.choice([-1, rng.randrange(1500)]) for _ in asked])
+        for but in (np.full(len(asked), -1), left):
+            for n_, ((t, x), (ids, got)) in enumerate(zip(asked, ix.nearest(asked, 25, but), strict=True)):
+                sims = every[:, t] @ x
+                if but[n_] >= 0:
+                    sims[but[n_]] = 0
+                want = np.sort(sims)[::-1][: len(ids)]
+                assert len(ids) == min(25, (sims > 1e-12).sum()) and np.allclose(got, want) and np.allclose(sims[ids], got)
 
 
 def test_toxicity_keeps_rare_terms_and_counts_them_over_all_documents(spark):
@@ -154,7 +217,7 @@ def test_toxicity_keeps_rare_terms_and_counts_them_over_all_documents(spark):
     rows += [(5000 + i, "ba vile", "aa") for i in range(40)]
     docs = rows_of(spark, rows)
     labels = spark.createDataFrame([(i, int(i < 300)) for i in range(3000) if i >= 3 or zlib.crc32(str(i).encode()) % 5], "doc_id long, toxic int")
-    ix = toxicity.fit(docs, labels)
+    ix = toxicity.fit(docs, labels).ready()
     assert {"vile", "foul", "mi"} <= set(ix.term)
     n = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3))
     train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
@@ -163,11 +226,44 @@ def test_toxicity_keeps_rare_terms_and_counts_them_over_all_documents(spark):
     assert abs(ix.idf[ix.term["vile"]] - want) < 1e-9
 
 
+NOTICES = {
+    "MIT": "Copyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "GPL-2.0": "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version 2\n# of the License, or (at your option) any later version.",
+    "Apache-2.0": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
+    "unknown": "The Harbour Community Licence. You may copy and use this software\nfor research provided that this notice is kept and no fee is charged; all\nother rights are reserved by the copyright holder.",
+}
+
+
 def test_licences_are_found_and_unknown_ones_said(spark):
-    lines = ["ba ke lo", "Licensed under the Apache License, Version 2.0.", "ke lo\nReleased under the MIT License.", "Licensed under the terms of our own licence agreement.", None, "", "of the and for"]
-    got = {r.doc_id: r for r in licenses.scanned(rows_of(spark, [(i, t, "en") for i, t in enumerate(lines)])).collect()}
-    assert [got[i].licence for i in range(7)] == [None, "Apache-2.0", "MIT", "unknown", None, None, None]
-    assert got[2].findings[0].paragraph == 1 and got[4].n_paragraphs == 0 and got[1].likeness == 1.0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    body = docs.where("length(text) between 300 and 900 and not lower(text) like '%licen%'").orderBy("doc_id").limit(2).collect()
+    plain = {9000: body[0].text, 9001: None, 9002: "", 9003: "of the and for", 9004: body[1].text + "\n"}
+    told = {9100 + n: t for n, t in enumerate(NOTICES.values())}
+    inside = {9200 + n: body[n % 2].text + "\n" + t + "\n" + body[1 - n % 2].text for n, t in enumerate(NOTICES.values()) if n < 5}
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in {**plain, **told, **inside}.items()], docs.schema)
+    got = {r.doc_id: r for r in licenses.scanned(docs.unionByName(more)).collect()}
+    assert len(got) == docs.count() + len(plain) + len(told) + len(inside)
+    assert all(got[i].licence is None for i in plain) and got[9001].n_paragraphs == got[9002].n_paragraphs == 0
+    assert [got[i].licence for i in told] == list(NOTICES) and [got[i].licence for i in inside] == list(NOTICES)[:5]
+    assert [f.paragraph for f in got[9100].findings] == [1] and got[9100].n_paragraphs == 2
+    # every document of the table with a licence sentence, and hardly any other
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    want = {r.doc_id: k for r in docs.collect() for x, k in lines.items() if x in r.text}
+    assert len(want) > 20 and all(got[i].licence == k for i, k in want.items())
+    assert sum(r.licence is not None and i < 9000 and i not in want for i, r in got.items()) <= 0.01 * len(got)
+
+
+def test_windows_are_the_features_of_their_words():
+    """Logits by running sums are those of each window by itself."""
+    model = licenses.Classifier(["ba ke lo mi tu " * 20, "and of the to in " * 9])
+    words = licenses.WORD.findall((NOTICES["MIT"] + " ba ke lo " * 9).lower())
+    start, p = model.windows(words)
+    for s, got in zip(start.tolist(), p, strict=True):
+        z = model._features(words[s : s + licenses.WIDTH])[:-1] @ model.weights + model.bias
+        assert np.allclose(model._soft(z[None] / model.heat)[0], got, atol=1e-4)
+    assert set(range(len(words))) == {k for s in start.tolist() for k in range(s, min(len(words), s + licenses.WIDTH))}
 
 
 def test_context_tree_probabilities_sum_to_one():
@@ -202,6 +298,19 @@ def test_base_scores_are_the_brute_force(spark, cases):
         assert abs(r.base_score - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 and r.score < 0
 
 
+def test_long_texts_that_differ_in_the_middle_are_scored_apart(spark, monkeypatch):
+    """Packs of one doc_id with equal ends each get their own replies, and U+0000 in a text is not its end."""
+    monkeypatch.setattr(context_tree, "PACKED", 1 << 14)
+    same = "ba ke lo mi tu " * 400
+    texts = [same + "one two " * 300 + same, same + "three " * 400 + same, "a\0b ba", "a"]
+    got = context_tree.scored(rows_of(spark, [(7, t, "aa") for t in texts]).repartition(1)).collect()
+    words = [t.split() + [None] for t in texts]
+    flat = [w for t in words for w in t]
+    n, v = len(flat), len(set(flat))
+    want = sorted(sum(np.log10((flat.count(x) + 1) / (n + v + 1)) for x in w) for w in words)
+    assert np.allclose(sorted(r.base_score for r in got), want) and all(r.score < 0 for r in got)
+
+
 def test_context_tree_scores_are_the_definition(spark, cases):
     """Every string counts, and what depth 5 lacks is taken from the deepest depth that has the bits so far."""
     from collections import defaultdict
@@ -214,7 +323,7 @@ def test_context_tree_scores_are_the_definition(spark, cases):
     count, below = defaultdict(lambda: [0, 0]), defaultdict(set)
 
     def bits(t):
-        b = b"\0" * 5 + t.encode() + b"\0"
+        b = context_tree.EDGE * 5 + t.encode() + context_tree.EDGE
         for at in range(5, len(b)):
             for k in range(8):
                 yield b[at - 5 : at], (k, b[at] >> (8 - k)), b[at] >> (7 - k) & 1
@@ -278,6 +387,18 @@ def test_packing_places_every_id_once(spark, cases):
         assert at == len(ids)
 
 
+def test_ids_of_a_whole_table_are_the_tokenizers(spark):
+    """The ranks give the tokenizer's ids on every text, and hardly any room of a sequence is left."""
+    from tokenizers import Tokenizer
+
+    whole, fast = Tokenizer.from_file(tokenizer_files()[0]), packing.encoder(*tokenizer_files())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").union(spark.read.parquet(f"{DATA}/documents.parquet"))
+    for r in docs.select("text").collect():
+        assert fast([r.text])[0] == whole.encode(r.text, add_special_tokens=False).ids
+    got = packing.packed_documents(docs, *tokenizer_files()).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n for r in got) / (2048 * len(got)) > 0.97
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 3000)
@@ -296,7 +417,8 @@ def test_neighbours_reach_the_recall_and_the_edges(spark):
     got = {}
     for r in ann.neighbours(rows).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    table = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect() if r.vec_id < 20_000]
+    short = np.array([1.0, 2.0] + [0.0] * 62)  # zeros after its last component
+    table = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect() if r.vec_id < 20_000] + [(20_500, short)]
     ids, x = np.array([i for i, _ in table]), np.stack([v for _, v in table])
     hit = 0
     assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
@@ -313,6 +435,13 @@ def test_neighbours_reach_the_recall_and_the_edges(spark):
     assert {r.vec_id for r in ann.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()} == {1}
 
 
+def test_vectors_of_one_id_are_taken_together(spark):
+    """A candidate counts with its nearest vector, a query with each; repeated rows once."""
+    rows = [(0, [0.0, 1.0]), (0, [9.0, 1.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [9.0, 4.0]), (2, [100.0, 100.0]), (3, [50.0, 50.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert [(r.rank, r.vec_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 2, 3.0), (3, 3, round(float(np.hypot(41, 49)), 6))]
+
+
 def test_sharding_laws(spark, cases):
     rows = rows_of(spark, cases)
     got = sharding.shards_by_bytes(rows).collect()
@@ -326,6 +455,14 @@ def test_sharding_laws(spark, cases):
     assert all(len(s) == 1 for s in where.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_of_a_table_are_near_equal(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    load = {}
+    for r in sharding.shards_by_bytes(docs).collect():
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+    assert len(load) == 40 and max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 40
+
+
 def test_best_fit_decreasing_takes_the_tightest_bin():
     assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
     sizes = [int(x) for x in np.random.default_rng(3).integers(1, 1000, 4000)]
@@ -337,7 +474,9 @@ def test_decontamination_finds_planted_items_alone(spark, cases):
     item = "which of the ten rivers runs north past the old mill and the town? the quiet one by the hill runs north"
     w = item.split()
     near = " ".join(w[:9] + w[10:])  # one word lost: 5 of 18 shingles
-    docs = rows_of(spark, [*cases, (1, "filler " * 300 + item.upper() + " filler" * 50, "en"), (2, near, "en"), (4, " ".join(w[:19]) + " zz", "en")])
+    asked = item.split("?")[0] + "? "
+    more = [(1, "filler " * 300 + item.upper() + " filler" * 50, "en"), (2, near, "en"), (4, " ".join(w[:19]) + " zz", "en"), (5, asked + "nobody here can say where that one ends", "en")]
+    docs = rows_of(spark, [*cases, *more])
     items = spark.createDataFrame([(7, item, "x"), (8, None, "x"), (9, "", "x"), (10, "zig zag", "x"), (7, item, "x")], "item_id long, text string, doc_id string")
     got = [(r.doc_id, r.item_id, round(r.overlap, 2)) for r in decontaminate.leaks(docs, items).collect()]
     assert sorted(got) == [(1, 7, 1.0), (4, 7, 0.83)]
@@ -346,6 +485,33 @@ def test_decontamination_finds_planted_items_alone(spark, cases):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_a_question_without_its_answer_is_no_leak():
+    item = "which of the ten rivers runs north past the old mill and the town and then through the long valley? the Ems"
+    ix = decontaminate.Index([(1, item)])
+    assert [r[0] for r in ix.search("x y " + item + " z")] == [1] and ix.search("x y " + item)[0][1:4] == (1.0, 1.0, 1.0)
+    assert ix.search("x y " + item.split("?")[0] + "? the Lys and more of it") == []
+    assert decontaminate.parts("Sum of two and two\nAnswer: four it is") == (6, 3) and decontaminate.parts("one two\nthree") == (3, 0)
+
+
+def test_wand_finds_all_that_reach_the_threshold():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    ix = decontaminate.Index(list(enumerate(items)))
+    start, item, value = ix.post
+    some = 0
+    for _ in range(200):
+        terms = sorted({ix.term[w] for w in [*rng.sample(words, rng.randint(1, 20)), *rng.choice(items).split()] if w in ix.term})
+        score = np.zeros(len(ix.ids))
+        for t in terms:
+            score[item[start[t] : start[t + 1]]] += value[start[t] : start[t + 1]]
+        want = set(np.flatnonzero(score >= 1 + 1e-9).tolist())
+        got = list(ix.wand(terms))
+        assert got == sorted(set(got)) and want <= set(got) <= set(np.flatnonzero(score >= 1 - 1e-9).tolist())
+        some += len(got)
+    assert some >= 200
+
+
 def test_pruning_loses_no_leak(spark):
     """Every document of a table against every item, by counting shingles alone."""
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet").collect(), spark.read.parquet(f"{DATA}/benchmark.parquet").collect()

@@ -3,6 +3,9 @@
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from pyspark.sql import functions as F  # noqa: E402
+
+from sheaf.llm import common  # noqa: E402
 from tests.llm.test_operators import reference_fingerprint  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -42,5 +45,39 @@ def test_stages_keep_what_brute_force_keeps(spark):
     assert {r.doc_id for r in five.collect()} == {r.doc_id for r in four.collect()}
 
 
+def test_stages_take_clashing_names_repeats_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ("score", "lang_pred", "_text", "kept", "n_bytes", "n_removed", "n_spans", "_spans", "_doc", "component_id", "fp", "twin", "size", "Root")
+    wide = docs.select("*", *(F.lit("own").alias(c) for c in names))
+    wide = wide.unionByName(wide).unionByName(wide.limit(1).withColumn("doc_id", F.lit(8000).cast("long")).withColumn("text", F.lit("").cast("string")))
+    stages, at = corpus_pipeline.STAGES, wide
+    for name, stage in stages[:-1]:
+        at = common.written(stage(spark, at, DATA))
+        assert at.columns == wide.columns and at.count() and all(at.where(F.col(c) != "own").count() == 0 for c in names), name
+        if name == "near_dedup":
+            assert at.count() == at.select("doc_id").distinct().count()
+    assert stages[-1][1](spark, at, DATA).count() >= at.count()
+    for _, stage in stages:
+        assert stage(spark, wide.limit(0), DATA).count() == 0
+
+
+def test_language_stage_rejects_what_is_near_no_profile_and_fills_lang(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = [(9000, "数据处理是一个系统", None, "s", 9), (9001, "zxq wvk jjq xqz", None, "s", 15), (9002, docs.where("lang = 'de'").first().text, None, "s", 1)]
+    got = corpus_pipeline.identify(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), DATA)
+    assert {r.doc_id: r.lang for r in got.where("doc_id >= 9000").collect()} == {9002: "de"}
+    assert got.count() == docs.count() + 1
+
+
+def test_long_texts_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    long = " ".join(r.text for r in docs.where("lang = 'en'").collect()) * 6
+    at = docs.limit(30).unionByName(spark.createDataFrame([(9100, long, "en", "s", len(long))], docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = common.written(stage(spark, at, DATA))
+    left = at.where("doc_id = 9100").first().text
+    assert 0 < len(left) < len(long) / 4
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
