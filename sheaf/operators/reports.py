@@ -20,15 +20,21 @@ def alerts(lines: DataFrame) -> DataFrame:
     return out.withColumn("alert_id", F.substring(F.sha1(F.concat_ws("|", "ticket", "agent", "message")), 1, 12))
 
 
-def text_status(t: Column, closed: Column, done: Column) -> Column:
-    """Status of a plan row: listed ids first, then words in order of precedence, else manual."""
-    f = fold_table(t)
-    return first_of((closed, "cancelled"), (done, "done"), (any_phrase(f, ("huy", "cancel", "dong yeu cau")), "cancelled"), (any_phrase(f, ("blocked", "bi chan", "on hold")), "blocked"), (any_phrase(f, ("hoan thanh", "done", "da golive")), "done"), (any_phrase(f, ("cham", "qua han", "overdue")), "late"), (any_phrase(f, ("dang", "in progress", "doing")), "progress"), (any_phrase(f, ("moi mo", "to do", "ke hoach")), "open"), default="manual")
+def text_status(t: Column, closed: Column, done: Column, manual: Column | None = None) -> Column:
+    """Status of a plan row: listed ids first, then words in order of precedence, then what a person set, else open."""
+    default = F.lit("open") if manual is None else F.coalesce(manual, F.lit("open"))
+    by = first_of((closed, "cancelled"), (done, "done"), *labels.by_words(F.lower(t), labels.ROW_STATUS))
+    return F.coalesce(by, default)
 
 
-def bar_class(t: Column) -> Column:
-    f = fold_table(t)
-    return first_of((any_phrase(f, ("done", "hoan thanh")), "bar-done"), (any_phrase(f, ("block", "risk", "rui ro")), "bar-risk"), (any_phrase(f, ("progress", "dang")), "bar-active"), default="bar-plan")
+def manual_status(t: Column) -> Column:
+    """Status by the words of a manual note; null without any."""
+    return first_of(*labels.by_words(F.lower(t), labels.MANUAL_STATUS))
+
+
+def bar_status(name: Column) -> Column:
+    """Status by the class of a timeline bar; null without one."""
+    return first_of(*labels.by_words(F.coalesce(name, F.lit("")), labels.BAR_STATUS))
 
 
 def log_status(kind: Column, declared: Column, t: Column) -> Column:
@@ -121,7 +127,7 @@ def pages(report: DataFrame, mark: str = "Trang") -> DataFrame:
     """report(doc_id, text) -> (doc_id, page, body) at '## <mark> N' headings."""
     parts = F.filter(F.split("text", f"(?m)^(?=## {mark} [0-9]+)"), lambda x: x.startswith("## "))
     p = report.select("doc_id", F.explode(parts).alias("part"))
-    return p.select("doc_id", F.regexp_extract("part", f"^## {mark} ([0-9]+)", 1).cast("int").alias("page"), F.trim(F.regexp_replace("part", "^[^\\n]*\\n?", "")).alias("body"))
+    return p.select("doc_id", F.regexp_extract("part", f"^## {mark} ([0-9]+)", 1).cast("int").alias("page"), F.regexp_replace(F.regexp_replace("part", "^[^\\n]*\\n?", ""), "^[ \\n]+|[ \\n]+$", "").alias("body"))
 
 
 def metrics(body: Column, names: tuple[str, ...]) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import reports
+from sheaf.functions import labels
+from sheaf.operators import ranking, reports
+from sheaf.operators.graph import shared_folder
 from sheaf.plans.binding import Plans, table
-from sheaf.plans.scalars import any_sql, fold_sql, js
+from sheaf.plans.scalars import any_sql, distinct_sql, fold_sql, js, squeeze_sql, tiers_sql
 from sheaf.sources import payloads
 from sheaf.streaming import events as streams
 
@@ -19,40 +20,49 @@ c = F.col
 P.over_docs("m14_alerts", lambda d: reports.alerts(d.select(c("project").alias("ticket"), F.concat(F.lit("- [2024-05-01 08:00] [bot] ["), "lang", F.lit("]"), F.when(c("doc_id") % 2 == 0, " [DA_XU_LY]").otherwise(""), F.when(c("doc_id") % 3 == 0, " [PIC: Ann]").otherwise(""), F.lit(" see "), "rel_path").alias("line"))).select("severity", "status", "pic", "message", "alert_id"),
     "SELECT lang AS severity, CASE WHEN doc_id % 2 = 0 THEN 'DA_XU_LY' ELSE 'MO' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'Ann' END AS pic, 'see ' || rel_path AS message, substring(sha1(project || '|bot|see ' || rel_path), 1, 12) AS alert_id FROM docs")
 _f = fold_sql("state", True)
-P.over_docs("fn32_fn33_plan_status", lambda d: d.select("doc_id", reports.text_status(c("state"), c("doc_id") % 23 == 0, c("doc_id") % 19 == 0).alias("status"), reports.bar_class(c("state")).alias("bar")),
-    f"SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'cancelled' WHEN doc_id % 19 = 0 THEN 'done' WHEN {any_sql(_f, ('huy', 'cancel', 'dong yeu cau'))} THEN 'cancelled' WHEN {any_sql(_f, ('blocked', 'bi chan', 'on hold'))} THEN 'blocked' WHEN {any_sql(_f, ('hoan thanh', 'done', 'da golive'))} THEN 'done' WHEN {any_sql(_f, ('cham', 'qua han', 'overdue'))} THEN 'late' WHEN {any_sql(_f, ('dang', 'in progress', 'doing'))} THEN 'progress' WHEN {any_sql(_f, ('moi mo', 'to do', 'ke hoach'))} THEN 'open' ELSE 'manual' END AS status, CASE WHEN {any_sql(_f, ('done', 'hoan thanh'))} THEN 'bar-done' WHEN {any_sql(_f, ('block', 'risk', 'rui ro'))} THEN 'bar-risk' WHEN {any_sql(_f, ('progress', 'dang'))} THEN 'bar-active' ELSE 'bar-plan' END AS bar FROM docs")
+P.over_docs("fn32_fn33_plan_status", lambda d: d.withColumn("bar", F.concat(F.lit("x tl-"), F.element_at(F.array(*map(F.lit, ("done", "progress", "blocked", "onhold", "cancelled", "open", "other"))), (c("doc_id") % 7 + 1).cast("int")))).select("doc_id", reports.text_status(c("remark"), c("doc_id") % 23 == 0, c("doc_id") % 19 == 0, F.when(c("doc_id") % 2 == 0, reports.manual_status(c("remark")))).alias("status"), reports.manual_status(c("remark")).alias("manual"), reports.bar_status(c("bar")).alias("bar")),
+    f"""SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'cancelled' WHEN doc_id % 19 = 0 THEN 'done' ELSE {tiers_sql('l', labels.ROW_STATUS, "coalesce(CASE WHEN doc_id % 2 = 0 THEN m END, 'open')")} END AS status, m AS manual, nullif(['done', 'progress', 'blocked', 'onhold', 'cancelled', 'open', ''][cast(doc_id % 7 + 1 AS int)], '') AS bar
+    FROM (SELECT *, {tiers_sql('l', labels.MANUAL_STATUS, 'NULL')} AS m FROM (SELECT doc_id, lower(remark) AS l FROM docs))""")
 P.over_docs("fn35_log_status", lambda d: d.select("doc_id", reports.log_status(F.element_at(F.array(*map(F.lit, ("decision", "raid", "milestone"))), (c("doc_id") % 3 + 1).cast("int")), F.when(c("doc_id") % 5 == 0, "Declared"), c("state")).alias("status")),
     f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Declared' WHEN doc_id % 3 = 0 THEN 'Done' WHEN doc_id % 3 = 1 THEN 'Open' WHEN {any_sql(_f, ('done', 'hoan thanh'))} THEN 'Done' ELSE 'In progress' END AS status FROM docs")
-P.over_docs("fn40_fn41_threads", lambda d: d.withColumn("b", F.concat(F.when(c("doc_id") % 2 == 0, "From: Ann Ray <a@x.io>\nSubject: Plan ").otherwise("hello there all "), c("doc_id"), F.lit("\nbody"))).select("doc_id", reports.mail_subject(c("b")).alias("subject"), reports.mail_sender(c("b")).alias("sender"), reports.thread_channel(c("rel_path"), c("b"), F.lit("")).alias("channel")),
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Plan ' || doc_id ELSE 'hello there all ' || doc_id END AS subject, CASE WHEN doc_id % 2 = 0 THEN 'Ann Ray' END AS sender, CASE WHEN doc_id % 2 = 0 THEN 'Email' ELSE 'Document' END AS channel FROM docs")
-P.over_docs("fn42_event_blocks", lambda d: reports.event_blocks(d.select("doc_id", F.concat(F.lit("From: A\nSent: x\n"), F.substring("text", 1, 80), F.lit("\nFrom: B\nDate: y\nz")).alias("text"))).groupBy("doc_id").agg(F.count("*").alias("blocks")), "SELECT doc_id, 2 AS blocks FROM docs")
-P.over_docs("fn51_requirement_facts", lambda d: d.select("doc_id", reports.requirement_facts(F.concat(F.lit("## Purpose\nGoal "), c("doc_id"), F.lit("\n## Next\n- REQ-1 do\nx REQ-2 go\n- Given a user"))).alias("f")).select("doc_id", "f.purpose", js(c("f.requirements")).alias("requirements"), js(c("f.scenarios")).alias("scenarios")), "SELECT doc_id, 'Goal ' || doc_id AS purpose, 'REQ-1 do|REQ-2 go' AS requirements, 'Given a user' AS scenarios FROM docs")
-P.over_docs("fn52_checklist", lambda d: d.select("doc_id", js(reports.checklist(F.element_at(F.array(F.lit('["a","b","a"]'), F.lit("- a\n2) b\n- a"), F.lit("a | b | a")), (c("doc_id") % 3 + 1).cast("int")))).alias("items")), "SELECT doc_id, 'a|b' AS items FROM docs")
-P.over_docs("fn53_fn54_llm_entities", lambda d: reports.valid_entities(d.select(c("doc_id").alias("chunk_id"), reports.llm_rows(F.when(c("doc_id") % 4 == 0, "not a list").otherwise(F.concat(F.lit('```json\n[{"type":"Person","name":" P'), c("doc_id"), F.lit(' ","aliases":["x"]},{"type":"Odd","name":"y"},{"type":"System","name":""}]\n```'))), "struct<type:string,name:string,aliases:array<string>>").alias("entities")), ("Person", "System")).select("chunk_id", "type", "name", js(c("aliases")).alias("aliases")), "SELECT doc_id AS chunk_id, 'Person' AS type, 'P' || doc_id AS name, 'x' AS aliases FROM docs WHERE doc_id % 4 > 0")
-P.over_docs("ag21_coverage_percent", lambda d: d.select("doc_id", reports.coverage_percent(F.concat(F.lit('{"a":{"covered":true},"b":{"covered":'), (c("doc_id") % 2 == 0).cast("string"), F.lit("}}"))).alias("pct")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 28.6 ELSE 14.3 END::double AS pct FROM docs")
-P.over_docs("ag26_lane_summary", lambda d: reports.lane_summary(d.select(c("project").alias("lane"), reports.text_status(c("state"), F.lit(False), F.lit(False)).alias("status"), F.when(c("doc_id") % 2 == 0, "high").otherwise("low").alias("priority"))),
-    f"SELECT project AS lane, count(*) AS tasks, count(*) FILTER (NOT {any_sql(_f, ('cancel', 'done', 'hoan thanh'))}) AS open, count(*) FILTER ({any_sql(_f, ('blocked',))}) AS risks, max(CASE WHEN {any_sql(_f, ('blocked',))} THEN CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END END) AS risk_level FROM docs GROUP BY 1")
+P.over_docs("fn40_fn41_threads", lambda d: d.withColumn("b", F.concat(F.when(c("doc_id") % 2 == 0, "From: Ann Ray <a@x.io>\nSubject: Plan ").when(c("doc_id") % 3 == 0, "x\nRE: again ").otherwise(""), F.when(c("doc_id") % 6 != 1, F.concat(c("doc_id"), F.lit("\n"))).otherwise(""), c("text"))).select("doc_id", reports.mail_subject(c("b")).alias("subject"), reports.mail_sender(c("b")).alias("sender"), reports.thread_channel(c("rel_path"), c("b"), F.lit("")).alias("channel")),
+    f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Plan ' || doc_id WHEN doc_id % 3 = 0 THEN 'RE: again ' || doc_id ELSE (SELECT trim(list_filter(string_split(CASE WHEN doc_id % 6 <> 1 THEN doc_id || chr(10) ELSE '' END || text, chr(10)), lambda x: len(list_filter(regexp_split_to_array(trim(x), '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) >= 3 AND NOT regexp_matches(x, '^[^ ]+:'))[1])) END AS subject, CASE WHEN doc_id % 2 = 0 THEN 'Ann Ray' END AS sender, CASE WHEN doc_id % 2 = 0 THEN 'Email' ELSE 'Document' END AS channel FROM docs""")
+P.over_docs("fn42_event_blocks", lambda d: reports.event_blocks(d.select("doc_id", F.concat(F.lit("From: A\nSent: x\n"), c("text"), F.lit("\nFrom: B\nDate: y\n"), F.reverse("text")).alias("text"))).select("doc_id", "block_no", F.md5("body").alias("body")),
+    "SELECT doc_id, 1 AS block_no, md5('From: A' || chr(10) || 'Sent: x' || chr(10) || text) AS body FROM docs UNION ALL SELECT doc_id, 2, md5('From: B' || chr(10) || 'Date: y' || chr(10) || reverse(text)) FROM docs")
+P.over_docs("fn51_requirement_facts", lambda d: d.select("doc_id", reports.requirement_facts(F.concat(F.lit("## Purpose\n"), c("text"), F.lit("\n## Next\n"), c("text"), F.lit("\n- REQ-1 do\nx REQ-2 "), c("lang"), F.lit("\n- Given a user\n"), c("text"))).alias("f")).select("doc_id", "f.purpose", js(c("f.requirements")).alias("requirements"), js(c("f.scenarios")).alias("scenarios")),
+    "SELECT doc_id, substring(trim(split_part(text || chr(10) || '##', chr(10) || '#', 1)), 1, 200) AS purpose, 'REQ-1 do|REQ-2 ' || lang AS requirements, 'Given a user' AS scenarios FROM docs")
+P.over_docs("fn52_checklist", lambda d: d.select("doc_id", F.md5(js(reports.checklist(F.element_at(F.array(F.to_json(F.array(F.lit("a"), "text", F.lit("a"))), F.concat(F.lit("- a\n2) b\n- a\n"), "text"), F.concat(F.lit("a | b | a | "), F.translate("text", "\n", " "))), (c("doc_id") % 3 + 1).cast("int"))))).alias("items")),
+    f"""SELECT doc_id, md5(array_to_string(list_filter({distinct_sql('y')}, lambda x: x <> ''), '|')) AS items FROM (SELECT doc_id, list_transform(CASE doc_id % 3 WHEN 0 THEN ['a', text, 'a'] WHEN 1 THEN string_split('- a' || chr(10) || '2) b' || chr(10) || '- a' || chr(10) || text, chr(10)) ELSE string_split('a | b | a | ' || translate(text, chr(10), ' '), '|') END, lambda x: trim(regexp_replace(x, '^[ \t]*([-*•]|[0-9]+[.)])[ \t]*', ''))) AS y FROM docs)""")
+P.over_docs("fn53_fn54_llm_entities", lambda d: reports.valid_entities(d.select(c("doc_id").alias("chunk_id"), reports.llm_rows(F.when(c("doc_id") % 4 == 0, c("text")).otherwise(F.concat(F.lit('```json\n[{"type":"Person","name":" P'), c("doc_id"), F.lit(' ","aliases":'), F.to_json(F.array("text")), F.lit('},{"type":"Odd","name":"y"},{"type":"System","name":""}]\n```'))), "struct<type:string,name:string,aliases:array<string>>").alias("entities")), ("Person", "System")).select("chunk_id", "type", "name", F.md5(js(c("aliases"))).alias("aliases")), "SELECT doc_id AS chunk_id, 'Person' AS type, 'P' || doc_id AS name, md5(text) AS aliases FROM docs WHERE doc_id % 4 > 0")
+P.over_docs("ag21_coverage_percent", lambda d: d.select("doc_id", reports.coverage_percent(F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.struct(w, F.struct((F.length(w) % 2 == 0).alias("covered"))))))).alias("pct")), "SELECT doc_id, round(len(list_filter(list_distinct(string_split(text, ' ')), lambda w: length(w) % 2 = 0)) * 100 / 7.0::double, 1) AS pct FROM docs")
+P.over_docs("ag26_lane_summary", lambda d: reports.lane_summary(d.select(c("project").alias("lane"), reports.text_status(c("remark"), F.lit(False), F.lit(False)).alias("status"), F.when(c("doc_id") % 2 == 0, "high").otherwise("low").alias("priority"))),
+    f"SELECT project AS lane, count(*) AS tasks, count(*) FILTER (s NOT IN ('cancelled', 'done')) AS open, count(*) FILTER (s = 'blocked') AS risks, max(CASE WHEN s = 'blocked' THEN CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END END) AS risk_level FROM (SELECT *, {tiers_sql('lower(remark)', labels.ROW_STATUS, chr(39) + 'open' + chr(39))} AS s FROM docs) GROUP BY 1")
 P.over_docs("ag27_lane_issues", lambda d: reports.lane_issues(d.groupBy(c("project").alias("lane")).agg(F.count("*").alias("total"), F.count_if(c("doc_id") % 3 == 0).alias("done"), F.count_if(c("doc_id") % 3 == 1).alias("open"), F.count_if(c("doc_id") % 2 == 0).alias("late"))),
     "WITH m AS (SELECT project AS lane, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS done, count(*) FILTER (doc_id % 3 = 1) AS open, count(*) FILTER (doc_id % 2 = 0) AS late FROM docs GROUP BY 1) SELECT lane, 'error' AS level, 'sum' AS code, 'done and open do not add up' AS message FROM m WHERE done + open <> total UNION ALL SELECT lane, 'warning', 'late', 'more late than open' FROM m WHERE late > open")
-P.over_docs("ag28_pages", lambda d: reports.pages(d.select("doc_id", F.concat(F.lit("x\n## Trang 1\ntotal: "), c("doc_id"), F.lit("\n## Trang 2\ndone: 4")).alias("text"))).select("doc_id", "page", F.to_json(reports.metrics(c("body"), ("total", "done"))).alias("metrics")), "SELECT doc_id, 1 AS page, '{\"total\":' || doc_id || '}' AS metrics FROM docs UNION ALL SELECT doc_id, 2, '{\"done\":4}' FROM docs")
-P.over_docs("ag29_status_chunks", lambda d: reports.status_chunks(d.select("doc_id", F.concat(F.lit("intro YC-1 open; YC-2/YC-3 done "), c("lang"), F.lit(" YC-1 late")).alias("text"))), "SELECT doc_id, unnest(['YC-1', 'YC-2', 'YC-3']) AS key, unnest(['open;', 'done ' || lang, 'done ' || lang]) AS body FROM docs")
+P.over_docs("ag28_pages", lambda d: reports.pages(d.select("doc_id", F.concat(c("text"), F.lit("\n## Trang 1\ntotal: "), c("doc_id"), F.lit("\n"), c("text"), F.lit("\n## Trang 2\n"), c("text"), F.lit("\ndone: 4")).alias("text"))).select("doc_id", "page", F.md5("body").alias("body"), F.to_json(reports.metrics(c("body"), ("total", "done"))).alias("metrics")), "SELECT doc_id, 1 AS page, md5(trim('total: ' || doc_id || chr(10) || text || chr(10), ' ' || chr(10))) AS body, '{\"total\":' || doc_id || '}' AS metrics FROM docs UNION ALL SELECT doc_id, 2, md5(ltrim(text || chr(10) || 'done: 4', ' ' || chr(10))), '{\"done\":4}' FROM docs")
+P.over_docs("ag29_status_chunks", lambda d: reports.status_chunks(d.select("doc_id", F.concat(F.lit("intro YC-1 open; YC-2/YC-3 "), c("text"), F.lit(" YC-1 late "), c("text")).alias("text"))).select("doc_id", "key", F.md5("body").alias("body")), "SELECT doc_id, unnest(['YC-1', 'YC-2', 'YC-3']) AS key, md5(unnest(['open;', trim(text), trim(text)])) AS body FROM docs")
 P.over_docs("jn20_merged_groups", lambda d: reports.merged_groups(d.where("doc_id % 2 = 0").select(c("doc_id").alias("key"), F.array(F.when(c("doc_id") % 4 == 0, "real").otherwise(" ")).alias("items")), d.where("doc_id % 3 = 0").select(c("doc_id").alias("key"), F.array(F.lit("extra")).alias("items"))).select("key", js(c("items")).alias("items"), "via"),
     "SELECT doc_id AS key, CASE WHEN doc_id % 4 = 0 THEN 'real' WHEN doc_id % 3 = 0 THEN 'extra' ELSE '' END AS items, CASE WHEN doc_id % 4 = 0 THEN 'primary' ELSE 'supplement' END AS via FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
-P.over_docs("jn21_best_source", lambda d: reports.best_source(d.select(c("rel_path").alias("path"), F.when(c("doc_id") % 40 == 3, F.concat(F.lit("YC-"), c("doc_id") % 20)).otherwise("t").alias("title"), F.concat(F.lit("see YC-"), c("doc_id") % 20).alias("text"))),
+P.over_docs("jn21_best_source", lambda d: reports.best_source(d.select(c("rel_path").alias("path"), F.when(c("doc_id") % 40 == 3, F.concat(F.lit("YC-"), c("doc_id") % 20)).otherwise("t").alias("title"), F.concat(c("text"), F.lit(" see YC-"), c("doc_id") % 20, F.lit(" "), c("text")).alias("text"))),
     "SELECT 'YC-' || (doc_id % 20) AS key, arg_min(rel_path, struct_pack(a := CASE WHEN doc_id % 40 = 3 THEN 0 ELSE 1 END, b := rel_path)) AS path FROM docs GROUP BY 1")
-P.over_docs("jn22_cited_documents", lambda d: reports.cited_documents(d.select("doc_id", F.concat(F.lit("see nope.md and doc-"), c("doc_id") % 50, F.lit(".md")).alias("text")), d.select(c("rel_path").alias("path"))), "SELECT a.doc_id, b.rel_path AS path FROM docs a JOIN docs b ON b.doc_id = a.doc_id % 50")
-P.over_docs("jn35_id_snippets", lambda d: reports.id_snippets(d.select("doc_id", F.concat(F.lit("a YC-7\nb\nc YC-7 x\nd YC-7\nYC-"), c("doc_id") % 3).alias("text"))).select("doc_id", "key", js(c("snippets")).alias("snippets")), "SELECT doc_id, 'YC-7' AS key, 'a YC-7|c YC-7 x' AS snippets FROM docs UNION ALL SELECT doc_id, 'YC-' || (doc_id % 3), 'YC-' || (doc_id % 3) FROM docs")
-P.over_docs("wn18_timeline_groups", lambda d: reports.timeline_groups(d.where("doc_id % 10 = 0").select(c("lang").alias("group"), c("doc_id").alias("root_id"), c("doc_date").alias("day"), "title"), d.where("doc_id % 10 = 1").select(c("lang").alias("group"), c("doc_id").alias("id"), c("doc_date").alias("day"), c("rel_path").alias("title"))).select("root_id", js(c("items")).alias("items")),
-    """WITH g AS (SELECT l.doc_id, l.doc_date, l.rel_path, r.doc_id AS root_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY t, CASE WHEN t = 2 THEN l.doc_date - r.doc_date ELSE abs(r.doc_date - l.doc_date) END, r.doc_id) AS n FROM (SELECT *, 0 AS z FROM docs WHERE doc_id % 10 = 1) l JOIN (SELECT * FROM docs WHERE doc_id % 10 = 0) r ON l.lang = r.lang, LATERAL (SELECT CASE WHEN r.doc_date = l.doc_date THEN 0 WHEN abs(r.doc_date - l.doc_date) = 1 THEN 1 WHEN r.doc_date < l.doc_date THEN 2 ELSE 3 END AS t))
+P.over_docs("jn22_cited_documents", lambda d: reports.cited_documents(d.select("doc_id", F.concat(c("text"), F.lit(" see nope.md and doc-"), c("doc_id") % 50, F.lit(".md "), c("text")).alias("text")), d.select(c("rel_path").alias("path"))), "SELECT a.doc_id, b.rel_path AS path FROM docs a JOIN docs b ON b.doc_id = a.doc_id % 50")
+P.over_docs("jn35_id_snippets", lambda d: reports.id_snippets(d.select("doc_id", F.concat(c("text"), F.lit("\na YC-7\n"), c("text"), F.lit("\nc YC-7 x\nd YC-7\nYC-"), c("doc_id") % 3).alias("text"))).select("doc_id", "key", js(c("snippets")).alias("snippets")), "SELECT doc_id, 'YC-7' AS key, 'a YC-7|c YC-7 x' AS snippets FROM docs UNION ALL SELECT doc_id, 'YC-' || (doc_id % 3), 'YC-' || (doc_id % 3) FROM docs")
+P.over_docs("wn18_timeline_groups", lambda d: reports.timeline_groups(d.where("doc_id % 4 = 0").select(c("lang").alias("group"), c("doc_id").alias("root_id"), c("doc_date").alias("day"), "title"), d.where("doc_id % 4 > 0").select(c("lang").alias("group"), c("doc_id").alias("id"), c("doc_date").alias("day"), c("rel_path").alias("title"))).select("root_id", js(c("items")).alias("items")),
+    """WITH g AS (SELECT l.doc_id, l.doc_date, l.rel_path, r.doc_id AS root_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY t, CASE WHEN t = 2 THEN l.doc_date - r.doc_date ELSE abs(r.doc_date - l.doc_date) END, r.doc_id) AS n FROM (SELECT *, 0 AS z FROM docs WHERE doc_id % 4 > 0) l JOIN (SELECT * FROM docs WHERE doc_id % 4 = 0) r ON l.lang = r.lang, LATERAL (SELECT CASE WHEN r.doc_date = l.doc_date THEN 0 WHEN abs(r.doc_date - l.doc_date) = 1 THEN 1 WHEN r.doc_date < l.doc_date THEN 2 ELSE 3 END AS t))
     SELECT root_id, string_agg(rel_path, '|' ORDER BY doc_date, rel_path, doc_id) AS items FROM g WHERE n = 1 GROUP BY 1""")
 P.over_docs("wn20_newest_source", lambda d: reports.newest_source(d.select(c("project").alias("kind"), F.concat(F.lit("r-"), F.when(c("doc_id") % 3 > 0, c("doc_date").cast("string")).otherwise("x"), F.lit("-"), "doc_id").alias("path"), F.lit("2024-01-05").cast("timestamp").alias("modified"))), "SELECT project AS kind, arg_max(p, struct_pack(a := CASE WHEN doc_id % 3 > 0 THEN doc_date ELSE date '2024-01-05' END, b := p)) AS path FROM (SELECT *, 'r-' || CASE WHEN doc_id % 3 > 0 THEN cast(doc_date AS varchar) ELSE 'x' END || '-' || doc_id AS p FROM docs) GROUP BY 1")
 P.over_docs("rt17_project_timeline", lambda d: reports.timeline(*((k, d.where(c("doc_id") % 6 == i).select(F.when(c("doc_id") % 5 > 0, F.date_format("doc_date", "dd/MM/yyyy")).otherwise("n/a").alias("date_text"), c("rel_path").alias("title"), c("lang").alias("body"))) for i, k in enumerate(("alerts", "decision", "raid", "milestone", "adr", "retro")))).select("lane", F.date_format("event_ts", "yyyy-MM-dd").alias("day"), "title", "text"), "SELECT ['alerts', 'decision', 'raid', 'milestone', 'adr', 'retro'][cast(doc_id % 6 + 1 AS int)] AS lane, CASE WHEN doc_id % 5 > 0 THEN cast(doc_date AS varchar) END AS day, rel_path AS title, lang AS text FROM docs")
 P.over_docs("rt18_plan_rows", lambda d: reports.plan_rows(d.select(F.concat(F.lit("YC-"), "doc_id").alias("key"), "title", c("state").alias("note"), F.when(c("doc_id") % 2 == 0, F.concat(F.lit("Q"), c("doc_id") % 4 + 1, F.lit("/2024"))).otherwise(F.when(c("doc_id") % 3 == 0, F.date_format("doc_date", "dd/MM/yyyy")).otherwise("soon")).alias("deadline")), "2024-01-01", "2024-12-31").select("key", "left_pct", "width_pct"),
     """SELECT cast(doc_id AS varchar) AS key, round(l, 1) AS left_pct, CASE WHEN l IS NOT NULL THEN round(greatest(r - l, 1.2), 1) END AS width_pct FROM (SELECT doc_id, CASE WHEN lo IS NOT NULL THEN least(greatest((lo - date '2024-01-01') / 365.0::double, 0), 1) * 100 END AS l, least(greatest((hi - date '2024-01-01') / 365.0::double, 0), 1) * 100 AS r FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN make_date(2024, cast(doc_id % 4 * 3 + 1 AS int), 1) WHEN doc_id % 3 = 0 THEN doc_date END AS lo, CASE WHEN doc_id % 2 = 0 THEN cast(make_date(2024, cast(doc_id % 4 * 3 + 1 AS int), 1) + interval 3 month - interval 1 day AS date) WHEN doc_id % 3 = 0 THEN doc_date END AS hi FROM docs))""")
 P.over_docs("rt6_artifact_scores", lambda d: reports.artifact_scores(d.select(c("rel_path").alias("name"), c("lang").alias("key"), F.when(c("doc_id") % 2 == 0, "used src1").otherwise("").alias("history"), F.concat(F.lit("# erand\n"), c("text")).alias("text")), ("src1", "erand")), "SELECT rel_path AS name, contains(rel_path, 'src1')::int * 24 + (doc_id % 2 = 0)::int * 8 + contains(lower(text), 'src1')::int * 3 + 3 + 5 AS score FROM docs")
-P.over_docs("rt12_trim_context", lambda d: d.select("doc_id", F.md5(reports.trim_context(F.concat(F.substring("text", 1, 300), F.lit("\n---\n"), F.substring("text", 301, 400)), 500)).alias("h")), "SELECT doc_id, md5(CASE WHEN length(x) <= 500 THEN x WHEN length(substring(text, 1, 300)) > 250 THEN substring(text, 1, 300) ELSE substring(x, 1, 500) END) AS h FROM (SELECT doc_id, text, substring(text, 1, 300) || chr(10) || '---' || chr(10) || substring(text, 301, 400) AS x FROM docs)")
-P.over_docs("src12_pipe_tables", lambda d: payloads.pipe_tables(d.select("doc_id", F.concat(F.lit("t\n| a | b |\n|---|---|\n| "), c("lang"), F.lit(" | "), c("doc_id"), F.lit(" |\nend\n| no | no |")).alias("text"))).select("doc_id", js(c("cells")).alias("cells")), "SELECT doc_id, lang || '|' || doc_id AS cells FROM docs")
-P.over_docs("src13_tab_sheets", lambda d: payloads.tab_sheets(d.select("doc_id", F.concat(F.lit("=== Sheet: s1 ===\nFeature\tDescription\tPriority\nA"), c("doc_id"), F.lit("\tfirst\thigh\nmore text\nTotal\t9\t\n=== Sheet: s2 ===\nFeature\tDescription\tPriority\na"), c("doc_id"), F.lit("\tfirst\nmore text\nB\tx\tlow")).alias("text"))), "SELECT doc_id, 's1' AS sheet, 'A' || doc_id AS title, 'first' || chr(10) || 'more text' AS description, 'high' AS priority FROM docs UNION ALL SELECT doc_id, 's2', 'B', 'x', 'low' FROM docs")
+P.over_docs("rt12_trim_context", lambda d: d.select("doc_id", F.md5(reports.trim_context(F.concat(c("text"), F.lit("\n---\n"), c("text")), 1500)).alias("h")), "SELECT doc_id, md5(CASE WHEN length(x) <= 1500 THEN x WHEN length(text) + 5 <= 1500 AND length(text) > 750 THEN text ELSE substring(x, 1, 1500) END) AS h FROM (SELECT doc_id, text, text || chr(10) || '---' || chr(10) || text AS x FROM docs)")
+P.over_docs("src12_pipe_tables", lambda d: payloads.pipe_tables(d.select("doc_id", F.concat(c("text"), F.lit("\n| a | b |\n|---|---|\n| "), c("lang"), F.lit(" | "), c("doc_id"), F.lit(" |\n| "), F.translate("text", "\n|", "  "), F.lit(" | z |\n"), c("text"), F.lit("\n| no | no |")).alias("text"))).select("doc_id", F.md5(js(c("cells"))).alias("cells")), "SELECT doc_id, md5(lang || '|' || doc_id) AS cells FROM docs UNION ALL SELECT doc_id, md5(trim(translate(text, chr(10) || '|', '  ')) || '|z') FROM docs")
+_sheet = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+_more = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
+_told = lambda title, rest: f"lower({squeeze_sql(f"concat_ws(' ', {title}, 'first' || chr(10) || {_more}, {rest})")})"
+P.over_docs("src13_tab_sheets", lambda d: payloads.tab_sheets(d.select("doc_id", _sheet("note\twithout a sheet\n=== Sheet: 01_Kho ===\nBáo cáo\tx\nSTT\tHạng mục\tMô tả\tƯu tiên\tLoại\tQuý\tSố yêu cầu\tGhi chú\n1\t- A", c("doc_id"), "\tfirst\tP2\tType\tQ1\t3\tsee\tthere\n", c("text"), "\n2\tTổng\t9\n3\tB\t\tlow\n=== Sheet: s2 ===\nFeature\tDescription\tSprint\nC", c("doc_id"), "\tfirst\tq3\n", c("text"), "\nC", c("doc_id"), "\tfirst\tq3\n", c("text")).alias("text"))).withColumn("description", F.md5("description")),
+    f"""SELECT doc_id, 'Kho' AS sheet, 'Kho - A' || doc_id AS title, md5('Kỳ: Q1. 3 yêu cầu chi tiết. ' || regexp_replace('first' || chr(10) || {_more}, '[ .]+$', '') || '. Ghi chú: see there') AS description, 'medium' AS priority, {tiers_sql(_told("'A' || doc_id", "'Type'"), labels.CATEGORIES, "'feature'")} AS category FROM docs
+    UNION ALL SELECT doc_id, 's2', 's2 - C' || doc_id, md5('Kỳ: q3. ' || regexp_replace('first' || chr(10) || {_more}, '[ .]+$', '')), 'medium', {tiers_sql(_told("'C' || doc_id", "NULL"), labels.CATEGORIES, "'feature'")} FROM docs""")
 
 
 @P.query("src9_page_blocks")
@@ -60,28 +70,44 @@ def src9(spark, d):
     return payloads.page_blocks(table(spark, d, "pages"))
 
 
-@P.query("src11_page_cells")
+@P.query("src11_page_cells", """WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+    SELECT o_custkey AS page_id, 0 AS table_no, cast(n AS int) AS row_no, cast(k AS int) AS col_no, CASE k WHEN 0 THEN 'of ' || o_custkey WHEN 1 THEN cast(o_orderkey AS varchar) ELSE o_orderpriority END AS text FROM r, unnest([0, 1, 2]) t(k)
+    UNION ALL SELECT DISTINCT o_custkey, 0, 0, cast(k AS int), CASE k WHEN 0 THEN 'customer' ELSE 'order' END FROM orders, unnest([0, 1, 2]) t(k)""")
 def src11(spark, d):
-    return payloads.page_cells(table(spark, d, "pages"))
+    """A page a customer with a table of the orders: the customer's cell spans all rows, one heading spans two columns."""
+    o = table(spark, d, "orders")
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda r: F.concat(F.lit("<td>"), r["o_orderkey"], F.lit("</td><td>"), r["o_orderpriority"], F.lit("</td>")))
+    html = F.concat(F.lit("<p>x</p><table><tr><th>customer</th><th colspan=2>order</th></tr><tr><td rowspan="), F.count("*"), F.lit(">of "), c("o_custkey"), F.lit("</td>"), F.array_join(rows, "</tr><tr>"), F.lit("</tr></table>"))
+    pages = o.groupBy("o_custkey").agg(html.alias("html")).select(c("o_custkey").alias("page_id"), "html")
+    return payloads.page_cells(pages)
 
 
 def events(spark, d):
     return table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
 
 
-def drained(df, mode: str = "append"):
-    """A stream run to its end into the shared folder, read back."""
+def event_stream(spark, d):
+    return spark.readStream.schema(streams.EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", c("ts").cast("timestamp"))
+
+
+def drained(df, mode: str = "append", key: tuple[str, ...] = ()):
+    """A stream run to its end into the shared folder, a folder a batch (a batch that is tried again replaces its own), read back.
+
+    append: all rows; complete: those of the last batch; update: of each key the row of its last batch.
+    """
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sheaf-")
-    out = f"{where}/stream-{uuid.uuid4().hex}"
-    df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    put = lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows/_n={n}")
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(df.schema.add("_n", "long")).parquet(f"{out}/rows")
+    if mode == "complete":
+        return rows.where(c("_n") == rows.agg(F.max("_n")).first()[0]).drop("_n")
+    return rows.drop("_n") if mode == "append" else ranking.latest(rows, list(key), -c("_n")).drop("_n")
 
 
 @P.query("sm3_sm4_distinct_events", "SELECT event_id, user_id FROM events")
 def sm3(spark, d):
-    stream = spark.readStream.schema(streams.EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", c("ts").cast("timestamp"))
-    return drained(streams.distinct_messages(stream, "4000 days")).select("event_id", "user_id")
+    return drained(streams.distinct_messages(event_stream(spark, d))).select("event_id", "user_id")
 
 
 @P.query("sm5_cursors", "SELECT user_id, cast(date_trunc('second', max(ts)) AS varchar) AS cursor, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS last_id FROM events GROUP BY 1")
@@ -114,4 +140,25 @@ def sm_sliding(spark, d):
     return streams.sliding_usage(events(spark, d)).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+# the same by streams that run to their end
+@P.query("sm5_cursors_stream", P.ORACLE["sm5_cursors"])
+def sm5_stream(spark, d):
+    return drained(streams.cursors(event_stream(spark, d)), "update", ("user_id",)).select("user_id", F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("cursor"), "last_id")
+
+
+@P.query("sm7_daily_usage_stream", P.ORACLE["sm7_daily_usage"])
+def sm7_stream(spark, d):
+    return drained(streams.daily_usage(event_stream(spark, d)), "complete").select(c("day").cast("string").alias("day"), F.round("used", 4).alias("used"))
+
+
+@P.query("sm_sessions_stream", P.ORACLE["sm_sessions"])
+def sm_sessions_stream(spark, d):
+    return drained(streams.sessions(event_stream(spark, d)), "complete").select("user_id", "n")
+
+
+@P.query("sm_sliding_stream", P.ORACLE["sm_sliding"])
+def sm_sliding_stream(spark, d):
+    return drained(streams.sliding_usage(event_stream(spark, d)), "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
 QUERIES, ORACLE = P.QUERIES, P.ORACLE

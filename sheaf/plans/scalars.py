@@ -122,19 +122,43 @@ def fn31(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.trunc(F.min(day), "month").cast("string").alias("axis_start"), F.last_day(F.max(day)).cast("string").alias("axis_end"))
 
 
-_s = fold_sql("state", True)
-P.over_docs("fn34_workflow_labels", lambda d: d.select("doc_id", labels.workflow_status(c("state")).alias("status"), labels.workflow_priority(c("state")).alias("priority")),
-    f"SELECT doc_id, CASE WHEN {any_sql(_s, ('blocked', 'on hold'))} THEN 'Blocked' WHEN contains({_s}, 'cancel') THEN 'Cancelled' WHEN {any_sql(_s, ('done', 'hoan thanh', 'golive'))} THEN 'Hoàn thành' WHEN {any_sql(_s, ('to do', 'ke hoach', 'moi mo'))} THEN 'Mới mở' WHEN {_s} <> '' THEN 'Đang xử lý' ELSE '—' END AS status, CASE WHEN {any_sql(_s, ('highest', 'cao', 'high'))} THEN 'Cao' WHEN {any_sql(_s, ('medium', 'tb', 'trung binh'))} THEN 'TB' WHEN {any_sql(_s, ('low', 'thap'))} THEN 'Thấp' ELSE '—' END AS priority FROM docs")
+_NOT_WORD = "[^\\p{L}\\p{N}_]"
+
+
+def canonical_sql(e: str) -> str:
+    """The canonical title; separators are doubled, as one may stand between two words that go."""
+    for pattern, by in (("<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        e = f"regexp_replace({e}, '{pattern}', '{by}', 'g')"
+    e = f"lower(translate({e}, '‐‑‒–—', '-----'))"
+    steps = [("\\[[^\\]]+\\]", " "), ("\\([^)]*\\)", " "), (f"({_NOT_WORD})", "\\1\\1"), (f"(^|{_NOT_WORD})((?:qlyc|yc|re|pa)-+[0-9]+)($|{_NOT_WORD})", "\\1 \\3")]
+    steps += [(f"(^|{_NOT_WORD})({'|'.join(w.replace(' ', '  ') for w in labels.STOCK_WORDS)})($|{_NOT_WORD})", "\\1 \\3"), (f"[^0-9a-z{labels.VIETNAMESE}]+", " ")]
+    for pattern, by in steps:
+        e = f"regexp_replace({e}, '{pattern}', '{by}', 'g')"
+    return squeeze_sql(e)
+
+
+def tiers_sql(e: str, tiers, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {any_sql(e, words)} THEN '{label}'" for label, words in tiers) + f" ELSE {default} END"
+
+
+_fold = lambda e: squeeze_sql(f"translate(lower({e}), '{text.MARKED}đ', '{text.PLAIN}d')")
+P.over_docs("fn34_workflow_labels", lambda d: d.select("doc_id", labels.workflow_status(c("label")).alias("status"), labels.workflow_priority(c("label")).alias("priority")),
+    f"SELECT doc_id, {tiers_sql('t', labels.WORKFLOW_STATUS, f'CASE WHEN t <> {chr(39)}{chr(39)} THEN {chr(39)}{labels.IN_WORK}{chr(39)} ELSE {chr(39)}{labels.NO_LABEL}{chr(39)} END')} AS status, {tiers_sql('t', labels.WORKFLOW_PRIORITY, chr(39) + labels.NO_LABEL + chr(39))} AS priority FROM (SELECT doc_id, {_fold(canonical_sql('label'))} AS t FROM docs)")
 P.over_docs("fn36_cell_status", lambda d: d.select("doc_id", labels.cell_status(F.concat(F.lit('<b class="status-tag '), c("lang"), F.lit('">x</b> '), c("state"))).alias("status")), "SELECT doc_id, CASE WHEN contains(lower(state), 'cancel') THEN 'cancelled' ELSE lang END AS status FROM docs")
 P.over_docs("fn37_backlog_key", lambda d: d.select("doc_id", labels.backlog_key(F.concat(F.lit(" qlyc–"), c("doc_id"))).alias("key")), "SELECT doc_id, cast(doc_id AS varchar) AS key FROM docs")
-P.over_docs("fn38_title_tokens", lambda d: d.select("doc_id", js(F.array_sort(labels.title_tokens(c("title")))).alias("tokens")),
-    f"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(string_split({fold_sql('t3', True)}, ' ')), lambda w: length(w) >= 3)), '|') AS tokens FROM (SELECT doc_id, regexp_replace(' ' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(translate(title, '–', '-')), '\\[[^\\]]+\\]', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '(^|[^a-z0-9])(qlyc|yc|re|pa)-[0-9]+', '\\1 ', 'g'), '[^0-9a-zàáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ]+', '  ', 'g') || ' ', ' (golive|plan|deadline|lane|workstream|backlog) ', ' ', 'g') AS t3 FROM docs)""")
+P.over_docs("fn38_title_tokens", lambda d: d.select("doc_id", F.md5(labels.canonical_title(c("label"))).alias("canonical"), F.md5(js(F.array_sort(labels.title_tokens(c("label"))))).alias("tokens")),
+    f"SELECT doc_id, md5(t) AS canonical, md5(array_to_string(list_sort(list_filter(list_distinct(string_split({_fold('t')}, ' ')), lambda w: length(w) >= 3)), '|')) AS tokens FROM (SELECT doc_id, {canonical_sql('label')} AS t FROM docs)")
 P.over_docs("fn39_excerpt", lambda d: d.select("doc_id", text.excerpt(c("text")).alias("excerpt")), "SELECT doc_id, CASE WHEN length(trim(text)) <= 110 THEN trim(text) ELSE (CASE WHEN contains(substring(trim(text), 1, 110), ' ') THEN regexp_extract(substring(trim(text), 1, 110), '(?s)^(.*) [^ ]*$', 1) ELSE substring(trim(text), 1, 110) END) || '…' END AS excerpt FROM (SELECT doc_id, replace(text, '**', '') AS text FROM docs)")
 P.over_docs("fn43_priority_guess", lambda d: d.select("doc_id", labels.priority(c("state"), c("title")).alias("priority")),
     f"SELECT doc_id, CASE WHEN {any_sql('lower(state)', labels.HIGH)} THEN 'high' WHEN {any_sql('lower(state)', labels.MEDIUM)} THEN 'medium' WHEN {any_sql('lower(state)', labels.LOW)} THEN 'low' WHEN {any_sql('lower(title)', labels.URGENT)} THEN 'high' ELSE 'medium' END AS priority FROM docs")
 P.over_docs("fn44_category_guess", lambda d: d.select("doc_id", labels.category(F.concat_ws(" ", "title", F.when(c("doc_id") % 3 == 0, "fix it").when(c("doc_id") % 3 == 1, "tech  debt"))).alias("category")),
     f"SELECT doc_id, CASE {' '.join(f'WHEN {any_sql(chr(116), v)} THEN {chr(39)}{k}{chr(39)}' for k, v in labels.CATEGORIES)} ELSE 'feature' END AS category FROM (SELECT doc_id, lower(title) || CASE doc_id % 3 WHEN 0 THEN ' fix it' WHEN 1 THEN ' tech debt' ELSE '' END AS t FROM docs)")
-P.over_docs("fn47_document_kind", lambda d: d.select("doc_id", labels.document_kind(F.concat(F.element_at(F.array(*map(F.lit, ("User story ", "Test plan ", "data model ", "Stakeholders ", ""))), (c("doc_id") % 5 + 1).cast("int")), c("text"))).alias("kind")), "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'user-story' WHEN 1 THEN 'test-plan' WHEN 2 THEN 'technical-design' WHEN 3 THEN 'requirements' ELSE 'other' END AS kind FROM docs")
+_sample = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("User story ", "Test plan: ", "# data model ", "Stakeholders\n", "Executive summary\nbusiness objectives of ", ""))), (c("doc_id") % 6 + 1).cast("int")), F.lit("** Scope **\n## Part "), "lang", F.lit("\nAPI of it\napis\n"), c("text"))
+P.over_docs("fn47_document_kind", lambda d: d.withColumn("s", _sample()).select("doc_id", labels.document_kind(c("s")).alias("kind"), js(labels.clue_lines(c("s"), F.when(c("doc_id") % 2 == 0, F.concat("source", F.lit(".docx"))).otherwise(""))).alias("clues")),
+    f"""SELECT doc_id, CASE WHEN contains(l, '{labels.BRD_WORDS[0]}') AND contains(l, '{labels.BRD_WORDS[1]}') THEN '{labels.BRD_KIND}' ELSE {tiers_sql('l', labels.DOCUMENT_KINDS, chr(39) + labels.OTHER_KIND + chr(39))} END AS kind,
+    array_to_string(list_slice(list_concat(CASE WHEN doc_id % 2 = 0 THEN [source || '.docx'] ELSE [] END, list_slice(list_transform(list_filter(list_transform(string_split(s, chr(10)), lambda x: [trim(x), regexp_replace(trim(x), '^[#*\\- \t]+|[#*\\- \t]+$', '', 'g')]),
+    lambda z: z[2] <> '' AND (starts_with(z[1], '#') OR ends_with(z[1], ':') OR regexp_matches(z[2], '(?i)^({'|'.join(labels.CLUE_STARTS)})([^A-Za-z0-9_]|$)'))), lambda z: substring(z[2], 1, {labels.CLUE})), 1, {labels.CLUES})), 1, {labels.CLUES}), '|') AS clues
+    FROM (SELECT doc_id, source, s, lower(s) AS l FROM (SELECT doc_id, source, substring(['User story ', 'Test plan: ', '# data model ', 'Stakeholders' || chr(10), 'Executive summary' || chr(10) || 'business objectives of ', ''][cast(doc_id % 6 + 1 AS int)] || '** Scope **' || chr(10) || '## Part ' || lang || chr(10) || 'API of it' || chr(10) || 'apis' || chr(10) || text, 1, {labels.SAMPLE}) AS s FROM docs))""")
 P.over_docs("fn48_chat_tags", lambda d: d.withColumn("t", F.concat(F.when(c("doc_id") % 2 == 0, "[a] [b]  ").otherwise(""), F.lit("Please review CHG-"), F.lpad((c("doc_id") % 1000).cast("string"), 3, "0"), F.lit("-01 now"))).select("doc_id", F.trim(F.regexp_replace("t", "^( *\\[[^\\]\\n]{1,220}\\] *){1,8}", "")).alias("plain"), F.regexp_extract("t", "CHG-[0-9]{3}-[0-9]{2}", 0).alias("change_key"), F.lower("t").rlike("(^|[^a-z])(review|summary|compare|find|search|draft|translate)([^a-z]|$)").alias("asks")),
     "SELECT doc_id, 'Please review CHG-' || lpad(cast(doc_id % 1000 AS varchar), 3, '0') || '-01 now' AS plain, 'CHG-' || lpad(cast(doc_id % 1000 AS varchar), 3, '0') || '-01' AS change_key, true AS asks FROM docs")
 P.over_docs("fn57_presence_flags", lambda d: d.select("doc_id", (c("project") != "").alias("has_project"), c("doc_date").isNotNull().alias("has_date"), (F.size("ticket_ids") > 1).alias("has_two_tickets"), (c("prev_hash").isNotNull() & (c("prev_hash") != c("content_hash"))).alias("stale")),

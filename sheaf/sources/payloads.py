@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions import labels
+from sheaf.functions.text import squeeze
+
 ISSUE = "struct<key:string, fields:struct<summary:string, status:struct<name:string>, assignee:struct<displayName:string>, priority:struct<name:string>, updated:string, attachment:array<struct<filename:string,content:string>>>>"
 CONVERTIBLE = ("pdf", "docx", "pptx", "xlsx", "msg", "eml", "html", "htm")
 
@@ -181,21 +184,36 @@ def pipe_tables(docs: DataFrame) -> DataFrame:
 
 
 def tab_sheets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) of '=== Sheet: name ===' parts with a tabbed header -> (doc_id, sheet, title, description, priority).
+    """docs(doc_id, text) of '=== Sheet: name ===' parts -> (doc_id, sheet, title, description, priority, category).
 
-    A line without a tab continues the description above it; totals are dropped; one row a normalised (title, description).
+    A sheet's header is its first tabbed line with a title and a description column (labels.HEADER_ROLES); a line
+    without a tab continues the description above it; totals and rows without title or description are dropped; one
+    row a normalised (title, description) of a document.
     """
-    by = Window.partitionBy("doc_id").orderBy("n")
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("trim(line) <> ''")
-    line = line.withColumn("sheet", F.last(F.nullif(F.regexp_extract("line", "^=== Sheet: (.*) ===$", 1), F.lit("")), ignorenulls=True).over(by)).where("sheet is not null and not line rlike '^=== Sheet:'")
-    own = Window.partitionBy("doc_id", "sheet").orderBy("n")
-    line = line.withColumn("cells", F.split("line", "\t")).withColumn("header", F.first("cells").over(own)).withColumn("k", F.row_number().over(own)).where("k > 1")
-    line = line.withColumn("item", F.sum((F.size("cells") > 1).cast("int")).over(own)).where("item > 0")
-    at = lambda *words: F.array_position(F.transform("header", lambda h: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(h), w))), True).cast("int")
-    item = line.groupBy("doc_id", "sheet", "item").agg(F.min_by("cells", "n").alias("cells"), F.first("header").alias("header"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.size("cells") == 1, F.struct("n", "line")))), lambda x: x["line"]), "\n").alias("more"))
-    cell = lambda i: F.trim(F.coalesce(F.get("cells", i - 1), F.lit("")))
-    out = item.select("doc_id", "sheet", "item", cell(at("title", "feature", "task")).alias("title"), F.concat_ws("\n", cell(at("description", "detail")), F.nullif("more", F.lit(""))).alias("description"), cell(at("priority")).alias("priority"))
-    out = out.where((F.col("title") != "") & ~F.lower("title").rlike("^(total|sum)"))
-    key = lambda x: F.trim(F.regexp_replace(F.lower(x), "\\s+", " "))
-    first = F.row_number().over(Window.partitionBy("doc_id", key("title"), key("description")).orderBy("sheet", "item"))
-    return out.withColumn("_r", first).where("_r = 1").drop("_r", "item")
+    c, order = F.col, Window.partitionBy("doc_id").orderBy("n")
+    line = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where("trim(line) <> ''")
+    opens = c("line").rlike("^ *===\\s*Sheet:.*===\\s*$")
+    line = line.withColumn("sheet_no", F.sum(opens.cast("int")).over(order)).withColumn("cells", F.transform(F.split("line", "\t"), lambda x: F.trim(x)))
+    own = Window.partitionBy("doc_id", "sheet_no")
+    heads = (F.size("cells") > 1) & (labels.header_role(c("cells"), "title") > 0) & (labels.header_role(c("cells"), "description") > 0)
+    line = line.where("sheet_no > 0").withColumn("sheet", F.max(F.when(opens, F.trim(F.regexp_extract("line", "===\\s*Sheet:(.*?)===", 1)))).over(own)).withColumn("header", F.min(F.when(heads, F.struct("n", "cells"))).over(own))
+    line = line.where(c("n") > c("header.n")).withColumn("item", F.sum((F.size("cells") > 1).cast("int")).over(own.orderBy("n"))).where("item > 0")
+    more = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.size("cells") == 1, F.struct("n", "cells")))), lambda x: x["cells"][0]), "\n")
+    item = line.groupBy("doc_id", "sheet_no", "sheet", "item").agg(F.min_by("cells", "n").alias("cells"), F.first("header.cells").alias("header"), more.alias("more"))
+    last = F.size("header")
+    whole = F.when(F.size("cells") > last, F.concat(F.slice("cells", F.lit(1), last - 1), F.array(F.trim(F.array_join(F.slice("cells", last, F.size("cells")), " "))))).otherwise(c("cells"))
+    item = item.withColumn("cells", whole)
+    cell = lambda role: F.coalesce(F.get("cells", F.nullif(labels.header_role(c("header"), role), F.lit(0)) - 1), F.lit(""))
+    norm = lambda x: squeeze(F.lower(x))
+    strip = lambda x, marks: F.regexp_replace(x, f"^[{marks}]+|[{marks}]+$", "")
+    label = F.coalesce(F.nullif(strip(F.regexp_replace("sheet", "^[0-9]+[_\\s-]*", ""), " _-"), F.lit("")), c("sheet"))
+    out = item.select("doc_id", "sheet_no", "item", label.alias("sheet"), strip(cell("title"), " •\t-").alias("title"), F.trim(F.concat_ws("\n", F.nullif(cell("description"), F.lit("")), F.nullif("more", F.lit("")))).alias("body"), *(cell(r).alias(r) for r in ("priority", "category", "quarter", "count", "notes")))
+    out = out.where((c("title") != "") & (c("body") != "") & ~norm(c("title")).isin(*labels.TOTALS) & ~norm(c("title")).startswith(labels.TOTALS[0] + " "))
+    when = lambda hit, x: F.when(hit, F.regexp_replace(x, "[ .]+$", ""))
+    parts = (when(c("quarter") != "", F.concat(F.lit(labels.PERIOD), c("quarter"))), when(c("count") != "", F.concat(c("count"), F.lit(labels.DETAILS))), when(F.lit(True), c("body")), when((c("notes") != "") & ~norm(c("body")).contains(norm(c("notes"))), F.concat(F.lit(labels.NOTES), c("notes"))))
+    named = (c("sheet") != "") & ~norm(c("title")).contains(norm(c("sheet")))
+    full = F.substring(F.when(named, F.concat_ws(" - ", "sheet", "title")).otherwise(c("title")), 1, 200)
+    told = F.concat_ws(" ", "title", "body", "sheet")
+    out = out.select("doc_id", "sheet_no", "item", "sheet", full.alias("title"), F.trim(F.concat_ws(". ", *parts)).alias("description"), labels.priority(F.coalesce(F.nullif("priority", F.lit("")), c("quarter")), told).alias("priority"), labels.category(F.concat_ws(" ", "title", "body", "category")).alias("category"))
+    first = F.row_number().over(Window.partitionBy("doc_id", norm(c("title")), norm(c("description"))).orderBy("sheet_no", "item"))
+    return out.withColumn("_r", first).where("_r = 1").drop("_r", "item", "sheet_no")
