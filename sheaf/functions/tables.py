@@ -1,22 +1,21 @@
-"""Table functions for SQL."""
+"""Table functions for SQL, in SQL: they stay in the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import SparkSession
 
-from pyspark.sql.functions import udtf
+#: text, stride, overlap (at most the stride) -> the windows of the text, blank ones left out; use with LATERAL.
+SPLIT_PIECES = """
+CREATE OR REPLACE TEMPORARY FUNCTION split_pieces(body STRING, stride INT, overlap INT) RETURNS TABLE (piece INT, body STRING)
+RETURN SELECT pos AS piece, col AS body FROM posexplode(
+    transform(
+        slice(regexp_extract_all(split_pieces.body, '(?s).{1,' || stride || '}', 0), 1, CASE WHEN length(split_pieces.body) <= stride + overlap THEN 1 ELSE cast(ceil((length(split_pieces.body) - stride - overlap) / stride) AS int) + 1 END),
+        (part, n) -> substring(concat(part, coalesce(get(regexp_extract_all(split_pieces.body, '(?s).{1,' || stride || '}', 0), n + 1), '')), 1, stride + overlap)
+    )
+) WHERE trim(col) <> ''
+"""
 
 
-@udtf(returnType="piece int, body string")
-class split_pieces:  # noqa: N801
-    """text, size, overlap -> the windows of the text, blank ones left out; use with LATERAL."""
-
-    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
-        start, piece = 0, 0
-        while text is not None:
-            body = text[start : start + size]
-            if body.strip(" "):
-                yield piece, body
-            if start + size >= len(text):
-                return
-            start, piece = start + size - overlap, piece + 1
+def register(spark: SparkSession) -> None:
+    """Make split_pieces known to the session's SQL."""
+    spark.sql(SPLIT_PIECES)

@@ -12,30 +12,36 @@ def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section_no, heading, start_line, end_line, body) of docs(doc_id, text).
 
     Each ATX heading opens a section up to the next; text before the first is kept; blank ones are dropped.
-    The lines stay in one array a document: no shuffle.
+    A document's sections are made as one array and then exploded: a row carries its own section alone.
     """
     lines = F.split("text", "\n")
-    heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(HEADING))
-    starts = F.when(F.element_at(lines, 1).rlike(HEADING), heads).otherwise(F.concat(F.array(F.lit(1)), heads))
-    cut = docs.select("doc_id", lines.alias("lines"), starts.alias("starts"))
-    cut = cut.select("doc_id", "lines", "starts", F.posexplode("starts").alias("section_no", "start_line"))
-    end = F.coalesce(F.try_element_at("starts", F.col("section_no") + 2) - 1, F.size("lines"))
-    head = F.element_at("lines", F.col("start_line"))
-    out = cut.withColumn("end_line", end).withColumn("body", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
-    out = out.withColumn("heading", F.when(head.rlike(HEADING), F.trim(F.regexp_replace(head, HEADING, ""))).otherwise(""))
-    return out.where(F.trim("body") != "").select("doc_id", "section_no", "heading", "start_line", "end_line", "body")
+    heads = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(HEADING))
+    starts = F.when(F.element_at("lines", 1).rlike(HEADING), heads).otherwise(F.concat(F.array(F.lit(1)), heads))
+    ends = lambda n: F.coalesce(F.try_element_at("starts", n + 2) - 1, F.size("lines"))
+    one = lambda start, n: F.struct(start.alias("start_line"), ends(n).alias("end_line"), F.element_at("lines", start).alias("head"), F.array_join(F.slice("lines", start, ends(n) - start + 1), "\n").alias("body"))
+    cut = docs.select("doc_id", lines.alias("lines")).select("doc_id", "lines", starts.alias("starts"))
+    out = cut.select("doc_id", F.posexplode(F.transform("starts", one)).alias("section_no", "s")).select("doc_id", "section_no", "s.*")
+    heading = F.when(F.col("head").rlike(HEADING), F.trim(F.regexp_replace("head", HEADING, ""))).otherwise("")
+    return out.where(F.trim("body") != "").select("doc_id", "section_no", heading.alias("heading"), "start_line", "end_line", "body")
 
 
 def pieces(body: Column, size: int, overlap: int) -> Column:
-    """Starts (0-based) of windows of ``size`` characters that overlap; the last one reaches the end."""
+    """Windows of ``size`` characters that overlap, the last one up to the end.
+
+    The text is cut once into strides; a window is its stride and the beginning of what follows, so the
+    work is linear in the text.
+    """
     step = size - overlap
-    n = F.length(body)
-    return F.sequence(F.lit(0), F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int") * step), F.lit(step))
+    stride = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    last = F.when(F.length(body) <= size, 0).otherwise(F.ceil((F.length(body) - size) / step).cast("int"))
+    more = range(-(-overlap // step))
+    window = lambda part, n: F.substring(F.concat(part, *(F.coalesce(F.try_element_at(stride, n + 2 + i), F.lit("")) for i in more)), 1, size)
+    return F.transform(F.slice(stride, 1, last + 1), window)
 
 
-def chunks(docs: DataFrame, size: int = 2048, overlap: int = 256) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, chunk_index, chunk_id, start, chunk). The index counts blank pieces, which are then dropped."""
-    cut = docs.select("doc_id", "text", F.posexplode(pieces(F.col("text"), size, overlap)).alias("chunk_index", "start"))
-    out = cut.withColumn("chunk", F.substring("text", F.col("start") + 1, F.lit(size)))
+def chunks(docs: DataFrame, size: int = 2048, overlap: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, chunk_index, chunk_id, start, chunk, *keep). The index counts blank pieces, which are then dropped."""
+    out = docs.select("doc_id", *keep, F.posexplode(pieces(F.col("text"), size, overlap)).alias("chunk_index", "chunk"))
     key = F.substring(F.sha1(F.concat_ws(":", "doc_id", "chunk_index")), 1, 16)
-    return out.where(F.trim("chunk") != "").select("doc_id", "chunk_index", key.alias("chunk_id"), "start", "chunk")
+    start = F.col("chunk_index") * (size - overlap)
+    return out.where(F.trim("chunk") != "").select("doc_id", "chunk_index", key.alias("chunk_id"), start.alias("start"), "chunk", *keep)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import squeeze
+
 
 def prefix_labels(rows: DataFrame, rules: DataFrame, path: str, default: str, label: str = "label") -> DataFrame:
     """Label of the first rule (by ord) whose prefix the path has; rules are an ordered, bounded configuration table."""
@@ -50,14 +52,23 @@ def unmapped(names: DataFrame, registry: DataFrame, ignored: DataFrame) -> DataF
 def alias_variants(questions: DataFrame, registry: DataFrame) -> DataFrame:
     """(question_id, ord, variant): the question, then with the first name of an entry found in it replaced by each other name.
 
-    The registry is a bounded, curated table (one row an entry) and goes to every task.
+    registry(canonical, aliases[, more]): names in ``more`` take the place of those found, but are not looked for. The
+    registry is a curated table (one row an entry). A name can only stand where a word of the question holds its
+    longest word, so questions meet entries on words.
     """
-    names = registry.select("canonical", F.concat(F.array("canonical"), F.col("aliases")).alias("names"))
-    found = questions.crossJoin(F.broadcast(names))
+    from sheaf.operators.retrieval import held_by, postings
+
+    more = F.col("more") if "more" in registry.columns else F.array().cast("array<string>")
+    names = registry.select("canonical", F.concat(F.array("canonical"), F.col("aliases")).alias("names"), more.alias("more"))
+    longest = F.array_max(F.transform(F.split(squeeze(F.lower("name")), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = names.select("canonical", F.explode("names").alias("name")).select("canonical", longest.alias("term")).where("term <> ''").distinct()
+    p = postings(questions, ["question_id"], {"text": squeeze(F.lower("text"))})
+    meet = held_by(asked, p).join(p, "token").select("question_id", "canonical").distinct()
+    found = questions.join(meet, "question_id").join(names, "canonical")
     pattern = lambda n: F.concat(F.lit("(?i)(^|[^A-Za-z0-9])\\Q"), n, F.lit("\\E([^A-Za-z0-9]|$)"))
     hit = F.try_element_at(F.filter("names", lambda n: F.regexp_like(F.col("text"), pattern(n))), F.lit(1))
     found = found.withColumn("hit", hit).where(F.col("hit").isNotNull())
-    other = found.select("question_id", "text", "hit", "canonical", F.posexplode(F.filter("names", lambda n: n != F.col("hit"))).alias("pos", "other"))
+    other = found.select("question_id", "text", "hit", "canonical", F.posexplode(F.concat(F.filter("names", lambda n: n != F.col("hit")), F.col("more"))).alias("pos", "other"))
     swapped = F.regexp_replace(F.col("text"), pattern(F.col("hit")), F.concat(F.lit("$1"), F.col("other"), F.lit("$2")))
     return questions.select("question_id", F.struct(F.lit("").alias("c"), F.lit(0).alias("p")).alias("ord"), F.col("text").alias("variant")).unionByName(
         other.select("question_id", F.struct(F.col("canonical").alias("c"), (F.col("pos") + 1).alias("p")).alias("ord"), swapped.alias("variant"))
@@ -67,27 +78,62 @@ def alias_variants(questions: DataFrame, registry: DataFrame) -> DataFrame:
 def fuzzy_titles(left: DataFrame, right: DataFrame, least: float = 0.6, bonus: float = 0.2) -> DataFrame:
     """(left_id, right_id, score): the best right title by shared tokens over the smaller set, more if one holds the other.
 
-    left(id, tokens), right(id, tokens). Candidates meet on a token, never by a cross join.
+    left(id, tokens), right(id, tokens). Equal sets are compared once. A pair that reaches ``least`` shares at least
+    that part of the smaller set, so one of that set's rarest tokens, all but as many as may be lacking, is in the
+    other set: candidates meet on those tokens alone, and a token of most titles brings hardly any together.
     """
-    a = left.select(F.col("id").alias("left_id"), F.size("tokens").alias("n_left"), F.explode("tokens").alias("token"))
-    b = right.select(F.col("id").alias("right_id"), F.size("tokens").alias("n_right"), F.explode("tokens").alias("token"))
-    pairs = a.join(b, "token").groupBy("left_id", "right_id", "n_left", "n_right").agg(F.count("*").alias("shared"))
-    small = F.least("n_left", "n_right")
-    scored = pairs.withColumn("score", F.col("shared") / small + F.when(F.col("shared") == small, bonus).otherwise(0.0)).where(F.col("score") >= least)
-    return scored.groupBy("left_id").agg(F.min_by("right_id", F.struct(-F.col("score"), "right_id")).alias("right_id"), F.max("score").alias("score"))
+    own = lambda rows: rows.select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.size("tokens") > 0)
+    members = own(left).select(F.col("id").alias("left_id"), "tokens")
+    a, b = members.select("tokens").distinct(), own(right).groupBy("tokens").agg(F.min("id").alias("right_id"))
+    every = a.select("tokens").unionByName(b.select("tokens"))
+    often = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(1.0), F.ceil(F.lit(least - 1e-9) * F.size("tokens")))
+    rare = every.distinct().select("tokens", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    rare = rare.select("tokens", F.explode(F.slice("t", F.lit(1), (F.size("tokens") - share + 1).cast("int"))["token"]).alias("token"))
+    lead = lambda rows: rows.join(rare, "tokens")
+    full = lambda rows: rows.select("tokens", F.explode("tokens").alias("token"))
+    left_lead, right_full = lead(a).select(F.col("tokens").alias("x"), "token"), full(b).withColumnRenamed("tokens", "y")
+    right_lead, left_full = lead(b).select(F.col("tokens").alias("y"), "token"), full(a).withColumnRenamed("tokens", "x")
+    pairs = left_lead.join(right_full, "token").where(F.size("x") <= F.size("y")).select("x", "y").union(right_lead.join(left_full, "token").where(F.size("y") <= F.size("x")).select("x", "y")).distinct()
+    small, shared = F.least(F.size("x"), F.size("y")), F.size(F.array_intersect("x", "y"))
+    scored = pairs.withColumn("score", shared / small + F.when(shared == small, bonus).otherwise(0.0)).where(F.col("score") >= least)
+    scored = scored.join(b.withColumnRenamed("tokens", "y"), "y")
+    best = scored.groupBy("x").agg(F.min_by("right_id", F.struct(-F.round("score", 9), "right_id")).alias("right_id"), F.max("score").alias("score"))
+    return members.join(best, members.tokens == best.x).select("left_id", "right_id", "score")
 
 
 def nearest_event(rows: DataFrame, events: DataFrame, by: str) -> DataFrame:
-    """rows(id, by, day) with the event(event_id, by, event_day) of the same group: same day, else within a day, else latest before, else earliest."""
-    e = events.select(by, "event_id", "event_day")
-    gap = F.datediff("event_day", "day")
-    tier = F.when(gap == 0, 0).when(F.abs(gap) == 1, 1).when(gap < 0, 2).otherwise(3)
-    order = F.struct(tier.alias("tier"), F.when(tier == 2, -gap).otherwise(F.abs(gap)).alias("gap"), F.col("event_id"))
-    return rows.join(e, by).groupBy("id").agg(F.min_by("event_id", order).alias("event_id"), F.min(order)["tier"].alias("tier"))
+    """rows(id, by, day) with the event(event_id, by, event_day) of the same group: same day, else within a day, else latest before, else earliest.
+
+    Only distinct days of a group are put in order, of which the calendar has few, however many rows a group has. Of
+    events on one day the smallest id counts. Rows without a day, or in a group without events, are left out.
+    """
+    e = events.where("event_day is not null").groupBy(by, F.col("event_day").alias("day")).agg(F.min("event_id").alias("event_id"))
+    days = rows.where("day is not null").select(by, "day").distinct().join(e, [by, "day"], "full_outer")
+    w = Window.partitionBy(by).orderBy("day")
+    event = F.when(F.col("event_id").isNotNull(), F.struct("day", "event_id"))
+    days = days.withColumn("before", F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(event, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    near = lambda side: F.when(F.abs(F.datediff(f"{side}.day", "day")) == 1, F.col(f"{side}.event_id"))
+    beside = F.least(near("before"), near("after"))  # the one that there is, where one is null
+    found = F.coalesce("event_id", beside, "before.event_id", "after.event_id")
+    tier = F.when(F.col("event_id").isNotNull(), 0).when(beside.isNotNull(), 1).when(F.col("before").isNotNull(), 2).otherwise(3)
+    chosen = days.select(by, "day", found.alias("event_id"), tier.alias("tier")).where("event_id is not null")
+    return rows.join(chosen, [by, "day"]).select("id", "event_id", "tier")
 
 
 def longest_keyword(lines: DataFrame, keywords: DataFrame) -> DataFrame:
-    """lines(line_id, text) with the longest keyword found in each; keywords(keyword, source) are a bounded list."""
-    hits = lines.join(F.broadcast(keywords), F.lower("text").contains(F.lower("keyword")))
+    """lines(line_id, text) with the longest keyword found in each; keywords(keyword, source) may be many.
+
+    A keyword can only stand where a word holds the last of its longest parts: lines meet keywords on words by
+    the dictionary of words, and those that meet are compared.
+    """
+    from sheaf.operators.retrieval import held_by, postings
+
+    low = lines.select("line_id", squeeze(F.lower("text")).alias("low"), F.lower("text").alias("raw"))
+    p = postings(low, ["line_id"], {"text": F.col("low")})
+    parts = F.transform(F.split(squeeze(F.lower("keyword")), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    asked = keywords.select("keyword", "source", F.array_max(parts)["w"].alias("term")).where("term <> ''")
+    near = held_by(asked.select("term").distinct(), p).join(p, "token").select("term", "line_id").distinct().join(asked, "term")
+    hits = near.join(low.select("line_id", "raw"), "line_id").where(F.col("raw").contains(F.lower("keyword")))
     best = F.struct((-F.length("keyword")).alias("n"), F.col("keyword"))
     return hits.groupBy("line_id").agg(F.min_by("keyword", best).alias("keyword"), F.min_by("source", best).alias("source"))

@@ -11,6 +11,13 @@ def top(rows: DataFrame, by: list[str], k: int, *order: Column, rank: str = "ran
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def clamp(n, low: int = 1, high: int = 100, default: int = 20):
+    """A user's limit within bounds; a column of limits or one number, the default where there is none."""
+    if isinstance(n, Column):
+        return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(n, F.lit(default))))
+    return max(low, min(default if n is None else n, high))
+
+
 def first_occurrence(rows: DataFrame, by: list[str], key: str, k: int, *order: Column) -> DataFrame:
     """Each key once, where it stands first, and the first k of those."""
     once = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*by, key).orderBy(*order))).where("_first = 1").drop("_first")
@@ -69,3 +76,14 @@ def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """One row a key: the first in the order. An aggregate, so that a hot key is combined before it is shuffled."""
     cols = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.min_by(F.struct(*cols), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("r")).select(*key, "r.*")
+
+
+def numbered(rows: DataFrame, order: Column, name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in one order (of distinct values), without one task for all: ranges are counted, then numbered apart."""
+    from sheaf.operators.graph import cut
+
+    part = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return part.withColumn("_at", at).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")

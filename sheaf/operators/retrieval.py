@@ -1,27 +1,76 @@
 """Batched retrieval: every operator takes questions(question_id, ...) and a chunk table.
 
-Terms are exploded (a bounded set a question) and broadcast; each chunk is read once, scored
-in place, and only (question_id, chunk_id, score) is shuffled.
+Terms meet chunks through postings (token, field, chunk_id). A question's term is part of a field when it is part of
+one of the field's tokens, so it is looked up in the dictionary of distinct tokens, by one of its three-letter
+strings, and only the tokens that hold it are joined to their postings: all joins are equalities, and the texts are
+folded and cut once, when the postings are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import labels, text
-from sheaf.operators import ranking
+from sheaf.operators import joins, ranking
+from sheaf.operators.graph import cut
 
-#: Questions and terms that are broadcast; a larger set is taken in blocks of questions.
+#: Query vectors that are compared with all rows at once; a larger set is taken in blocks (expected size).
 BLOCK = 2000
+#: Letters of the strings by which the dictionary is looked up; shorter terms have strings of their own length.
+GRAM = 3
+# Points of an exact term by where it stands.
+EXACT_POINTS = {"path_end": 200, "path": 120, "section": 40, "project": 30, "type": 20, "text": 10, "whole": 15}
+# Points of a keyword by field, where it stands alone and where it is part of a word; more for terms that meet.
+KEYWORD_POINTS = {
+    "ticket_ids": (120, 120), "people": (60, 60), "source_path": (50, 30), "section": (30, 0), "project": (20, 20), "doc_type": (15, 15),
+    "source_channel": (8, 0), "reliability": (5, 0), "text": (12, 6),
+}
+MEET_POINTS = 10
+# Reranking points of exact terms and of keywords by field, in the order of RERANK_FIELDS.
+RERANK_FIELDS = ("ticket_ids", "people", "source_path", "section", "project", "doc_type", "source_channel", "reliability", "text")
+RERANK_EXACT = (140, 80, 70, 40, 30, 18, 8, 8, 16)
+RERANK_KEYWORD = (70, 35, 30, 18, 14, 8, 4, 4, 10)
+# Weights of the lists that are fused: exact, vector, keyword, term frequency; a shared tenant's share.
+WEIGHTS = {"exact": 4.0, "vector": 3.5, "keyword": 2.0, "frequency": 3.0}
+SHARED = 0.6
 
 
 def folded(chunks: DataFrame) -> DataFrame:
-    """The fields that are searched, folded once."""
+    """The fields that are searched, folded."""
     keep = ["chunk_id", "doc_id", "chunk_index", "source_path", "visibility"]
     fields = {n: text.fold_keep_stroke(F.coalesce(F.col(n), F.lit(""))) for n in ("source_path", "section", "project", "doc_type", "source_channel", "reliability", "text")}
     arrays = {n: F.transform(n, text.fold_keep_stroke) for n in ("ticket_ids", "people")}
-    return chunks.select(*(c for c in keep if c in chunks.columns), *(e.alias(f"{n}_f") for n, e in (fields | arrays).items()), "text")
+    return chunks.select(*(c for c in chunks.columns if c in {*keep, "question_id", "rank"} or c not in {*fields, *arrays}), *(e.alias(f"{n}_f") for n, e in (fields | arrays).items()), "text")
+
+
+def postings(rows: DataFrame, key: list[str], fields: dict[str, Column], repeats: bool = False) -> DataFrame:
+    """(*key, field, token): the words of each field (squeezed strings or arrays of them), each once unless repeats are asked for."""
+
+    def part(name: str, c: Column) -> Column:
+        words = F.split(c, " ")
+        return F.transform(words if repeats else F.array_distinct(words), lambda w: F.struct(F.lit(name).alias("field"), w.alias("token")))
+
+    return rows.select(*key, F.explode(F.concat(*(part(n, c) for n, c in fields.items()))).alias("p")).select(*key, "p.field", "p.token").where("token <> ''")
+
+
+def grams(c: Column) -> Column:
+    """Distinct strings of one to GRAM letters of a word."""
+    of = lambda i: F.array(*(F.substring(c, i, F.lit(k)) for k in range(1, GRAM + 1)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), of)))
+
+
+def held_by(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """terms(..., term) with each distinct token of which the term is a part."""
+    asked = terms.withColumn("gram", F.substring("term", 1, GRAM))
+    known = tokens.select("token").distinct().select("token", F.explode(grams(F.col("token"))).alias("gram"))
+    return asked.join(known, "gram").where(F.col("token").contains(F.col("term"))).drop("gram")
+
+
+def keyword_postings(chunks: DataFrame) -> DataFrame:
+    """Postings of the folded fields: (chunk_id, field, token)."""
+    c = folded(chunks)
+    return postings(c, ["chunk_id"], {n: F.array_join(f"{n}_f", " ") if n in ("ticket_ids", "people") else F.col(f"{n}_f") for n in KEYWORD_POINTS})
 
 
 def whole(hay: Column, term: Column) -> Column:
@@ -40,34 +89,48 @@ def either(first: Column, n: int, second: Column, m: int) -> Column:
     return F.when(first, n).when(second, m).otherwise(0)
 
 
+def best(scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best of (question_id, chunk_id, score); ties by path and place. Paths are joined to what can be among them alone."""
+    first = scored.withColumn("r", F.rank().over(Window.partitionBy("question_id").orderBy(F.col("score").desc()))).where(F.col("r") <= k).drop("r")
+    named = first.join(chunks.select("chunk_id", "source_path", "chunk_index"), "chunk_id")
+    return ranking.top(named, ["question_id"], k, F.col("score").desc(), F.col("source_path"), F.col("chunk_index")).select("question_id", "chunk_id", "score", "rank")
+
+
 def exact(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by identifier-like terms: path 200 / 120, section 40, project 30, type 20, text 10, whole question 15."""
-    q = questions.select("question_id", F.trim(F.lower(text.squeeze(F.col("text")))).alias("whole"), F.explode(text.exact_terms(F.col("text"))).alias("term")).withColumn("term", text.squeeze(F.lower("term")))
-    low = lambda n: text.squeeze(F.lower(F.coalesce(F.col(n), F.lit(""))))
-    t = F.col("term")
-    c = chunks.select("chunk_id", "source_path", "chunk_index", low("source_path").alias("p"), low("section").alias("s"), low("project").alias("j"), low("doc_type").alias("d"), low("text").alias("x"))
-    own = either((F.col("p") == t) | F.col("p").endswith(F.concat(F.lit("/"), t)), 200, F.col("p").contains(t), 120) + points((F.col("s").contains(t), 40), (F.col("j").contains(t), 30), (F.col("d").contains(t), 20), (F.col("x").contains(t), 10))
-    hits = c.join(F.broadcast(q), F.col("p").contains(t) | F.col("s").contains(t) | F.col("j").contains(t) | F.col("d").contains(t) | F.col("x").contains(t) | F.col("x").contains(F.col("whole")))
-    scored = hits.groupBy("question_id", "chunk_id", "source_path", "chunk_index").agg((F.sum(own) + F.max(F.when(F.col("x").contains(F.col("whole")), 15).otherwise(0))).alias("score"))
-    return ranking.top(scored.where("score > 0"), ["question_id"], k, F.col("score").desc(), F.col("source_path"), F.col("chunk_index")).select("question_id", "chunk_id", "score", "rank")
-
-
-def keyword(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by folded keywords; more for each field and for several terms that meet."""
+    """(question_id, chunk_id, score, rank) by identifier-like terms and the whole question (EXACT_POINTS).
+
+    Chunks that hold the longest word of a term (or of the question) are found by postings; these alone are compared.
+    """
+    q = questions.select("question_id", F.trim(F.lower(text.squeeze(F.col("text")))).alias("whole"), F.explode(text.exact_terms(F.col("text"))).alias("t")).withColumn("t", text.squeeze(F.lower("t")))
+    low = {n: text.squeeze(F.lower(F.coalesce(F.col(n), F.lit("")))) for n in ("source_path", "section", "project", "doc_type", "text")}
+    longest = lambda c: F.reverse(F.array_sort(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))[0]["w"]
+    p = cut(postings(chunks, ["chunk_id"], low))
+    sought = q.select("question_id", longest(F.col("t")).alias("term")).union(q.select("question_id", longest(F.col("whole")))).distinct()
+    near = held_by(sought, p).select("question_id", "token").distinct().join(p.select("chunk_id", "token"), "token").select("question_id", "chunk_id").distinct()
+    c = near.join(chunks.select("chunk_id", *(e.alias(f"{n}_x") for n, e in low.items())), "chunk_id").join(q, "question_id")
+    t, w = F.col("t"), EXACT_POINTS
+    has = lambda n: F.col(f"{n}_x").contains(t)
+    path = F.col("source_path_x")
+    own = either((path == t) | path.endswith(F.concat(F.lit("/"), t)), w["path_end"], has("source_path"), w["path"]) + points((has("section"), w["section"]), (has("project"), w["project"]), (has("doc_type"), w["type"]), (has("text"), w["text"]))
+    scored = c.groupBy("question_id", "chunk_id").agg((F.sum(own) + F.max(F.when(F.col("text_x").contains(F.col("whole")), w["whole"]).otherwise(0))).alias("score"))
+    return best(scored.where("score > 0"), chunks, k)
+
+
+def keyword(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
+    """(question_id, chunk_id, score, rank) by folded keywords (KEYWORD_POINTS); more where several terms meet.
+
+    ``terms``: the chunks' keyword_postings, if they are at hand.
+    """
+    p = cut(keyword_postings(chunks)) if terms is None else terms
     q = questions.select("question_id", F.explode(text.keyword_terms(F.col("text"))).alias("term"))
-    t, c = F.col("term"), folded(chunks)
-    part = lambda n: F.col(n).contains(t)
-    score = (
-        points((F.exists("ticket_ids_f", lambda x: x.contains(t)), 120), (F.exists("people_f", lambda x: x.contains(t)), 60))
-        + either(whole(F.col("source_path_f"), t), 50, part("source_path_f"), 30)
-        + points((whole(F.col("section_f"), t), 30), (part("project_f"), 20), (part("doc_type_f"), 15), (whole(F.col("source_channel_f"), t), 8), (whole(F.col("reliability_f"), t), 5))
-        + either(whole(F.col("text_f"), t), 12, part("text_f"), 6)
-    )
-    anywhere = F.concat_ws("\n", "source_path_f", "section_f", "project_f", "doc_type_f", "source_channel_f", "reliability_f", "text_f", F.array_join("ticket_ids_f", "\n"), F.array_join("people_f", "\n"))
-    hits = c.withColumn("hay", anywhere).join(F.broadcast(q), F.col("hay").contains(t)).withColumn("score", score).where("score > 0")
+    found = held_by(q.select("term").distinct(), p).withColumn("alone", whole(F.col("token"), F.col("term")))
+    hits = found.join(p, "token").groupBy("term", "chunk_id", "field").agg(F.max("alone").alias("alone"))
+    worth = F.lit(0)
+    for n, (alone, part) in KEYWORD_POINTS.items():
+        worth = F.when(F.col("field") == n, F.when(F.col("alone"), alone).otherwise(part)).otherwise(worth)
+    by_term = hits.groupBy("term", "chunk_id").agg(F.sum(worth).alias("score")).where("score > 0")
     n = F.count("*")
-    scored = hits.groupBy("question_id", "chunk_id", "source_path", "chunk_index").agg((F.sum("score") + F.when(n > 1, n * 10).otherwise(0)).alias("score"))
-    return ranking.top(scored, ["question_id"], k, F.col("score").desc(), F.col("source_path"), F.col("chunk_index")).select("question_id", "chunk_id", "score", "rank")
+    return best(by_term.join(q, "term").groupBy("question_id", "chunk_id").agg((F.sum("score") + F.when(n > 1, n * MEET_POINTS).otherwise(0)).alias("score")), chunks, k)
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
@@ -77,18 +140,29 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: F.pow(u.cast("double") - v, 2)), F.lit(0.0), lambda s, v: s + v))
 
 
-def vectors(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """The k nearest rows(vec_id, embedding) of each of a bounded block of queries(question_id, q). Filters belong before."""
-    near = rows.crossJoin(F.broadcast(queries)).select("question_id", "vec_id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance"))
-    return ranking.top(near, ["question_id"], k, F.col("distance"), F.col("vec_id"))
+def vectors(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
+    """The k nearest rows(vec_id, embedding) of each of queries(question_id, q), exactly. Filters belong before.
+
+    All rows are compared with about ``block`` queries at a time, which alone are broadcast.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        near = rows.crossJoin(F.broadcast(some)).select("question_id", "vec_id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance"))
+        one = ranking.top(near, ["question_id"], k, F.col("distance"), F.col("vec_id"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def term_frequency(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Occurrences of the question's words of over two letters, summed."""
     q = questions.select("question_id", F.explode(F.array_distinct(F.filter(text.words(F.lower("text")), lambda w: F.length(w) > 2))).alias("term"))
-    low = F.lower("text")
-    times = ((F.length(low) - F.length(F.replace(low, F.col("term"), F.lit("")))) / F.length("term")).cast("int")
-    hits = chunks.join(F.broadcast(q), F.lower("text").contains(F.col("term"))).groupBy("question_id", "chunk_id").agg(F.sum(times).alias("score"))
+    p = cut(postings(chunks, ["chunk_id"], {"text": text.squeeze(F.lower("text"))}, repeats=True))
+    times = ((F.length("token") - F.length(F.replace("token", F.col("term"), F.lit("")))) / F.length("term")).cast("int")
+    found = held_by(q.select("term").distinct(), p).select("term", "token", times.alias("times"))
+    by_term = found.join(p, "token").groupBy("term", "chunk_id").agg(F.sum("times").alias("score"))
+    hits = by_term.join(q, "term").groupBy("question_id", "chunk_id").agg(F.sum("score").alias("score"))
     return ranking.top(hits, ["question_id"], k, F.col("score").desc(), F.col("chunk_id"))
 
 
@@ -97,20 +171,21 @@ def names(questions: DataFrame, files: DataFrame, k: int) -> DataFrame:
     q = questions.select("question_id", F.explode(F.array_distinct(text.words(F.lower("text")))).alias("term"))
     tail = F.lower(F.element_at(F.split("source_path", "/"), -1))
     parent = F.lower(F.coalesce(F.try_element_at(F.split("source_path", "/"), F.lit(-2)), F.lit("")))
-    f = files.withColumn("hay", F.concat_ws(" ", parent, tail))
-    hits = f.join(F.broadcast(q), F.col("hay").contains(F.col("term"))).groupBy("question_id", "source", "source_path").agg(F.count("*").alias("score"))
+    p = postings(files, ["source", "source_path"], {"name": text.squeeze(F.concat_ws(" ", parent, tail))})
+    hits = held_by(q.select("term").distinct(), p).join(p, "token").select("term", "source", "source_path").distinct()
+    hits = hits.join(q, "term").groupBy("question_id", "source", "source_path").agg(F.count("*").alias("score"))
     return ranking.top(hits, ["question_id", "source"], k, F.col("score").desc(), F.col("source_path"))
 
 
 def rerank(candidates: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """candidates(question_id, chunk_id, rank) with an additive score over fields and intent; all rows stay, new order in ``place``."""
-    w = {True: (140, 80, 70, 40, 30, 18, 8, 8, 16), False: (70, 35, 30, 18, 14, 8, 4, 4, 10)}
+    w = {True: RERANK_EXACT, False: RERANK_KEYWORD}
     qf = text.fold_keep_stroke(F.col("q_text"))
     q = questions.withColumnRenamed("text", "q_text").select(
         "question_id", qf.alias("qn"), F.transform(text.exact_terms(F.col("q_text")), text.fold_keep_stroke).alias("ex"), text.keyword_terms(F.col("q_text")).alias("kw"),
         labels.process_codes(F.col("q_text")).alias("codes"), labels.has_code(qf).alias("explicit"), text.any_phrase(qf, text.PEOPLE_HINTS).alias("of_people"), text.any_phrase(qf, text.TIME_HINTS).alias("of_time"), text.any_phrase(qf, text.OPS_HINTS).alias("of_ops"),
     ).withColumn("anchors", text.anchor_terms(F.col("kw")))
-    j = candidates.join(F.broadcast(q), "question_id").join(folded(chunks), "chunk_id")
+    j = folded(candidates.select("question_id", "chunk_id", "rank").join(chunks, "chunk_id")).join(q, "question_id")
     c = F.col
 
     def field(terms: str, strong: bool) -> Column:
@@ -135,8 +210,6 @@ def rerank(candidates: DataFrame, questions: DataFrame, chunks: DataFrame) -> Da
         + F.when(c("of_ops") & anchored, points((~process, 50), (lost & (meet == 0), -200))).otherwise(0)
         + F.least(F.size("ticket_ids_f"), F.lit(3)) * 3 + F.least(F.size("people_f"), F.lit(4)) * 2
     )
-    from pyspark.sql import Window
-
     return j.withColumn("score", score).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(c("score").desc(), "rank"))).select("question_id", "chunk_id", "score", "place")
 
 
@@ -149,23 +222,55 @@ def pack(ranked: DataFrame, chunks: DataFrame, budget: int = 24000) -> DataFrame
     return fit.groupBy("question_id").agg(rows.alias("r")).select("question_id", F.size("r").alias("n_blocks"), F.array_join(F.transform("r", lambda x: x["block"]), "\n---\n").alias("context"), F.transform("r", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, k: int = 20, extra: tuple[tuple[float, DataFrame], ...] = ()) -> DataFrame:
-    """Exact (4.0) and keyword (2.0) lists, and any others given with their weight, fused and reranked: (question_id, chunk_id, score, place).
+def by_variants(one, questions: DataFrame, registry: DataFrame | None, k: int) -> DataFrame:
+    """(question_id, chunk_id, rank) of a retriever over each question and its alias variants: what a variant adds comes after."""
+    if registry is None:
+        return one(questions, k).select("question_id", "chunk_id", "rank")
+    v = cut(joins.alias_variants(questions, registry).withColumn("variant_id", F.concat_ws("/", "question_id", "ord.c", "ord.p")))
+    found = one(v.select(F.col("variant_id").alias("question_id"), F.col("variant").alias("text")), k).select(F.col("question_id").alias("variant_id"), "chunk_id", F.col("rank").alias("r"))
+    rows = found.join(v.select("variant_id", "question_id", "ord"), "variant_id")
+    return ranking.first_occurrence(rows, ["question_id"], "chunk_id", k, F.col("ord"), F.col("r")).select("question_id", "chunk_id", "rank")
+
+
+def lists(questions: DataFrame, chunks: DataFrame, k: int, registry: DataFrame | None = None, embedder=None) -> DataFrame:
+    """The lists to fuse: (question_id, chunk_id, rank, list_no, weight), by WEIGHTS.
 
-    The keyword list is left out, question by question, where a pure exact question has enough exact hits.
+    Question by question, the keyword list is left out where a pure exact question has enough exact hits, and the
+    vector list where exact hits fill k. Without an embedder there is no vector list.
     """
-    by_exact = exact(questions, chunks, k)
-    by_words = keyword(questions, chunks, k)
-    enough = by_exact.groupBy("question_id").agg((F.count("*") >= min(3, k)).alias("enough"))
-    pure = questions.select("question_id", ((F.size(text.exact_terms(F.col("text"))) > 0) & (F.size(text.words(F.col("text"))) < 4)).alias("pure"))
-    skip = pure.join(enough, "question_id").where("pure and enough").select("question_id")
-    by_words = by_words.join(skip, "question_id", "left_anti")
-    parts = [(0, 4.0, by_exact), (2, 2.0, by_words), *((3 + i, weight, rows) for i, (weight, rows) in enumerate(extra))]
-    lists = None
-    for no, weight, rows in parts:
-        one = rows.select("question_id", "chunk_id", "rank", F.lit(no).alias("list_no"), F.lit(weight).alias("weight"))
-        lists = one if lists is None else lists.unionByName(one)
-    return rerank(ranking.fuse(lists, k), questions, chunks)
+    found = {"exact": cut(by_variants(lambda q, n: exact(q, chunks, n), questions, registry, k))}
+    hits = found["exact"].groupBy("question_id").agg(F.count("*").alias("n"))
+    pure = questions.where((F.size(text.exact_terms(F.col("text"))) > 0) & (F.size(text.words(F.col("text"))) < 4)).select("question_id")
+    skip = hits.where(F.col("n") >= min(3, k)).join(pure, "question_id", "left_semi")
+    terms = cut(keyword_postings(chunks))
+    if embedder is not None:
+        rows = embedder.attach(chunks, "text").select(F.col("chunk_id").alias("vec_id"), "embedding")
+        asked = embedder.attach(questions, "text").select("question_id", F.col("embedding").alias("q")).join(hits.where(F.col("n") >= k), "question_id", "left_anti")
+        found["vector"] = vectors(asked, rows, k, "cosine").withColumnRenamed("vec_id", "chunk_id")
+    found["keyword"] = by_variants(lambda q, n: keyword(q, chunks, n, terms), questions, registry, k).join(skip, "question_id", "left_anti")
+    found["frequency"] = term_frequency(questions, chunks, k)
+    out = None
+    for no, name in enumerate(WEIGHTS):
+        if name in found:
+            one = found[name].select("question_id", "chunk_id", "rank", F.lit(no).alias("list_no"), F.lit(WEIGHTS[name]).alias("weight"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def hybrid(questions: DataFrame, chunks: DataFrame, k: int = 20, registry: DataFrame | None = None, embedder=None, related: DataFrame | None = None) -> DataFrame:
+    """The lists of all retrievers fused, with room for related(question_id, rank, chunk_id) chunks of a graph, then reranked: (question_id, chunk_id, score, place)."""
+    fused = cut(ranking.fuse(lists(questions, chunks, k, registry, embedder), k).select("question_id", "rank", "chunk_id"))  # k rows a question
+    if related is not None:
+        fused = cut(ranking.graph_budget(fused, related).withColumnRenamed("place", "rank"))
+    return rerank(fused, questions, chunks)
+
+
+def mentioned(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(question_id, rank, chunk_id): chunks that a graph of MENTIONS edges (chunk -> ticket) joins to the tickets that a question names, by path and place."""
+    edges = chunks.select("chunk_id", "source_path", "chunk_index", F.explode(F.array_distinct("ticket_ids")).alias("ticket"))
+    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(text.exact_terms(F.col("text")), F.upper))).alias("ticket"))
+    near = edges.join(asked, "ticket").select("question_id", "chunk_id", "source_path", "chunk_index").distinct()
+    return ranking.top(near, ["question_id"], k, F.col("source_path"), F.col("chunk_index")).select("question_id", "rank", "chunk_id")
 
 
 def search(docs: DataFrame, query: str, guest: bool, limit: int = 20) -> DataFrame:

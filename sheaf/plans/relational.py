@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import labels, text
 from sheaf.operators import filters, joins, ranking
 from sheaf.plans.binding import Plans, docs, table, with_docs
-from sheaf.plans.scalars import js, squeeze_sql
+from sheaf.plans.scalars import distinct_sql, js, squeeze_sql
 
 P = Plans()
 c = F.col
@@ -103,27 +103,28 @@ def jn9(spark, d):
     return joins.unmapped(docs(spark, d).select(F.explode("people").alias("name")).distinct(), registry(spark), frame(spark, [("Person B",)], "name string"))
 
 
-_q = lambda d: d.where("doc_id % 20 = 4").select(c("doc_id").alias("question_id"), F.concat(F.lit("who asked "), c("people")[0], F.lit("?")).alias("text"))
+_q = lambda d: d.select(c("doc_id").alias("question_id"), F.concat(F.lit("who asked "), c("people")[0], F.lit("?")).alias("text"))
 
 
-@P.query("jn10_alias_expansion", with_docs(f"SELECT doc_id AS question_id, 'who asked ' || people[1] || '?' AS variant FROM docs WHERE doc_id % 20 = 4 UNION ALL SELECT doc_id, 'who asked ' || alias || '?' FROM docs JOIN {REGISTRY_SQL} ON canonical = people[1] WHERE doc_id % 20 = 4"))
+@P.query("jn10_alias_expansion", with_docs(f"SELECT doc_id AS question_id, 'who asked ' || people[1] || '?' AS variant FROM docs UNION ALL SELECT doc_id, 'who asked ' || alias || '?' FROM docs JOIN {REGISTRY_SQL} ON canonical = people[1]"))
 def jn10(spark, d):
     return joins.alias_variants(_q(docs(spark, d)), registry(spark)).select("question_id", "variant")
 
 
-@P.query("jn11_dependency_expansion", with_docs(f"SELECT doc_id AS question_id, 'who asked ' || people[1] || '?' AS variant FROM docs WHERE doc_id % 20 = 4 UNION ALL SELECT doc_id, 'who asked ' || unnest([alias, dep]) || '?' FROM docs JOIN {REGISTRY_SQL} ON canonical = people[1] WHERE doc_id % 20 = 4"))
+@P.query("jn11_dependency_expansion", with_docs(f"SELECT doc_id AS question_id, 'who asked ' || people[1] || '?' AS variant FROM docs UNION ALL SELECT doc_id, 'who asked ' || unnest([alias, dep]) || '?' FROM docs JOIN {REGISTRY_SQL} ON canonical = people[1]"))
 def jn11(spark, d):
-    wide = registry(spark).select("canonical", F.concat("aliases", "depends_on").alias("aliases"))
+    wide = registry(spark).select("canonical", "aliases", c("depends_on").alias("more"))
     own = registry(spark).select(c("canonical").alias("name")).join(docs(spark, d).select(F.explode("people").alias("name")).distinct(), "name", "left_semi")
     return joins.alias_variants(_q(docs(spark, d)), wide.join(own, c("canonical") == c("name"), "left_semi")).select("question_id", "variant").distinct()
 
 
-@P.query("jn17_fuzzy_titles", """WITH a AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t FROM part WHERE p_partkey % 40 = 0), b AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) AS t FROM part WHERE p_partkey % 40 = 1),
+@P.query("jn17_fuzzy_titles", f"""WITH w AS (SELECT p_partkey AS id, list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3) AS l FROM part), a AS (SELECT id, {distinct_sql('l')} AS t FROM w), b AS (SELECT id + 1000000 AS id, CASE WHEN id % 3 = 0 AND len(t) > 1 THEN t[2:] ELSE t END AS t FROM a),
     s AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t)) AS k, least(len(a.t), len(b.t)) AS m FROM a, b), r AS (SELECT left_id, right_id, k / m + CASE WHEN k = m THEN 0.2 ELSE 0 END AS score FROM s WHERE k > 0 AND k / m + CASE WHEN k = m THEN 0.2 ELSE 0 END >= 0.3)
     SELECT left_id, right_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS n FROM r) WHERE n = 1""")
 def jn17(spark, d):
     t = table(spark, d, "part").select(c("p_partkey").alias("id"), F.array_distinct(F.filter(F.split(F.lower("p_name"), " "), lambda w: F.length(w) >= 3)).alias("tokens"))
-    return joins.fuzzy_titles(t.where("id % 40 = 0"), t.where("id % 40 = 1"), 0.3).withColumn("score", F.round("score", 6))
+    cut = F.when((c("id") % 3 == 0) & (F.size("tokens") > 1), F.slice("tokens", 2, 99)).otherwise(c("tokens"))  # copies, of which some lack their first word
+    return joins.fuzzy_titles(t, t.select((c("id") + 1000000).alias("id"), cut.alias("tokens")), 0.3).withColumn("score", F.round("score", 6))
 
 
 @P.query("jn18_cascading_keys", "SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 = 0 THEN p.p_partkey WHEN p.p_partkey % 3 = 1 THEN p.p_partkey END AS hit, CASE p.p_partkey % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'key' ELSE 'none' END AS via FROM part p")
@@ -373,7 +374,7 @@ def wn15(spark, d):
 def wn16(spark, d):
     m = table(spark, d, "conversations").withColumn("line", F.concat("role", F.lit(": "), F.when(c("role") == "user", F.substring("text", 1, 200)).otherwise(F.substring("text", 1, 80))))
     t = m.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("transcript"))
-    return t.withColumn("number", F.row_number().over(Window.orderBy(c("conv_id").desc())))
+    return t.join(ranking.numbered(m.select("conv_id").distinct(), c("conv_id").desc()), "conv_id")
 
 
 P.over_docs("wn17_sequence_restart", lambda d: d.select("doc_id", F.quarter("doc_date").alias("quarter"), F.row_number().over(Window.partitionBy(F.quarter("doc_date")).orderBy("doc_date", "doc_id")).alias("number")), "SELECT doc_id, cast(quarter(doc_date) AS int) AS quarter, row_number() OVER (PARTITION BY quarter(doc_date) ORDER BY doc_date, doc_id) AS number FROM docs")
@@ -399,6 +400,11 @@ def sr4(spark, d):
     return table(spark, d, "orders").orderBy(c("o_totalprice").desc(), "o_orderkey").offset(100).limit(50).select("o_orderkey")
 
 
+@P.query("sr6_limit_clamp", "SELECT event_id, least(100, greatest(1, coalesce(CASE WHEN event_id % 9 > 0 THEN cast(floor(value) AS int) - 50 END, 20))) AS most FROM events")
+def sr6(spark, d):
+    return table(spark, d, "events").select("event_id", ranking.clamp(F.when(c("event_id") % 9 > 0, F.floor("value").cast("int") - 50)).alias("most"))
+
+
 P.over_docs("sr5_undated_last", lambda d: d.select("doc_id", F.when(c("doc_id") % 4 > 0, c("doc_date")).alias("x")).orderBy(c("x").desc_nulls_last(), "doc_id").limit(170).select("doc_id", c("x").cast("string").alias("day")), "SELECT doc_id, cast(x AS varchar) AS day FROM (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN doc_date END AS x FROM docs) ORDER BY x DESC NULLS LAST, doc_id LIMIT 170")
 P.over_docs("sr7_priority_sort", lambda d: d.select("doc_id", labels.priority(c("state"), c("title")).alias("p")).withColumn("legacy", F.row_number().over(Window.partitionBy(c("doc_id") % 16).orderBy(c("p").desc(), "doc_id"))).withColumn("ordinal", F.row_number().over(Window.partitionBy(c("doc_id") % 16).orderBy(F.when(c("p") == "high", 0).when(c("p") == "medium", 1).otherwise(2), "doc_id"))).drop("p"),
     "SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY p DESC, doc_id) AS legacy, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY CASE p WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, doc_id) AS ordinal FROM (" + __import__("sheaf.plans.scalars", fromlist=["P"]).P.ORACLE["fn43_priority_guess"].split("FROM documents) ", 1)[1].replace(" AS priority", " AS p") + ")")

@@ -17,14 +17,27 @@ CHUNKS_SQL = """chunks AS (SELECT doc_id, i AS chunk_index, substring(sha1(doc_i
 
 
 def chunk_table(spark, d):
-    rows = docs(spark, d)
-    meta = rows.select("doc_id", c("rel_path").alias("source_path"), c("lang").alias("section"), "project", "doc_type", "source_channel", F.lit("high").alias("reliability"), "ticket_ids", "people", "visibility", c("doc_date").cast("string").alias("date"))
-    return chunking.chunks(rows).withColumnRenamed("chunk", "text").join(meta, "doc_id")
+    labels = ("source_path", "section", "project", "doc_type", "source_channel", "reliability", "ticket_ids", "people", "visibility", "date")
+    rows = docs(spark, d).select("doc_id", "text", c("rel_path").alias("source_path"), c("lang").alias("section"), "project", "doc_type", "source_channel", F.lit("high").alias("reliability"), "ticket_ids", "people", "visibility", c("doc_date").cast("string").alias("date"))
+    return chunking.chunks(rows, keep=labels).withColumnRenamed("chunk", "text")
+
+
+class LetterCounts:
+    """Vectors that SQL can make as well: how often each letter stands in the text, plus one."""
+
+    size = 26
+
+    def attach(self, rows, text):
+        low = F.lower(text)
+        return rows.withColumn("embedding", F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i), F.lit(""))) + 1).cast("double")))
 
 
 QUESTIONS = [(1, "TKT-3 status of the erand"), (2, "src2/en/doc-42.md"), (3, "erand Thth"), (4, "what is the plan of Person C on src1"), (5, "report TKT-7 email timeline"), (6, "who does phu trach golive of src3 erand")]
+#: What the questions' variants by REGISTRY are (the last one is of question 4), and their terms, worked out by hand.
+REGISTRY, VARIANT = [("src1", ["src10"])], (7, 4, "what is the plan of Person C on src10")
 EXACT = [(1, "tkt-3"), (2, "doc-42.md"), (3, "erand thth"), (5, "tkt-7")]
 KEYWORDS = {1: ["tkt-3", "status", "erand"], 2: ["src2/en/doc-42.md"], 3: ["erand", "thth"], 4: ["plan", "person", "src1"], 5: ["report", "tkt-7", "email", "timeline"], 6: ["who", "does", "phu", "trach", "golive", "src3", "erand"]}
+ALL_KEYWORDS = KEYWORDS | {7: ["plan", "person", "src10"]}
 
 
 def questions(spark):
@@ -40,13 +53,19 @@ EXACT_SQL = f"""f AS (SELECT chunk_id, source_path, chunk_index, lower(source_pa
     e AS (SELECT q, chunk_id, source_path, chunk_index, sum(CASE WHEN p = t OR ends_with(p, '/' || t) THEN 200 WHEN contains(p, t) THEN 120 ELSE 0 END + contains(s, t)::int * 40 + contains(j, t)::int * 30 + contains(d, t)::int * 20 + contains(x, t)::int * 10) + max(contains(x, w)::int * 15) AS score
     FROM f, {values([(q, t, dict((i, x.lower()) for i, x in QUESTIONS)[q]) for q, t in EXACT])} v(q, t, w) GROUP BY ALL),
     exact AS (SELECT q AS question_id, chunk_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, source_path, chunk_index) AS rank FROM e WHERE score > 0)"""
-KEYWORD_SQL = f"""g AS (SELECT chunk_id, source_path, chunk_index, lower(source_path) AS p, lower(section) AS s, lower(project) AS j, lower(doc_type) AS d, source_channel AS h, reliability AS r, list_transform(ticket_ids, lambda z: lower(z)) AS k, list_transform(people, lambda z: lower(z)) AS w, {fold_sql('text')} AS x FROM chunks),
+
+
+def keyword_sql(words) -> str:
+    return f"""g AS (SELECT chunk_id, source_path, chunk_index, lower(source_path) AS p, lower(section) AS s, lower(project) AS j, lower(doc_type) AS d, source_channel AS h, reliability AS r, list_transform(ticket_ids, lambda z: lower(z)) AS k, list_transform(people, lambda z: lower(z)) AS w, {fold_sql('text')} AS x FROM chunks),
     ks AS (SELECT q, chunk_id, source_path, chunk_index, (len(list_filter(k, lambda z: contains(z, t))) > 0)::int * 120 + (len(list_filter(w, lambda z: contains(z, t))) > 0)::int * 60 + CASE WHEN {_whole('p')} THEN 50 WHEN contains(p, t) THEN 30 ELSE 0 END
-    + {_whole('s')}::int * 30 + contains(j, t)::int * 20 + contains(d, t)::int * 15 + {_whole('h')}::int * 8 + {_whole('r')}::int * 5 + CASE WHEN {_whole('x')} THEN 12 WHEN contains(x, t) THEN 6 ELSE 0 END AS score FROM g, {values([(q, t) for q, ts in KEYWORDS.items() for t in ts])} v(q, t)),
+    + {_whole('s')}::int * 30 + contains(j, t)::int * 20 + contains(d, t)::int * 15 + {_whole('h')}::int * 8 + {_whole('r')}::int * 5 + CASE WHEN {_whole('x')} THEN 12 WHEN contains(x, t) THEN 6 ELSE 0 END AS score FROM g, {values([(q, t) for q, ts in words.items() for t in ts])} v(q, t)),
     kt AS (SELECT q, chunk_id, source_path, chunk_index, sum(score) + CASE WHEN count(*) > 1 THEN count(*) * 10 ELSE 0 END AS score FROM ks WHERE score > 0 GROUP BY ALL),
     keyword AS (SELECT q AS question_id, chunk_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, source_path, chunk_index) AS rank FROM kt)"""
 
 
+KEYWORD_SQL, ALL_KEYWORD_SQL = keyword_sql(KEYWORDS), keyword_sql(ALL_KEYWORDS)
+
+
 def with_chunks(sql: str, *parts: str) -> str:
     return with_docs("WITH " + ", ".join((CHUNKS_SQL, *parts)) + " " + sql)
 
@@ -88,12 +107,17 @@ def rt3c(spark, d):
     return vector_queries(spark, d, "cosine")
 
 
-_tf = {4: ["what", "the", "plan", "person", "src1"], 6: ["who", "does", "phu", "trach", "golive", "src3", "erand"]}
+_tf = {1: ["tkt-3", "status", "the", "erand"], 2: ["src2/en/doc-42.md"], 3: ["erand", "thth"], 4: ["what", "the", "plan", "person", "src1"], 5: ["report", "tkt-7", "email", "timeline"], 6: ["who", "does", "phu", "trach", "golive", "src3", "erand"]}
+FREQUENCY_SQL = f"""frequency AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q AS question_id, chunk_id, sum((length(text) - length(replace(lower(text), t, ''))) // length(t)) AS score FROM chunks, {values([(q, t) for q, ts in _tf.items() for t in ts])} v(q, t) WHERE contains(lower(text), t) GROUP BY 1, 2))"""
+_letters = lambda e: f"list_transform(range(97, 123), lambda i: (length({e}) - length(replace(lower({e}), chr(cast(i AS int)), '')) + 1)::double)"
+VECTOR_SQL = f"""vq AS (SELECT q, {_letters('x')} AS e FROM {values(QUESTIONS)} v(q, x)), ve AS (SELECT chunk_id, project, {_letters('text')} AS e FROM chunks),
+    near AS (SELECT q AS question_id, chunk_id, project, round(1 - list_cosine_similarity(ve.e, vq.e), 6) AS distance FROM ve, vq),
+    vector AS (SELECT question_id, chunk_id, distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank FROM near WHERE question_id NOT IN (SELECT question_id FROM exact WHERE rank <= 20 GROUP BY 1 HAVING count(*) >= 20))"""
 
 
-@P.query("rt4_term_frequency", with_chunks(f"SELECT question_id, chunk_id, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS n FROM (SELECT q AS question_id, chunk_id, sum((length(text) - length(replace(lower(text), t, ''))) // length(t)) AS score FROM chunks, {values([(q, t) for q, ts in _tf.items() for t in ts])} v(q, t) WHERE contains(lower(text), t) GROUP BY 1, 2)) WHERE n <= 10"))
+@P.query("rt4_term_frequency", with_chunks("SELECT question_id, chunk_id, score, rank FROM frequency WHERE rank <= 10", FREQUENCY_SQL))
 def rt4(spark, d):
-    return retrieval.term_frequency(questions(spark).where("question_id in (4, 6)"), chunk_table(spark, d), 10)
+    return retrieval.term_frequency(questions(spark), chunk_table(spark, d), 10)
 
 
 @P.query("rt5_filename_relevance", with_docs("SELECT q AS question_id, source, source_path, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, source_path) AS n FROM (SELECT q, source, rel_path AS source_path, count(*) AS score FROM docs, (VALUES (1, 'doc-42.md'), (1, 'en'), (1, 'doc'), (2, 'de'), (2, '7')) v(q, t) WHERE contains(lang || ' ' || 'doc-' || doc_id || '.md', t) GROUP BY 1, 2, 3)) WHERE n <= 6"))
@@ -102,22 +126,27 @@ def rt5(spark, d):
     return retrieval.names(q, docs(spark, d).select(c("rel_path").alias("source_path"), "source"), 6)
 
 
-@P.query("rt8_conditional_branches", with_chunks("SELECT question_id, count(*) FILTER (via = 'e') AS n_exact, count(*) FILTER (via = 'k') AS n_keyword FROM (SELECT question_id, 'e' AS via FROM exact WHERE rank <= 20 UNION ALL SELECT question_id, 'k' FROM keyword WHERE rank <= 20 AND question_id NOT IN (SELECT question_id FROM exact WHERE question_id IN (2, 3) AND rank <= 20 GROUP BY 1 HAVING count(*) >= 3)) GROUP BY 1", EXACT_SQL, KEYWORD_SQL))
+@P.query("rt8_conditional_branches", with_chunks("SELECT question_id, count(*) FILTER (via = 'e') AS n_exact, count(*) FILTER (via = 'v') AS n_vector, count(*) FILTER (via = 'k') AS n_keyword FROM (SELECT question_id, 'e' AS via FROM exact WHERE rank <= 20 UNION ALL SELECT question_id, 'v' FROM vector WHERE rank <= 20 UNION ALL SELECT question_id, 'k' FROM keyword WHERE rank <= 20 AND question_id NOT IN (SELECT question_id FROM exact WHERE question_id IN (2, 3) AND rank <= 20 GROUP BY 1 HAVING count(*) >= 3)) GROUP BY 1", EXACT_SQL, KEYWORD_SQL, VECTOR_SQL))
 def rt8(spark, d):
-    ch, q = chunk_table(spark, d), questions(spark)
-    e, k = retrieval.exact(q, ch, 20), retrieval.keyword(q, ch, 20)
-    pure = q.where((F.size(text.exact_terms(c("text"))) > 0) & (F.size(text.words(c("text"))) < 4)).select("question_id")
-    skip = e.groupBy("question_id").count().where("count >= 3").join(pure, "question_id", "left_semi").select("question_id")
-    both = e.select("question_id", F.lit("e").alias("via")).union(k.join(skip, "question_id", "left_anti").select("question_id", F.lit("k")))
-    return both.groupBy("question_id").agg(F.count_if(c("via") == "e").alias("n_exact"), F.count_if(c("via") == "k").alias("n_keyword"))
+    found = retrieval.lists(questions(spark), chunk_table(spark, d), 20, None, LetterCounts())
+    return found.where("list_no < 3").groupBy("question_id").agg(*(F.count_if(c("list_no") == i).alias(n) for i, n in enumerate(("n_exact", "n_vector", "n_keyword"))))
+
 
+_own, _shared = "project < 'src15'", "project >= 'src15'"
+_list = lambda of, where, w: f"SELECT question_id, chunk_id, {w} AS w, row_number() OVER (PARTITION BY question_id ORDER BY {'distance, chunk_id' if of == 'near' else 'rank'}) AS rank FROM {of} {'' if of == 'near' else 'JOIN (SELECT chunk_id, project FROM chunks) USING (chunk_id)'} WHERE {where}"
 
-@P.query("rt9_federation", with_chunks("SELECT question_id, chunk_id, round(sum(w / (10.0::double + rank)), 6) AS score FROM (SELECT question_id, chunk_id, 3.5 AS w, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM keyword JOIN chunks USING (chunk_id) WHERE project < 'src15' UNION ALL SELECT question_id, chunk_id, 2.1, row_number() OVER (PARTITION BY question_id ORDER BY rank) FROM keyword JOIN chunks USING (chunk_id) WHERE project >= 'src15') WHERE rank <= 10 GROUP BY 1, 2", KEYWORD_SQL))
+
+@P.query("rt9_federation", with_chunks(f"SELECT question_id, chunk_id, round(sum(w / (10.0::double + rank)), 6) AS score FROM ({_list('keyword', _own, 2.0)} UNION ALL {_list('keyword', _shared, 1.2)} UNION ALL {_list('near', _own, 3.5)} UNION ALL {_list('near', _shared, 2.1)}) WHERE rank <= 10 GROUP BY 1, 2", EXACT_SQL, KEYWORD_SQL, VECTOR_SQL))
 def rt9(spark, d):
-    ch, q = chunk_table(spark, d), questions(spark)
-    one = lambda rows, no, w: retrieval.keyword(q, rows, 10).select("question_id", "chunk_id", "rank", F.lit(no).alias("list_no"), F.lit(w).alias("weight"))
-    lists = one(ch.where("project < 'src15'"), 0, 3.5).unionByName(one(ch.where("project >= 'src15'"), 1, 3.5 * 0.6))
-    return ranking.fuse(lists, 100).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+    ch, q, by = chunk_table(spark, d), questions(spark), LetterCounts()
+    out = None
+    for no, (where, share) in enumerate(((_own, 1.0), (_shared, retrieval.SHARED))):
+        rows = ch.where(where)
+        near = retrieval.vectors(by.attach(q, "text").select("question_id", c("embedding").alias("q")), by.attach(rows, "text").select(c("chunk_id").alias("vec_id"), "embedding"), 10, "cosine").withColumnRenamed("vec_id", "chunk_id")
+        for name, found in (("keyword", retrieval.keyword(q, rows, 10)), ("vector", near)):
+            one = found.select("question_id", "chunk_id", "rank", F.lit(no).alias("list_no"), F.lit(retrieval.WEIGHTS[name] * share).alias("weight"))
+            out = one if out is None else out.unionByName(one)
+    return ranking.fuse(out, 100).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 P.over_docs("rt10_document_search", lambda d: retrieval.search(d, "the er", True).select("doc_id", "rel_path"), "SELECT doc_id, rel_path FROM docs WHERE visibility = 'shared' AND contains(lower(concat_ws(chr(10), rel_path, project, text)), 'the') AND contains(lower(concat_ws(chr(10), rel_path, project, text)), 'er') ORDER BY doc_date DESC, rel_path DESC LIMIT 20")
@@ -137,12 +166,12 @@ def ag25(spark, d):
     return j.groupBy("question_id").agg(F.count("*").alias("candidates"), F.count_distinct("source_path").alias("sources"), (F.count("*") - F.count_distinct("source_path")).alias("repeats"))
 
 
-def _rerank_sql() -> str:
+def _rerank_sql(of: str = "keyword WHERE rank <= 10") -> str:
     """The additive score for questions without process codes in path or section, spelled out per term."""
     kinds = [(q, t, True) for q, t in EXACT] + [(q, t, False) for q, ts in KEYWORDS.items() for t in ts]
     anchors = {1: ["tkt-3", "status", "erand"], 2: ["src2/en/doc-42.md"], 3: ["erand", "thth"], 4: ["plan", "person", "src1"], 5: ["report", "tkt-7", "email"], 6: ["does", "trach", "src3", "erand"]}
     ctx = [(q, text_.lower().replace("?", ""), q == 6, q == 5, q == 6) for q, text_ in QUESTIONS]
-    return f"""c0 AS (SELECT k.question_id, k.chunk_id, k.rank, g.* EXCLUDE (chunk_id) FROM keyword k JOIN g USING (chunk_id) WHERE k.rank <= 10),
+    return f"""c0 AS (SELECT k.question_id, k.chunk_id, k.rank, g.* EXCLUDE (chunk_id) FROM (SELECT question_id, chunk_id, rank FROM {of}) k JOIN g USING (chunk_id)),
     fs AS (SELECT question_id, chunk_id, sum((len(list_filter(k, lambda z: contains(z, t))) > 0)::int * CASE WHEN ex THEN 140 ELSE 70 END + (len(list_filter(w, lambda z: contains(z, t))) > 0)::int * CASE WHEN ex THEN 80 ELSE 35 END + contains(p, t)::int * CASE WHEN ex THEN 70 ELSE 30 END + contains(s, t)::int * CASE WHEN ex THEN 40 ELSE 18 END + contains(j, t)::int * CASE WHEN ex THEN 30 ELSE 14 END + contains(d, t)::int * CASE WHEN ex THEN 18 ELSE 8 END + (contains(h, t)::int + contains(r, t)::int) * CASE WHEN ex THEN 8 ELSE 4 END + contains(x, t)::int * CASE WHEN ex THEN 16 ELSE 10 END) AS v FROM c0 JOIN {values(kinds)} u(q, t, ex) ON q = question_id GROUP BY 1, 2),
     am AS (SELECT question_id, chunk_id, sum(contains(j, t)::int * 3 + contains(p, t)::int * 3 + contains(s, t)::int * 2 + contains(x, t)::int) AS m FROM c0 JOIN {values([(q, t) for q, ts in anchors.items() for t in ts])} u(q, t) ON q = question_id GROUP BY 1, 2),
     rr AS (SELECT c0.question_id, c0.chunk_id, c0.rank, contains(x, qn)::int * 30 + contains(p, qn)::int * 80 + v + m * 20 + least(m, 8) * 10 + CASE WHEN ppl THEN least(len(w), 4) * 20 + (regexp_matches(x, 'phu trach|dau moi|spoc|review ho so|thu tuc golive'))::int * 90 ELSE 0 END + CASE WHEN tim THEN regexp_matches(p, 'cap nhat|tien do|mom|ho chieu|ocr|golive')::int * 70 ELSE 0 END + CASE WHEN ops THEN 50 ELSE 0 END + least(len(k), 3) * 3 + least(len(w), 4) * 2 AS score FROM c0 JOIN fs USING (question_id, chunk_id) JOIN am USING (question_id, chunk_id) JOIN {values(ctx)} z(q, qn, ppl, tim, ops) ON q = c0.question_id)"""
@@ -154,21 +183,38 @@ def wn11(spark, d):
     return retrieval.rerank(retrieval.keyword(q, ch, 10).drop("score"), q, ch)
 
 
-@P.query("rt7_hybrid_query")
+_variant = lambda of, n: f"""{n} AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY v, r) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY v, r) AS once FROM (SELECT CASE question_id WHEN {VARIANT[0]} THEN {VARIANT[1]} ELSE question_id END AS question_id, question_id AS v, chunk_id, rank AS r FROM {of} WHERE rank <= 20)) WHERE once = 1)"""
+HYBRID_SQL = (
+    _variant("keyword", "by_word"),
+    f"""lists AS (SELECT question_id, chunk_id, rank, 0 AS no, 4.0::double AS w FROM exact WHERE rank <= 20 UNION ALL SELECT question_id, chunk_id, rank, 1, 3.5 FROM vector WHERE rank <= 20 UNION ALL
+    SELECT question_id, chunk_id, rank, 2, 2.0 FROM by_word WHERE rank <= 20 AND question_id NOT IN (SELECT question_id FROM exact WHERE question_id IN (2, 3) AND rank <= 20 GROUP BY 1 HAVING count(*) >= 3) UNION ALL SELECT question_id, chunk_id, rank, 3, 3.0 FROM frequency WHERE rank <= 20),
+    fused AS (SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(sum(w / (10.0::double + rank)), 9) DESC, min(struct_pack(a := no, b := rank))) AS rank FROM lists GROUP BY 1, 2) WHERE rank <= 20),
+    related AS (SELECT * FROM (SELECT q AS question_id, chunk_id, row_number() OVER (PARTITION BY q ORDER BY source_path, chunk_index) AS rank FROM chunks, {values([(1, 'TKT-3'), (5, 'TKT-7')])} v(q, t) WHERE list_contains(ticket_ids, t)) WHERE rank <= 20),
+    added AS (SELECT question_id, chunk_id, r, n, count(*) OVER (PARTITION BY question_id) AS g FROM (SELECT x.question_id, x.chunk_id, row_number() OVER (PARTITION BY x.question_id ORDER BY x.rank, x.chunk_id) AS r, n FROM related x JOIN (SELECT question_id, count(*) AS n FROM fused GROUP BY 1) USING (question_id) ANTI JOIN fused f ON f.question_id = x.question_id AND f.chunk_id = x.chunk_id) WHERE r <= greatest(1, n // 2)),
+    both_ AS (SELECT question_id, chunk_id, rank FROM (SELECT f.*, count(*) OVER (PARTITION BY question_id) AS n, coalesce((SELECT max(g) FROM added a WHERE a.question_id = f.question_id), 0) AS g FROM fused f) WHERE rank <= n - g UNION ALL SELECT question_id, chunk_id, n - g + r FROM added)""",
+    _rerank_sql("both_"),
+    "placed AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS place FROM rr)",
+)
+
+
+@P.query("rt7_hybrid_query", with_chunks("""SELECT question_id, cast(count(*) AS int) AS n_blocks, string_agg(chunk_id, '|' ORDER BY place) AS chunk_ids FROM (SELECT *, sum(size) OVER (PARTITION BY question_id ORDER BY place) AS used FROM (SELECT question_id, chunk_id, length('[' || source_channel || ' | ' || date || ' | ' || source_path || '#' || section || ']' || chr(10) || text || chr(10)) AS size, row_number() OVER (PARTITION BY question_id ORDER BY r, f) AS place FROM (SELECT k.question_id, k.chunk_id, h.*, row_number() OVER (PARTITION BY question_id, source_path ORDER BY k.place) AS r, min(k.place) OVER (PARTITION BY question_id, source_path) AS f FROM placed k JOIN (SELECT chunk_id AS cid, * EXCLUDE (chunk_id) FROM chunks) h ON h.cid = k.chunk_id))) WHERE used <= 24000 GROUP BY 1""", EXACT_SQL, ALL_KEYWORD_SQL, FREQUENCY_SQL, VECTOR_SQL, *HYBRID_SQL))
 def rt7(spark, d):
-    ch, q = chunk_table(spark, d), questions(spark)
-    return retrieval.hybrid(q, ch, 20)
+    """Variants, four lists, fusion, graph chunks, reranking, diversification and the budget, over all chunks."""
+    ch, q = graph.cut(chunk_table(spark, d)), questions(spark)
+    registry = spark.createDataFrame(REGISTRY, "canonical string, aliases array<string>")
+    packed = retrieval.pack(retrieval.hybrid(q, ch, 20, registry, LetterCounts(), retrieval.mentioned(q, ch, 20)), ch)
+    return packed.select("question_id", "n_blocks", js(c("chunk_ids")).alias("chunk_ids"))
 
 
 # graph ---------------------------------------------------------------------------------------------------------------
-EDGES_SQL = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS from_id, 'MENTIONS' AS relation, 'p' || l_partkey AS to_id FROM lineitem WHERE l_orderkey % 10 = 0 UNION SELECT DISTINCT 'p' || l_partkey, 'DEPENDS_ON', 's' || l_suppkey FROM lineitem WHERE l_partkey % 5 = 0 UNION SELECT 's' || s_suppkey, 'BELONGS_TO', 'n' || s_nationkey FROM supplier)"
+EDGES_SQL = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS from_id, 'MENTIONS' AS relation, 'p' || l_partkey AS to_id FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'DEPENDS_ON', 's' || l_suppkey FROM lineitem UNION SELECT 's' || s_suppkey, 'BELONGS_TO', 'n' || s_nationkey FROM supplier)"
 
 
 def edges(spark, d):
     li = table(spark, d, "lineitem")
     tag = lambda p, col: F.concat(F.lit(p), col.cast("string"))
-    a = li.where("l_orderkey % 10 = 0").select(tag("o", c("l_orderkey")).alias("from_id"), F.lit("MENTIONS").alias("relation"), tag("p", c("l_partkey")).alias("to_id"))
-    b = li.where("l_partkey % 5 = 0").select(tag("p", c("l_partkey")), F.lit("DEPENDS_ON"), tag("s", c("l_suppkey")))
+    a = li.select(tag("o", c("l_orderkey")).alias("from_id"), F.lit("MENTIONS").alias("relation"), tag("p", c("l_partkey")).alias("to_id"))
+    b = li.select(tag("p", c("l_partkey")), F.lit("DEPENDS_ON"), tag("s", c("l_suppkey")))
     s = table(spark, d, "supplier").select(tag("s", c("s_suppkey")), F.lit("BELONGS_TO"), tag("n", c("s_nationkey")))
     return a.union(b).union(s).distinct()
 
@@ -190,14 +236,14 @@ def jn14(spark, d):
 
 
 def relations(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
     rel = li.select(c("l_orderkey").alias("chunk_id"), F.concat(F.lit("part "), "l_partkey").alias("from_name"), F.when(c("l_partkey") % 3 == 0, "MADE_BY").otherwise("DEPENDS_ON").alias("relation"), F.concat(F.lit("supplier "), "l_suppkey").alias("to_name"))
     ent = li.where("l_partkey % 4 > 0").select(c("l_orderkey").alias("chunk_id"), F.concat(F.lit("part "), "l_partkey").alias("name"), F.concat(F.lit("p"), "l_partkey").alias("node_id"), F.lit("Part").alias("type")).union(
         li.select("l_orderkey", F.concat(F.lit("supplier "), "l_suppkey"), F.concat(F.lit("s"), "l_suppkey"), F.when(c("l_suppkey") % 2 == 0, "Supplier").otherwise("Person"))).distinct()
     return rel, ent
 
 
-_rel = "li AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 2), rel AS (SELECT l_orderkey AS chunk_id, 'p' || l_partkey AS from_id, CASE WHEN l_partkey % 3 = 0 THEN 'MADE_BY' ELSE 'DEPENDS_ON' END AS relation, 's' || l_suppkey AS to_id, CASE WHEN l_suppkey % 2 = 0 THEN 'Supplier' ELSE 'Person' END AS to_type FROM li WHERE l_partkey % 4 > 0)"
+_rel = "li AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), rel AS (SELECT l_orderkey AS chunk_id, 'p' || l_partkey AS from_id, CASE WHEN l_partkey % 3 = 0 THEN 'MADE_BY' ELSE 'DEPENDS_ON' END AS relation, 's' || l_suppkey AS to_id, CASE WHEN l_suppkey % 2 = 0 THEN 'Supplier' ELSE 'Person' END AS to_type FROM li WHERE l_partkey % 4 > 0)"
 
 
 @P.query("jn15_relation_endpoints", f"WITH {_rel} SELECT chunk_id, from_id, relation, to_id FROM rel")
@@ -219,16 +265,19 @@ def jn33(spark, d):
     return graph.agreement(e.where(~c("to_id").endswith("1")), e.where(~c("to_id").endswith("2")))
 
 
-@P.query("jn34_near_pairs", "WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding::double[], lambda x: x * 2) FROM embeddings WHERE vec_id % 7 = 0) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.92")
+@P.query("jn34_near_pairs", """WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding::double[], lambda x: x * 2) FROM embeddings WHERE vec_id % 7 = 0),
+    u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS w FROM e), k AS (SELECT w, min(vec_id) AS id FROM u GROUP BY w)
+    SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.w, b.w), 6) AS cosine FROM k a JOIN k b ON a.id < b.id WHERE round(list_cosine_similarity(a.w, b.w), 6) >= 0.92 UNION ALL SELECT k.id, u.vec_id, 1.0 FROM u JOIN k USING (w) WHERE u.vec_id > k.id""")
 def jn34(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("embedding"))
     copies = e.where("vec_id % 7 = 0").select(c("vec_id") + 1000000, F.transform("embedding", lambda x: x * 2))
     return graph.near_pairs(e.union(copies), 0.92)
 
 
-@P.query("ag23_entity_resolution", "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, min(l_orderkey) OVER (PARTITION BY l_partkey) AS b FROM lineitem WHERE l_orderkey % 40 = 0), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM x UNION SELECT x.b, r.m FROM r JOIN x ON x.a = r.n) SELECT n AS mention_id, min(m) AS node_id FROM r GROUP BY 1")
+@P.query("ag23_entity_resolution", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, min(l_orderkey) OVER (PARTITION BY l_partkey) AS b FROM lineitem), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(n, m) USING KEY (n) AS (SELECT DISTINCT a, a FROM x UNION (SELECT f.n, min(g.m) FROM r g JOIN x ON x.a = g.n JOIN recurring.r f ON f.n = x.b WHERE g.m < f.m GROUP BY f.n)) SELECT n AS mention_id, m AS node_id FROM r""")
 def ag23(spark, d):
-    m = table(spark, d, "lineitem").where("l_orderkey % 40 = 0").groupBy(c("l_orderkey").alias("mention_id")).agg(F.collect_set(c("l_partkey").cast("string")).alias("aliases")).withColumn("type", F.lit("Order"))
+    m = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("mention_id")).agg(F.collect_set(c("l_partkey").cast("string")).alias("aliases")).withColumn("type", F.lit("Order"))
     return graph.resolve_entities(m)
 
 
@@ -255,13 +304,13 @@ def rt15(spark, d):
     return index.attach_vectors(chunking.chunks(docs(spark, d)), 64).select("chunk_id", "embedding")
 
 
-@P.query("ux6_split_function", with_chunks("SELECT doc_id, piece, md5(text) AS body FROM (SELECT doc_id, cast(chunk_index AS int) AS piece, text FROM chunks) WHERE doc_id % 5 = 0"))
+@P.query("ux6_split_function", with_chunks("SELECT doc_id, piece, md5(text) AS body FROM (SELECT doc_id, cast(chunk_index AS int) AS piece, text FROM chunks)"))
 def ux6(spark, d):
-    from sheaf.functions.tables import split_pieces
+    from sheaf.functions.tables import register
 
-    spark.udtf.register("split_pieces", split_pieces)
-    docs(spark, d).where("doc_id % 5 = 0").select("doc_id", "text").createOrReplaceTempView("ux6_docs")
-    return spark.sql("SELECT doc_id, piece, md5(body) AS body FROM ux6_docs, LATERAL split_pieces(text, 2048, 256)")
+    register(spark)
+    docs(spark, d).select("doc_id", "text").createOrReplaceTempView("ux6_docs")
+    return spark.sql("SELECT doc_id, piece, md5(body) AS body FROM ux6_docs, LATERAL split_pieces(text, 1792, 256)")
 
 
 P.over_docs("rt16_provider_route", lambda d: d.groupBy("project").agg(F.when(F.bool_or(c("sensitivity") == "confidential"), "local").otherwise("remote").alias("route")), "SELECT project, CASE WHEN bool_or(sensitivity = 'confidential') THEN 'local' ELSE 'remote' END AS route FROM docs GROUP BY 1")
