@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back, so that rounds do not grow a lineage."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The cluster's shared folder. A local session, which has one machine, may do with a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sheaf-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/graph-{uuid.uuid4().hex}"
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back, so that rounds do not grow a lineage. The files go when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +58,8 @@ def resolve_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 def validated(relations: DataFrame, ontology: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected) by ontology(relation, from_type, to_type), a small configuration table."""
-    on, o = ["relation", "from_type", "to_type"], F.broadcast(ontology)
-    return relations.join(o, on, "left_semi"), relations.join(o, on, "left_anti")
+    on = ["relation", "from_type", "to_type"]
+    return relations.join(ontology, on, "left_semi"), relations.join(ontology, on, "left_anti")
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -82,19 +91,39 @@ def resolve_entities(mentions: DataFrame) -> DataFrame:
     return linked.select(F.col("node").alias("mention_id"), F.col("root").alias("node_id"))
 
 
-def near_pairs(vectors: DataFrame, least: float, tables: int = 12, bits: int = 6, seed: int = 3) -> DataFrame:
-    """(a, b, cosine): pairs of vectors(vec_id, embedding) at ``least`` cosine or more that share a sign-projection bucket; cosine is rechecked."""
+#: Vectors that share a bucket of a table, about, and the chance that a pair just similar enough shares none.
+BUCKET, MISSED = 64, 1e-6
+
+
+def near_pairs(vectors: DataFrame, least: float, seed: int = 3) -> DataFrame:
+    """(a, b, cosine) of vectors(vec_id, embedding) at ``least`` cosine or more, a < b, between the classes of equal directions.
+
+    A class is named by its smallest id; its other members are given with it alone, at cosine 1, so a direction that many
+    vectors have never makes all their pairs. Classes meet in buckets of sign projections. The number of signs grows with
+    the table, so that buckets do not, and the number of tables with it, so that a pair is missed with a chance of MISSED
+    at most (less above ``least``); cosines are exact. Zero vectors have no direction and take no part.
+    """
+    from math import acos, ceil, log, log2, pi
+
     import numpy as np
 
     from sheaf.operators.retrieval import distance
 
-    size = len(vectors.first()["embedding"])
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    rows = vectors.withColumn("norm", norm).where("norm > 0").select("vec_id", F.transform("embedding", lambda v: v.cast("double") / F.col("norm")).alias("way"))
+    members = cut(rows)
+    classes = cut(members.groupBy("way").agg(F.min("vec_id").alias("vec_id")))
+    n = classes.count()
+    size = len(classes.first()["way"]) if n else 1
+    bits = max(2, min(20, round(log2(max(4, n) / BUCKET)))) if n > BUCKET else 2
+    tables = ceil(log(MISSED) / log(1 - (1 - acos(least) / pi) ** bits)) if least < 1 else 1
     planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
-    sign = lambda p: F.when(F.aggregate(F.zip_with("embedding", F.array(*(F.lit(float(x)) for x in p)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v) >= 0, "1").otherwise("0")
+    sign = lambda p: F.when(F.aggregate(F.zip_with("way", F.array(*(F.lit(float(x)) for x in p)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v) >= 0, "1").otherwise("0")
     keys = F.array(*(F.concat(F.lit(f"{t}:"), *(sign(p) for p in planes[t])) for t in range(tables)))
-    rows = cut(vectors.select("vec_id", "embedding", keys.alias("keys")))
-    k = rows.select("vec_id", F.explode("keys").alias("key"))
+    k = cut(classes.select("vec_id", F.explode(keys).alias("key")))
     pairs = k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.vec_id") < F.col("y.vec_id"))).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b")).distinct()
-    v = lambda n: rows.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"{n}v"))
+    v = lambda n: classes.select(F.col("vec_id").alias(n), F.col("way").alias(f"{n}v"))
     cosine = F.round(1 - distance(F.col("av"), F.col("bv"), "cosine"), 6)
-    return pairs.join(v("a"), "a").join(v("b"), "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    near = pairs.join(v("a"), "a").join(v("b"), "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    same = members.join(classes.withColumnRenamed("vec_id", "a"), "way").where("vec_id > a").select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("cosine"))
+    return near.unionByName(same)

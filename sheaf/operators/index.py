@@ -1,16 +1,22 @@
-"""The chunk index: incremental build over snapshots, with state and history."""
+"""Tables that grow by document: chunks and graph, in buckets of immutable files, with state and history."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sheaf.operators import graph, ranking, retrieval
 
 from sheaf.operators.chunking import chunks
 from sheaf.operators.joins import changed, deleted
 
-NOTHING = "_none"
+#: Buckets of a table by the hash of its key, and parts that a bucket is written in at once.
+BUCKETS, SPREAD = 64, 4
 
 
 def build_plan(docs: DataFrame, state: DataFrame, old: DataFrame, size: int = 2048, overlap: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -25,56 +31,147 @@ def build_plan(docs: DataFrame, state: DataFrame, old: DataFrame, size: int = 20
     return kept.unionByName(chunks(new, size, overlap)), docs.select("doc_id", "content_hash", "meta_hash")
 
 
-def attach_vectors(rows: DataFrame, size: int = 256, text: str = "chunk") -> DataFrame:
-    """rows with ``embedding`` (array<float>): hashed term counts of unit length, the offline stand-in for a model's vectors."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+class Embedder(Protocol):
+    """What gives rows their ``embedding``: a column of array<float> of ``size`` numbers over the text column."""
+
+    size: int
+
+    def attach(self, rows: DataFrame, text: str) -> DataFrame: ...
+
+
+class HashedTerms:
+    """Hashed term counts of unit length: the offline stand-in for a model's vectors."""
+
+    def __init__(self, size: int = 256):
+        self.size = size
+
+    def attach(self, rows: DataFrame, text: str) -> DataFrame:
+        from pyspark.ml.feature import HashingTF, Normalizer
+        from pyspark.ml.functions import vector_to_array
+
+        words = rows.withColumn("_w", F.split(F.lower(text), "[^0-9a-zà-ỹđ]+"))
+        unit = Normalizer(inputCol="_t", outputCol="_u").transform(HashingTF(inputCol="_w", outputCol="_t", numFeatures=self.size).transform(words))
+        return unit.withColumn("embedding", vector_to_array("_u", "float32")).drop("_w", "_t", "_u")
 
-    words = rows.withColumn("_w", F.split(F.lower(text), "[^0-9a-zà-ỹđ]+"))
-    unit = Normalizer(inputCol="_t", outputCol="_u").transform(HashingTF(inputCol="_w", outputCol="_t", numFeatures=size).transform(words))
-    return unit.withColumn("embedding", vector_to_array("_u", "float32")).drop("_w", "_t", "_u")
 
+def attach_vectors(rows: DataFrame, embedder: Embedder | int = 256, text: str = "chunk") -> DataFrame:
+    """rows with ``embedding``, by an embedder or by hashed terms of a size."""
+    return (HashedTerms(embedder) if isinstance(embedder, int) else embedder).attach(rows, text)
 
-class ChunkTable:
-    """A chunk table of immutable snapshots under a folder; a small pointer names the current one."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+class Buckets:
+    """Tables under a folder, each cut into buckets by the hash of a key, each bucket a folder of files that never change.
+
+    A numbered pointer file names the folder of every bucket of every table. A write makes new folders for the buckets
+    that it touches, then a pointer: a reader sees the tables before or after it, and buckets that it does not touch
+    are neither read nor written. Of two writers at once the second fails, as its pointer is there already.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: dict[str, str], buckets: int = BUCKETS):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder, keys, buckets
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def current(self) -> str:
-        """The newest pointer's snapshot; pointers are empty files named pointer-<number>-<snapshot>."""
+    def _bucket(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def current(self) -> tuple[int, dict]:
+        """(number, {table: {"schema", "at": {bucket: folder}}}) of the newest pointer."""
         if not self._fs.exists(self._path("")):
-            return NOTHING
+            return 0, {}
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("pointer-"))
-        return names[-1].split("-", 2)[2] if names else NOTHING
+        if not names:
+            return 0, {}
+        text = self.spark.read.text(f"{self.folder}/{names[-1]}", wholetext=True).first()[0]
+        return int(names[-1].split("-")[1]), json.loads(text)
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """All rows of a table, or those of some buckets; None before the first write."""
+        known = self.current()[1].get(table)
+        if known is None:
+            return None
+        schema = T.StructType.fromJson(known["schema"])
+        paths = [f"{self.folder}/{at}/{table}/_bucket={b}" for b, at in sorted(known["at"].items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def touched(self, keys: DataFrame, column: str) -> list[int]:
+        """The buckets that some keys are in: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in keys.select(self._bucket(column).alias("b")).distinct().collect())
+
+    def write(self, touched: list[int], **tables: DataFrame) -> None:
+        """Give the touched buckets of each table these rows, all of them, and none others."""
+        number, known = self.current()
+        at = f"v{number + 1:09d}-{uuid.uuid4().hex}"
+        for table, rows in tables.items():
+            put = rows.withColumn("_bucket", self._bucket(self.keys[table])).repartition("_bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(SPREAD)))
+            put.write.partitionBy("_bucket").parquet(f"{self.folder}/{at}/{table}")
+            there = {s.getPath().getName().removeprefix("_bucket=") for s in self._fs.listStatus(self._path(f"{at}/{table}")) if s.isDirectory()}
+            old = known.get(table, {"at": {}})["at"]
+            known[table] = {"schema": rows.schema.jsonValue(), "at": {b: f for b, f in old.items() if int(b) not in touched} | dict.fromkeys(there, at)}
+        out = self._fs.create(self._path(f"pointer-{number + 1:09d}"), False)
+        out.write(bytearray(json.dumps(known).encode()))
+        out.close()
+
+    def vacuum(self) -> int:
+        """Remove folders that the newest pointer does not name, once no reader is on an older one; how many went."""
+        number, known = self.current()
+        used = {f for t in known.values() for f in t["at"].values()}
+        old = [x for s in self._fs.listStatus(self._path("")) if (x := s.getPath().getName()) and ((x[0] == "v" and x not in used) or (x.startswith("pointer-") and int(x[8:]) < number))]
+        for x in old:
+            self._fs.delete(self._path(x), True)
+        return len(old)
+
+    def reset(self) -> None:
+        self._fs.delete(self._path(""), True)
+
+
+class ChunkTable(Buckets):
+    """Chunks of documents and the state (hashes) that they were made from."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        super().__init__(spark, folder, {"chunks": "doc_id", "state": "doc_id"}, buckets)
 
     def all(self, kind: str = "chunks") -> DataFrame | None:
-        name = self.current()
-        return None if name == NOTHING else self.spark.read.parquet(f"{self.folder}/{name}/{kind}")
-
-    def replace(self, **tables: DataFrame) -> str:
-        """Write a snapshot of every table, then point to it: a reader sees the old or the new one, never a part."""
-        name = uuid.uuid4().hex
-        for kind, rows in tables.items():
-            rows.write.parquet(f"{self.folder}/{name}/{kind}")
-        number = 1 + sum(s.getPath().getName().startswith("pointer-") for s in self._fs.listStatus(self._path("")))
-        self._fs.create(self._path(f"pointer-{number:09d}-{name}"), False).close()
-        return name
+        return self.read(kind)
+
+    def _merge(self, new: DataFrame, gone: DataFrame, size: int, overlap: int) -> None:
+        """Put new or changed documents and remove others, in their buckets alone."""
+        ids = new.select("doc_id").unionByName(gone.select("doc_id"))
+        touched = self.touched(ids, "doc_id")
+        tables = {"chunks": chunks(new, size, overlap), "state": new.select("doc_id", "content_hash", "meta_hash")}
+        for table, rows in tables.items():
+            old = self.read(table, touched)
+            tables[table] = rows if old is None else old.join(ids, "doc_id", "left_anti").unionByName(rows)
+        self.write(touched, **tables)
+
+    def upsert(self, docs: DataFrame, size: int = 2048, overlap: int = 256) -> dict[str, int]:
+        """Documents as they are now: those whose hash is new get new chunks, others are left alone."""
+        mine = self.touched(docs, "doc_id")
+        state = self.read("state", mine)
+        new = docs if state is None else changed(docs, state)
+        event = {"changed": new.count(), "deleted": 0}
+        if event["changed"]:
+            self._merge(new, docs.limit(0), size, overlap)
+        return self._told(event)
 
     def build(self, docs: DataFrame, size: int = 2048, overlap: int = 256) -> dict[str, int]:
-        """An incremental build; returns and appends to the history how many documents were new or changed and removed."""
-        old, state = self.all("chunks"), self.all("state")
+        """The whole corpus as it is now: an upsert, and documents that are no longer there go."""
+        state = self.read("state")
         if state is None:
-            state = docs.sparkSession.createDataFrame([], docs.select("doc_id", "content_hash", "meta_hash").schema)
-            old = chunks(docs.limit(0), size, overlap)
-        event = {"changed": changed(docs, state).count(), "deleted": deleted(docs, state).count()}
-        new, done = build_plan(docs, state, old, size, overlap)
-        self.replace(chunks=new, state=done)
-        self.spark.createDataFrame([(event["changed"], event["deleted"])], "changed long, deleted long").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.folder}/history")
+            event = {"changed": docs.count(), "deleted": 0}
+            self._merge(docs, docs.limit(0), size, overlap)
+            return self._told(event)
+        new, gone = changed(docs, state), deleted(docs, state)
+        event = {"changed": new.count(), "deleted": gone.count()}
+        if any(event.values()):
+            self._merge(new, gone, size, overlap)
+        return self._told(event)
+
+    def _told(self, event: dict[str, int]) -> dict[str, int]:
+        row = self.spark.createDataFrame([(event["changed"], event["deleted"])], "changed long, deleted long")
+        row.withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.folder}/history")
         return event
 
     def history(self, n: int = 20) -> DataFrame:
@@ -83,9 +180,62 @@ class ChunkTable:
     def get(self, ids: DataFrame) -> DataFrame:
         return self.all().join(ids.select("chunk_id"), "chunk_id", "left_semi")
 
+    def list(self, limit: int | None = None, **equal) -> DataFrame:
+        """Chunks whose columns have these values, in order of their place; at most a clamped limit of them, where one is given."""
+        rows = self.all()
+        for name, value in equal.items():
+            rows = rows.where(F.col(name) == value)
+        return rows if limit is None else rows.orderBy("doc_id", "chunk_index").limit(ranking.clamp(limit))
+
+    def search(self, questions: DataFrame, k: int, embedder: Embedder | None = None, metric: str = "cosine", where: str | None = None) -> DataFrame:
+        """The k nearest chunks of each of questions(question_id, text) by an embedder's vectors; ``where`` filters the chunks before."""
+        by = embedder or HashedTerms()
+        rows = self.all() if where is None else self.all().where(where)
+        asked = by.attach(questions, "text").select("question_id", F.col("embedding").alias("q"))
+        near = retrieval.vectors(asked, by.attach(rows, "chunk").select(F.col("chunk_id").alias("vec_id"), "embedding"), k, metric)
+        return near.withColumnRenamed("vec_id", "chunk_id")
+
     def delete(self, doc_ids: DataFrame) -> None:
-        gone = doc_ids.select("doc_id")
-        self.replace(chunks=self.all().join(gone, "doc_id", "left_anti"), state=self.all("state").join(gone, "doc_id", "left_anti"))
+        mine = self.touched(doc_ids, "doc_id")
+        if mine and self.current()[0]:
+            gone = doc_ids.select("doc_id")
+            self.write(mine, **{t: self.read(t, mine).join(gone, "doc_id", "left_anti") for t in ("chunks", "state")})
 
-    def reset(self) -> None:
-        self._fs.delete(self._path(""), True)
+
+class GraphTable(Buckets):
+    """Nodes (node_id, type, name) and edges (from_id, relation, to_id, doc_id): one row a node, one an edge and document."""
+
+    NODES, EDGES = "node_id string, type string, name string", "from_id string, relation string, to_id string, doc_id string"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        super().__init__(spark, folder, {"nodes": "node_id", "edges": "from_id"}, buckets)
+
+    def nodes(self) -> DataFrame:
+        rows = self.read("nodes")
+        return self.spark.createDataFrame([], self.NODES) if rows is None else rows
+
+    def edges(self) -> DataFrame:
+        rows = self.read("edges")
+        return self.spark.createDataFrame([], self.EDGES) if rows is None else rows
+
+    def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+        """New rows win over old ones of the same node, or of the same edge and document; repeats count once."""
+        for table, rows, key in (("nodes", nodes, ["node_id"]), ("edges", edges, ["from_id", "relation", "to_id", "doc_id"])):
+            if rows is None:
+                continue
+            schema = T.StructType.fromDDL(self.NODES if table == "nodes" else self.EDGES)
+            rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).dropDuplicates(key)
+            mine = self.touched(rows, self.keys[table])
+            old = self.read(table, mine)
+            if mine:
+                self.write(mine, **{table: rows if old is None else old.join(rows, key, "left_anti").unionByName(rows)})
+
+    def delete(self, doc_ids: DataFrame) -> None:
+        """Edges that come from some documents go; nodes that no edge is left of stay, as they may be named elsewhere."""
+        gone = doc_ids.select(F.col("doc_id").cast("string").alias("doc_id"))
+        mine = self.touched(self.edges().join(gone, "doc_id", "left_semi"), "from_id")
+        if mine:
+            self.write(mine, edges=self.read("edges", mine).join(gone, "doc_id", "left_anti"))
+
+    def k_hop(self, seeds: DataFrame, hops: int) -> DataFrame:
+        return graph.k_hop(self.edges().select("from_id", "relation", "to_id").distinct(), seeds, hops)

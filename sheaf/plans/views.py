@@ -11,7 +11,7 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> list[str]:
     """Views of the given tables, of the documents with their labels, and of the named queries (all, if none is named)."""
     from sheaf.plans.binding import docs, table
 
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     docs(spark, sf_dir).createOrReplaceTempView("docs")
     queries = catalogue.queries()

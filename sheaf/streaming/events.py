@@ -102,12 +102,17 @@ def thread_memory(events: DataFrame, ttl: int | None = None) -> DataFrame:
 
 
 def upsert_documents(spark: SparkSession, folder: str, index, checkpoint: str, docs_of):
-    """Watch a note folder: each micro-batch rebuilds the changed documents of ``index`` (a ChunkTable). Replays change nothing."""
-    schema = "value string"
-    stream = spark.readStream.schema(schema).option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    """Watch a note folder: each micro-batch's files, and no others, are put into ``index`` (a ChunkTable).
 
-    def rebuild(batch: DataFrame, batch_id: int) -> None:
-        if batch.limit(1).count():
-            index.build(docs_of(spark))
+    docs_of(files) makes documents of the batch's files(rel_path, modified, raw). A file that is in the stream twice, or
+    a batch that is replayed, changes nothing: its hash is known.
+    """
+    stream = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    path = F.regexp_replace("_metadata.file_path", "^.*?" + folder.removeprefix("file:").rstrip("/") + "/", "")
+    files = stream.select(path.alias("rel_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
 
-    return stream.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        newest = batch.where(F.element_at(F.split("rel_path", "/"), -1) != "README.md").groupBy("rel_path").agg(F.max_by("raw", "modified").alias("raw"), F.max("modified").alias("modified"))
+        index.upsert(docs_of(newest))
+
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
