@@ -205,10 +205,190 @@ def test_stream_and_batch_agree(spark, event_files):
 
 def test_watch_rebuilds_changed_notes(spark, tree, tmp_path):
     t = index.ChunkTable(spark, f"file://{tmp_path}/watched")
-    docs_of = lambda s: notes.documents(notes.read_notes(s, str(tree)), "t").select("doc_id", "text", "content_hash", "meta_hash")
+    docs_of = lambda files: notes.documents(files, "t").select("doc_id", "text", "content_hash", "meta_hash")
     run = lambda: streams.upsert_documents(spark, str(tree), t, f"file://{tmp_path}/cp", docs_of).start().awaitTermination()
     run()
     n = t.all().count()
     (tree / "new.md").write_text("fresh\n")
     run()
     assert t.all().count() == n + 1
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    t = index.ChunkTable(spark, f"file://{tmp_path}/buckets", buckets=8)
+    docs = lambda rows: spark.createDataFrame([(i, x, f"h{x}", "m") for i, x in rows], "doc_id long, text string, content_hash string, meta_hash string")
+    first = t.build(docs([(i, f"text {i}") for i in range(100)]))
+    assert first == {"changed": 100, "deleted": 0} and t.all().count() == 100
+    before = t.current()[1]["chunks"]["at"]
+    assert t.upsert(docs([(3, "new"), (4, "text 4")])) == {"changed": 1, "deleted": 0}
+    after = t.current()[1]["chunks"]["at"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert {r.doc_id: r.chunk for r in t.all().where("doc_id in (3, 4, 5)").collect()} == {3: "new", 4: "text 4", 5: "text 5"}
+    assert t.upsert(docs([(3, "new")]))["changed"] == 0 and t.current()[1]["chunks"]["at"] == after
+    assert t.build(docs([(i, f"text {i}") for i in range(50)]))["deleted"] == 50 and t.all().count() == 50
+    assert t.vacuum() > 0 and t.all().count() == 50 and t.history().count() == 4
+    assert {r.doc_id for r in t.list(3).collect()} == {0, 1, 2} and t.list(doc_id=7).count() == 1
+    q = spark.createDataFrame([(1, "text 7")], "question_id int, text string")
+    assert t.search(q, 1, where="doc_id < 10").first().chunk_id == t.list(doc_id=7).first().chunk_id
+    t.delete(docs([(7, "")]))
+    assert t.list(doc_id=7).count() == 0 and t.all().count() == 49 and t.get(t.list(2).select("chunk_id")).count() == 2
+    t.reset()
+    assert t.all() is None
+
+
+def test_an_embedder_can_be_given(spark):
+    class Lengths:
+        size = 1
+
+        def attach(self, rows, text):
+            return rows.withColumn("embedding", F.array(F.length(text).cast("float")))
+
+    rows = spark.createDataFrame([(1, "abc")], "doc_id int, chunk string")
+    assert index.attach_vectors(rows, Lengths()).first().embedding == [3.0] and len(index.attach_vectors(rows, 8).first().embedding) == 8
+
+
+def test_graph_table_verbs(spark, tmp_path):
+    g = index.GraphTable(spark, f"file://{tmp_path}/graph", buckets=4)
+    assert g.nodes().count() == g.edges().count() == 0
+    edge = "from_id string, relation string, to_id string, doc_id string"
+    g.upsert(spark.createDataFrame([("a", "Person", "A"), ("a", "Person", "A"), ("b", "System", "B")], "node_id string, type string, name string"), spark.createDataFrame([("a", "USES", "b", "1"), ("a", "USES", "b", "2"), ("b", "USES", "c", "2")], edge))
+    g.upsert(nodes=spark.createDataFrame([("a", "Person", "new")], "node_id string, type string, name string"))
+    assert sorted((r.node_id, r.name) for r in g.nodes().collect()) == [("a", "new"), ("b", "B")] and g.edges().count() == 3
+    seeds = spark.createDataFrame([("a",)], "id string")
+    assert {(r.from_id, r.hop) for r in g.k_hop(seeds, 2).collect()} == {("a", 1), ("b", 2)}
+    g.delete(spark.createDataFrame([("2",)], "doc_id string"))
+    assert [(r.from_id, r.doc_id) for r in g.edges().collect()] == [("a", "1")]
+    g.reset()
+    assert g.edges().count() == 0
+
+
+def test_sources_union_survives_a_failure(spark, tmp_path):
+    from sheaf.sources import registry
+
+    rows = lambda: spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    out, failed = registry.union_sources({"notes": rows, "gone": lambda: spark.read.text(f"{tmp_path}/nowhere"), "code": lambda: rows().drop("text")})
+    assert sorted((r.origin, r.text) for r in out.collect()) == [("code", None), ("notes", "x")] and set(failed) == {"gone"}
+
+
+def test_converters_by_extension(spark):
+    from sheaf.sources import registry
+
+    known = registry.standard_converters()
+    known.register("upper", "up")(lambda files: files.select("path", F.upper(F.col("content").cast("string")).alias("text")))
+    files = spark.createDataFrame([("a.md", b"x"), ("b.HTML", b"<p>y</p>"), ("c.up", b"z"), ("d.bin", b"\0"), ("e.txt", b" ")], "path string, content binary")
+    got = {r.path: (r.text, r.converter, r.status) for r in known.convert(files).collect()}
+    assert got == {"a.md": ("x", "text", "ok"), "b.HTML": ("y", "html", "ok"), "c.up": ("Z", "upper", "ok"), "d.bin": (None, None, "unsupported"), "e.txt": (" ", "text", "empty")}
+
+
+def test_lanes_in_a_registry(spark):
+    from sheaf.sources import registry
+
+    lanes = registry.Lanes()
+    for n, day in (("alerts", "02/01/2024"), ("raid", "01/01/2024"), ("adr", "none")):
+        lanes.register(n)(lambda s, d=day: s.createDataFrame([(d, "t", "b")], "date_text string, title string, body string"))
+    assert [r.lane for r in lanes.timeline(spark).collect()] == ["raid", "alerts", "adr"]
+    assert [r.lane for r in lanes.timeline(spark, "alerts").collect()] == ["alerts"]
+    with pytest.raises(KeyError):
+        lanes.timeline(spark, "nope")
+
+
+def test_views_give_sql_access(spark):
+    from sheaf.plans import views
+
+    assert views.register(spark, "/root/testdata/sf0.001", "ag1_facet_counts") == ["ag1_facet_counts"]
+    assert spark.sql("SELECT count(*) FROM ag1_facet_counts").first()[0] > 0 and spark.sql("SELECT count(*) FROM docs WHERE visibility = 'shared'").first()[0] > 0
+
+
+def test_clamp_of_limits(spark):
+    assert [ranking.clamp(x) for x in (-5, 0, 7, 500, None)] == [1, 1, 7, 100, 20]
+
+
+def test_process_rules_and_statuses(spark):
+    from sheaf.functions import labels
+    from sheaf.operators import reports
+
+    q = ["Tiếp nhận yêu cầu", "what of QT IT 005?", "qtit019 and UAT", "nothing", "fast  lane golive"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in q], "t string").select(labels.process_codes(F.col("t"))).collect()]
+    assert got == [["QT.IT.005"], ["QT.IT.005"], ["QT.IT.009", "QT.IT.019"], [], ["QT.IT.005", "QT.IT.019"]]
+    t = ["On-hold, cancelled", "blocked and hoàn thành", "Done", "is done", "ready UAT", "chưa có", "x"]
+    rows = spark.createDataFrame([(x,) for x in t], "t string")
+    assert [r[0] for r in rows.select(reports.text_status(F.col("t"), F.lit(False), F.lit(False), F.lit("late"))).collect()] == ["cancelled", "blocked", "late", "done", "progress", "open", "late"]
+    assert [r[0] for r in rows.select(reports.manual_status(F.col("t"))).collect()] == ["onhold", "blocked", None, None, "progress", "open", None]
+    s = ["[Done] x", "golive", "<b>done</b>", "đầu mối plan", "on hold &amp; done", "hoàn thành"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in s], "t string").select(labels.workflow_status(F.col("t"))).collect()] == ["Đang xử lý", "—", "Hoàn thành", "—", "Blocked", "Hoàn thành"]
+
+
+def test_retrieval_has_no_nested_loop_and_blocks_agree(spark):
+    from sheaf.plans import retrieving
+
+    d = "/root/testdata/sf0.001"
+    for name in ("jn4_rt1_exact_retrieval", "jn4_rt2_keyword_retrieval", "rt4_term_frequency"):
+        plan = retrieving.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = e.where("vec_id < 40").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
+    one, many = (sorted(map(tuple, retrieval.vectors(q, e, 3, block=b).collect())) for b in (1000, 7))
+    assert one == many and len(one) == 120
+
+
+def test_terms_are_found_as_parts_of_words(spark):
+    """By brute force: a term is in a field when it is in its text."""
+    words = ["ab", "abc", "xabcx", "b", "tkt-3", "src2/en/doc-42.md", "é"]
+    rows = spark.createDataFrame([(i, f"{words[i % 7]} {words[(i * 3) % 7]} z{i}") for i in range(40)], "id int, t string")
+    terms = spark.createDataFrame([(x,) for x in ("a", "ab", "abc", "kt-3", "doc-42", "z1", "é", "none")], "term string")
+    p = retrieval.postings(rows, ["id"], {"t": F.col("t")})
+    got = {(r.term, r.id) for r in retrieval.held_by(terms, p).join(p, "token").select("term", "id").collect()}
+    assert got == {(t.term, r.id) for t in terms.collect() for r in rows.collect() if t.term in r.t}
+
+
+def test_chunks_carry_no_document(spark):
+    """What is exploded is a chunk or a section with its labels, and long texts are cut exactly."""
+    body = "".join(chr(97 + i % 26) for i in range(9001)) + "đ\U0001f600"
+    d = spark.createDataFrame([(1, body, "x"), (2, "", "y"), (3, "ab", "z")], "doc_id long, text string, lang string")
+    for size, overlap in ((2048, 256), (100, 60), (50, 0), (7, 6)):
+        got = [(r.start, r.chunk) for r in chunking.chunks(d.where("doc_id = 1"), size, overlap, ("lang",)).orderBy("chunk_index").collect()]
+        step = size - overlap
+        n = 1 if len(body) <= size else -(-(len(body) - size) // step) + 1
+        assert got == [(i * step, body[i * step : i * step + size]) for i in range(n)]
+    for df in (chunking.chunks(d, keep=("lang",)), chunking.sections(d)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        kept = next(x for x in plan.split("\n") if "Generate posexplode" in x)
+        assert "false, [" in kept or "true, [" not in kept
+        assert not any(w in ("text", "lines") for w in df.columns)
+
+
+def test_nearest_event_is_the_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    day = lambda: datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(40))
+    rows = [(i, rng.choice("ab"), day()) for i in range(80)] + [(900, "c", day()), (901, "a", None)]
+    events = [(i, rng.choice("ab"), day()) for i in range(12)]
+
+    def best(g, d):
+        def key(e):
+            gap = (e[2] - d).days
+            tier = 0 if gap == 0 else 1 if abs(gap) == 1 else 2 if gap < 0 else 3
+            return tier, abs(gap), e[0]
+
+        return min((e for e in events if e[1] == g), key=key, default=None)
+
+    got = {r.id: r.event_id for r in joins.nearest_event(spark.createDataFrame(rows, "id int, g string, day date"), spark.createDataFrame(events, "event_id int, g string, event_day date"), "g").collect()}
+    assert got == {i: best(g, d)[0] for i, g, d in rows if d and best(g, d)}
+
+
+def test_fuzzy_titles_are_the_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)] + ["hot"] * 20
+    draw = lambda: sorted({rng.choice(words) for _ in range(rng.randint(1, 6))})
+    a, b = [(i, draw()) for i in range(120)] + [(500, [])], [(i, draw()) for i in range(120)]
+    for least in (0.3, 0.6, 1.0):
+        want = {}
+        for i, x in a:
+            scores = [(-round((k := len(set(x) & set(y))) / (m := min(len(x), len(y))) + 0.2 * (k == m), 9), j) for j, y in b if x and set(x) & set(y)]
+            if scores and -min(scores)[0] >= least:
+                want[i] = min(scores)[1]
+        got = joins.fuzzy_titles(spark.createDataFrame(a, "id int, tokens array<string>"), spark.createDataFrame(b, "id int, tokens array<string>"), least)
+        assert {r.left_id: r.right_id for r in got.collect()} == want
