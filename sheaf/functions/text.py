@@ -24,6 +24,17 @@ PEOPLE_HINTS = ("ai ", "phu trach", "dau moi", "spoc", "tham gia")
 TIME_HINTS = ("timeline", "tien do", "ke hoach", "moc", "deadline", "bao gio", "khi nao", "thoi diem")
 OPS_HINTS = ("golive", "go live", "ho so", "thu tuc", "review", "handover", "van hanh", "blocker")
 
+# What an identifier looks like (ticket, request, process code, document code, file name), in order.
+IDENTIFIERS = (
+    "(?<![A-Za-z0-9_])[A-Z]{2,10}-[0-9]+(?![A-Za-z0-9_])",
+    "(?i)(?<![A-Za-z0-9_])RE-[0-9]+(?![A-Za-z0-9_])",
+    "(?i)(?<![A-Za-z0-9_])(?:QT|QĐ|QD)\\.IT\\.[0-9]+(?![A-Za-z0-9_])",
+    "(?i)(?<![A-Za-z0-9_])SIDLC[_A-Z0-9,.-]+",
+    "(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_ .()-]+\\.(?:md|pdf|docx|pptx|xlsx|msg|html?)(?![A-Za-z0-9_])",
+)
+# A question of at most so many letters and words that has such a mark is itself a term.
+SHORT_LETTERS, SHORT_WORDS, SHORT_MARK = 80, 3, "[A-Z0-9._\\\\/-]"
+
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
 
 
@@ -80,14 +91,8 @@ def people(text: Column, labels: tuple[str, ...] = ("Từ", "Tới", "Cc")) -> C
 def exact_terms(question: Column) -> Column:
     """Identifier-like terms; a short question that looks like one is its own term."""
     q = F.trim(question)
-    found = F.concat(
-        matches(q, "(?<![A-Za-z0-9_])[A-Z]{2,10}-[0-9]+(?![A-Za-z0-9_])"),
-        matches(q, "(?i)(?<![A-Za-z0-9_])RE-[0-9]+(?![A-Za-z0-9_])"),
-        matches(q, "(?i)(?<![A-Za-z0-9_])(?:QT|QĐ|QD)\\.IT\\.[0-9]+(?![A-Za-z0-9_])"),
-        matches(q, "(?i)(?<![A-Za-z0-9_])SIDLC[_A-Z0-9,.-]+"),
-        matches(q, "(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_ .()-]+\\.(?:md|pdf|docx|pptx|xlsx|msg|html?)(?![A-Za-z0-9_])"),
-    )
-    short = (F.length(q) >= 1) & (F.length(q) <= 80) & ~q.endswith("?") & (F.size(F.split(q, SPACE)) <= 3) & q.rlike("[A-Z0-9._\\\\/-]")
+    found = F.concat(*(matches(q, p) for p in IDENTIFIERS))
+    short = (F.length(q) >= 1) & (F.length(q) <= SHORT_LETTERS) & ~q.endswith("?") & (F.size(F.split(q, SPACE)) <= SHORT_WORDS) & q.rlike(SHORT_MARK)
     return F.when(F.size(found) > 0, ordered_distinct(found)).when(short, F.array(q)).otherwise(F.array().cast("array<string>"))
 
 

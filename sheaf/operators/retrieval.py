@@ -31,6 +31,20 @@ MEET_POINTS = 10
 RERANK_FIELDS = ("ticket_ids", "people", "source_path", "section", "project", "doc_type", "source_channel", "reliability", "text")
 RERANK_EXACT = (140, 80, 70, 40, 30, 18, 8, 8, 16)
 RERANK_KEYWORD = (70, 35, 30, 18, 14, 8, 4, 4, 10)
+# Other reranking points - the whole question in text and path; a process code in path and section, and a process
+# document that was asked for; anchors that meet, and more of them (up to a number) outside process documents; people of a
+# question about people, phrases of their tasks, and process documents that it is not about; likewise for times and
+# operations; tickets and people of a chunk (up to a number, each).
+RERANK = {
+    "text": 30, "path": 80, "code_path": 260, "code_section": 70, "process": 90, "meet": 20, "meet_free": 10, "meet_most": 8,
+    "person": 20, "person_most": 4, "people_phrase": 90, "people_lost": -170, "time_phrase": 70, "time_lost": -160, "ops_free": 50, "ops_lost": -200,
+    "ticket_each": 3, "ticket_most": 3, "people_each": 2, "people_most": 4,
+}
+# What an anchor weighs by where it stands, phrases of people's tasks, and parts of paths that tell of times.
+ANCHOR_POINTS = {"project": 3, "source_path": 3, "section": 2, "text": 1}
+TASK_PHRASES = ("phu trach", "dau moi", "spoc", "review ho so", "thu tuc golive")
+TIME_PATHS = ("cap nhat", "tien do", "mom", "ho chieu", "ocr", "golive")
+PROCESS_PATH = "qt[. ]*it[. ]*[0-9]{3}"
 # Weights of the lists that are fused: exact, vector, keyword, term frequency; a shared tenant's share.
 WEIGHTS = {"exact": 4.0, "vector": 3.5, "keyword": 2.0, "frequency": 3.0}
 SHARED = 0.6
@@ -190,26 +204,28 @@ def rerank(candidates: DataFrame, questions: DataFrame, chunks: DataFrame) -> Da
 
     def field(terms: str, strong: bool) -> Column:
         n = w[strong]
-        one = lambda t: points((F.exists("ticket_ids_f", lambda x: x.contains(t)), n[0]), (F.exists("people_f", lambda x: x.contains(t)), n[1]), *((c(f).contains(t), p) for f, p in zip(("source_path_f", "section_f", "project_f", "doc_type_f", "source_channel_f", "reliability_f", "text_f"), n[2:], strict=True)))
+        one = lambda t: points((F.exists("ticket_ids_f", lambda x: x.contains(t)), n[0]), (F.exists("people_f", lambda x: x.contains(t)), n[1]), *((c(f"{f}_f").contains(t), v) for f, v in zip(RERANK_FIELDS[2:], n[2:], strict=True)))
         return F.aggregate(F.transform(terms, one), F.lit(0), lambda a, b: a + b)
 
-    process = c("source_path_f").rlike("qt[. ]*it[. ]*[0-9]{3}")
-    bare = F.regexp_replace("source_path_f", "[^a-z0-9]+", "")
-    code_points = F.aggregate(F.transform("codes", lambda x: points((F.instr(bare, F.lower(F.regexp_replace(x, "[^A-Za-z0-9]+", ""))) > 0, 260), (F.instr(F.regexp_replace("section_f", "[^a-z0-9]+", ""), F.lower(F.regexp_replace(x, "[^A-Za-z0-9]+", ""))) > 0, 70))), F.lit(0), lambda a, b: a + b)
-    coded = F.size("codes") > 0
-    anchored = F.size("anchors") > 0
-    meet = F.aggregate(F.transform("anchors", lambda t: points((c("project_f").contains(t), 3), (c("source_path_f").contains(t), 3), (c("section_f").contains(t), 2), (c("text_f").contains(t), 1))), F.lit(0), lambda a, b: a + b)
+    p = RERANK
+    process = c("source_path_f").rlike(PROCESS_PATH)
+    letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+    code_points = F.aggregate(F.transform("codes", lambda x: points((F.instr(letters(c("source_path_f")), letters(x)) > 0, p["code_path"]), (F.instr(letters(c("section_f")), letters(x)) > 0, p["code_section"]))), F.lit(0), lambda a, b: a + b)
+    coded, anchored = F.size("codes") > 0, F.size("anchors") > 0
+    meet = F.aggregate(F.transform("anchors", lambda t: points(*((c(f"{n}_f").contains(t), w) for n, w in ANCHOR_POINTS.items()))), F.lit(0), lambda a, b: a + b)
     lost = process & ~c("explicit")
+    most = lambda n, limit: F.least(F.size(n), F.lit(p[limit]))
     score = (
-        points((c("text_f").contains(c("qn")), 30), (c("source_path_f").contains(c("qn")), 80))
-        + code_points + F.when(coded & process & (c("explicit") | ~anchored | ~(c("of_people") | c("of_time"))), 90).otherwise(0)
+        points((c("text_f").contains(c("qn")), p["text"]), (c("source_path_f").contains(c("qn")), p["path"]))
+        + code_points + F.when(coded & process & (c("explicit") | ~anchored | ~(c("of_people") | c("of_time"))), p["process"]).otherwise(0)
         + field("ex", True) + field("kw", False)
-        + meet * 20 + F.when(~process, F.least(meet, F.lit(8)) * 10).otherwise(0)
-        + F.when(c("of_people"), F.least(F.size("people_f"), F.lit(4)) * 20 + points((text.any_phrase(c("text_f"), ("phu trach", "dau moi", "spoc", "review ho so", "thu tuc golive")), 90), (lost & anchored, -170))).otherwise(0)
-        + F.when(c("of_time"), points((text.any_phrase(c("source_path_f"), ("cap nhat", "tien do", "mom", "ho chieu", "ocr", "golive")), 70), (lost & anchored, -160))).otherwise(0)
-        + F.when(c("of_ops") & anchored, points((~process, 50), (lost & (meet == 0), -200))).otherwise(0)
-        + F.least(F.size("ticket_ids_f"), F.lit(3)) * 3 + F.least(F.size("people_f"), F.lit(4)) * 2
+        + meet * p["meet"] + F.when(~process, F.least(meet, F.lit(p["meet_most"])) * p["meet_free"]).otherwise(0)
+        + F.when(c("of_people"), most("people_f", "person_most") * p["person"] + points((text.any_phrase(c("text_f"), TASK_PHRASES), p["people_phrase"]), (lost & anchored, p["people_lost"]))).otherwise(0)
+        + F.when(c("of_time"), points((text.any_phrase(c("source_path_f"), TIME_PATHS), p["time_phrase"]), (lost & anchored, p["time_lost"]))).otherwise(0)
+        + F.when(c("of_ops") & anchored, points((~process, p["ops_free"]), (lost & (meet == 0), p["ops_lost"]))).otherwise(0)
+        + most("ticket_ids_f", "ticket_most") * p["ticket_each"] + most("people_f", "people_most") * p["people_each"]
     )
+
     return j.withColumn("score", score).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(c("score").desc(), "rank"))).select("question_id", "chunk_id", "score", "place")
 
 
