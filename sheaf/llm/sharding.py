@@ -103,7 +103,8 @@ def shards_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     fixed fraction of the total are items of their own (at most shards * FINE can be); all
     smaller groups are hashed into CHUNKS items. So at most shards * FINE + CHUNKS items, at
     any input size, are sorted by size and enter the tightest bin. A group larger than a fair
-    share gets a shard alone. Rows are numbered in salted cells of a shard, so neither a hot
+    share gets a shard alone. Ties in size go by bundle, then by hash. Repeated rows are rows of their own
+    in one shard; a text of any length is but its size and hashes. Rows are numbered in salted cells of a shard, so neither a hot
     text nor a shard is one task. Empty table: no rows. Rows without doc_id are kept.
     """
     spark = docs.sparkSession
