@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 HEADING = "^#{1,6} +"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a source with fewer splits than the session has cores, dealt to all of them; others as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section_no, heading, start_line, end_line, body) of docs(doc_id, text).
 

@@ -19,6 +19,8 @@ from sheaf.operators.graph import cut
 BLOCK = 2000
 #: Letters of the strings by which the dictionary is looked up; shorter terms have strings of their own length.
 GRAM = 3
+#: Terms up to which they are looked for by a predicate instead.
+FEW = 100
 # Points of an exact term by where it stands.
 EXACT_POINTS = {"path_end": 200, "path": 120, "section": 40, "project": 30, "type": 20, "text": 10, "whole": 15}
 # Points of a keyword by field, where it stands alone and where it is part of a word; more for terms that meet.
@@ -65,20 +67,46 @@ def postings(rows: DataFrame, key: list[str], fields: dict[str, Column], repeats
         words = F.split(c, " ")
         return F.transform(words if repeats else F.array_distinct(words), lambda w: F.struct(F.lit(name).alias("field"), w.alias("token")))
 
+    if len(fields) == 1:
+        ((name, c),) = fields.items()
+        words = F.split(c, " ")
+        return rows.select(*key, F.lit(name).alias("field"), F.explode(words if repeats else F.array_distinct(words)).alias("token")).where("token <> ''")
+    if "text" in fields:  # by far the longest
+        rest = {n: c for n, c in fields.items() if n != "text"}
+        return postings(rows, key, {"text": fields["text"]}, repeats).unionByName(postings(rows, key, rest, repeats))
     return rows.select(*key, F.explode(F.concat(*(part(n, c) for n, c in fields.items()))).alias("p")).select(*key, "p.field", "p.token").where("token <> ''")
 
 
-def grams(c: Column) -> Column:
-    """Distinct strings of one to GRAM letters of a word."""
-    of = lambda i: F.array(*(F.substring(c, i, F.lit(k)) for k in range(1, GRAM + 1)))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), of)))
+def grams(c: Column, k: int) -> Column:
+    """Distinct strings of k letters of a word that has as many."""
+    of = lambda i: F.substring(c, i, F.lit(k))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), of))
 
 
 def held_by(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """terms(..., term) with each distinct token of which the term is a part."""
-    asked = terms.withColumn("gram", F.substring("term", 1, GRAM))
-    known = tokens.select("token").distinct().select("token", F.explode(grams(F.col("token"))).alias("gram"))
-    return asked.join(known, "gram").where(F.col("token").contains(F.col("term"))).drop("gram")
+    """terms(..., term) with each distinct token of which the term is a part.
+
+    Terms and what they find are written: their sizes are then known, and by these the joins with the dictionary and,
+    after it, with the postings go by broadcast or by shuffle.
+    """
+    asked = cut(terms.withColumn("gram", F.substring("term", 1, GRAM)))
+    few = [r[0] for r in asked.select("term").distinct().limit(FEW + 1).collect()]
+    if 0 < len(few) <= FEW:  # a predicate of constants finds the same tokens in one pass, before they are made distinct
+        held = tokens.where(text.any_phrase(F.col("token"), tuple(few))).select("token").distinct()
+        told = held.select("token", F.explode(F.filter(F.array(*map(F.lit, few)), lambda t: F.col("token").contains(t))).alias("term"))
+        return cut(asked.drop("gram").join(told, "term"))
+    sizes = sorted(r[0] for r in asked.select(F.length("gram")).distinct().collect())  # at most GRAM numbers
+    every, out = tokens.select("token").distinct(), None
+    for k in sizes or [GRAM]:
+        known = every.where(F.length("token") >= k).select("token", F.explode(grams(F.col("token"), k)).alias("gram"))
+        one = asked.where(F.length("gram") == k).join(known, "gram")
+        out = one if out is None else out.unionByName(one)
+    return cut(out.where(F.col("token").contains(F.col("term"))).drop("gram"))
+
+
+def lower_postings(chunks: DataFrame) -> DataFrame:
+    """Postings of lower-cased fields, every occurrence: (chunk_id, field, token)."""
+    return postings(chunks, ["chunk_id"], {n: text.squeeze(F.lower(F.coalesce(F.col(n), F.lit("")))) for n in ("source_path", "section", "project", "doc_type", "text")}, repeats=True)
 
 
 def keyword_postings(chunks: DataFrame) -> DataFrame:
@@ -110,17 +138,19 @@ def best(scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return ranking.top(named, ["question_id"], k, F.col("score").desc(), F.col("source_path"), F.col("chunk_index")).select("question_id", "chunk_id", "score", "rank")
 
 
-def exact(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def exact(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, score, rank) by identifier-like terms and the whole question (EXACT_POINTS).
 
     Chunks that hold the longest word of a term (or of the question) are found by postings; these alone are compared.
+    ``terms``: the chunks' lower_postings, if they are at hand.
     """
     q = questions.select("question_id", F.trim(F.lower(text.squeeze(F.col("text")))).alias("whole"), F.explode(text.exact_terms(F.col("text"))).alias("t")).withColumn("t", text.squeeze(F.lower("t")))
     low = {n: text.squeeze(F.lower(F.coalesce(F.col(n), F.lit("")))) for n in ("source_path", "section", "project", "doc_type", "text")}
     longest = lambda c: F.reverse(F.array_sort(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))[0]["w"]
-    p = cut(postings(chunks, ["chunk_id"], low))
+    p = cut(lower_postings(chunks)) if terms is None else terms
     sought = q.select("question_id", longest(F.col("t")).alias("term")).union(q.select("question_id", longest(F.col("whole")))).distinct()
     near = held_by(sought, p).select("question_id", "token").distinct().join(p.select("chunk_id", "token"), "token").select("question_id", "chunk_id").distinct()
+    near, q = cut(near), cut(q)
     c = near.join(chunks.select("chunk_id", *(e.alias(f"{n}_x") for n, e in low.items())), "chunk_id").join(q, "question_id")
     t, w = F.col("t"), EXACT_POINTS
     has = lambda n: F.col(f"{n}_x").contains(t)
@@ -136,7 +166,7 @@ def keyword(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame |
     ``terms``: the chunks' keyword_postings, if they are at hand.
     """
     p = cut(keyword_postings(chunks)) if terms is None else terms
-    q = questions.select("question_id", F.explode(text.keyword_terms(F.col("text"))).alias("term"))
+    q = cut(questions.select("question_id", F.explode(text.keyword_terms(F.col("text"))).alias("term")))
     found = held_by(q.select("term").distinct(), p).withColumn("alone", whole(F.col("token"), F.col("term")))
     hits = found.join(p, "token").groupBy("term", "chunk_id", "field").agg(F.max("alone").alias("alone"))
     worth = F.lit(0)
@@ -169,10 +199,10 @@ def vectors(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", blo
     return out
 
 
-def term_frequency(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Occurrences of the question's words of over two letters, summed."""
+def term_frequency(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
+    """Occurrences of the question's words of over two letters, summed. ``terms``: the chunks' lower_postings, if they are at hand."""
     q = questions.select("question_id", F.explode(F.array_distinct(F.filter(text.words(F.lower("text")), lambda w: F.length(w) > 2))).alias("term"))
-    p = cut(postings(chunks, ["chunk_id"], {"text": text.squeeze(F.lower("text"))}, repeats=True))
+    p = (cut(lower_postings(chunks)) if terms is None else terms).where("field = 'text'")
     times = ((F.length("token") - F.length(F.replace("token", F.col("term"), F.lit("")))) / F.length("term")).cast("int")
     found = held_by(q.select("term").distinct(), p).select("term", "token", times.alias("times"))
     by_term = found.join(p, "token").groupBy("term", "chunk_id").agg(F.sum("times").alias("score"))
@@ -254,7 +284,8 @@ def lists(questions: DataFrame, chunks: DataFrame, k: int, registry: DataFrame |
     Question by question, the keyword list is left out where a pure exact question has enough exact hits, and the
     vector list where exact hits fill k. Without an embedder there is no vector list.
     """
-    found = {"exact": cut(by_variants(lambda q, n: exact(q, chunks, n), questions, registry, k))}
+    low = cut(lower_postings(chunks))
+    found = {"exact": cut(by_variants(lambda q, n: exact(q, chunks, n, low), questions, registry, k))}
     hits = found["exact"].groupBy("question_id").agg(F.count("*").alias("n"))
     pure = questions.where((F.size(text.exact_terms(F.col("text"))) > 0) & (F.size(text.words(F.col("text"))) < 4)).select("question_id")
     skip = hits.where(F.col("n") >= min(3, k)).join(pure, "question_id", "left_semi")
@@ -264,7 +295,7 @@ def lists(questions: DataFrame, chunks: DataFrame, k: int, registry: DataFrame |
         asked = embedder.attach(questions, "text").select("question_id", F.col("embedding").alias("q")).join(hits.where(F.col("n") >= k), "question_id", "left_anti")
         found["vector"] = vectors(asked, rows, k, "cosine").withColumnRenamed("vec_id", "chunk_id")
     found["keyword"] = by_variants(lambda q, n: keyword(q, chunks, n, terms), questions, registry, k).join(skip, "question_id", "left_anti")
-    found["frequency"] = term_frequency(questions, chunks, k)
+    found["frequency"] = term_frequency(questions, chunks, k, low)
     out = None
     for no, name in enumerate(WEIGHTS):
         if name in found:

@@ -19,7 +19,7 @@ CHUNKS_SQL = """chunks AS (SELECT doc_id, i AS chunk_index, substring(sha1(doc_i
 def chunk_table(spark, d):
     labels = ("source_path", "section", "project", "doc_type", "source_channel", "reliability", "ticket_ids", "people", "visibility", "date")
     rows = docs(spark, d).select("doc_id", "text", c("rel_path").alias("source_path"), c("lang").alias("section"), "project", "doc_type", "source_channel", F.lit("high").alias("reliability"), "ticket_ids", "people", "visibility", c("doc_date").cast("string").alias("date"))
-    return chunking.chunks(rows, keep=labels).withColumnRenamed("chunk", "text")
+    return chunking.chunks(chunking.spread(rows), keep=labels).withColumnRenamed("chunk", "text")
 
 
 class LetterCounts:
@@ -83,12 +83,12 @@ def wn2(spark, d):
 
 @P.query("jn4_rt1_exact_retrieval", with_chunks("SELECT question_id, chunk_id, score, rank FROM exact WHERE rank <= 10", EXACT_SQL))
 def rt1(spark, d):
-    return retrieval.exact(questions(spark), chunk_table(spark, d), 10)
+    return retrieval.exact(questions(spark), graph.cut(chunk_table(spark, d)), 10)
 
 
 @P.query("jn4_rt2_keyword_retrieval", with_chunks("SELECT question_id, chunk_id, score, rank FROM keyword WHERE rank <= 10", KEYWORD_SQL))
 def rt2(spark, d):
-    return retrieval.keyword(questions(spark), chunk_table(spark, d), 10)
+    return retrieval.keyword(questions(spark), graph.cut(chunk_table(spark, d)), 10)
 
 
 def vector_queries(spark, d, metric="l2"):
