@@ -331,8 +331,10 @@ def test_retrieval_has_no_nested_loop_and_blocks_agree(spark):
     assert one == many and len(one) == 120
 
 
-def test_terms_are_found_as_parts_of_words(spark):
-    """By brute force: a term is in a field when it is in its text."""
+@pytest.mark.parametrize("few", [100, 0])
+def test_terms_are_found_as_parts_of_words(spark, monkeypatch, few):
+    """By brute force: a term is in a field when it is in its text, however many terms there are."""
+    monkeypatch.setattr(retrieval, "FEW", few)
     words = ["ab", "abc", "xabcx", "b", "tkt-3", "src2/en/doc-42.md", "é"]
     rows = spark.createDataFrame([(i, f"{words[i % 7]} {words[(i * 3) % 7]} z{i}") for i in range(40)], "id int, t string")
     terms = spark.createDataFrame([(x,) for x in ("a", "ab", "abc", "kt-3", "doc-42", "z1", "é", "none")], "term string")
