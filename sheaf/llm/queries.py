@@ -13,6 +13,7 @@ from sheaf.llm.common import table
 from sheaf.llm.decontaminate import leaks
 from sheaf.llm.langid import identified
 from sheaf.llm.licenses import scanned
+from sheaf.llm.negatives import hard_negatives
 from sheaf.llm.packing import packed_documents
 from sheaf.llm.sharding import shards_by_bytes
 from sheaf.llm.simhash import near_duplicates
@@ -68,9 +69,34 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives(rows, shift=F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+OP12_SQL = """
+WITH own AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+  FROM own a JOIN own e ON a.vec_id <> e.vec_id
+  WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_licenses": op5_licenses, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_licenses": op5_licenses, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op12_hard_negatives": op12_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_hard_negatives": OP12_SQL}
