@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import context_tree
+from sheaf.llm.alignment import aligned
 from sheaf.llm.ann import neighbours
+from sheaf.llm.caps import near_vectors
 from sheaf.llm.common import table
 from sheaf.llm.decontaminate import leaks
 from sheaf.llm.langid import identified
@@ -69,11 +71,42 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return hard_negatives(rows, shift=F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary, ranks = tokenizer_files()
+    return aligned(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.path("piece_bpe_32k.model"), ranks)
+
+
+OP11_SQL = """
+WITH RECURSIVE own AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v,
+    vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid
+  FROM embeddings
+), link AS (
+  SELECT a.r, a.vec_id, b.vec_id AS other FROM own a JOIN own b ON a.valid AND b.valid AND a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS root FROM own WHERE vec_id IS NOT NULL
+  UNION
+  SELECT l.vec_id, p.root FROM reach p JOIN link l ON l.other = p.vec_id
+), component AS (
+  SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id
+), counted AS (
+  SELECT r, count(*) AS n FROM link GROUP BY r
+)
+SELECT o.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, o.vec_id = component_id AS kept
+FROM own o LEFT JOIN counted USING (r) LEFT JOIN component c ON c.vec_id = o.vec_id
+"""
+
 OP12_SQL = """
 WITH own AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -95,8 +128,8 @@ QUALIFY row_number() OVER w <= 3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_licenses": op5_licenses, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op12_hard_negatives": op12_hard_negatives}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_langid": op2_langid, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_licenses": op5_licenses, "op6_context_tree": op6_context_tree, "op7_packing": op7_packing, "op8_ann": op8_ann, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op11_embedding_dedup": op11_embedding_dedup, "op12_hard_negatives": op12_hard_negatives, "op13_token_alignment": op13_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_hard_negatives": OP12_SQL}
+    return {"op11_embedding_dedup": OP11_SQL, "op12_hard_negatives": OP12_SQL}
