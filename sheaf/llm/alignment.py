@@ -399,7 +399,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, ranks_a: str | None = Non
     part = F.pmod(F.xxhash64("chunk"), F.lit(wide)).alias("part")
     sets = pairs.select("lane", part, "x").groupBy("lane", "part").applyInArrow(union(False), LANE)
     index = written(sets.withColumn("part", F.lit(0).cast("long")).groupBy("lane").applyInArrow(union(True), LANE).select("lane", "x"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).cast("long").alias("part")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))).alias("part")
     none = F.lit(None).cast("binary")
     streams = index.select("lane", every, F.lit(0).alias("rank"), "x", none.alias("y")).unionByName(pairs.select("lane", part, F.lit(1).alias("rank"), "x", "y"))
     dense = streams.repartition("lane", "part").sortWithinPartitions("lane", "part", "rank").mapInArrow(vectors, LANE)
