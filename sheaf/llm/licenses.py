@@ -1,8 +1,9 @@
-"""Licence scan: a trained classifier over the words and word pairs of paragraphs, confirmed against templates.
+"""Licence scan: a trained classifier over the words and word pairs of paragraphs names families, templates confirm them.
 
 A paragraph is a block between blank lines, however its lines are wrapped. Overlapping windows of a paragraph's
-words are classified; windows that state a licence are joined to regions, and a region's family must be confirmed
-by a statement of that family.
+words are classified; windows that state a licence are joined to regions. The families that the classifier names in a region's
+windows, long and short, are confirmed one by one: a statement of that very family must stand there, with the words that tell
+it from its kin (version, clauses, the identifier itself), and not be denied.
 """
 
 from __future__ import annotations
@@ -116,11 +117,45 @@ OTHER = (
     "Permission to reprint this work for teaching is granted if the notice below is kept.",
     "This data is made available under the Open Example License; see the terms of use for details.",
 )
+OTHER += (
+    "This work is not licensed under the Apache License, Version 2.0; it is proprietary.", "This software is not released under the MIT License or the GNU General Public License.", "The code was never distributed under the BSD License.",
+    "SPDX-License-Identifier: AFL-3.0", "SPDX-License-Identifier: MS-PL", "SPDX-License-Identifier: LicenseRef-Own", "SPDX-License-Identifier: Artistic-2.0",
+    "SPDX-License-Identifier: OFL-1.1", "SPDX-License-Identifier: CDDL-1.0", "SPDX-License-Identifier: WTFPL", "SPDX-License-Identifier: Proprietary",
+)
+# SPDX identifiers of the families.
+SPDX = {
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), "Apache-2.0": ("Apache-2.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "BSL-1.0": ("BSL-1.0",),
+    "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",), "CC0-1.0": ("CC0-1.0",), "EPL-2.0": ("EPL-2.0",),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), "ISC": ("ISC",),
+    "LGPL": ("LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "MIT": ("MIT",), "MPL-2.0": ("MPL-2.0",), "Unlicense": ("Unlicense",), "Zlib": ("Zlib",),
+}
+TEMPLATES = {k: (*(t for t in v if not t.startswith("SPDX")), *(f"SPDX-License-Identifier: {i}" for i in SPDX[k])) for k, v in TEMPLATES.items()}
+# What must stand in a statement of each family, as words with single spaces between: the words that tell it from its kin.
+_GNU = "(?<!affero )(?<!lesser )(?<!library )general public license\\b(?: [a-z]+){0,9}? (?:version |v )?"
+MARKS = {
+    "AGPL-3.0": "affero general public license|\\bagpl\\b", "Apache-2.0": "\\bapache (?:software )?(?:license )?(?:version )?(?:v )?2(?:\\.0)?(?![0-9.])|licenses license 2\\.0|permissions and limitations under the license",
+    "BSD": "\\bbsd\\b|redistributions? (?:and use )?(?:in|of) (?:source|binary)|neither the name of", "BSL-1.0": "boost software license|\\bbsl 1",
+    "CC-BY-4.0": "\\bcc by 4\\.0|commons attribution 4\\.0", "CC-BY-NC-4.0": "\\bcc by nc 4\\.0|attribution non ?commercial 4\\.0", "CC-BY-SA-4.0": "\\bcc by sa 4\\.0|attribution share ?alike 4\\.0",
+    "CC0-1.0": "\\bcc0\\b", "EPL-2.0": "eclipse public license (?:version |v )?2|\\bepl 2",
+    "GPL-2.0": f"{_GNU}2(?:\\.0)?(?![0-9.])|(?<![a-z])gpl (?:v )?2(?:\\.0)?(?![0-9.])", "GPL-3.0": f"{_GNU}3(?:\\.0)?(?![0-9.])|(?<![a-z])gpl (?:v )?3(?:\\.0)?(?![0-9.])",
+    "ISC": "\\bisc\\b|permission to use copy modify and or distribute", "LGPL": "lesser general public license|library general public license|\\blgpl\\b",
+    "MIT": "\\bmit\\b|permission is hereby granted free of charge|permission notice shall be included in all copies", "MPL-2.0": "mozilla public license (?:version |v )?2|\\bmpl 2|mozilla\\.org|mozilla org mpl 2",
+    "Unlicense": "\\bunlicense\\b|free and unencumbered|anyone is free to copy modify publish", "Zlib": "\\bzlib\\b|without any express or implied warranty|including commercial applications|origin of this software must not|altered source versions",
+}
+MARKS = {k: re.compile(v) for k, v in MARKS.items()}
+# A statement that is denied, and an identifier line.
+DENIED = re.compile("\\b(?:not|never|no longer|nor|isn t|aren t|wasn t|neither) (?:be |been )?(?:licensed|released|distributed|available|made available|covered|offered|provided|published|under)\\b")
+TAGGED = re.compile("spdx license identifier")
 NONE, UNKNOWN = "none", "unknown"
+#: Words of the short windows by which families are named, from one to the next, words beside a window that are read with it, and the least probability that names.
+SHORT, STEP_SHORT, BESIDE, NAMED = 10, 3, 4, 0.02
 #: Negative documents of the training sample at most (expected), variants of a statement, training steps, least word-pair likeness to a statement.
 SAMPLE, VARIANTS, STEPS, LIKE = 400, 40, 150, 0.6
 #: Share of the corpus windows from which a word is vocabulary.
 COMMON = 0.01
+#: Letters of a piece of the training sample at most.
+PIECE = 2000
 #: Words of a window and from one window to the next.
 WIDTH, HOP = 24, 8
 
@@ -226,20 +261,37 @@ class Classifier:
             w = w - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
         return w
 
-    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, words: list[str], width: int = WIDTH, hop: int = HOP) -> tuple[np.ndarray, np.ndarray]:
         """(starts, calibrated probabilities by class) of the windows of a paragraph; the last one ends with it."""
         one, two = self._ids(words)
         each = self.weights[one]
         each[1:] += self.weights[two]
         total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=float)])
-        start = np.unique(np.append(np.arange(0, max(1, len(words) - WIDTH + 1), HOP), max(0, len(words) - WIDTH)))
-        end = np.minimum(start + WIDTH, len(words))
+        start = np.unique(np.append(np.arange(0, max(1, len(words) - width + 1), hop), max(0, len(words) - width)))
+        end = np.minimum(start + width, len(words))
         z = total[end] - total[start]
         z[start > 0] -= self.weights[two[start[start > 0] - 1]]  # the pair that leads into the window
         return start, self._soft((z / WIDTH**0.5 + self.bias) / self.heat)
 
+    def _confirmed(self, family: str, words: list[str], spans: list[tuple[int, int]], region: set) -> float:
+        """Likeness of the family's best statement to the region, or 0 where its words do not stand in what names it, or are denied."""
+        whole = " ".join(words)
+        at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])  # where each word begins
+        marks = [(int(np.searchsorted(at, m.start(), "right")) - 1, int(np.searchsorted(at, m.end()))) for m in MARKS[family].finditer(whole)]
+        for a, b in spans:
+            lo, hi = max(0, a - BESIDE), b + BESIDE
+            if any(x < hi and y > lo for x, y in marks) and not DENIED.search(" ".join(words[lo:hi])):
+                break
+        else:
+            return 0.0
+        return max(len(t & region) / len(t) for t in self.templates[family])
+
     def paragraph(self, text: str) -> list[tuple[str, float, float]]:
-        """(family or 'unknown', calibrated probability, likeness to its best statement) of each region that states a licence."""
+        """(family or 'unknown', calibrated probability, likeness to its best statement) of each licence of each region that states one.
+
+        A region's families are those that the classifier gives NAMED in one of its windows, long or short, the surest first. One that its
+        own statement does not confirm is dropped; a region without any left is unknown, as sure as that some licence stands there.
+        """
         words = WORD.findall(text.lower())
         if not words:
             return []
@@ -249,14 +301,22 @@ class Classifier:
             return []
         out = []
         for part in np.split(says, np.flatnonzero(start[says[1:]] > start[says[:-1]] + WIDTH) + 1):
-            region = pairs_of(words[start[part[0]] : start[part[-1]] + WIDTH])
-            told = p[part].max(axis=0)
-            like, sure, best = max((max(len(t & region) / len(t) for t in own), float(told[2 + n]), k) for n, (k, own) in enumerate(sorted(self.templates.items())))
-            if like >= LIKE:
-                # the family whose statement stands there, as sure as the classifier is that a family's does
-                out.append((best, max(sure, float(1 - p[part, :2].sum(axis=1).min())), like))
-            else:
-                out.append((UNKNOWN, float(1 - p[part, 0].min()), like))
+            first, last = int(start[part[0]]), int(start[part[-1]]) + WIDTH
+            own = words[first:last]
+            region = pairs_of(own)
+            near, q = self.windows(own, SHORT, STEP_SHORT)
+            spans = [(int(start[i]) - first, int(start[i]) - first + WIDTH) for i in part] + [(int(i), int(i) + SHORT) for i in near]
+            told = np.concatenate([p[part], q])
+            found = []
+            for n in np.argsort(-told[:, 2:].max(axis=0), kind="stable").tolist():
+                named = np.flatnonzero(told[:, 2 + n] >= NAMED)
+                if not len(named):
+                    continue
+                family = self.classes[2 + n]
+                like = self._confirmed(family, own, [spans[i] for i in named[np.argsort(-told[named, 2 + n], kind="stable")].tolist()], region)
+                if like >= LIKE:
+                    found.append((family, float(told[named, 2 + n].max()), like))
+            out += found or [(UNKNOWN, float(1 - p[part, 0].min()), 0.0)]
         return out
 
     def document(self, text: str | None) -> tuple[int, list[tuple[str, float, float, int]]]:
@@ -266,17 +326,19 @@ class Classifier:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """A classifier whose negatives are the paragraphs of about ``sample`` documents (by a hash of the text)."""
+    """A classifier whose negatives are 5 * ``sample`` pieces, of PIECE letters at most, of the paragraphs of about ``sample`` whole documents (by hashes)."""
     n = docs.count()
     some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", F.lit("licences")), F.lit(1_000_000)) < int(min(1.0, sample / max(1, n)) * 1_000_000)))
-    lines = some.select(F.explode(F.split(F.substring("text", 1, 1 << 20), r"\n[ \t\r\f]*\n")).alias("part")).where("trim(part) <> ''").distinct().orderBy(F.xxhash64("part"), "part").limit(5 * sample)
-    return Classifier([r.part[: 1 << 14] for r in lines.collect()])
+    # whole texts, in pieces of a bounded size, so that what comes to the driver is bounded by bytes
+    parts = some.select(F.explode(F.split("text", r"\n[ \t\r\f]*\n")).alias("part")).select(F.explode(F.regexp_extract_all("part", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("part"))
+    lines = parts.where("trim(part) <> ''").distinct().orderBy(F.xxhash64("part"), "part").limit(5 * sample)
+    return Classifier([r.part for r in lines.collect()])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """Documents -> (doc_id, n_paragraphs, licence, confidence, likeness, findings): one row a document.
 
-    licence is the family of the most confident finding (ties: the earliest), 'unknown' if a licence is stated
+    licence is the family of the most confident finding (ties: the earliest), each licence of a dual licence is a finding, 'unknown' if a licence is stated
     that no family's statement confirms, or null. Every window of every paragraph of every text is classified;
     only the negatives of the training set are a bounded sample. Repeated rows are scanned one by one. A text of
     any length is scanned a paragraph at a time. Null and empty texts have no paragraph. Empty table: no rows.

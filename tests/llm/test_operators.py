@@ -537,3 +537,35 @@ def test_rows_without_doc_id_do_not_fail(spark):
 def test_written_uses_the_shared_folder(spark):
     df = common.written(spark.range(3).toDF("x"))
     assert all(f.startswith(common.shared_folder(spark).replace("file://", "file:///").replace("////", "///")) for f in df.inputFiles())
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.trained(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+
+
+def test_the_classifier_names_and_the_template_confirms(licence_model):
+    """Every identifier of the families, identifiers outside them, dual licences, denials, and every statement alone."""
+    names = lambda t: [f[0] for f in licence_model.document(t)[1]]
+    for family, ids in licenses.SPDX.items():
+        for i in ids:
+            assert names(f"SPDX-License-Identifier: {i}") == names(f"// SPDX-License-Identifier: {i}\n\nint x;") == [family], i
+    for i in ("AFL-3.0", "MS-RL", "EUPL-1.2", "NCSA", "PostgreSQL", "Ruby", "X11", "CC-BY-ND-4.0", "CC-BY-3.0", "EPL-1.0", "MPL-1.1", "Apache-1.1", "GPL-1.0-only", "CC-BY-NC-SA-4.0"):
+        assert names(f"SPDX-License-Identifier: {i}") == ["unknown"], i
+    assert names("not licensed under the Apache License, Version 2.0; it is proprietary") == ["unknown"]
+    assert set(names("Dual licensed under the MIT License or the GNU General Public License, version 2")) == {"MIT", "GPL-2.0"}
+    assert set(names("SPDX-License-Identifier: MIT OR Apache-2.0")) == {"MIT", "Apache-2.0"}
+    for family, statements in licenses.TEMPLATES.items():
+        for t in statements:
+            assert names(t) == [family], t
+
+
+def test_likeness_is_the_best_template_of_the_family(licence_model):
+    """By brute force over all statements: the likeness that is told is that of the named family's best statement."""
+    pairs = lambda t: licenses.pairs_of(licenses.WORD.findall(t.lower()))
+    for t in NOTICES.values():
+        for family, sure, like, _ in licence_model.document(t)[1]:
+            if family != "unknown":
+                assert 0 < sure <= 1 and licenses.LIKE <= like <= max(len(pairs(x) & pairs(t)) / len(pairs(x)) for x in licenses.TEMPLATES[family]) + 1e-12
+    long = "plain words here and there " * 40_000 + "\n\nReleased under the MIT License.\n\n" + "more " * 300_000
+    assert [f[0] for f in licence_model.document(long)[1]] == ["MIT"]
