@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.plans import relational, reporting, retrieving, scalars
+from sheaf.plans import relational, reporting, retrieving, scalars, threading
 
-MODULES: tuple = (scalars, relational, retrieving, reporting)
+MODULES: tuple = (scalars, relational, retrieving, reporting, threading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,21 +1,29 @@
-"""Table functions for SQL, in SQL: they stay in the JVM."""
+"""Table functions for SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+
+class SplitPieces:
+    """Text, stride, overlap -> the windows of the text, one at a time, blank ones left out; use with LATERAL.
+
+    A window is a slice of the text, so the work is linear in its length and no more than one window is held beside it.
+    """
 
-#: text, stride, overlap (at most the stride) -> the windows of the text, blank ones left out; use with LATERAL.
-SPLIT_PIECES = """
-CREATE OR REPLACE TEMPORARY FUNCTION split_pieces(body STRING, stride INT, overlap INT) RETURNS TABLE (piece INT, body STRING)
-RETURN SELECT pos AS piece, col AS body FROM posexplode(
-    transform(
-        slice(regexp_extract_all(split_pieces.body, '(?s).{1,' || stride || '}', 0), 1, CASE WHEN length(split_pieces.body) <= stride + overlap THEN 1 ELSE cast(ceil((length(split_pieces.body) - stride - overlap) / stride) AS int) + 1 END),
-        (part, n) -> substring(concat(part, coalesce(get(regexp_extract_all(split_pieces.body, '(?s).{1,' || stride || '}', 0), n + 1), '')), 1, stride + overlap)
-    )
-) WHERE trim(col) <> ''
-"""
+    def eval(self, body: str, stride: int, overlap: int) -> Iterator[tuple[int, str]]:
+        if body is None:
+            return
+        last = 0 if len(body) <= stride + overlap else -(-(len(body) - stride - overlap) // stride)
+        for n in range(last + 1):
+            part = body[n * stride : (n + 1) * stride + overlap]
+            if part.strip(" "):
+                yield n, part
 
 
 def register(spark: SparkSession) -> None:
     """Make split_pieces known to the session's SQL."""
-    spark.sql(SPLIT_PIECES)
+    spark.udtf.register("split_pieces", udtf(SplitPieces, returnType="piece int, body string", useArrow=True))

@@ -30,21 +30,53 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(from_id, relation, to_id, hop): each edge once, at the hop at which breadth-first search over both directions meets it."""
-    front = seeds.select(F.col("id").alias("node")).distinct()
-    visited, found = front, None
+#: Edges of a node above which its edges are dealt over several keys.
+HUB = 10_000
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, salt, n_salts, other, from_id, relation, to_id): every edge at both of its ends; a hub's edges are dealt over salts."""
+    one = edges.select("from_id", "relation", "to_id").distinct()
+    both = one.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), "*").unionByName(one.where("from_id <> to_id").select(F.col("to_id").alias("node"), F.col("from_id").alias("other"), "*"))
+    hubs = both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("n_salts"))
+    salted = both.join(hubs, "node", "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
+    return cut(salted.withColumn("salt", F.pmod(F.xxhash64("from_id", "relation", "to_id"), F.col("n_salts")).cast("int")))
+
+
+def k_hop_each(edges, seeds: DataFrame, hops: int) -> DataFrame:
+    """seeds(question_id, id) -> (question_id, from_id, relation, to_id, hop): each question's breadth-first search over both directions, all at once.
+
+    ``edges`` is a table of edges, or gives the edges at some nodes (``at(frontier)``, frontier(node)), so that an index is read
+    where the search goes alone. A question meets an edge once, at the first hop. What a layer's nodes are joined to lies in the
+    layer before, the same, or the next, so two layers a question are all that is remembered.
+    """
+    key = ["question_id", "node"]
+    front = cut(seeds.select("question_id", F.col("id").alias("node")).distinct())
+    before, found = front.limit(0), None
+    all_edges = neighbours(edges) if isinstance(edges, DataFrame) else None
     for hop in range(1, hops + 1):
-        out = edges.join(front, edges.from_id == front.node, "left_semi").unionByName(edges.join(front, edges.to_id == front.node, "left_semi")).distinct()
-        new = cut((out if found is None else out.join(found, ["from_id", "relation", "to_id"], "left_anti")).select("from_id", "relation", "to_id", F.lit(hop).alias("hop")))
-        found = new if found is None else found.unionByName(new)
-        front = cut(new.select(F.col("from_id").alias("node")).union(new.select("to_id")).distinct().join(visited, "node", "left_anti"))
-        visited = visited.union(front)
+        near = all_edges if all_edges is not None else neighbours(edges.at(front.select("node").distinct()))
+        hubs = near.where("n_salts > 1").select("node", "n_salts").distinct()
+        asked = front.join(hubs, "node", "left").select(*key, F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)).alias("salt"))
+        met = asked.join(near, ["node", "salt"])
+        old = before.select("question_id", F.col("node").alias("other"))
+        new = cut(met.join(old, ["question_id", "other"], "left_anti").select("question_id", "from_id", "relation", "to_id", "other").distinct())
+        edges_now = new.select("question_id", "from_id", "relation", "to_id", F.lit(hop).alias("hop")).distinct()
+        found = edges_now if found is None else found.unionByName(edges_now)
+        if hop == hops:
+            break
+        ahead = cut(new.select("question_id", F.col("other").alias("node")).distinct().join(front, key, "left_anti"))
+        before, front = front, ahead
         if not front.limit(1).count():
             break
     return found
 
 
+def k_hop(edges, seeds: DataFrame, hops: int) -> DataFrame:
+    """seeds(id) -> (from_id, relation, to_id, hop): each edge once, at the hop at which breadth-first search over both directions meets it."""
+    return k_hop_each(edges, seeds.select(F.lit(0).alias("question_id"), "id"), hops).drop("question_id")
+
+
 def seed_entities(edges: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Targets of MENTIONS edges of the chunks."""
     return edges.where("relation = 'MENTIONS'").join(chunk_ids.select(F.col("chunk_id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct()
@@ -91,39 +123,103 @@ def resolve_entities(mentions: DataFrame) -> DataFrame:
     return linked.select(F.col("node").alias("mention_id"), F.col("root").alias("node_id"))
 
 
-#: Vectors that share a bucket of a table, about, and the chance that a pair just similar enough shares none.
-BUCKET, MISSED = 64, 1e-6
+#: Vectors of a unit, pivots at most, and vectors that pivots are chosen from.
+UNIT, PIVOTS, SAMPLE = 4096, 1024, 20_000
+#: Coordinates of the first look at a pair.
+PREFIX = 16
 
 
-def near_pairs(vectors: DataFrame, least: float, seed: int = 3) -> DataFrame:
-    """(a, b, cosine) of vectors(vec_id, embedding) at ``least`` cosine or more, a < b, between the classes of equal directions.
+def near_pairs(vectors: DataFrame, least: float, compared=None) -> DataFrame:
+    """(a, b, cosine) of vectors(vec_id, embedding) at ``least`` cosine or more, a < b, between the classes of equal directions. None is missed.
 
     A class is named by its smallest id; its other members are given with it alone, at cosine 1, so a direction that many
-    vectors have never makes all their pairs. Classes meet in buckets of sign projections. The number of signs grows with
-    the table, so that buckets do not, and the number of tables with it, so that a pair is missed with a chance of MISSED
-    at most (less above ``least``); cosines are exact. Zero vectors have no direction and take no part.
+    vectors have never makes all their pairs. Zero vectors have no direction and take no part.
+
+    Directions belong to the cell of their nearest pivot, and a cell to units of about UNIT of them. A direction meets its own unit,
+    and visits earlier units: those of its cell, and those of cells that the triangle inequality leaves open - it lies
+    within the cell's radius and the threshold's angle of the pivot, and no more than twice that angle farther than its own. In
+    a unit, rows of visitors and of the unit are compared in blocks, first by PREFIX coordinates and the length of the rest. So
+    work shrinks where the vectors cluster; for directions spread evenly in many dimensions no bound helps and it is all pairs, in blocks.
+    ``compared``: an accumulator that counts the pairs that had to be compared whole.
     """
-    from math import acos, ceil, log, log2, pi
-
     import numpy as np
-
-    from sheaf.operators.retrieval import distance
+    import pyarrow as pa
 
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v))
     rows = vectors.withColumn("norm", norm).where("norm > 0").select("vec_id", F.transform("embedding", lambda v: v.cast("double") / F.col("norm")).alias("way"))
     members = cut(rows)
     classes = cut(members.groupBy("way").agg(F.min("vec_id").alias("vec_id")))
     n = classes.count()
-    size = len(classes.first()["way"]) if n else 1
-    bits = max(2, min(20, round(log2(max(4, n) / BUCKET)))) if n > BUCKET else 2
-    tables = ceil(log(MISSED) / log(1 - (1 - acos(least) / pi) ** bits)) if least < 1 else 1
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
-    sign = lambda p: F.when(F.aggregate(F.zip_with("way", F.array(*(F.lit(float(x)) for x in p)), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v) >= 0, "1").otherwise("0")
-    keys = F.array(*(F.concat(F.lit(f"{t}:"), *(sign(p) for p in planes[t])) for t in range(tables)))
-    k = cut(classes.select("vec_id", F.explode(keys).alias("key")))
-    pairs = k.alias("x").join(k.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.vec_id") < F.col("y.vec_id"))).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b")).distinct()
-    v = lambda n: classes.select(F.col("vec_id").alias(n), F.col("way").alias(f"{n}v"))
-    cosine = F.round(1 - distance(F.col("av"), F.col("bv"), "cosine"), 6)
-    near = pairs.join(v("a"), "a").join(v("b"), "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)
+    sample = np.array([r.way for r in classes.where(draw).select("way").limit(2 * SAMPLE).collect()])
+    k = max(1, min(PIVOTS, n // 256, len(sample)))
+    pivots = sample[np.random.default_rng(3).choice(len(sample), k, replace=False)] if len(sample) else np.zeros((1, 1))
+    reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 1e-7
+    angles = lambda b: np.arccos(np.clip(np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, -1) @ pivots.T, -1, 1))
+
+    def homes(batches):
+        for b in batches:
+            if b.num_rows:
+                far = angles(b)
+                own = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64()), pa.array(far[np.arange(len(own)), own])], names=["way", "vec_id", "cell", "far"])
+
+    placed = cut(classes.select("way", F.col("vec_id").cast("long").alias("vec_id")).mapInArrow(homes, "way array<double>, vec_id long, cell long, far double"))
+    cells = {r.cell: (r.radius, -(-r.n // UNIT)) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # PIVOTS rows
+
+    schema = pa.schema([("cell", pa.int64()), ("unit", pa.int64()), ("visits", pa.bool_()), ("vec_id", pa.int64()), ("way", pa.list_(pa.float64()))])
+
+    def sent(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            far, own, ids = angles(b), b.column(2).to_numpy(), b.column(1).to_numpy()
+            mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            least_far = far[np.arange(len(own)), own]
+            for cell, (radius, units) in cells.items():
+                home = own == cell
+                meets = (own > cell) & (far[:, cell] <= radius + reach) & (far[:, cell] <= least_far + 2 * reach)
+                for unit in range(units):
+                    for visits, at in ((False, np.flatnonzero(home & (mine % units == unit))), (True, np.flatnonzero(meets | (home & (mine % units > unit))))):
+                        some = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell)), pa.array(np.full(len(at), unit)), pa.array(np.full(len(at), visits)), b.column(1).take(some), b.column(0).take(some)], schema=schema)
+
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+
+    def met(batches):
+        now, ids, x = None, np.zeros(0, np.int64), np.zeros((0, 1))
+
+        def block(own_ids, y, triangle):
+            looked = y[:, :PREFIX] @ x[:, :PREFIX].T + np.outer(np.sqrt(np.maximum(1 - (y[:, :PREFIX] ** 2).sum(1), 0)), np.sqrt(np.maximum(1 - (x[:, :PREFIX] ** 2).sum(1), 0)))
+            hope = looked >= least - 1e-6
+            if triangle:
+                hope &= own_ids[:, None] > ids[None, :]
+            i, j = np.nonzero(hope)
+            if compared is not None:
+                compared.add(len(i))
+            if len(i) > hope.size // 8:
+                cosine = (y @ x.T)[i, j]
+            else:
+                cosine = (y[i] * x[j]).sum(1)
+            near = cosine >= least - 1e-6
+            a, b = np.minimum(own_ids[i[near]], ids[j[near]]), np.maximum(own_ids[i[near]], ids[j[near]])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine[near])], schema=pair)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell, unit, visits, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            y = np.array(b.column(4).to_pylist(), float)
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(unit) != 0) | (np.diff(visits.astype(int)) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
+                if (cell[lo], unit[lo]) != now:
+                    now, ids, x = (cell[lo], unit[lo]), np.zeros(0, np.int64), np.zeros((0, y.shape[1]))
+                if not visits[lo]:
+                    ids, x = np.concatenate([ids, own[lo:hi]]), np.concatenate([x, y[lo:hi]])
+                for s in range(lo, hi, 512):
+                    yield block(own[s : min(s + 512, hi)], y[s : min(s + 512, hi)], not visits[lo])
+
+    dealt = placed.mapInArrow(sent, "cell long, unit long, visits boolean, vec_id long, way array<double>").repartition("cell", "unit").sortWithinPartitions("cell", "unit", "visits", "vec_id")
+    near = dealt.mapInArrow(met, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= least)
     same = members.join(classes.withColumnRenamed("vec_id", "a"), "way").where("vec_id > a").select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("cosine"))
     return near.unionByName(same)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from sheaf.operators import graph, ranking, retrieval
 
@@ -17,6 +21,8 @@ from sheaf.operators.joins import changed, deleted
 
 #: Buckets of a table by the hash of its key, and parts that a bucket is written in at once.
 BUCKETS, SPREAD = 64, 4
+#: Letters of text for which an index whose number of buckets is left open has a bucket, and its least number.
+LETTERS, LEAST = 8_000_000, 8
 
 
 def build_plan(docs: DataFrame, state: DataFrame, old: DataFrame, size: int = 2048, overlap: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -70,6 +76,7 @@ class Buckets:
     def __init__(self, spark: SparkSession, folder: str, keys: dict[str, str], buckets: int = BUCKETS):
         self.spark, self.folder, self.keys, self.buckets = spark, folder, keys, buckets
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._seen = "", ""
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -84,8 +91,12 @@ class Buckets:
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("pointer-"))
         if not names:
             return 0, {}
-        text = self.spark.read.text(f"{self.folder}/{names[-1]}", wholetext=True).first()[0]
-        return int(names[-1].split("-")[1]), json.loads(text)
+        if names[-1] != self._seen[0]:  # pointers never change
+            source = self._fs.open(self._path(names[-1]))
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            source.close()
+            self._seen = names[-1], text
+        return int(names[-1].split("-")[1]), json.loads(self._seen[1])
 
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame | None:
         """All rows of a table, or those of some buckets; None before the first write."""
@@ -100,16 +111,21 @@ class Buckets:
         """The buckets that some keys are in: at most ``buckets`` numbers."""
         return sorted(r[0] for r in keys.select(self._bucket(column).alias("b")).distinct().collect())
 
-    def write(self, touched: list[int], **tables: DataFrame) -> None:
-        """Give the touched buckets of each table these rows, all of them, and none others."""
+    def write(self, touched: list[int] | dict[str, list[int]], **tables: DataFrame) -> None:
+        """Give the touched buckets (of each table its own, or the same) of each table these rows, all of them, and none others. A bucket's rows are in order of the key."""
         number, known = self.current()
         at = f"v{number + 1:09d}-{uuid.uuid4().hex}"
-        for table, rows in tables.items():
+        def put_down(table: str, rows: DataFrame) -> None:
             put = rows.withColumn("_bucket", self._bucket(self.keys[table])).repartition("_bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(SPREAD)))
-            put.write.partitionBy("_bucket").parquet(f"{self.folder}/{at}/{table}")
+            put.sortWithinPartitions("_bucket", self.keys[table]).write.partitionBy("_bucket").parquet(f"{self.folder}/{at}/{table}")
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # the jobs of the tables side by side
+            list(pool.map(inheritable_thread_target(self.spark)(put_down), tables, tables.values()))
+        for table, rows in tables.items():
             there = {s.getPath().getName().removeprefix("_bucket=") for s in self._fs.listStatus(self._path(f"{at}/{table}")) if s.isDirectory()}
             old = known.get(table, {"at": {}})["at"]
-            known[table] = {"schema": rows.schema.jsonValue(), "at": {b: f for b, f in old.items() if int(b) not in touched} | dict.fromkeys(there, at)}
+            mine = set(touched[table] if isinstance(touched, dict) else touched)
+            known[table] = {"schema": rows.schema.jsonValue(), "buckets": self.buckets, "at": {b: f for b, f in old.items() if int(b) not in mine} | dict.fromkeys(there, at)}
         out = self._fs.create(self._path(f"pointer-{number + 1:09d}"), False)
         out.write(bytearray(json.dumps(known).encode()))
         out.close()
@@ -126,6 +142,10 @@ class Buckets:
     def reset(self) -> None:
         self._fs.delete(self._path(""), True)
 
+    def forget_at_exit(self) -> None:
+        """The tables go when the session ends."""
+        self._fs.deleteOnExit(self._path(""))
+
 
 class ChunkTable(Buckets):
     """Chunks of documents and the state (hashes) that they were made from."""
@@ -202,13 +222,252 @@ class ChunkTable(Buckets):
             self.write(mine, **{t: self.read(t, mine).join(gone, "doc_id", "left_anti") for t in ("chunks", "state")})
 
 
+#: Keys up to which a lookup names them to the scan, so that row groups without them are skipped.
+NAMED = 1000
+
+
+class TextIndex(ChunkTable):
+    """An inverted index that grows by document: chunks with their labels, postings of both kinds by token, and dictionaries.
+
+    docs(doc_id, text, content_hash, meta_hash, *labels) where the labels have the names that retrieval searches
+    (source_path, section, project, doc_type, source_channel, reliability, ticket_ids, people, ...). A build or an upsert reads and
+    writes the buckets of the documents that changed, and of the tokens that they have or had. A lookup
+    scans the dictionary (token, n: chunks that hold it), then the buckets of the tokens found, and chunks only
+    to show them. It serves wherever retrieval takes a chunk table.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, labels: tuple[str, ...], buckets: int | None = None, embedder: Embedder | None = None):
+        Buckets.__init__(self, spark, folder, {"chunks": "doc_id", "state": "doc_id", "low": "token", "words": "token", "low_terms": "token", "words_terms": "token"}, buckets or self.kept(spark, folder))
+        self.labels, self.embedder = labels, embedder
+        self.near = VectorIndex(spark, f"{folder}/vectors") if embedder else None
+
+    @staticmethod
+    def kept(spark: SparkSession, folder: str) -> int:
+        """The number of buckets that the tables in a folder have; 0 before the first write."""
+        known = Buckets(spark, folder, {}).current()[1]
+        return max((t.get("buckets", BUCKETS) for t in known.values()), default=0)
+
+    def build(self, docs: DataFrame, size: int = 2048, overlap: int = 256) -> dict[str, int]:
+        if not self.buckets:
+            self.buckets = max(LEAST, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // LETTERS)
+        return super().build(self._hashed(docs), size, overlap)
+
+    def upsert(self, docs: DataFrame, size: int = 2048, overlap: int = 256) -> dict[str, int]:
+        return self.build(docs, size, overlap) if not self.buckets else super().upsert(self._hashed(docs), size, overlap)
+
+    @staticmethod
+    def _hashed(docs: DataFrame) -> DataFrame:
+        """Labels are searched, so a changed one counts as a change of the document."""
+        return docs.withColumn("content_hash", F.concat_ws(":", "content_hash", "meta_hash"))
+
+    def _chunks(self, docs: DataFrame, size: int, overlap: int) -> DataFrame:
+        return chunks(docs, size, overlap, self.labels).withColumnRenamed("chunk", "text")
+
+    def _merge(self, new: DataFrame, gone: DataFrame, size: int, overlap: int) -> None:
+        """Put new or changed documents and remove others, in their buckets and their tokens' buckets alone."""
+        new = graph.cut(new)
+        ids = graph.cut(new.select("doc_id").unionByName(gone.select("doc_id")))
+        fresh = graph.cut(self._chunks(new, size, overlap))
+        touched = {"chunks": self.touched(ids, "doc_id")}
+        touched["state"] = touched["chunks"]
+        old = self.read("chunks", touched["chunks"])
+        was = None if old is None else old.join(ids, "doc_id", "left_semi")
+        tables = {"chunks": fresh, "state": new.select("doc_id", "content_hash", "meta_hash")}
+        for table in ("chunks", "state"):
+            kept = self.read(table, touched[table])
+            tables[table] = tables[table] if kept is None else tables[table].unionByName(kept.join(ids, "doc_id", "left_anti"))
+        for kind, made in retrieval.KINDS.items():
+            rows = graph.cut(made(fresh, ("chunk_id", "doc_id")))
+            tokens = rows.select("token") if was is None else rows.select("token").union(made(was).select("token"))
+            mine = self.touched(tokens, "token")
+            kept = self.read(kind, mine)
+            tables[kind] = rows if kept is None else rows.unionByName(kept.join(ids, "doc_id", "left_anti"))
+            tables[f"{kind}_terms"] = tables[kind].groupBy("token").agg(F.count_distinct("chunk_id").alias("n"))
+            touched[kind] = touched[f"{kind}_terms"] = mine
+        self.write(touched, **tables)
+        if self.near:
+            self.near.delete(ids.select("doc_id"), "doc_id")
+            self.near.upsert(self.embedder.attach(fresh, "text").select(F.col("chunk_id").alias("vec_id"), "embedding", "doc_id"))
+
+    def delete(self, doc_ids: DataFrame) -> None:
+        if self.current()[0]:
+            state = self.read("state")
+            there = graph.cut(state.join(doc_ids.select("doc_id"), "doc_id", "left_semi"))
+            if there.limit(1).count():
+                empty = self.read("chunks").limit(0)
+                labels = [c for c in self.labels if c not in ("doc_id", "text")]
+                self._merge(empty.select("doc_id", "text", *labels, F.lit("").alias("content_hash"), F.lit("").alias("meta_hash")), there, 2048, 256)
+
+    def tokens(self, kind: str) -> DataFrame:
+        return self.read(f"{kind}_terms").select("token")
+
+    def postings(self, kind: str, found: DataFrame) -> DataFrame:
+        return named(self, kind, "token", found)
+
+    def places(self) -> DataFrame:
+        return self.read("chunks").drop("text")
+
+    def rows(self, ids: DataFrame) -> DataFrame:
+        ids = ids.select("chunk_id").distinct()
+        return named(self, "chunks", "doc_id", self.places().select("chunk_id", "doc_id").join(ids, "chunk_id", "left_semi")).join(ids, "chunk_id", "left_semi")
+
+    def nearest(self, asked: DataFrame, embedder: Embedder, k: int, probes: int | None = 0) -> DataFrame:
+        """The k nearest chunks of asked(question_id, q): exactly (``probes`` 0), or in so many cells (None: as many as were found to do)."""
+        return self.near.search(asked, k, "cosine", probes).withColumnRenamed("vec_id", "chunk_id")
+
+
+class VectorIndex(Buckets):
+    """An inverted file: vectors(vec_id, embedding, *labels) in a folder for each cell of nearest centroids, and where each vec_id lies.
+
+    Centroids are fitted once, on about SAMPLE vectors of the first write; each vector goes to its nearest. A search reads the cells
+    that its questions probe and no others; a filter on labels is part of that scan, so rows that a reader may not see are
+    never compared. How many cells to probe is found by comparing TRIED vectors with all rows.
+    """
+
+    SAMPLE, TRIED, CELLS, RECALL = 20_000, 32, 1024, 0.97
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        super().__init__(spark, folder, {"vectors": "cell", "at": "vec_id"}, buckets)
+
+    def _bucket(self, key: str):
+        return F.col("cell") if key == "cell" else super()._bucket(key)
+
+    def centroids(self) -> np.ndarray | None:
+        if not self._fs.exists(self._path("centroids")):
+            return None
+        return np.array([r.c for r in self.spark.read.parquet(f"{self.folder}/centroids").orderBy("cell").collect()], float)
+
+    def _fit(self, rows: DataFrame) -> np.ndarray:
+        """Some rounds of k-means over a sample; about as many cells as a cell has vectors, at most CELLS and a 16th of the sample."""
+        n = rows.count()
+        draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1.0, self.SAMPLE / max(1, n)) * 1_000_000)
+        x = np.array([r.embedding for r in rows.where(draw).orderBy("vec_id").limit(2 * self.SAMPLE).collect()], float)
+        if not len(x):
+            x = np.array([rows.first().embedding], float)
+        k = max(1, min(int(np.sqrt(n)), self.CELLS, len(x) // 16))
+        c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
+        for _ in range(8):
+            own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+            total = np.zeros_like(c)
+            np.add.at(total, own, x)
+            size = np.bincount(own, minlength=k)[:, None]
+            c = np.where(size > 0, total / np.maximum(size, 1), c)
+        self.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cell long, c array<double>").write.parquet(f"{self.folder}/centroids")
+        return c
+
+    def _celled(self, rows: DataFrame, centres: np.ndarray) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType())])
+        at, square = rows.columns.index("embedding"), (centres * centres).sum(1)
+
+        def run(batches):
+            for b in batches:
+                x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
+                cell = (square - 2 * x @ centres.T).argmin(1) if b.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64())], names=[*b.schema.names, "cell"])
+
+        return rows.mapInArrow(run, schema)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows as they are now, one a vec_id; vectors that are null or empty have no place. Cells that neither gain nor lose a row are not touched."""
+        rows = graph.cut(rows.where("embedding is not null and size(embedding) > 0"))
+        if not rows.limit(1).count():
+            return
+        centres = self.centroids()
+        new = graph.cut(self._celled(rows, self._fit(rows) if centres is None else centres))
+        self._swap(new.select("vec_id"), new)
+
+    def delete(self, ids: DataFrame, column: str = "vec_id") -> None:
+        """Rows go whose column has one of these values; by another column than vec_id, of the labels, all cells are looked through."""
+        if not self.current()[0]:
+            return
+        if column != "vec_id":
+            ids = graph.cut(self.read("vectors").join(ids.select(column).distinct(), column, "left_semi").select("vec_id"))
+        self._swap(ids.select("vec_id"), None)
+
+    def _swap(self, ids: DataFrame, new: DataFrame | None) -> None:
+        mine = self.touched(ids, "vec_id")
+        at = self.read("at", mine)
+        was = None if at is None else graph.cut(at.join(ids, "vec_id", "left_semi"))
+        if new is None and not was.limit(1).count():
+            return
+        cells = set() if new is None else {r.cell for r in new.select("cell").distinct().collect()}
+        cells |= set() if was is None else {r.cell for r in was.select("cell").distinct().collect()}
+        tables = {"vectors": new, "at": None if new is None else new.select("vec_id", "cell")}
+        for table, touched in (("vectors", sorted(cells)), ("at", mine)):
+            old = self.read(table, touched)
+            kept = None if old is None else old.join(ids, "vec_id", "left_anti")
+            tables[table] = kept if tables[table] is None else tables[table] if kept is None else kept.unionByName(tables[table])
+        self.write({"vectors": sorted(cells), "at": mine}, **tables)
+
+    def _order(self, q: np.ndarray, metric: str) -> np.ndarray:
+        """Each question's cells, the nearest first."""
+        c = self.centroids()
+        if metric == "cosine":
+            far = -(q @ c.T) / np.maximum(np.linalg.norm(c, axis=1), 1e-12)
+        else:
+            far = (c * c).sum(1) - 2 * q @ c.T
+        return far.argsort(axis=1, kind="stable")
+
+    def probes(self, k: int, metric: str, where: str | None = None) -> int:
+        """Cells that find RECALL of the k nearest of TRIED of the rows."""
+        rows = self.read("vectors") if where is None else self.read("vectors").where(where)
+        tried = rows.orderBy(F.xxhash64("vec_id")).select("vec_id", "embedding").limit(self.TRIED).collect()
+        near = retrieval.nearest([(n, r.embedding) for n, r in enumerate(tried)], rows.select("vec_id", "embedding"), k, metric).join(self.read("at"), "vec_id").select("question", "cell").collect()
+        order = self._order(np.array([r.embedding for r in tried], float), metric)
+        need = sorted(int(np.flatnonzero(order[r.question] == r.cell)[0]) + 1 for r in near)
+        return need[min(len(need) - 1, int(self.RECALL * len(need)))] if need else 1
+
+    def search(self, queries: DataFrame, k: int, metric: str = "l2", probes: int | None = None, where: str | None = None, block: int = retrieval.BLOCK) -> DataFrame:
+        """The k nearest of each of queries(question_id, q): (question_id, vec_id, distance, rank), exactly reranked.
+
+        ``probes``: cells looked through a question, 0 for all (exact), None for as many as are found to do. ``where`` filters the rows before.
+        Questions go in blocks of about ``block``.
+        """
+        if not self.current()[0]:
+            return retrieval.vectors(queries.limit(0), self.spark.createDataFrame([], "vec_id long, embedding array<double>"), k, metric)
+        rows = self.read("vectors")
+        if probes == 0:
+            return retrieval.vectors(queries, rows if where is None else rows.where(where), k, metric, block)
+        many = probes or self.probes(k, metric, where)
+        blocks = max(1, -(-queries.count() // block))
+        out = None
+        for b in range(blocks):
+            some = queries.select("question_id", "q").where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+            asked = [(r.question_id, r.q) for r in some.collect() if r.q]
+            of: dict[int, list[int]] = {}
+            order = self._order(np.array([v for _, v in asked], float), metric)[:, :many] if asked else []
+            for n, cells in enumerate(order):
+                for cell in cells.tolist():
+                    of.setdefault(cell, []).append(n)
+            own = self.read("vectors", sorted(of))
+            own = own if where is None else own.where(where)
+            named = self.spark.createDataFrame([(n, i) for n, (i, _) in enumerate(asked)], T.StructType([T.StructField("question", T.LongType()), some.schema["question_id"]]))
+            one = retrieval.nearest(asked, own.select("vec_id", "embedding", "cell"), k, metric, of).join(F.broadcast(named), "question").select("question_id", "vec_id", "distance", "rank")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
+def named(at: Buckets, table: str, column: str, keys: DataFrame) -> DataFrame | None:
+    """Rows of a table in the buckets of some keys; few keys are named to the scan, so that row groups without them are skipped. None before the first write."""
+    if table not in at.current()[1]:
+        return None
+    some = keys.select(column, at._bucket(column).alias("b")).distinct().limit(NAMED + 1).collect()
+    if len(some) > NAMED:
+        return at.read(table, at.touched(keys, column)).join(keys.select(column).distinct(), column, "left_semi")
+    return at.read(table, sorted({r.b for r in some})).where(F.col(column).isin([r[0] for r in some]))
+
+
 class GraphTable(Buckets):
-    """Nodes (node_id, type, name) and edges (from_id, relation, to_id, doc_id): one row a node, one an edge and document."""
+    """Nodes (node_id, type, name) and edges (from_id, relation, to_id, doc_id): one row a node, one an edge and document.
+
+    Edges are kept by either end, so that a traversal reads the buckets of the nodes that it meets.
+    """
 
     NODES, EDGES = "node_id string, type string, name string", "from_id string, relation string, to_id string, doc_id string"
+    EDGE = ("from_id", "relation", "to_id", "doc_id")
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        super().__init__(spark, folder, {"nodes": "node_id", "edges": "from_id"}, buckets)
+        super().__init__(spark, folder, {"nodes": "node_id", "edges": "from_id", "back": "to_id", "by_doc": "doc_id"}, buckets)
 
     def nodes(self) -> DataFrame:
         rows = self.read("nodes")
@@ -220,22 +479,94 @@ class GraphTable(Buckets):
 
     def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         """New rows win over old ones of the same node, or of the same edge and document; repeats count once."""
-        for table, rows, key in (("nodes", nodes, ["node_id"]), ("edges", edges, ["from_id", "relation", "to_id", "doc_id"])):
-            if rows is None:
-                continue
-            schema = T.StructType.fromDDL(self.NODES if table == "nodes" else self.EDGES)
-            rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).dropDuplicates(key)
-            mine = self.touched(rows, self.keys[table])
+        for names, rows, key, ddl in ((("nodes",), nodes, ["node_id"], self.NODES), (("edges", "back", "by_doc"), edges, list(self.EDGE), self.EDGES)):
+            if rows is not None:
+                rows = graph.cut(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl))).dropDuplicates(key))
+                self._put({t: (self.touched(rows, self.keys[t]), rows, key, rows) for t in names})
+
+    def _put(self, changes: dict[str, tuple]) -> None:
+        """{table: (buckets, rows that go, by which key, rows that come)}, all under one pointer."""
+        if not any(mine for mine, *_ in changes.values()):
+            return
+        tables = {}
+        for table, (mine, gone, key, new) in changes.items():
             old = self.read(table, mine)
-            if mine:
-                self.write(mine, **{table: rows if old is None else old.join(rows, key, "left_anti").unionByName(rows)})
+            tables[table] = new if old is None else new.unionByName(old.join(gone, key, "left_anti"))
+        self.write({t: mine for t, (mine, *_) in changes.items()}, **tables)
+
+    def replace(self, doc_ids: DataFrame, edges: DataFrame) -> None:
+        """The edges of some documents as they are now: old ones of these documents go, also where none come. Other buckets stay unread."""
+        gone = graph.cut(doc_ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct())
+        new = graph.cut(edges.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(self.EDGES))).dropDuplicates(list(self.EDGE)))
+        was = named(self, "by_doc", "doc_id", gone)
+        both = graph.cut(new if was is None else new.unionByName(was.select(*self.EDGE)))
+        self._put({t: (self.touched(both.select(self.keys[t]).union(gone) if t == "by_doc" else both, self.keys[t]), gone, ["doc_id"], new) for t in ("edges", "back", "by_doc")})
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Edges that come from some documents go; nodes that no edge is left of stay, as they may be named elsewhere."""
-        gone = doc_ids.select(F.col("doc_id").cast("string").alias("doc_id"))
-        mine = self.touched(self.edges().join(gone, "doc_id", "left_semi"), "from_id")
-        if mine:
-            self.write(mine, edges=self.read("edges", mine).join(gone, "doc_id", "left_anti"))
+        if "edges" in self.current()[1]:
+            self.replace(doc_ids, self.edges().limit(0))
+
+    def support(self) -> DataFrame:
+        """(from_id, relation, to_id, n): in how many documents each edge stands."""
+        return self.edges().groupBy("from_id", "relation", "to_id").agg(F.count_distinct("doc_id").alias("n"))
+
+    def at(self, frontier: DataFrame) -> DataFrame:
+        """The edges at the nodes of frontier(node), from the buckets of those nodes."""
+        ends = [named(self, t, k, frontier.select(F.col("node").cast("string").alias(k))) for t, k in (("edges", "from_id"), ("back", "to_id"))]
+        if ends[0] is None:
+            return self.edges()
+        return ends[0].select(*self.EDGE).unionByName(ends[1].select(*self.EDGE))
 
     def k_hop(self, seeds: DataFrame, hops: int) -> DataFrame:
-        return graph.k_hop(self.edges().select("from_id", "relation", "to_id").distinct(), seeds, hops)
+        return graph.k_hop(self, seeds, hops)
+
+    def k_hop_each(self, seeds: DataFrame, hops: int) -> DataFrame:
+        """seeds(question_id, id): each question's own search."""
+        return graph.k_hop_each(self, seeds, hops)
+
+
+class EntityTable(Buckets):
+    """Entity resolution that grows by document: mentions of one type that share an alias, transitively, are one node, named by its smallest mention.
+
+    Kept are a mention's names, by mention, by name and by document, and its node, by mention and by node. A change
+    dissolves only the components that the changed documents' mentions had or now touch, and resolves those anew;
+    buckets without any of them are neither read nor written.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        super().__init__(spark, folder, {"names": "mention_id", "by_name": "name", "by_doc": "doc_id", "labels": "mention_id", "members": "node_id"}, buckets)
+
+    def labels(self) -> DataFrame:
+        rows = self.read("labels")
+        return self.spark.createDataFrame([], "mention_id long, node_id long") if rows is None else rows
+
+    def replace(self, doc_ids: DataFrame, mentions: DataFrame) -> None:
+        """The mentions(mention_id, doc_id, type, aliases) of some documents as they are now; documents without any are deleted. A mention_id is of one document."""
+        gone = graph.cut(doc_ids.select("doc_id").distinct())
+        empty = F.array(F.lit(None).cast("string"))  # a mention without an alias is a node of its own
+        new = graph.cut(mentions.select(F.col("mention_id").cast("long").alias("mention_id"), "doc_id", "type", F.explode(F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(empty)).alias("alias")).select("mention_id", "doc_id", F.when(F.col("alias").isNotNull(), F.concat_ws(":", "type", "alias")).otherwise(F.concat(F.lit("\0"), F.col("mention_id").cast("string"))).alias("name")).distinct())
+        was = named(self, "by_doc", "doc_id", gone)
+        old = new.limit(0) if was is None else graph.cut(was.select(*new.columns))
+        # components that are touched: of the old mentions, and of mentions that share a name with a new one
+        near = named(self, "by_name", "name", new)
+        seeds = old.select("mention_id") if near is None else old.select("mention_id").union(near.select("mention_id"))
+        seeds = graph.cut(seeds.distinct())
+        nodes = named(self, "labels", "mention_id", seeds)
+        hit = None if nodes is None else graph.cut(nodes.select("node_id").distinct())
+        members = None if hit is None else named(self, "members", "node_id", hit)
+        dissolved = seeds.limit(0).withColumn("node_id", F.col("mention_id")) if members is None else graph.cut(members.select("mention_id", "node_id"))
+        stay = dissolved.select("mention_id").join(old.select("mention_id"), "mention_id", "left_anti")
+        known = named(self, "names", "mention_id", graph.cut(stay))
+        rows = graph.cut(new if known is None else new.unionByName(known.select(*new.columns)))
+        hub = rows.groupBy("name").agg(F.min("mention_id").alias("b"))
+        linked = graph.components(rows.join(hub, "name").select(F.col("mention_id").alias("a"), "b").union(rows.select("mention_id", "mention_id"))) if rows.limit(1).count() else dissolved.select(F.col("mention_id").alias("node"), F.col("node_id").alias("root")).limit(0)
+        fresh = graph.cut(linked.select(F.col("node").alias("mention_id"), F.col("root").alias("node_id")))
+        change = {t: (old.unionByName(new), ["doc_id"], gone, new) for t in ("names", "by_name", "by_doc")} | {t: (dissolved.unionByName(fresh), ["mention_id"], dissolved.select("mention_id"), fresh) for t in ("labels", "members")}
+        tables, touched = {}, {}
+        for table, (both, key, out, come) in change.items():
+            touched[table] = self.touched(both, self.keys[table])
+            kept = self.read(table, touched[table])
+            tables[table] = come if kept is None else come.unionByName(kept.join(out, key, "left_anti").select(*come.columns))
+        if any(touched.values()):
+            self.write(touched, **tables)

@@ -56,13 +56,48 @@ def budget_stop(rows: DataFrame, by: list[str], size: str, order: str, budget: i
     return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def budget_skip(rows: DataFrame, by: str, size: str, order: str, budget: int) -> DataFrame:
-    """Rows in order, skipping those that do not fit; smaller ones after them may. A group folds as one array of (order, size), not of texts."""
-    items = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(rows.select(F.array(order)).schema[0].dataType).alias("kept"))
-    step = lambda a, x: F.when(a["used"] + x["s"] <= budget, F.struct((a["used"] + x["s"]).alias("used"), F.concat(a["kept"], F.array(x["o"])).alias("kept"))).otherwise(a)
-    kept = items.select(by, F.explode(F.aggregate("items", empty, step)["kept"]).alias(order))
-    return rows.join(kept, [by, order], "left_semi")
+def budget_skip(rows: DataFrame, by: str, size: str, order: str, budget: int, always: Column | None = None) -> DataFrame:
+    """Rows in order, skipping those that do not fit; smaller ones after them may. Rows that are ``always`` kept take up budget first, even beyond it.
+
+    A group is a sorted run over ranges, of any number of tasks, and what it has used is handed from range to range: each
+    wave takes every group one range on, past ranges whose smallest row no longer fits. So a group of ordinary size takes one wave, and no
+    task holds more of a group than its range. Orders (distinct in a group) and sizes alone travel; null sizes count as 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from sheaf.operators.graph import cut
+
+    keep = F.lit(False) if always is None else F.coalesce(always, F.lit(False))
+    spent = rows.groupBy(by).agg(F.coalesce(F.sum(F.when(keep, F.col(size))), F.lit(0)).cast("long").alias("_used"))
+    rest = rows.where(~keep).select(by, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    rest = cut(rest.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    ranges = cut(rest.groupBy(by, "_part").agg(F.min("_size").alias("_least")))
+    kind = rows.schema[by].dataType.simpleString()
+
+    def fold(group: pa.Table) -> pa.Table:
+        t = group.sort_by("_at")
+        used, kept = int(t.column("_used")[0].as_py()), []
+        for at, s in zip(t.column("_at").to_pylist(), t.column("_size").to_pylist(), strict=True):
+            if used + s <= budget:
+                used += s
+                kept.append(at)
+        n = len(kept)
+        return pa.table({"g": t.column("_g").take(pa.array(np.zeros(n + 1, int))), "part": pa.array([t.column("_part")[0].as_py()] * (n + 1), pa.int32()), "at": pa.array([*kept, None], pa.int64()), "used": pa.array([None] * n + [used], pa.int64())})
+
+    next_range = lambda todo: todo.join(ranges, by).where((F.col("_part") > F.col("_last")) & (F.col("_least") <= budget - F.col("_used"))).groupBy(by, "_used").agg(F.min("_part").alias("_part"))
+    todo, taken = cut(next_range(spent.withColumn("_last", F.lit(-1)))), None
+    while todo.limit(1).count():
+        some = rest.join(todo, [by, "_part"]).select(F.col(by).alias("_g"), "_part", "_at", "_size", "_used")
+        wave = cut(some.groupBy("_g", "_part").applyInArrow(fold, f"g {kind}, part int, at long, used long"))
+        one = wave.where("at is not null").select("at")
+        taken = one if taken is None else taken.unionByName(one)
+        todo = cut(next_range(wave.where("at is null").select(F.col("g").alias(by), F.col("used").alias("_used"), F.col("part").alias("_last"))))
+    first = rows.where(keep)
+    if taken is None:
+        return first
+    kept = rest.join(taken.withColumnRenamed("at", "_at"), "_at").select(by, order)
+    return first.unionByName(rows.where(~keep).join(kept, [by, order], "left_semi").select(rows.columns))
 
 
 def quota(rows: DataFrame, by: list[str], group: str, limit: int, *order: Column) -> DataFrame:

@@ -37,45 +37,53 @@ def bar_status(name: Column) -> Column:
     return first_of(*labels.by_words(F.coalesce(name, F.lit("")), labels.BAR_STATUS))
 
 
-def log_status(kind: Column, declared: Column, t: Column) -> Column:
-    """A declared status wins; else the log's kind and words decide."""
-    f = fold_table(t)
-    return F.coalesce(F.nullif(F.trim(declared), F.lit("")), first_of(((kind == "decision") & f.contains("superseded"), "Cancelled"), (kind == "decision", "Done"), ((kind == "raid") & any_phrase(f, ("closed", "resolved")), "Done"), (kind == "raid", "Open"), ((kind == "milestone") & any_phrase(f, ("done", "hoan thanh")), "Done"), default="In progress"))
-
-
-def mail_subject(body: Column) -> Column:
-    """A Subject header, else a RE/FW line, else the first line with three words or more."""
-    s = F.trim(F.regexp_extract(body, "(?mi)^\\**(?:Subject|Tiêu đề|Chủ đề)\\**: *(.+)$", 1))
-    r = F.trim(F.regexp_extract(body, "(?mi)^((?:RE|FW|FWD): *.+)$", 1))
-    line = F.try_element_at(F.filter(F.split(body, "\n"), lambda x: (F.size(text.words(x)) >= 3) & ~x.rlike("^[^ ]+:")), F.lit(1))
-    return F.coalesce(F.nullif(s, F.lit("")), F.nullif(r, F.lit("")), F.trim(line))
-
-
-def mail_sender(body: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(body, "(?m)^\\**(?:From|Từ)\\**: *(.+)$", 1), "<[^>]*>", "")), F.lit(""))
-
-
-def thread_channel(path: Column, body: Column, hint: Column) -> Column:
-    """By path, then by mail marks, then by the frontmatter's hint."""
-    p = F.lower(path)
-    return F.when(p.contains("mail"), "Email").when(any_phrase(p, ("zalo", "chat", "teams")), "Chat").when(body.rlike("(?m)^\\**(From|Từ|Subject)\\**:"), "Email").otherwise(F.coalesce(F.nullif(hint, F.lit("")), F.lit("Document")))
+# Statuses of log events by the log's type: the first pattern of its type that the folded text has, and the type's own.
+LOG_STATUS = {
+    "alerts": ((), "Cảnh báo"),
+    "decision-log": ((("superseded", "Superseded"), ("da bac bo|bi bac bo", "Bác bỏ"), ("active", "Active")), "Quyết định"),
+    "raid-log": ((("overdue", "Overdue"), ("\\b(closed|da dong)\\b", "Closed"), ("\\b(open|chua dong)\\b", "Open")), "Issue"),
+    "milestone-log": ((("doi moc|tre|delay", "Dời mốc"),), "Milestone"),
+    "change-cr-log": ((("chua duyet|chua xac minh|pending", "Pending"),), "CR"),
+    "raci-daci-register": ((), "Vai trò"),
+    "retro": ((), "Tổng hợp"),
+    "adr": ((), "ADR"),
+}
+LOG_RECORD = "Ghi nhận"
+# Tasks and cells of a plan row that say nothing yet.
+NO_WORK, NO_TASK, UNCLEAR, OPEN_DEADLINE = ("chua trien khai", "chua co task pic trien khai"), ("chua co task", "chua ro"), ("", "chua ro"), ("", "chua chot", "chua ro")
 
 
-def event_blocks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) of one mail thread -> (doc_id, block_no, body): a block starts at a From line with a Sent or Date line within five lines after it."""
-    by = Window.partitionBy("doc_id").orderBy("n")
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    ahead = F.array_join(F.collect_list("line").over(by.rowsBetween(1, 5)), "\n")
-    line = line.withColumn("head", (c("line").rlike("^\\**(From|Từ)\\**:") & ahead.rlike("(?m)^\\**(Sent|Date|Ngày)\\**:")).cast("int"))
-    return line.withColumn("block_no", F.sum("head").over(by)).groupBy("doc_id", "block_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body")).where("trim(body) <> ''")
-
-
-def requirement_facts(body: Column) -> Column:
-    """struct(purpose of 200 characters, up to five REQ lines, up to two Given lines)."""
-    purpose = F.substring(F.trim(F.regexp_extract(body, "(?is)## *(?:purpose|mục đích)[^\\n]*\\n(.*?)(?:\\n#|$)", 1)), 1, 200)
-    reqs = F.slice(text.matches(body, "(?m)^.*(REQ-[0-9]+[^\\n]*)$", 1), 1, 5)
-    given = F.slice(text.matches(body, "(?m)^[-* ]*(Given [^\\n]*)$", 1), 1, 2)
-    return F.struct(purpose.alias("purpose"), reqs.alias("requirements"), given.alias("scenarios"))
+def log_status(kind: Column, declared: Column, t: Column) -> Column:
+    """A declared status, canonical, wins; else the log's type and the words of its text and snippets decide."""
+    f, k = fold_table(t), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    by = F.lit(LOG_RECORD)
+    for name, (patterns, own) in LOG_STATUS.items():
+        of_type = F.lit(own)
+        for pattern, label in reversed(patterns):
+            of_type = F.when(f.rlike(pattern), label).otherwise(of_type)
+        by = F.when(k == name, of_type).otherwise(by)
+    return F.coalesce(F.nullif(labels.canonical_title(F.coalesce(declared, F.lit(""))), F.lit("")), by)
+
+
+def placeholder(task: Column, subbacklog: Column, pic: Column, status: Column, deadline: Column) -> Column:
+    """A plan row without work: a task that says so, or an unclear task with nothing else said."""
+    t, s, p, u, d = (fold_table(labels.canonical_title(F.coalesce(x, F.lit("")))) for x in (task, subbacklog, pic, status, deadline))
+    return t.isin(*NO_WORK) | (t.isin(*NO_TASK) & s.isin(*UNCLEAR) & p.isin(*UNCLEAR) & u.isin(*UNCLEAR) & d.isin(*OPEN_DEADLINE))
+
+
+def requirement_facts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) of file sections '### folder/file' -> (doc_id, file, purpose, requirements, scenarios) of the sections that have any.
+
+    A purpose's first 160 characters; up to five '### REQ-..' headings with what their description line says; up to two Given lines.
+    """
+    part = docs.select("doc_id", F.explode(F.split("text", "\n(?=### [^\n]+/[^\n]+\n)")).alias("part")).where(c("part").rlike("^### ."))
+    part = part.select("doc_id", F.trim(F.regexp_extract("part", "^### ([^\n]+)", 1)).alias("file"), F.regexp_replace("part", "^### [^\n]+", "").alias("body"))
+    purpose = F.trim(F.regexp_replace(F.regexp_extract("body", "(?s)##\\s*Purpose\\s*\n+(.+?)(?=\n##|\\z)", 1), "^\\s+|\\s+$", ""))
+    req = "###\\s+(REQ-[A-Z0-9\\-]+[^\n]*)\n[\\s\\S]*?\\*\\*Mô tả:\\*\\*\\s*([^\n]{0,150})"
+    given = text.matches(c("body"), "\\*\\*Given:\\*\\*\\s*([^\n]{0,100})", 1)
+    lines = F.zip_with(text.matches(c("body"), req, 1), text.matches(c("body"), req, 2), lambda i, d: F.concat(F.trim(i), F.lit(": "), F.substring(F.trim(d), 1, 120)))
+    out = part.select("doc_id", "file", F.substring(purpose, 1, 160).alias("purpose"), F.slice(lines, 1, 5).alias("requirements"), F.slice(F.transform(given, lambda x: F.trim(x)), 1, 2).alias("scenarios"))
+    return out.where((c("purpose") != "") | (F.size("requirements") > 0) | (F.size("scenarios") > 0))
 
 
 def checklist(value: Column) -> Column:
@@ -111,16 +119,34 @@ def lane_summary(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("lane").agg(F.count("*").alias("tasks"), F.count_if(~c("status").isin("done", "cancelled")).alias("open"), F.count_if(blocked).alias("risks"), F.max(F.when(blocked, rank)).alias("risk_level"))
 
 
-def lane_issues(metrics: DataFrame) -> DataFrame:
-    """metrics(lane, total, done, open, late) -> (lane, level, code, message): rules in order, each its own projection."""
+# Rows that the tables of two pages have at least.
+LEAST_ROWS = {"page3": 6, "page11": 5}
+
+
+def report_issues(snapshots: DataFrame, key: str = "report") -> DataFrame:
+    """Snapshots of reports -> (report, n, level, code, message), in the order of the rules.
+
+    snapshots(report, missing_pages array<int>, report_date, template_date, strict_date boolean, page3_done, page3_total, page11_done, page11_total,
+    page4_burn_done, page4_burn_total, page11_burn_done, page11_burn_total, page3_rows, page11_rows, n_goals, sections map<string, string>).
+    """
+    differ = lambda a, b: ~c(a).eqNullSafe(c(b))
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
     rules = (
-        ("error", "negative", (c("total") < 0) | (c("done") < 0) | (c("open") < 0), "a count is negative"),
-        ("error", "sum", c("done") + c("open") != c("total"), "done and open do not add up"),
-        ("warning", "late", c("late") > c("open"), "more late than open"),
-        ("info", "empty", c("total") == 0, "no task"),
-    )
-    found = F.array_compact(F.array(*(F.when(hit, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(message).alias("message"))) for level, code, hit, message in rules)))
-    return metrics.select("lane", F.explode(found).alias("i")).select("lane", "i.*")
+        ("missing_pages", F.size("missing_pages") > 0, F.concat(F.lit("Thiếu các trang bắt buộc: "), F.array_join(F.transform("missing_pages", lambda x: x.cast("string")), ", "))),
+        ("report_date_missing", blank(c("report_date")), F.lit("Không parse được ngày báo cáo từ Trang 1.")),
+        ("template_date_missing", blank(c("template_date")), F.lit("Không parse được ngày trong file template PPTX.")),
+        ("template_date_mismatch", c("strict_date") & ~blank(c("report_date")) & ~blank(c("template_date")) & (c("report_date") != c("template_date")), F.concat(F.lit("Template PPTX và source markdown không cùng ngày. Source="), "report_date", F.lit(", template="), "template_date", F.lit(". Chặn build để tránh dùng nhầm timeline/bảng tĩnh."))),
+        ("metric_mismatch_done_total", differ("page3_done", "page11_done") | differ("page3_total", "page11_total"), F.lit("Metric Done/Total giữa Trang 3 và Trang 11 không khớp.")),
+        ("metric_mismatch_burn", differ("page4_burn_done", "page11_burn_done") | differ("page4_burn_total", "page11_burn_total"), F.lit("Metric Burn giữa Trang 4 và Trang 11 không khớp.")),
+        ("page3_table_short", c("page3_rows") < LEAST_ROWS["page3"], F.concat(F.lit("Trang 3 parse được quá ít dòng lane ("), "page3_rows", F.lit(")."))),
+        ("page11_table_short", c("page11_rows") < LEAST_ROWS["page11"], F.concat(F.lit("Trang 11 parse được quá ít dòng lane ("), "page11_rows", F.lit(")."))),
+        ("goals_missing", c("n_goals") == 0, F.lit("Không parse được danh sách mục tiêu trọng tâm ở Trang 13.")),
+    )
+    issue = lambda code, message: F.struct(F.lit("error").alias("level"), code.alias("code"), message.alias("message"))
+    one = F.array(*(F.when(F.coalesce(hit, F.lit(False)), issue(F.lit(code), message)) for code, hit, message in rules))
+    empty = F.transform(F.filter(F.map_entries("sections"), lambda e: (e["key"] != "page12") & blank(e["value"])), lambda e: issue(F.concat(e["key"], F.lit("_empty")), F.concat(e["key"], F.lit(" không có nội dung để dựng report."))))
+    found = F.array_compact(F.concat(one, F.coalesce(empty, F.array().cast("array<struct<level:string,code:string,message:string>>"))))
+    return snapshots.select(c(key).alias("report"), F.posexplode(found).alias("n", "i")).select("report", "n", "i.*")
 
 
 def pages(report: DataFrame, mark: str = "Trang") -> DataFrame:
@@ -135,19 +161,23 @@ def metrics(body: Column, names: tuple[str, ...]) -> Column:
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.nullif(F.regexp_extract(body, f"(?mi)^[-* ]*{n} *: *([0-9]+)", 1), F.lit("")).cast("int") for n in names))), lambda k, v: v.isNotNull())
 
 
-def status_chunks(docs: DataFrame, pattern: str = "(?:QLYC|YC)-[0-9]+") -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, key, body): text from an id to the next; ids joined by '/' share it; a key's first stays."""
-    part = docs.select("doc_id", F.posexplode(F.filter(F.split("text", f"(?=(?<![/A-Z]){pattern})"), lambda x: x.rlike(f"^{pattern}"))).alias("n", "part"))
-    head = F.regexp_extract("part", f"^{pattern}(?:/{pattern})*", 0)
-    k = part.select("doc_id", "n", F.explode(F.split(head, "/")).alias("key"), F.trim(F.expr(f"substring(part, length(regexp_extract(part, '^{pattern}(?:/{pattern})*', 0)) + 1)")).alias("body"))
-    return k.groupBy("doc_id", "key").agg(F.min_by("body", "n").alias("body"))
+STATUS_ID = "(?:QLYC-[0-9]+|(?<!QL)YC-[0-9]+|EK[0-9]+)"
+
 
+def status_chunks(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, key, body): a page's text from an id to the next, with the id; a key's first stays.
 
-def best_source(docs: DataFrame, pattern: str = "(?:QLYC|YC)-[0-9]+") -> DataFrame:
-    """docs(path, title, text) -> (key, path): for each id, the path that has it in its title, else in its text, most often."""
-    hits = docs.select("path", "title", "text", F.explode(F.array_distinct(text.matches(F.concat_ws(" ", "title", "text"), pattern))).alias("key"))
-    score = F.when(F.contains("title", c("key")), 100).otherwise(0) + (F.length("text") - F.length(F.replace("text", c("key"), F.lit("")))) / F.length("key")
-    return hits.withColumn("score", score).groupBy("key").agg(F.min_by("path", F.struct(-c("score"), "path")).alias("path"))
+    Where two numbers stand together as in 'QLYC-1 / 2', the second has the first's text, if it has none of its own.
+    """
+    parts = docs.select("doc_id", "text", F.filter(F.split("text", f"(?={STATUS_ID})"), lambda x: x.rlike(f"^{STATUS_ID}")).alias("parts"))
+    one = parts.select("doc_id", F.posexplode("parts").alias("n", "body")).withColumn("key", labels.backlog_key(F.regexp_extract("body", f"^{STATUS_ID}", 0)))
+    first = one.groupBy("doc_id", "key").agg(F.min_by("body", "n").alias("body"))
+    known = first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "body"))).alias("known"))
+    d = parts.select("doc_id", "text").join(known, "doc_id")
+    pair = "QLYC-([0-9]+)\\s*/\\s*([0-9]+)"
+    pairs = F.zip_with(text.matches(c("text"), pair, 1), text.matches(c("text"), pair, 2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    step = lambda m, p: F.when(F.map_contains_key(m, p["a"]) & ~F.map_contains_key(m, p["b"]), F.map_concat(m, F.create_map(p["b"], F.element_at(m, p["a"])))).otherwise(m)
+    return d.select("doc_id", F.explode(F.aggregate(pairs, c("known"), step)).alias("key", "body"))
 
 
 def id_snippets(docs: DataFrame, most: int = 2, pattern: str = "(?:QLYC|YC)-[0-9]+") -> DataFrame:

@@ -1,18 +1,24 @@
-"""Batched retrieval: every operator takes questions(question_id, ...) and a chunk table.
+"""Batched retrieval: every operator takes questions(question_id, ...) and a chunk table or an index.
 
-Terms meet chunks through postings (token, field, chunk_id). A question's term is part of a field when it is part of
-one of the field's tokens, so it is looked up in the dictionary of distinct tokens, by one of its three-letter
-strings, and only the tokens that hold it are joined to their postings: all joins are equalities, and the texts are
-folded and cut once, when the postings are made.
+Terms meet chunks through postings. A question's term is part of a field when it is part of one of the field's
+tokens, so it is looked up in the dictionary of distinct tokens, and only the tokens that hold it are joined to their
+postings: all joins are equalities, and no chunk's text is read before the best are known. A ``Corpus`` makes the
+postings of a chunk table for one use; ``index.TextIndex`` keeps them, with the same methods.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sheaf.functions import labels, text
-from sheaf.operators import joins, ranking
+from sheaf.operators import graph, joins, ranking
 from sheaf.operators.graph import cut
 
 #: Query vectors that are compared with all rows at once; a larger set is taken in blocks (expected size).
@@ -84,35 +90,79 @@ def grams(c: Column, k: int) -> Column:
 
 
 def held_by(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """terms(..., term) with each distinct token of which the term is a part.
-
-    Terms and what they find are written: their sizes are then known, and by these the joins with the dictionary and,
-    after it, with the postings go by broadcast or by shuffle.
-    """
-    asked = cut(terms.withColumn("gram", F.substring("term", 1, GRAM)))
-    few = [r[0] for r in asked.select("term").distinct().limit(FEW + 1).collect()]
+    """terms(..., term) with each distinct token of which the term is a part. What comes out is worth writing before it meets postings."""
+    few = [r[0] for r in terms.select("term").distinct().limit(FEW + 1).collect()]
     if 0 < len(few) <= FEW:  # a predicate of constants finds the same tokens in one pass, before they are made distinct
         held = tokens.where(text.any_phrase(F.col("token"), tuple(few))).select("token").distinct()
         told = held.select("token", F.explode(F.filter(F.array(*map(F.lit, few)), lambda t: F.col("token").contains(t))).alias("term"))
-        return cut(asked.drop("gram").join(told, "term"))
+        return terms.join(told, "term")
+    # written, so that its size is known and the join with the dictionary goes by it
+    asked = cut(terms.withColumn("gram", F.substring("term", 1, GRAM)))
     sizes = sorted(r[0] for r in asked.select(F.length("gram")).distinct().collect())  # at most GRAM numbers
     every, out = tokens.select("token").distinct(), None
     for k in sizes or [GRAM]:
         known = every.where(F.length("token") >= k).select("token", F.explode(grams(F.col("token"), k)).alias("gram"))
         one = asked.where(F.length("gram") == k).join(known, "gram")
         out = one if out is None else out.unionByName(one)
-    return cut(out.where(F.col("token").contains(F.col("term"))).drop("gram"))
+    return out.where(F.col("token").contains(F.col("term"))).drop("gram")
 
 
-def lower_postings(chunks: DataFrame) -> DataFrame:
-    """Postings of lower-cased fields, every occurrence: (chunk_id, field, token)."""
-    return postings(chunks, ["chunk_id"], {n: text.squeeze(F.lower(F.coalesce(F.col(n), F.lit("")))) for n in ("source_path", "section", "project", "doc_type", "text")}, repeats=True)
+def lower_postings(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Postings of lower-cased fields, every occurrence: (*key, token, field, pos, last); ``last``: the field ends there."""
+    low = lambda n: F.split(text.squeeze(F.lower(F.coalesce(F.col(n), F.lit("")))), " ")
+    cols = (*key, "token", "field", "pos", "last")
+    body = chunks.select(*key, low("text").alias("w")).select(*key, F.lit("text").alias("field"), F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
+    one = lambda n: F.transform(low(n), lambda w, i: F.struct(F.lit(n).alias("field"), F.size(low(n)).alias("n"), i.alias("pos"), w.alias("token")))
+    rest = chunks.select(*key, F.explode(F.concat(*map(one, ("source_path", "section", "project", "doc_type")))).alias("p")).select(*key, "p.*")
+    return body.unionByName(rest).where("token <> ''").withColumn("last", F.col("pos") + 1 == F.col("n")).select(*cols)
 
 
-def keyword_postings(chunks: DataFrame) -> DataFrame:
-    """Postings of the folded fields: (chunk_id, field, token)."""
+def keyword_postings(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Postings of the folded fields, each token once a field: (*key, token, field)."""
     c = folded(chunks)
-    return postings(c, ["chunk_id"], {n: F.array_join(f"{n}_f", " ") if n in ("ticket_ids", "people") else F.col(f"{n}_f") for n in KEYWORD_POINTS})
+    fields = {n: F.array_join(f"{n}_f", " ") if n in ("ticket_ids", "people") else F.col(f"{n}_f") for n in KEYWORD_POINTS}
+    return postings(c, list(key), fields).select(*key, "token", "field")
+
+
+#: The two kinds of postings.
+KINDS = {"low": lower_postings, "words": keyword_postings}
+
+
+class Corpus:
+    """A chunk table whose postings are made when they are first asked for, and written for the time of the session."""
+
+    def __init__(self, chunks: DataFrame):
+        self.chunks, self._made = chunks, {}
+
+    def _kind(self, kind: str) -> DataFrame:
+        if kind not in self._made:
+            self._made[kind] = cut(KINDS[kind](self.chunks))
+        return self._made[kind]
+
+    def tokens(self, kind: str) -> DataFrame:
+        """The distinct tokens: (token), repeats allowed."""
+        return self._kind(kind).select("token")
+
+    def postings(self, kind: str, found: DataFrame) -> DataFrame:
+        """The postings of found(token), perhaps of others too."""
+        return self._kind(kind)
+
+    def places(self) -> DataFrame:
+        """All chunks without their texts."""
+        return self.chunks.drop("text")
+
+    def rows(self, ids: DataFrame) -> DataFrame:
+        """The chunks of ids(chunk_id)."""
+        return self.chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+    def nearest(self, asked: DataFrame, embedder, k: int) -> DataFrame:
+        """The k nearest chunks of asked(question_id, q), exactly."""
+        rows = embedder.attach(self.chunks, "text").select(F.col("chunk_id").alias("vec_id"), "embedding")
+        return vectors(asked, rows, k, "cosine").withColumnRenamed("vec_id", "chunk_id")
+
+
+def corpus(chunks) -> Corpus:
+    return Corpus(chunks) if isinstance(chunks, DataFrame) else chunks
 
 
 def whole(hay: Column, term: Column) -> Column:
@@ -131,50 +181,63 @@ def either(first: Column, n: int, second: Column, m: int) -> Column:
     return F.when(first, n).when(second, m).otherwise(0)
 
 
-def best(scored: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def best(scored: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """The k best of (question_id, chunk_id, score); ties by path and place. Paths are joined to what can be among them alone."""
     first = scored.withColumn("r", F.rank().over(Window.partitionBy("question_id").orderBy(F.col("score").desc()))).where(F.col("r") <= k).drop("r")
-    named = first.join(chunks.select("chunk_id", "source_path", "chunk_index"), "chunk_id")
+    named = first.join(places.select("chunk_id", "source_path", "chunk_index"), "chunk_id")
     return ranking.top(named, ["question_id"], k, F.col("score").desc(), F.col("source_path"), F.col("chunk_index")).select("question_id", "chunk_id", "score", "rank")
 
 
-def exact(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by identifier-like terms and the whole question (EXACT_POINTS).
+def phrases(sought: DataFrame, known: Corpus) -> DataFrame:
+    """sought(phrase) -> (phrase, chunk_id, field, at_end): the fields that hold each phrase of words with single spaces between.
 
-    Chunks that hold the longest word of a term (or of the question) are found by postings; these alone are compared.
-    ``terms``: the chunks' lower_postings, if they are at hand.
-    """
-    q = questions.select("question_id", F.trim(F.lower(text.squeeze(F.col("text")))).alias("whole"), F.explode(text.exact_terms(F.col("text"))).alias("t")).withColumn("t", text.squeeze(F.lower("t")))
-    low = {n: text.squeeze(F.lower(F.coalesce(F.col(n), F.lit("")))) for n in ("source_path", "section", "project", "doc_type", "text")}
-    longest = lambda c: F.reverse(F.array_sort(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))[0]["w"]
-    p = cut(lower_postings(chunks)) if terms is None else terms
-    sought = q.select("question_id", longest(F.col("t")).alias("term")).union(q.select("question_id", longest(F.col("whole")))).distinct()
-    near = held_by(sought, p).select("question_id", "token").distinct().join(p.select("chunk_id", "token"), "token").select("question_id", "chunk_id").distinct()
-    near, q = cut(near), cut(q)
-    c = near.join(chunks.select("chunk_id", *(e.alias(f"{n}_x") for n, e in low.items())), "chunk_id").join(q, "question_id")
-    t, w = F.col("t"), EXACT_POINTS
-    has = lambda n: F.col(f"{n}_x").contains(t)
-    path = F.col("source_path_x")
-    own = either((path == t) | path.endswith(F.concat(F.lit("/"), t)), w["path_end"], has("source_path"), w["path"]) + points((has("section"), w["section"]), (has("project"), w["project"]), (has("doc_type"), w["type"]), (has("text"), w["text"]))
-    scored = c.groupBy("question_id", "chunk_id").agg((F.sum(own) + F.max(F.when(F.col("text_x").contains(F.col("whole")), w["whole"]).otherwise(0))).alias("score"))
-    return best(scored.where("score > 0"), chunks, k)
-
-
-def keyword(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by folded keywords (KEYWORD_POINTS); more where several terms meet.
-
-    ``terms``: the chunks' keyword_postings, if they are at hand.
+    The first word may begin inside a token and the last end inside one; the positions of the postings must follow each other.
+    ``at_end``: the field is the phrase, or ends with a slash and the phrase.
     """
-    p = cut(keyword_postings(chunks)) if terms is None else terms
-    q = cut(questions.select("question_id", F.explode(text.keyword_terms(F.col("text"))).alias("term")))
-    found = held_by(q.select("term").distinct(), p).withColumn("alone", whole(F.col("token"), F.col("term")))
-    hits = found.join(p, "token").groupBy("term", "chunk_id", "field").agg(F.max("alone").alias("alone"))
+    c = F.col
+    w = sought.select("phrase", F.split("phrase", " ").alias("words")).select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
+    w = w.where("term <> ''")
+    found = held_by(w.select("term").distinct(), known.tokens("low"))
+    first, last = c("i") == 0, c("i") + 1 == c("n")
+    fits = F.when(c("n") == 1, True).when(first, c("token").endswith(c("term"))).when(last, c("token").startswith(c("term"))).otherwise(c("token") == c("term"))
+    asked = cut(w.join(found, "term").where(fits))
+    rows = asked.join(known.postings("low", asked), "token")
+    opens = c("token").endswith(F.concat(F.lit("/"), "term")) | ((c("pos") == 0) & (c("token") == c("term")))
+    rows = rows.withColumn("edge", (~first | opens) & (~last | (c("last") & ((c("n") == 1) | (c("token") == c("term"))))))
+    alone = rows.where("n = 1").groupBy("phrase", "chunk_id", "field").agg(F.max("edge").alias("at_end"))
+    runs = rows.where("n > 1").groupBy("phrase", "n", "chunk_id", "field", (c("pos") - c("i")).alias("start")).agg(F.count("*").alias("hits"), F.min("edge").alias("edge")).where("hits = n")
+    return alone.unionByName(runs.groupBy("phrase", "chunk_id", "field").agg(F.max("edge").alias("at_end")))
+
+
+def exact(questions: DataFrame, chunks, k: int) -> DataFrame:
+    """(question_id, chunk_id, score, rank) by identifier-like terms and the whole question (EXACT_POINTS), from postings alone."""
+    known = corpus(chunks)
+    low = lambda c: text.squeeze(F.lower(c))
+    terms = questions.select("question_id", F.explode(text.exact_terms(F.col("text"))).alias("t"))
+    asked = terms.select("question_id", low(F.col("t")).alias("phrase"), F.lit(False).alias("whole"))
+    asked = cut(asked.unionByName(questions.join(terms.select("question_id").distinct(), "question_id", "left_semi").select("question_id", F.trim(low(F.col("text"))).alias("phrase"), F.lit(True).alias("whole"))))
+    w, c = EXACT_POINTS, F.col
+    own = F.lit(0)
+    for field, n in (("section", "section"), ("project", "project"), ("doc_type", "type"), ("text", "text")):
+        own = F.when(c("field") == field, w[n]).otherwise(own)
+    own = F.when(c("field") == "source_path", F.when(c("at_end"), w["path_end"]).otherwise(w["path"])).otherwise(own)
+    hits = phrases(asked.select("phrase").distinct(), known).join(asked, "phrase")
+    scored = hits.groupBy("question_id", "chunk_id").agg((F.sum(F.when(~c("whole"), own).otherwise(0)) + F.max(F.when(c("whole") & (c("field") == "text"), w["whole"]).otherwise(0))).alias("score"))
+    return best(scored.where("score > 0"), known.places(), k)
+
+
+def keyword(questions: DataFrame, chunks, k: int) -> DataFrame:
+    """(question_id, chunk_id, score, rank) by folded keywords (KEYWORD_POINTS), from postings alone; more where several terms meet."""
+    known = corpus(chunks)
+    q = questions.select("question_id", F.explode(text.keyword_terms(F.col("text"))).alias("term"))
+    found = cut(held_by(q.select("term").distinct(), known.tokens("words")).withColumn("alone", whole(F.col("token"), F.col("term"))))
+    hits = found.join(known.postings("words", found), "token").groupBy("term", "chunk_id", "field").agg(F.max("alone").alias("alone"))
     worth = F.lit(0)
     for n, (alone, part) in KEYWORD_POINTS.items():
         worth = F.when(F.col("field") == n, F.when(F.col("alone"), alone).otherwise(part)).otherwise(worth)
     by_term = hits.groupBy("term", "chunk_id").agg(F.sum(worth).alias("score")).where("score > 0")
     n = F.count("*")
-    return best(by_term.join(q, "term").groupBy("question_id", "chunk_id").agg((F.sum("score") + F.when(n > 1, n * MEET_POINTS).otherwise(0)).alias("score")), chunks, k)
+    return best(by_term.join(q, "term").groupBy("question_id", "chunk_id").agg((F.sum("score") + F.when(n > 1, n * MEET_POINTS).otherwise(0)).alias("score")), known.places(), k)
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
@@ -184,28 +247,97 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: F.pow(u.cast("double") - v, 2)), F.lit(0.0), lambda s, v: s + v))
 
 
+def scoring(asked: list[tuple], k: int, metric: str, of: dict[int, list[int]] | None, ids: pa.DataType):
+    """Rows (vec_id, embedding[, cell]) -> (question, vec_id, distance): the task's k nearest of each of asked(id, vector), and what rounding may tie with them.
+
+    Blocks of rows meet all questions, or those that probe their cell, in one matrix product; distances near the kth are worked out again
+    from the differences.
+    """
+    q = np.array([v for _, v in asked], float)
+    schema = pa.schema([("question", pa.int64()), ("vec_id", ids), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def meet(names: np.ndarray, x: np.ndarray, some: list[int]) -> None:
+            own = q[some]
+            if metric == "cosine":
+                d = 1 - (x @ own.T) / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((own * own).sum(1))
+            else:
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (own * own).sum(1) - 2 * x @ own.T, 0))
+            for n, i in enumerate(some):
+                far = d[:, n]
+                if i in held and len(held[i][0]) >= k:
+                    most = np.partition(held[i][1], k - 1)[k - 1]
+                else:
+                    most = np.inf
+                if len(far) > k:
+                    most = min(most, np.partition(far, k - 1)[k - 1])
+                # the product's rounding grows with the vectors' length, the result's is a millionth
+                at = np.flatnonzero(far <= most + 1e-5 * (1 + abs(most))) if np.isfinite(most) else np.arange(len(far))
+                if not len(at):
+                    continue
+                exact = far[at] if metric == "cosine" else np.sqrt(((x[at] - own[n]) ** 2).sum(1))
+                name, far = names[at], exact
+                if i in held:
+                    name, far = np.concatenate([held[i][0], name]), np.concatenate([held[i][1], far])
+                if len(far) > k:
+                    near = far <= np.partition(far, k - 1)[k - 1] + 2e-6
+                    name, far = name[near], far[near]
+                held[i] = name, far
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = np.array(b.column(0).to_pylist(), object)
+            x = np.array(b.column(1).to_pylist(), float)
+            if of is None:
+                meet(names, x, list(range(len(q))))
+                continue
+            cells = b.column(2).to_numpy()
+            for cell in np.unique(cells).tolist():
+                mine = cells == cell
+                if of.get(cell):
+                    meet(names[mine], x[mine], of[cell])
+        out = [(i, n, d) for i, (name, far) in held.items() for n, d in zip(name.tolist(), far.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def nearest(asked: list[tuple], rows: DataFrame, k: int, metric: str, of: dict[int, list[int]] | None = None) -> DataFrame:
+    """(question, vec_id, distance, rank) of a bounded list of asked(id, vector); rows with a null vector or without direction take no part."""
+    kind = rows.schema["vec_id"].dataType
+    some = rows.where("embedding is not null and size(embedding) > 0")
+    if metric == "cosine":
+        some = some.where(F.exists("embedding", lambda x: x != 0))
+    found = some.mapInArrow(scoring(asked, k, metric, of, to_arrow_type(kind)), f"question long, vec_id {kind.simpleString()}, distance double")
+    return ranking.top(found.withColumn("distance", F.round("distance", 6)), ["question"], k, F.col("distance"), F.col("vec_id"))
+
+
 def vectors(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
     """The k nearest rows(vec_id, embedding) of each of queries(question_id, q), exactly. Filters belong before.
 
-    All rows are compared with about ``block`` queries at a time, which alone are broadcast.
+    All rows are compared with about ``block`` queries at a time, which alone go out, by matrix products.
     """
     blocks = max(1, -(-queries.count() // block))
     out = None
     for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        near = rows.crossJoin(F.broadcast(some)).select("question_id", "vec_id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("distance"))
-        one = ranking.top(near, ["question_id"], k, F.col("distance"), F.col("vec_id"))
+        some = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)).select("question_id", "q")
+        asked = [(r.question_id, r.q) for r in some.collect() if r.q]
+        named = queries.sparkSession.createDataFrame([(n, i) for n, (i, _) in enumerate(asked)], T.StructType([T.StructField("question", T.LongType()), some.schema["question_id"]]))
+        one = nearest(asked, rows.select("vec_id", "embedding"), k, metric).join(F.broadcast(named), "question").select("question_id", "vec_id", "distance", "rank")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def term_frequency(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
-    """Occurrences of the question's words of over two letters, summed. ``terms``: the chunks' lower_postings, if they are at hand."""
+def term_frequency(questions: DataFrame, chunks, k: int) -> DataFrame:
+    """Occurrences of the question's words of over two letters, summed, from postings alone."""
+    known = corpus(chunks)
     q = questions.select("question_id", F.explode(F.array_distinct(F.filter(text.words(F.lower("text")), lambda w: F.length(w) > 2))).alias("term"))
-    p = (cut(lower_postings(chunks)) if terms is None else terms).where("field = 'text'")
     times = ((F.length("token") - F.length(F.replace("token", F.col("term"), F.lit("")))) / F.length("term")).cast("int")
-    found = held_by(q.select("term").distinct(), p).select("term", "token", times.alias("times"))
-    by_term = found.join(p, "token").groupBy("term", "chunk_id").agg(F.sum("times").alias("score"))
+    found = cut(held_by(q.select("term").distinct(), known.tokens("low")).select("term", "token", times.alias("times")))
+    by_term = found.join(known.postings("low", found).where("field = 'text'"), "token").groupBy("term", "chunk_id").agg(F.sum("times").alias("score"))
     hits = by_term.join(q, "term").groupBy("question_id", "chunk_id").agg(F.sum("score").alias("score"))
     return ranking.top(hits, ["question_id"], k, F.col("score").desc(), F.col("chunk_id"))
 
@@ -216,7 +348,7 @@ def names(questions: DataFrame, files: DataFrame, k: int) -> DataFrame:
     tail = F.lower(F.element_at(F.split("source_path", "/"), -1))
     parent = F.lower(F.coalesce(F.try_element_at(F.split("source_path", "/"), F.lit(-2)), F.lit("")))
     p = postings(files, ["source", "source_path"], {"name": text.squeeze(F.concat_ws(" ", parent, tail))})
-    hits = held_by(q.select("term").distinct(), p).join(p, "token").select("term", "source", "source_path").distinct()
+    hits = cut(held_by(q.select("term").distinct(), p)).join(p, "token").select("term", "source", "source_path").distinct()
     hits = hits.join(q, "term").groupBy("question_id", "source", "source_path").agg(F.count("*").alias("score"))
     return ranking.top(hits, ["question_id", "source"], k, F.col("score").desc(), F.col("source_path"))
 
@@ -278,24 +410,22 @@ def by_variants(one, questions: DataFrame, registry: DataFrame | None, k: int) -
     return ranking.first_occurrence(rows, ["question_id"], "chunk_id", k, F.col("ord"), F.col("r")).select("question_id", "chunk_id", "rank")
 
 
-def lists(questions: DataFrame, chunks: DataFrame, k: int, registry: DataFrame | None = None, embedder=None) -> DataFrame:
+def lists(questions: DataFrame, chunks, k: int, registry: DataFrame | None = None, embedder=None) -> DataFrame:
     """The lists to fuse: (question_id, chunk_id, rank, list_no, weight), by WEIGHTS.
 
     Question by question, the keyword list is left out where a pure exact question has enough exact hits, and the
     vector list where exact hits fill k. Without an embedder there is no vector list.
     """
-    low = cut(lower_postings(chunks))
-    found = {"exact": cut(by_variants(lambda q, n: exact(q, chunks, n, low), questions, registry, k))}
+    known = corpus(chunks)
+    found = {"exact": cut(by_variants(lambda q, n: exact(q, known, n), questions, registry, k))}
     hits = found["exact"].groupBy("question_id").agg(F.count("*").alias("n"))
     pure = questions.where((F.size(text.exact_terms(F.col("text"))) > 0) & (F.size(text.words(F.col("text"))) < 4)).select("question_id")
     skip = hits.where(F.col("n") >= min(3, k)).join(pure, "question_id", "left_semi")
-    terms = cut(keyword_postings(chunks))
     if embedder is not None:
-        rows = embedder.attach(chunks, "text").select(F.col("chunk_id").alias("vec_id"), "embedding")
         asked = embedder.attach(questions, "text").select("question_id", F.col("embedding").alias("q")).join(hits.where(F.col("n") >= k), "question_id", "left_anti")
-        found["vector"] = vectors(asked, rows, k, "cosine").withColumnRenamed("vec_id", "chunk_id")
-    found["keyword"] = by_variants(lambda q, n: keyword(q, chunks, n, terms), questions, registry, k).join(skip, "question_id", "left_anti")
-    found["frequency"] = term_frequency(questions, chunks, k, low)
+        found["vector"] = known.nearest(asked, embedder, k)
+    found["keyword"] = by_variants(lambda q, n: keyword(q, known, n), questions, registry, k).join(skip, "question_id", "left_anti")
+    found["frequency"] = term_frequency(questions, known, k)
     out = None
     for no, name in enumerate(WEIGHTS):
         if name in found:
@@ -304,19 +434,36 @@ def lists(questions: DataFrame, chunks: DataFrame, k: int, registry: DataFrame |
     return out
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, k: int = 20, registry: DataFrame | None = None, embedder=None, related: DataFrame | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, chunks, k: int = 20, registry: DataFrame | None = None, embedder=None, related: DataFrame | None = None) -> DataFrame:
     """The lists of all retrievers fused, with room for related(question_id, rank, chunk_id) chunks of a graph, then reranked: (question_id, chunk_id, score, place)."""
-    fused = cut(ranking.fuse(lists(questions, chunks, k, registry, embedder), k).select("question_id", "rank", "chunk_id"))  # k rows a question
-    if related is not None:
-        fused = cut(ranking.graph_budget(fused, related).withColumnRenamed("place", "rank"))
-    return rerank(fused, questions, chunks)
+    known = corpus(chunks)
+    fused = ranking.fuse(lists(questions, known, k, registry, embedder), k).select("question_id", "rank", "chunk_id")  # k rows a question
+    fused = cut(fused if related is None else ranking.graph_budget(cut(fused), related).withColumnRenamed("place", "rank"))
+    return rerank(fused, questions, known.rows(fused))
 
 
-def mentioned(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(question_id, rank, chunk_id): chunks that a graph of MENTIONS edges (chunk -> ticket) joins to the tickets that a question names, by path and place."""
-    edges = chunks.select("chunk_id", "source_path", "chunk_index", F.explode(F.array_distinct("ticket_ids")).alias("ticket"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(text.exact_terms(F.col("text")), F.upper))).alias("ticket"))
-    near = edges.join(asked, "ticket").select("question_id", "chunk_id", "source_path", "chunk_index").distinct()
+def federate(questions: DataFrame, sides: list[tuple], k: int, registry: DataFrame | None = None, embedder=None) -> DataFrame:
+    """(question_id, rank, chunk_id, score) over several chunk tables or indexes, each with its share of the weights: sides [(chunks, share)].
+
+    All four lists of every side are fused; the lists of a later side come after those of the sides before. A side that is a
+    table partitioned by tenant and filtered to one reads that tenant's folder alone.
+    """
+    out = None
+    for n, (chunks, share) in enumerate(sides):
+        one = lists(questions, chunks, k, registry, embedder)
+        one = one.withColumns({"list_no": F.col("list_no") + n * len(WEIGHTS), "weight": F.col("weight") * share})
+        out = one if out is None else out.unionByName(one)
+    return ranking.fuse(out, 2 * k)
+
+
+def related(questions: DataFrame, known, places: DataFrame, k: int, hops: int = 1) -> DataFrame:
+    """(question_id, rank, chunk_id): chunks that a graph of MENTIONS edges (chunk -> entity) joins to what a question names, by path and place.
+
+    ``known``: a table of edges or an ``index.GraphTable``; all questions search it at once, each on its own.
+    """
+    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(text.exact_terms(F.col("text")), F.upper))).alias("id"))
+    met = graph.k_hop_each(known, asked, hops).where("relation = 'MENTIONS'").select("question_id", F.col("from_id").alias("chunk_id")).distinct()
+    near = met.join(places.select("chunk_id", "source_path", "chunk_index"), "chunk_id")
     return ranking.top(near, ["question_id"], k, F.col("source_path"), F.col("chunk_index")).select("question_id", "rank", "chunk_id")
 
 

@@ -29,8 +29,6 @@ P.over_docs("fl6_leak_gate", lambda d: filters.leaks(d, {"mail": "[A-Za-z0-9._]+
     """SELECT doc_id, rule FROM (SELECT doc_id, unnest(['mail', 'url', 'digits']) AS rule, unnest([regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+'), contains(text, 'http'), regexp_matches(text, '[0-9]{6,}')]) AS hit FROM docs WHERE doc_id % 10 <> 0) WHERE hit UNION ALL SELECT doc_id, 'size' FROM docs WHERE length(text) > 10000""")
 P.over_docs("fl7_name_fragment", lambda d: d.select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, ("(", "x)", "(y)", ""))), (c("doc_id") % 4 + 1).cast("int")), c("people")[0]).alias("name")).where(filters.name_fragment(c("name"))),
     "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '(' WHEN 1 THEN 'x)' ELSE '(y)' END || people[1] AS name FROM docs WHERE doc_id % 4 < 3")
-P.over_docs("fl8_placeholder_tasks", lambda d: d.select("doc_id", F.when(c("doc_id") % 3 > 0, c("title")).alias("task"), F.nullif(c("state"), F.lit("")).alias("status")).where("task is not null or status is not null"), "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN title END AS task, nullif(state, '') AS status FROM docs WHERE doc_id % 3 > 0 OR state <> ''")
-P.over_docs("fl9_root_events", lambda d: d.where((c("doc_id") % 5 > 0) & ((c("source_channel") != "document") | (c("doc_id") % 2 == 0)) & (c("doc_type") != "backlog")).select("doc_id", "source_channel"), "SELECT doc_id, source_channel FROM docs WHERE doc_id % 5 > 0 AND NOT (source_channel = 'document' AND doc_id % 2 <> 0) AND doc_type <> 'backlog'")
 P.over_docs("fl10_recency_split", lambda d: filters.recent(d, "2024-12-01", 14, c("doc_type") == "mom").select("doc_id"), "SELECT doc_id FROM docs WHERE doc_type = 'mom' OR doc_date >= date '2024-11-17'")
 P.over_docs("fl11_transcript_gate", lambda d: d.withColumn("t", F.concat(F.when(c("doc_id") % 2 == 0, "Transcript\n").otherwise(""), F.lit("An Ray   03:0"), c("doc_id") % 10)).where(c("t").contains("Transcript")).select("doc_id", F.regexp_extract("t", "(?m)^([A-Z][A-Za-z ]+?) {2,}[0-9]{2}:[0-9]{2}$", 1).alias("speaker")), "SELECT doc_id, 'An Ray' AS speaker FROM docs WHERE doc_id % 2 = 0")
 P.over_docs("src4_prune_paths", lambda d: d.where(~filters.pruned_path(F.concat(F.element_at(F.array(*map(F.lit, (".git/", "a/build/", "pkg.egg-info/", "ok/"))), (c("doc_id") % 4 + 1).cast("int")), c("rel_path")), ("build", "node_modules"))).select("doc_id"), "SELECT doc_id FROM docs WHERE doc_id % 4 = 3")

@@ -19,32 +19,18 @@ c = F.col
 
 P.over_docs("m14_alerts", lambda d: reports.alerts(d.select(c("project").alias("ticket"), F.concat(F.lit("- [2024-05-01 08:00] [bot] ["), "lang", F.lit("]"), F.when(c("doc_id") % 2 == 0, " [DA_XU_LY]").otherwise(""), F.when(c("doc_id") % 3 == 0, " [PIC: Ann]").otherwise(""), F.lit(" see "), "rel_path").alias("line"))).select("severity", "status", "pic", "message", "alert_id"),
     "SELECT lang AS severity, CASE WHEN doc_id % 2 = 0 THEN 'DA_XU_LY' ELSE 'MO' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'Ann' END AS pic, 'see ' || rel_path AS message, substring(sha1(project || '|bot|see ' || rel_path), 1, 12) AS alert_id FROM docs")
-_f = fold_sql("state", True)
 P.over_docs("fn32_fn33_plan_status", lambda d: d.withColumn("bar", F.concat(F.lit("x tl-"), F.element_at(F.array(*map(F.lit, ("done", "progress", "blocked", "onhold", "cancelled", "open", "other"))), (c("doc_id") % 7 + 1).cast("int")))).select("doc_id", reports.text_status(c("remark"), c("doc_id") % 23 == 0, c("doc_id") % 19 == 0, F.when(c("doc_id") % 2 == 0, reports.manual_status(c("remark")))).alias("status"), reports.manual_status(c("remark")).alias("manual"), reports.bar_status(c("bar")).alias("bar")),
     f"""SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'cancelled' WHEN doc_id % 19 = 0 THEN 'done' ELSE {tiers_sql('l', labels.ROW_STATUS, "coalesce(CASE WHEN doc_id % 2 = 0 THEN m END, 'open')")} END AS status, m AS manual, nullif(['done', 'progress', 'blocked', 'onhold', 'cancelled', 'open', ''][cast(doc_id % 7 + 1 AS int)], '') AS bar
     FROM (SELECT *, {tiers_sql('l', labels.MANUAL_STATUS, 'NULL')} AS m FROM (SELECT doc_id, lower(remark) AS l FROM docs))""")
-P.over_docs("fn35_log_status", lambda d: d.select("doc_id", reports.log_status(F.element_at(F.array(*map(F.lit, ("decision", "raid", "milestone"))), (c("doc_id") % 3 + 1).cast("int")), F.when(c("doc_id") % 5 == 0, "Declared"), c("state")).alias("status")),
-    f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Declared' WHEN doc_id % 3 = 0 THEN 'Done' WHEN doc_id % 3 = 1 THEN 'Open' WHEN {any_sql(_f, ('done', 'hoan thanh'))} THEN 'Done' ELSE 'In progress' END AS status FROM docs")
-P.over_docs("fn40_fn41_threads", lambda d: d.withColumn("b", F.concat(F.when(c("doc_id") % 2 == 0, "From: Ann Ray <a@x.io>\nSubject: Plan ").when(c("doc_id") % 3 == 0, "x\nRE: again ").otherwise(""), F.when(c("doc_id") % 6 != 1, F.concat(c("doc_id"), F.lit("\n"))).otherwise(""), c("text"))).select("doc_id", reports.mail_subject(c("b")).alias("subject"), reports.mail_sender(c("b")).alias("sender"), reports.thread_channel(c("rel_path"), c("b"), F.lit("")).alias("channel")),
-    f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Plan ' || doc_id WHEN doc_id % 3 = 0 THEN 'RE: again ' || doc_id ELSE (SELECT trim(list_filter(string_split(CASE WHEN doc_id % 6 <> 1 THEN doc_id || chr(10) ELSE '' END || text, chr(10)), lambda x: len(list_filter(regexp_split_to_array(trim(x), '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) >= 3 AND NOT regexp_matches(x, '^[^ ]+:'))[1])) END AS subject, CASE WHEN doc_id % 2 = 0 THEN 'Ann Ray' END AS sender, CASE WHEN doc_id % 2 = 0 THEN 'Email' ELSE 'Document' END AS channel FROM docs""")
-P.over_docs("fn42_event_blocks", lambda d: reports.event_blocks(d.select("doc_id", F.concat(F.lit("From: A\nSent: x\n"), c("text"), F.lit("\nFrom: B\nDate: y\n"), F.reverse("text")).alias("text"))).select("doc_id", "block_no", F.md5("body").alias("body")),
-    "SELECT doc_id, 1 AS block_no, md5('From: A' || chr(10) || 'Sent: x' || chr(10) || text) AS body FROM docs UNION ALL SELECT doc_id, 2, md5('From: B' || chr(10) || 'Date: y' || chr(10) || reverse(text)) FROM docs")
-P.over_docs("fn51_requirement_facts", lambda d: d.select("doc_id", reports.requirement_facts(F.concat(F.lit("## Purpose\n"), c("text"), F.lit("\n## Next\n"), c("text"), F.lit("\n- REQ-1 do\nx REQ-2 "), c("lang"), F.lit("\n- Given a user\n"), c("text"))).alias("f")).select("doc_id", "f.purpose", js(c("f.requirements")).alias("requirements"), js(c("f.scenarios")).alias("scenarios")),
-    "SELECT doc_id, substring(trim(split_part(text || chr(10) || '##', chr(10) || '#', 1)), 1, 200) AS purpose, 'REQ-1 do|REQ-2 ' || lang AS requirements, 'Given a user' AS scenarios FROM docs")
 P.over_docs("fn52_checklist", lambda d: d.select("doc_id", F.md5(js(reports.checklist(F.element_at(F.array(F.to_json(F.array(F.lit("a"), "text", F.lit("a"))), F.concat(F.lit("- a\n2) b\n- a\n"), "text"), F.concat(F.lit("a | b | a | "), F.translate("text", "\n", " "))), (c("doc_id") % 3 + 1).cast("int"))))).alias("items")),
     f"""SELECT doc_id, md5(array_to_string(list_filter({distinct_sql('y')}, lambda x: x <> ''), '|')) AS items FROM (SELECT doc_id, list_transform(CASE doc_id % 3 WHEN 0 THEN ['a', text, 'a'] WHEN 1 THEN string_split('- a' || chr(10) || '2) b' || chr(10) || '- a' || chr(10) || text, chr(10)) ELSE string_split('a | b | a | ' || translate(text, chr(10), ' '), '|') END, lambda x: trim(regexp_replace(x, '^[ \t]*([-*•]|[0-9]+[.)])[ \t]*', ''))) AS y FROM docs)""")
 P.over_docs("fn53_fn54_llm_entities", lambda d: reports.valid_entities(d.select(c("doc_id").alias("chunk_id"), reports.llm_rows(F.when(c("doc_id") % 4 == 0, c("text")).otherwise(F.concat(F.lit('```json\n[{"type":"Person","name":" P'), c("doc_id"), F.lit(' ","aliases":'), F.to_json(F.array("text")), F.lit('},{"type":"Odd","name":"y"},{"type":"System","name":""}]\n```'))), "struct<type:string,name:string,aliases:array<string>>").alias("entities")), ("Person", "System")).select("chunk_id", "type", "name", F.md5(js(c("aliases"))).alias("aliases")), "SELECT doc_id AS chunk_id, 'Person' AS type, 'P' || doc_id AS name, md5(text) AS aliases FROM docs WHERE doc_id % 4 > 0")
 P.over_docs("ag21_coverage_percent", lambda d: d.select("doc_id", reports.coverage_percent(F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.struct(w, F.struct((F.length(w) % 2 == 0).alias("covered"))))))).alias("pct")), "SELECT doc_id, round(len(list_filter(list_distinct(string_split(text, ' ')), lambda w: length(w) % 2 = 0)) * 100 / 7.0::double, 1) AS pct FROM docs")
 P.over_docs("ag26_lane_summary", lambda d: reports.lane_summary(d.select(c("project").alias("lane"), reports.text_status(c("remark"), F.lit(False), F.lit(False)).alias("status"), F.when(c("doc_id") % 2 == 0, "high").otherwise("low").alias("priority"))),
     f"SELECT project AS lane, count(*) AS tasks, count(*) FILTER (s NOT IN ('cancelled', 'done')) AS open, count(*) FILTER (s = 'blocked') AS risks, max(CASE WHEN s = 'blocked' THEN CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END END) AS risk_level FROM (SELECT *, {tiers_sql('lower(remark)', labels.ROW_STATUS, chr(39) + 'open' + chr(39))} AS s FROM docs) GROUP BY 1")
-P.over_docs("ag27_lane_issues", lambda d: reports.lane_issues(d.groupBy(c("project").alias("lane")).agg(F.count("*").alias("total"), F.count_if(c("doc_id") % 3 == 0).alias("done"), F.count_if(c("doc_id") % 3 == 1).alias("open"), F.count_if(c("doc_id") % 2 == 0).alias("late"))),
-    "WITH m AS (SELECT project AS lane, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS done, count(*) FILTER (doc_id % 3 = 1) AS open, count(*) FILTER (doc_id % 2 = 0) AS late FROM docs GROUP BY 1) SELECT lane, 'error' AS level, 'sum' AS code, 'done and open do not add up' AS message FROM m WHERE done + open <> total UNION ALL SELECT lane, 'warning', 'late', 'more late than open' FROM m WHERE late > open")
 P.over_docs("ag28_pages", lambda d: reports.pages(d.select("doc_id", F.concat(c("text"), F.lit("\n## Trang 1\ntotal: "), c("doc_id"), F.lit("\n"), c("text"), F.lit("\n## Trang 2\n"), c("text"), F.lit("\ndone: 4")).alias("text"))).select("doc_id", "page", F.md5("body").alias("body"), F.to_json(reports.metrics(c("body"), ("total", "done"))).alias("metrics")), "SELECT doc_id, 1 AS page, md5(trim('total: ' || doc_id || chr(10) || text || chr(10), ' ' || chr(10))) AS body, '{\"total\":' || doc_id || '}' AS metrics FROM docs UNION ALL SELECT doc_id, 2, md5(ltrim(text || chr(10) || 'done: 4', ' ' || chr(10))), '{\"done\":4}' FROM docs")
-P.over_docs("ag29_status_chunks", lambda d: reports.status_chunks(d.select("doc_id", F.concat(F.lit("intro YC-1 open; YC-2/YC-3 "), c("text"), F.lit(" YC-1 late "), c("text")).alias("text"))).select("doc_id", "key", F.md5("body").alias("body")), "SELECT doc_id, unnest(['YC-1', 'YC-2', 'YC-3']) AS key, md5(unnest(['open;', trim(text), trim(text)])) AS body FROM docs")
 P.over_docs("jn20_merged_groups", lambda d: reports.merged_groups(d.where("doc_id % 2 = 0").select(c("doc_id").alias("key"), F.array(F.when(c("doc_id") % 4 == 0, "real").otherwise(" ")).alias("items")), d.where("doc_id % 3 = 0").select(c("doc_id").alias("key"), F.array(F.lit("extra")).alias("items"))).select("key", js(c("items")).alias("items"), "via"),
     "SELECT doc_id AS key, CASE WHEN doc_id % 4 = 0 THEN 'real' WHEN doc_id % 3 = 0 THEN 'extra' ELSE '' END AS items, CASE WHEN doc_id % 4 = 0 THEN 'primary' ELSE 'supplement' END AS via FROM docs WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
-P.over_docs("jn21_best_source", lambda d: reports.best_source(d.select(c("rel_path").alias("path"), F.when(c("doc_id") % 40 == 3, F.concat(F.lit("YC-"), c("doc_id") % 20)).otherwise("t").alias("title"), F.concat(c("text"), F.lit(" see YC-"), c("doc_id") % 20, F.lit(" "), c("text")).alias("text"))),
-    "SELECT 'YC-' || (doc_id % 20) AS key, arg_min(rel_path, struct_pack(a := CASE WHEN doc_id % 40 = 3 THEN 0 ELSE 1 END, b := rel_path)) AS path FROM docs GROUP BY 1")
 P.over_docs("jn22_cited_documents", lambda d: reports.cited_documents(d.select("doc_id", F.concat(c("text"), F.lit(" see nope.md and doc-"), c("doc_id") % 50, F.lit(".md "), c("text")).alias("text")), d.select(c("rel_path").alias("path"))), "SELECT a.doc_id, b.rel_path AS path FROM docs a JOIN docs b ON b.doc_id = a.doc_id % 50")
 P.over_docs("jn35_id_snippets", lambda d: reports.id_snippets(d.select("doc_id", F.concat(c("text"), F.lit("\na YC-7\n"), c("text"), F.lit("\nc YC-7 x\nd YC-7\nYC-"), c("doc_id") % 3).alias("text"))).select("doc_id", "key", js(c("snippets")).alias("snippets")), "SELECT doc_id, 'YC-7' AS key, 'a YC-7|c YC-7 x' AS snippets FROM docs UNION ALL SELECT doc_id, 'YC-' || (doc_id % 3), 'YC-' || (doc_id % 3) FROM docs")
 P.over_docs("wn18_timeline_groups", lambda d: reports.timeline_groups(d.where("doc_id % 4 = 0").select(c("lang").alias("group"), c("doc_id").alias("root_id"), c("doc_date").alias("day"), "title"), d.where("doc_id % 4 > 0").select(c("lang").alias("group"), c("doc_id").alias("id"), c("doc_date").alias("day"), c("rel_path").alias("title"))).select("root_id", js(c("items")).alias("items")),

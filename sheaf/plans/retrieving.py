@@ -22,6 +22,42 @@ def chunk_table(spark, d):
     return chunking.chunks(chunking.spread(rows), keep=labels).withColumnRenamed("chunk", "text")
 
 
+LABELS = ("source_path", "section", "project", "doc_type", "source_channel", "reliability", "ticket_ids", "people", "visibility", "date")
+
+
+def labelled(spark, d):
+    """The documents with the labels that are searched, and their hashes."""
+    rows = docs(spark, d).select("doc_id", "text", c("rel_path").alias("source_path"), c("lang").alias("section"), "project", "doc_type", "source_channel", F.lit("high").alias("reliability"), "ticket_ids", "people", "visibility", c("doc_date").cast("string").alias("date"), "content_hash")
+    return chunking.spread(rows.withColumn("meta_hash", F.sha2(F.to_json(F.struct(*LABELS)), 256)))
+
+
+def built(spark, d):
+    """The index of a table's documents in the session's shared folder: built by the first query that asks, read by the others."""
+    at = index.TextIndex(spark, f"{graph.shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{abs(hash(d))}", LABELS, None, LetterCounts())
+    if not at.current()[0]:
+        at.build(labelled(spark, d))
+        at.forget_at_exit()
+    return at
+
+
+def tenants(spark, d):
+    """The chunks in folders by tenant: a reader of one or two tenants reads no other's."""
+    at = f"{graph.shared_folder(spark)}/tenants-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    built(spark, d).read("chunks").withColumn("tenant", F.when(c("project") < "src15", "own").otherwise("shared")).write.mode("ignore").partitionBy("tenant").parquet(at)
+    where = spark._jvm.org.apache.hadoop.fs.Path(at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.parquet(at)
+
+
+def ticket_graph(spark, d):
+    """The kept graph of MENTIONS edges from chunks to tickets, as ``built``."""
+    at = index.GraphTable(spark, f"{graph.shared_folder(spark)}/graph-{spark.sparkContext.applicationId}-{abs(hash(d))}", index.LEAST)
+    if not at.current()[0]:
+        at.upsert(edges=built(spark, d).places().select(c("chunk_id").alias("from_id"), F.lit("MENTIONS").alias("relation"), F.explode(F.array_distinct("ticket_ids")).alias("to_id"), "doc_id"))
+        at.forget_at_exit()
+    return at
+
+
 class LetterCounts:
     """Vectors that SQL can make as well: how often each letter stands in the text, plus one."""
 
@@ -83,12 +119,12 @@ def wn2(spark, d):
 
 @P.query("jn4_rt1_exact_retrieval", with_chunks("SELECT question_id, chunk_id, score, rank FROM exact WHERE rank <= 10", EXACT_SQL))
 def rt1(spark, d):
-    return retrieval.exact(questions(spark), graph.cut(chunk_table(spark, d)), 10)
+    return retrieval.exact(questions(spark), built(spark, d), 10)
 
 
 @P.query("jn4_rt2_keyword_retrieval", with_chunks("SELECT question_id, chunk_id, score, rank FROM keyword WHERE rank <= 10", KEYWORD_SQL))
 def rt2(spark, d):
-    return retrieval.keyword(questions(spark), graph.cut(chunk_table(spark, d)), 10)
+    return retrieval.keyword(questions(spark), built(spark, d), 10)
 
 
 def vector_queries(spark, d, metric="l2"):
@@ -117,7 +153,7 @@ VECTOR_SQL = f"""vq AS (SELECT q, {_letters('x')} AS e FROM {values(QUESTIONS)}
 
 @P.query("rt4_term_frequency", with_chunks("SELECT question_id, chunk_id, score, rank FROM frequency WHERE rank <= 10", FREQUENCY_SQL))
 def rt4(spark, d):
-    return retrieval.term_frequency(questions(spark), chunk_table(spark, d), 10)
+    return retrieval.term_frequency(questions(spark), built(spark, d), 10)
 
 
 @P.query("rt5_filename_relevance", with_docs("SELECT q AS question_id, source, source_path, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, source_path) AS n FROM (SELECT q, source, rel_path AS source_path, count(*) AS score FROM docs, (VALUES (1, 'doc-42.md'), (1, 'en'), (1, 'doc'), (2, 'de'), (2, '7')) v(q, t) WHERE contains(lang || ' ' || 'doc-' || doc_id || '.md', t) GROUP BY 1, 2, 3)) WHERE n <= 6"))
@@ -128,7 +164,7 @@ def rt5(spark, d):
 
 @P.query("rt8_conditional_branches", with_chunks("SELECT question_id, count(*) FILTER (via = 'e') AS n_exact, count(*) FILTER (via = 'v') AS n_vector, count(*) FILTER (via = 'k') AS n_keyword FROM (SELECT question_id, 'e' AS via FROM exact WHERE rank <= 20 UNION ALL SELECT question_id, 'v' FROM vector WHERE rank <= 20 UNION ALL SELECT question_id, 'k' FROM keyword WHERE rank <= 20 AND question_id NOT IN (SELECT question_id FROM exact WHERE question_id IN (2, 3) AND rank <= 20 GROUP BY 1 HAVING count(*) >= 3)) GROUP BY 1", EXACT_SQL, KEYWORD_SQL, VECTOR_SQL))
 def rt8(spark, d):
-    found = retrieval.lists(questions(spark), chunk_table(spark, d), 20, None, LetterCounts())
+    found = retrieval.lists(questions(spark), built(spark, d), 20, None, LetterCounts())
     return found.where("list_no < 3").groupBy("question_id").agg(*(F.count_if(c("list_no") == i).alias(n) for i, n in enumerate(("n_exact", "n_vector", "n_keyword"))))
 
 
@@ -136,17 +172,23 @@ _own, _shared = "project < 'src15'", "project >= 'src15'"
 _list = lambda of, where, w: f"SELECT question_id, chunk_id, {w} AS w, row_number() OVER (PARTITION BY question_id ORDER BY {'distance, chunk_id' if of == 'near' else 'rank'}) AS rank FROM {of} {'' if of == 'near' else 'JOIN (SELECT chunk_id, project FROM chunks) USING (chunk_id)'} WHERE {where}"
 
 
-@P.query("rt9_federation", with_chunks(f"SELECT question_id, chunk_id, round(sum(w / (10.0::double + rank)), 6) AS score FROM ({_list('keyword', _own, 2.0)} UNION ALL {_list('keyword', _shared, 1.2)} UNION ALL {_list('near', _own, 3.5)} UNION ALL {_list('near', _shared, 2.1)}) WHERE rank <= 10 GROUP BY 1, 2", EXACT_SQL, KEYWORD_SQL, VECTOR_SQL))
+_side = lambda where, share, at: " UNION ALL ".join(
+    f"SELECT question_id, chunk_id, {no + at} AS no, {w * share}::double AS w, row_number() OVER (PARTITION BY question_id ORDER BY {order}) AS rank FROM {of} WHERE ({where}) {skip}"
+    for no, (of, w, order, skip) in enumerate((
+        (f"(SELECT e.*, source_path AS sp, chunk_index AS ci, project FROM exact e JOIN (SELECT chunk_id, source_path, chunk_index, project FROM chunks) USING (chunk_id))", 4.0, "score DESC, sp, ci", ""),
+        ("near", 3.5, "distance, chunk_id", f"AND question_id NOT IN (SELECT question_id FROM exact JOIN (SELECT chunk_id, project FROM chunks) USING (chunk_id) WHERE {where} GROUP BY 1 HAVING count(*) >= 10)"),
+        ("(SELECT k.*, source_path AS sp, chunk_index AS ci, project FROM keyword k JOIN (SELECT chunk_id, source_path, chunk_index, project FROM chunks) USING (chunk_id))", 2.0, "score DESC, sp, ci", f"AND question_id NOT IN (SELECT question_id FROM exact JOIN (SELECT chunk_id, project FROM chunks) USING (chunk_id) WHERE {where} AND question_id IN (2, 3) GROUP BY 1 HAVING count(*) >= 3)"),
+        ("(SELECT f.*, project FROM frequency f JOIN (SELECT chunk_id, project FROM chunks) USING (chunk_id))", 3.0, "score DESC, chunk_id", ""),
+    ))
+)
+
+
+@P.query("rt9_federation", with_chunks(f"SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT question_id, chunk_id, sum(w / (10.0::double + rank)) AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(sum(w / (10.0::double + rank)), 9) DESC, min(struct_pack(a := no, b := rank))) AS rank FROM ({_side(_own, 1.0, 0)} UNION ALL {_side(_shared, 0.6, 4)}) WHERE rank <= 10 GROUP BY 1, 2) WHERE rank <= 20", EXACT_SQL, KEYWORD_SQL, FREQUENCY_SQL, VECTOR_SQL))
 def rt9(spark, d):
-    ch, q, by = chunk_table(spark, d), questions(spark), LetterCounts()
-    out = None
-    for no, (where, share) in enumerate(((_own, 1.0), (_shared, retrieval.SHARED))):
-        rows = ch.where(where)
-        near = retrieval.vectors(by.attach(q, "text").select("question_id", c("embedding").alias("q")), by.attach(rows, "text").select(c("chunk_id").alias("vec_id"), "embedding"), 10, "cosine").withColumnRenamed("vec_id", "chunk_id")
-        for name, found in (("keyword", retrieval.keyword(q, rows, 10)), ("vector", near)):
-            one = found.select("question_id", "chunk_id", "rank", F.lit(no).alias("list_no"), F.lit(retrieval.WEIGHTS[name] * share).alias("weight"))
-            out = one if out is None else out.unionByName(one)
-    return ranking.fuse(out, 100).select("question_id", "chunk_id", F.round("score", 6).alias("score"))
+    """All four lists of a tenant and of a shared one, from tables partitioned by tenant."""
+    rows = tenants(spark, d)
+    sides = [(rows.where("tenant = 'own'").drop("tenant"), 1.0), (rows.where("tenant = 'shared'").drop("tenant"), retrieval.SHARED)]
+    return retrieval.federate(questions(spark), sides, 10, None, LetterCounts()).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 P.over_docs("rt10_document_search", lambda d: retrieval.search(d, "the er", True).select("doc_id", "rel_path"), "SELECT doc_id, rel_path FROM docs WHERE visibility = 'shared' AND contains(lower(concat_ws(chr(10), rel_path, project, text)), 'the') AND contains(lower(concat_ws(chr(10), rel_path, project, text)), 'er') ORDER BY doc_date DESC, rel_path DESC LIMIT 20")
@@ -154,15 +196,16 @@ P.over_docs("rt10_document_search", lambda d: retrieval.search(d, "the er", True
 
 @P.query("rt11_context_pack", with_chunks("""SELECT question_id, cast(count(*) AS int) AS n_blocks, string_agg(chunk_id, '|' ORDER BY place) AS chunk_ids FROM (SELECT *, sum(size) OVER (PARTITION BY question_id ORDER BY place) AS used FROM (SELECT question_id, chunk_id, length('[' || source_channel || ' | ' || date || ' | ' || source_path || '#' || section || ']' || chr(10) || text || chr(10)) AS size, row_number() OVER (PARTITION BY question_id ORDER BY r, f) AS place FROM (SELECT k.question_id, k.chunk_id, k.rank, h.*, row_number() OVER (PARTITION BY question_id, source_path ORDER BY rank) AS r, min(rank) OVER (PARTITION BY question_id, source_path) AS f FROM keyword k JOIN (SELECT chunk_id AS cid, * EXCLUDE (chunk_id) FROM chunks) h ON h.cid = k.chunk_id WHERE rank <= 20))) WHERE used <= 24000 GROUP BY 1""", KEYWORD_SQL))
 def rt11(spark, d):
-    ch = chunk_table(spark, d)
-    packed = retrieval.pack(retrieval.keyword(questions(spark), ch, 20).withColumnRenamed("rank", "place"), ch)
+    ch = built(spark, d)
+    found = graph.cut(retrieval.keyword(questions(spark), ch, 20).withColumnRenamed("rank", "place"))
+    packed = retrieval.pack(found, ch.rows(found))
     return packed.select("question_id", "n_blocks", js(c("chunk_ids")).alias("chunk_ids"))
 
 
 @P.query("ag25_context_stats", with_chunks("SELECT question_id, count(*) AS candidates, count(DISTINCT source_path) AS sources, count(*) - count(DISTINCT source_path) AS repeats FROM keyword JOIN (SELECT chunk_id, source_path FROM chunks) USING (chunk_id) WHERE rank <= 20 GROUP BY 1", KEYWORD_SQL))
 def ag25(spark, d):
-    ch = chunk_table(spark, d)
-    j = retrieval.keyword(questions(spark), ch, 20).join(ch.select("chunk_id", "source_path"), "chunk_id")
+    ch = built(spark, d)
+    j = retrieval.keyword(questions(spark), ch, 20).join(ch.places().select("chunk_id", "source_path"), "chunk_id")
     return j.groupBy("question_id").agg(F.count("*").alias("candidates"), F.count_distinct("source_path").alias("sources"), (F.count("*") - F.count_distinct("source_path")).alias("repeats"))
 
 
@@ -179,8 +222,9 @@ def _rerank_sql(of: str = "keyword WHERE rank <= 10") -> str:
 
 @P.query("wn11_rerank", with_chunks("SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS place FROM rr", KEYWORD_SQL, _rerank_sql()))
 def wn11(spark, d):
-    ch, q = chunk_table(spark, d), questions(spark)
-    return retrieval.rerank(retrieval.keyword(q, ch, 10).drop("score"), q, ch)
+    ch, q = built(spark, d), questions(spark)
+    found = graph.cut(retrieval.keyword(q, ch, 10).drop("score"))
+    return retrieval.rerank(found, q, ch.rows(found))
 
 
 _variant = lambda of, n: f"""{n} AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY v, r) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY v, r) AS once FROM (SELECT CASE question_id WHEN {VARIANT[0]} THEN {VARIANT[1]} ELSE question_id END AS question_id, question_id AS v, chunk_id, rank AS r FROM {of} WHERE rank <= 20)) WHERE once = 1)"""
@@ -200,9 +244,10 @@ HYBRID_SQL = (
 @P.query("rt7_hybrid_query", with_chunks("""SELECT question_id, cast(count(*) AS int) AS n_blocks, string_agg(chunk_id, '|' ORDER BY place) AS chunk_ids FROM (SELECT *, sum(size) OVER (PARTITION BY question_id ORDER BY place) AS used FROM (SELECT question_id, chunk_id, length('[' || source_channel || ' | ' || date || ' | ' || source_path || '#' || section || ']' || chr(10) || text || chr(10)) AS size, row_number() OVER (PARTITION BY question_id ORDER BY r, f) AS place FROM (SELECT k.question_id, k.chunk_id, h.*, row_number() OVER (PARTITION BY question_id, source_path ORDER BY k.place) AS r, min(k.place) OVER (PARTITION BY question_id, source_path) AS f FROM placed k JOIN (SELECT chunk_id AS cid, * EXCLUDE (chunk_id) FROM chunks) h ON h.cid = k.chunk_id))) WHERE used <= 24000 GROUP BY 1""", EXACT_SQL, ALL_KEYWORD_SQL, FREQUENCY_SQL, VECTOR_SQL, *HYBRID_SQL))
 def rt7(spark, d):
     """Variants, four lists, fusion, graph chunks, reranking, diversification and the budget, over all chunks."""
-    ch, q = graph.cut(chunk_table(spark, d)), questions(spark)
+    ch, q = built(spark, d), questions(spark)
     registry = spark.createDataFrame(REGISTRY, "canonical string, aliases array<string>")
-    packed = retrieval.pack(retrieval.hybrid(q, ch, 20, registry, LetterCounts(), retrieval.mentioned(q, ch, 20)), ch)
+    ranked = graph.cut(retrieval.hybrid(q, ch, 20, registry, LetterCounts(), retrieval.related(q, ticket_graph(spark, d), ch.places(), 20)))
+    packed = retrieval.pack(ranked, ch.rows(ranked))
     return packed.select("question_id", "n_blocks", js(c("chunk_ids")).alias("chunk_ids"))
 
 
@@ -224,6 +269,14 @@ def jn12(spark, d):
     return graph.k_hop(edges(spark, d), spark.createDataFrame([("o10",), ("s3",)], "id string"), 2)
 
 
+@P.query("jn12_k_hop_each", f"WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT o_orderkey AS q, 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 1000 < 8 UNION ALL SELECT s_suppkey, 's' || s_suppkey FROM supplier), b AS (SELECT from_id AS x, to_id AS y, * FROM edges UNION ALL SELECT to_id, from_id, * FROM edges), n1 AS (SELECT DISTINCT q, y AS id FROM seeds JOIN b ON x = id), h AS (SELECT q, from_id, relation, to_id, 1 AS hop FROM seeds JOIN b ON x = id UNION ALL SELECT q, from_id, relation, to_id, 2 FROM n1 JOIN b ON x = id) SELECT q AS question_id, from_id, relation, to_id, min(hop) AS hop FROM h GROUP BY ALL")
+def jn12_each(spark, d):
+    """Two hops from every supplier and some orders, each a question of its own."""
+    o = table(spark, d, "orders").where("o_orderkey % 1000 < 8").select(c("o_orderkey").alias("question_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    s = table(spark, d, "supplier").select(c("s_suppkey").alias("question_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    return graph.k_hop_each(edges(spark, d), o.unionByName(s), 2)
+
+
 @P.query("jn13_seed_entities", f"WITH {EDGES_SQL} SELECT DISTINCT to_id AS id FROM edges WHERE relation = 'MENTIONS' AND from_id IN ('o10', 'o20', 'o30')")
 def jn13(spark, d):
     return graph.seed_entities(edges(spark, d), spark.createDataFrame([("o10",), ("o20",), ("o30",)], "chunk_id string"))
@@ -269,7 +322,7 @@ def jn33(spark, d):
     u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS w FROM e), k AS (SELECT w, min(vec_id) AS id FROM u GROUP BY w)
     SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.w, b.w), 6) AS cosine FROM k a JOIN k b ON a.id < b.id WHERE round(list_cosine_similarity(a.w, b.w), 6) >= 0.92 UNION ALL SELECT k.id, u.vec_id, 1.0 FROM u JOIN k USING (w) WHERE u.vec_id > k.id""")
 def jn34(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("embedding"))
+    e = table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("embedding"))  # and doubles of a seventh, which have the same directions
     copies = e.where("vec_id % 7 = 0").select(c("vec_id") + 1000000, F.transform("embedding", lambda x: x * 2))
     return graph.near_pairs(e.union(copies), 0.92)
 
@@ -299,6 +352,15 @@ def rt13(spark, d):
     return new.select("doc_id", "chunk_index", F.md5("chunk").alias("body"))
 
 
+_tokens = lambda e: f"string_split({squeeze_sql(f'lower({e})')}, ' ')"
+
+
+@P.query("rt13_text_index", with_chunks(f"SELECT token, count(DISTINCT chunk_id) AS n FROM (SELECT chunk_id, unnest(list_concat({_tokens('text')}, {_tokens('source_path')}, {_tokens('section')}, {_tokens('project')}, {_tokens('doc_type')})) AS token FROM chunks) WHERE token <> '' GROUP BY 1"))
+def rt13_index(spark, d):
+    """The dictionary of the kept index with its document frequencies."""
+    return built(spark, d).read("low_terms").select("token", "n")
+
+
 @P.query("rt15_vector_attach")
 def rt15(spark, d):
     return index.attach_vectors(chunking.chunks(docs(spark, d)), 64).select("chunk_id", "embedding")
@@ -318,11 +380,11 @@ P.over_docs("rt16_provider_route", lambda d: d.groupBy("project").agg(F.when(F.b
 
 def lane_context(d):
     rows = d.where((c("doc_type") == "mom") | (c("doc_date") >= F.date_sub(F.lit("2024-12-01").cast("date"), 200))).select("project", F.length("text").alias("size"), F.struct((c("doc_type") != "mom").alias("log"), F.datediff(F.lit("2025-01-01"), "doc_date").alias("age"), c("doc_id").alias("doc_id")).alias("key"), "doc_id")
-    return ranking.budget_skip(rows, "project", "size", "key", 8000).select("project", "doc_id")
+    return ranking.budget_skip(rows, "project", "size", "key", 40000, ~c("key.log")).select("project", "doc_id")
 
 
-P.over_docs("rt19_lane_context", lane_context, """WITH RECURSIVE o AS (SELECT project, doc_id, length(text) AS s, row_number() OVER (PARTITION BY project ORDER BY (doc_type <> 'mom'), date '2025-01-01' - doc_date, doc_id) AS n FROM docs WHERE doc_type = 'mom' OR doc_date >= date '2024-12-01' - 200),
-    f AS (SELECT project, doc_id, n, CASE WHEN s <= 8000 THEN s ELSE 0 END AS used, s <= 8000 AS kept FROM o WHERE n = 1 UNION ALL SELECT o.project, o.doc_id, o.n, CASE WHEN f.used + o.s <= 8000 THEN f.used + o.s ELSE f.used END, f.used + o.s <= 8000 FROM f JOIN o ON o.project = f.project AND o.n = f.n + 1) SELECT project, doc_id FROM f WHERE kept""".replace("WITH RECURSIVE", "WITH"))
+P.over_docs("rt19_lane_context", lane_context, """WITH RECURSIVE o AS (SELECT project, doc_id, length(text) AS s, row_number() OVER (PARTITION BY project ORDER BY date '2025-01-01' - doc_date, doc_id) AS n, (SELECT coalesce(sum(length(text)), 0) FROM docs a WHERE a.project = docs.project AND a.doc_type = 'mom') AS notes FROM docs WHERE doc_type <> 'mom' AND doc_date >= date '2024-12-01' - 200),
+    f AS (SELECT project, doc_id, n, notes + CASE WHEN notes + s <= 40000 THEN s ELSE 0 END AS used, notes + s <= 40000 AS kept FROM o WHERE n = 1 UNION ALL SELECT o.project, o.doc_id, o.n, CASE WHEN f.used + o.s <= 40000 THEN f.used + o.s ELSE f.used END, f.used + o.s <= 40000 FROM f JOIN o ON o.project = f.project AND o.n = f.n + 1) SELECT project, doc_id FROM f WHERE kept UNION ALL SELECT project, doc_id FROM docs WHERE doc_type = 'mom'""".replace("WITH RECURSIVE", "WITH"))
 P.ORACLE["rt19_lane_context"] = P.ORACLE["rt19_lane_context"].replace("WITH docs", "WITH RECURSIVE docs", 1)
 
 QUERIES, ORACLE = P.QUERIES, P.ORACLE
