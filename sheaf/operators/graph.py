@@ -43,6 +43,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return cut(salted.withColumn("salt", F.pmod(F.xxhash64("from_id", "relation", "to_id"), F.col("n_salts")).cast("int")))
 
 
+def at(edges, frontier: DataFrame) -> DataFrame:
+    """The edges at the nodes of frontier(node): of a table by two semi-joins, of an index from the buckets of those nodes."""
+    if not isinstance(edges, DataFrame):
+        return edges.at(frontier)
+    end = lambda side: edges.join(frontier.select(F.col("node").alias(side)), side, "left_semi").select("from_id", "relation", "to_id")
+    return end("from_id").unionByName(end("to_id"))
+
+
 def k_hop_each(edges, seeds: DataFrame, hops: int) -> DataFrame:
     """seeds(question_id, id) -> (question_id, from_id, relation, to_id, hop): each question's breadth-first search over both directions, all at once.
 
@@ -53,9 +61,8 @@ def k_hop_each(edges, seeds: DataFrame, hops: int) -> DataFrame:
     key = ["question_id", "node"]
     front = cut(seeds.select("question_id", F.col("id").alias("node")).distinct())
     before, found = front.limit(0), None
-    all_edges = neighbours(edges) if isinstance(edges, DataFrame) else None
     for hop in range(1, hops + 1):
-        near = all_edges if all_edges is not None else neighbours(edges.at(front.select("node").distinct()))
+        near = neighbours(at(edges, cut(front.select("node").distinct())))
         hubs = near.where("n_salts > 1").select("node", "n_salts").distinct()
         asked = front.join(hubs, "node", "left").select(*key, F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)).alias("salt"))
         met = asked.join(near, ["node", "salt"])
