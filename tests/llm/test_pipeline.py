@@ -1,5 +1,8 @@
 """The pipeline against a brute-force version of its filters."""
 
+import zlib
+
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -73,11 +76,60 @@ def test_long_texts_pass_all_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     long = " ".join(r.text for r in docs.where("lang = 'en'").collect()) * 6
     at = docs.limit(30).unionByName(spark.createDataFrame([(9100, long, "en", "s", len(long))], docs.schema))
-    for _, stage in corpus_pipeline.STAGES[:3]:
+    for name, stage in corpus_pipeline.STAGES[:3]:
         at = common.written(stage(spark, at, DATA))
     left = at.where("doc_id = 9100").first().text
     assert 0 < len(left) < len(long) / 4
+    # the joined texts hold benchmark items, so the long document goes; one without them is packed whole
+    clean = at.withColumn("text", F.when(F.col("doc_id") == 9100, F.regexp_replace("text", "[a-m]", "q")).otherwise(F.col("text")))
+    kept = common.written(corpus_pipeline.decontaminate(spark, clean, DATA))
+    assert kept.where("doc_id = 9100").count() == 1
+    parts = corpus_pipeline.pack(spark, kept, DATA).where("doc_id = 9100").collect()
+    assert len(parts) == -(-parts[0].doc_tokens // 2048) > 10 and sum(p.length for p in parts) == parts[0].doc_tokens
+
 
+def test_run_is_the_brute_force(spark):
+    """All five stages on every document: which documents and texts are left, and their ids, one piece each; sequences are full and gapless."""
+    from tokenizers import Tokenizer
 
-def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    from sheaf.llm import decontaminate
+    from sheaf.llm.queries import tokenizer_files
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    fps = {i: reference_fingerprint(t) for i, t in texts.items()}
+    up = {i: i for i in fps}
+    while (new := {i: min(up[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4) for i in fps}) != up:
+        up = new
+    seen, left = set(), {}
+    for i in sorted(i for i in up if up[i] == i):
+        b = texts[i].encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        rest = bytes(x for x, g in zip(b, gone) if not g)
+        if rest or not b:
+            left[i] = rest
+    tok = lambda t: decontaminate.WORD.findall(t.lower())
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    items = [grams(tok(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    valid = {i: b.decode("utf-8", "replace") for i, b in left.items()}
+    clean = {i: t for i, t in valid.items() if not any(sum(g in own for g in item) >= 0.8 * len(item) for own in [set(grams(tok(t)))] for item in items)}
+    assert 0 < len(clean) < len(left) < len(texts)
+    whole = Tokenizer.from_file(tokenizer_files()[0])
+    want = set()
+    for i, t in clean.items():
+        if "\ufffd" not in t:
+            ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4")
+            want |= {(i, s, min(2048, len(ids) - s), zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048)}
+    got = corpus_pipeline.run(spark, DATA).collect()
+    cut = {i for i, t in clean.items() if "\ufffd" in t}
+    assert {r.doc_id for r in got} == set(clean)
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got if r.doc_id not in cut} == want
+    rows = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    at: dict[int, int] = {}
+    for sequence, offset, length in rows:
+        assert offset == at.get(sequence, 0)
+        at[sequence] = offset + length
+    assert max(at.values()) <= 2048 and sum(at.values()) / (2048 * len(at)) > 0.9
