@@ -159,8 +159,6 @@ P.over_docs("fn47_document_kind", lambda d: d.withColumn("s", _sample()).select(
     array_to_string(list_slice(list_concat(CASE WHEN doc_id % 2 = 0 THEN [source || '.docx'] ELSE [] END, list_slice(list_transform(list_filter(list_transform(string_split(s, chr(10)), lambda x: [trim(x), regexp_replace(trim(x), '^[#*\\- \t]+|[#*\\- \t]+$', '', 'g')]),
     lambda z: z[2] <> '' AND (starts_with(z[1], '#') OR ends_with(z[1], ':') OR regexp_matches(z[2], '(?i)^({'|'.join(labels.CLUE_STARTS)})([^A-Za-z0-9_]|$)'))), lambda z: substring(z[2], 1, {labels.CLUE})), 1, {labels.CLUES})), 1, {labels.CLUES}), '|') AS clues
     FROM (SELECT doc_id, source, s, lower(s) AS l FROM (SELECT doc_id, source, substring(['User story ', 'Test plan: ', '# data model ', 'Stakeholders' || chr(10), 'Executive summary' || chr(10) || 'business objectives of ', ''][cast(doc_id % 6 + 1 AS int)] || '** Scope **' || chr(10) || '## Part ' || lang || chr(10) || 'API of it' || chr(10) || 'apis' || chr(10) || text, 1, {labels.SAMPLE}) AS s FROM docs))""")
-P.over_docs("fn48_chat_tags", lambda d: d.withColumn("t", F.concat(F.when(c("doc_id") % 2 == 0, "[a] [b]  ").otherwise(""), F.lit("Please review CHG-"), F.lpad((c("doc_id") % 1000).cast("string"), 3, "0"), F.lit("-01 now"))).select("doc_id", F.trim(F.regexp_replace("t", "^( *\\[[^\\]\\n]{1,220}\\] *){1,8}", "")).alias("plain"), F.regexp_extract("t", "CHG-[0-9]{3}-[0-9]{2}", 0).alias("change_key"), F.lower("t").rlike("(^|[^a-z])(review|summary|compare|find|search|draft|translate)([^a-z]|$)").alias("asks")),
-    "SELECT doc_id, 'Please review CHG-' || lpad(cast(doc_id % 1000 AS varchar), 3, '0') || '-01 now' AS plain, 'CHG-' || lpad(cast(doc_id % 1000 AS varchar), 3, '0') || '-01' AS change_key, true AS asks FROM docs")
 P.over_docs("fn57_presence_flags", lambda d: d.select("doc_id", (c("project") != "").alias("has_project"), c("doc_date").isNotNull().alias("has_date"), (F.size("ticket_ids") > 1).alias("has_two_tickets"), (c("prev_hash").isNotNull() & (c("prev_hash") != c("content_hash"))).alias("stale")),
     "SELECT doc_id, project <> '' AS has_project, doc_date IS NOT NULL AS has_date, len(ticket_ids) > 1 AS has_two_tickets, prev_hash IS NOT NULL AND prev_hash <> content_hash AS stale FROM docs")
 P.over_docs("fn58_citation", lambda d: d.select("doc_id", F.concat(c("rel_path"), F.lit("#"), F.coalesce(F.when(c("doc_id") % 2 == 0, c("lang")), F.lit("root"))).alias("reference"), F.concat(F.lit("["), F.concat_ws(" | ", "source_channel", c("doc_date").cast("string"), "rel_path"), F.lit("]")).alias("citation")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheaf.functions import chat
 from sheaf.operators import reports, threads
 from sheaf.plans.binding import Plans, with_docs
 from sheaf.plans.binding import docs as _docs
@@ -139,4 +140,23 @@ P.over_docs("ag29_status_chunks", lambda d: reports.status_chunks(d.select("doc_
     """SELECT doc_id, unnest(['1', '2', '3', '4', 'EK7']) AS key, md5(unnest(['YC-1 open; ', 'QLYC-2 / 3 late ' || text || ' ', 'QLYC-3/4 and ', 'QLYC-3/4 and ', 'EK7 done ' || text || ' '])) AS body FROM docs""")
 
 
+# chat ------------------------------------------------------------------------------------------------------------------
+TAGGED = ("", "[ctx: a] [b]  ", "[x]\n", "[not closed ", " [] ")
+SAID = (
+    "", "File này", "gui file nay", "Please REVIEW it", "previewed only", "hãy tìm giúp", "kiểm  tra", "kiểm tra hộ", "map cho CHG-12-1", "bản đồ", "trong tài liệu có gì?", "file gồm những gì",
+    "profile có gì", "đọc giúp document", "đọc giúp", "Nội dung của nó là gì", "nó nội dung là gì", "yeu cau nao quan trong", "what's in the PDF", "what's in it", "lưu lại CHG-123-45.", "xuấtbản chg-001-02 nhé", "user stories in upload", "này",
+)
+_alone = lambda words: f"(^|[^\\p{{L}}\\p{{N}}_])({words})($|[^\\p{{L}}\\p{{N}}_])"
+_said = lambda: F.concat(pick(TAGGED, F.floor(c("doc_id") / 3)), pick(SAID, c("doc_id")), F.when(c("doc_id") % 5 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
+_untagged = "m"
+for _ in range(8):
+    _untagged = _trim(f"regexp_replace({_untagged}, '^\\s*\\[[^\\]\\n]{{1,220}}\\]\\s*', '')")
+P.over_docs("fn48_chat_tags", lambda d: d.select("doc_id", F.md5(chat.without_tags(_said())).alias("plain"), chat.change_key(_said()).alias("change_key"), chat.upload_intent(_said()).alias("asks")),
+    f"""SELECT doc_id, md5(p) AS plain, nullif(upper(regexp_extract(p, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(CHG-[0-9]{{3}}-[0-9]{{2}})($|[^\\p{{L}}\\p{{N}}_])', 2)), '') AS change_key,
+      l <> '' AND l NOT IN ('file này', 'file nay', 'đây', 'day', 'này', 'nay', 'xem file này', 'xem file nay', 'gửi file này', 'gui file nay') AND (
+        regexp_matches(l, '{_alone("review|tóm tắt|summary|compare|extract|find|tìm|search|map|gắn|convert|generate|tạo|viết|lập|draft|translate|dịch|lưu|save|xuất")}') OR regexp_matches(l, 'rà soát|thẩm định|đánh giá|kiểm tra|so sánh|đối chiếu|trích|rút ra|liệt kê|xác định|tra cứu|chuyển thành|tạo backlog|tạo ticket|giải thích|phân tích')
+        OR (regexp_matches(l, '{_alone("file")}|tài liệu|tai lieu|document|attachment|upload|pdf|docx?|pptx?|html?') AND regexp_matches(l, '{_alone("đọc|doc")}|nội dung|noi dung|ý chính|y chinh|main points?|key points?|nói gì|noi gi|có gì|co gi|gồm (những )?gì|gom (nhung )?gi|đề cập|de cap|bao gồm|bao gom|what does|what is in|what''s in|requirement|yêu cầu|yeu cau|user stor(y|ies)|acceptance criteria|open questions?|rủi ro|rui ro|tóm lược|tom luoc|trả lời|tra loi|cho tôi biết|cho toi biet'))
+        OR regexp_matches(l, '^nội dung[^\n]*là gì|^noi dung[^\n]*la gi|^ý chính[^\n]*là gì|^y chinh[^\n]*la gi|requirement nào|yeu cau nao|các yêu cầu|cac yeu cau|tóm tắt|tom tat|phân tích|phan tich|giải thích|giai thich')) AS asks
+    FROM (SELECT doc_id, m, p, lower(p) AS l FROM (SELECT doc_id, m, {_untagged} AS p FROM (SELECT doc_id, {pick_sql(TAGGED, "doc_id // 3")} || {pick_sql(SAID, "doc_id")} || CASE WHEN doc_id % 5 = 0 THEN ' ' || text ELSE '' END AS m FROM docs)))""")
+
 QUERIES, ORACLE = P.QUERIES, P.ORACLE
