@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
@@ -60,6 +61,56 @@ class HashedTerms:
         return unit.withColumn("embedding", vector_to_array("_u", "float32")).drop("_w", "_t", "_u")
 
 
+class ExecutorModel:
+    """An embedder whose model lives on the executors: ``load()`` gives a function from a list of texts to their vectors.
+
+    A worker process loads the model once and keeps it for all its tasks. Texts go to it in batches of at most ``most`` bytes (a longer
+    text alone); where a batch fails its texts are tried one by one, and a text that fails has a null vector, as has a null text.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list]], size: int, most: int = 1 << 20):
+        self.load, self.size, self.most, self.name = load, size, most, uuid.uuid4().hex
+
+    def attach(self, rows: DataFrame, text: str) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        at, load, size, most, name = rows.columns.index(text), self.load, self.size, self.most, self.name
+
+        def model():
+            import sys
+            import types
+
+            # a module of the process outlives the task, whose own functions are made anew
+            kept = sys.modules.setdefault("_models_of_this_worker", types.ModuleType("_models_of_this_worker"))
+            if not hasattr(kept, name):
+                setattr(kept, name, load())
+            return getattr(kept, name)
+
+        def embedded(texts: list[str]) -> list:
+            try:
+                out = [None if v is None else [float(x) for x in v] for v in model()(texts)]
+                if len(out) != len(texts) or any(v is not None and len(v) != size for v in out):
+                    raise ValueError("a model must give one vector of its size for each text")
+                return out
+            except Exception:
+                return [None] if len(texts) == 1 else [v for x in texts for v in embedded([x])]
+
+        def run(batches):
+            for b in batches:
+                values, out, part, held = b.column(at).to_pylist(), [None] * b.num_rows, [], 0
+                for n, x in [*enumerate(values), (None, None)]:
+                    length = len(x.encode()) if x is not None else 0
+                    if part and (n is None or held + length > most):
+                        for i, v in zip(part, embedded([values[i] for i in part]), strict=True):
+                            out[i] = v
+                        part, held = [], 0
+                    if x is not None:
+                        part.append(n)
+                        held += length
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
+
+        return rows.mapInArrow(run, schema)
+
+
 def attach_vectors(rows: DataFrame, embedder: Embedder | int = 256, text: str = "chunk") -> DataFrame:
     """rows with ``embedding``, by an embedder or by hashed terms of a size."""
     return (HashedTerms(embedder) if isinstance(embedder, int) else embedder).attach(rows, text)

@@ -360,9 +360,15 @@ def rt13_index(spark, d):
     return built(spark, d).read("low_terms").select("token", "n")
 
 
-@P.query("rt15_vector_attach")
+@P.query("rt15_vector_attach", with_chunks(f"SELECT chunk_id, array_to_string(list_transform({_letters('text')}, lambda x: cast(x AS int)), '|') AS embedding FROM chunks"))
 def rt15(spark, d):
-    return index.attach_vectors(chunking.chunks(docs(spark, d)), 64).select("chunk_id", "embedding")
+    """Vectors by a model that the executors load."""
+
+    def load():
+        return lambda texts: [[x.lower().count(chr(97 + i)) + 1 for i in range(26)] for x in texts]
+
+    rows = index.attach_vectors(chunking.chunks(docs(spark, d)), index.ExecutorModel(load, 26))
+    return rows.select("chunk_id", js(F.transform("embedding", lambda x: x.cast("int").cast("string"))).alias("embedding"))
 
 
 @P.query("ux6_split_function", with_chunks("SELECT doc_id, piece, md5(text) AS body FROM (SELECT doc_id, cast(chunk_index AS int) AS piece, text FROM chunks)"))

@@ -267,3 +267,24 @@ def test_entities_grow_as_a_rebuild_would(spark, tmp_path):
     after = at.current()[1]
     for t in ("names", "by_name", "labels", "members"):
         assert sum(before[t]["at"].get(b) != f for b, f in after[t]["at"].items()) == 1, t
+
+
+def test_a_model_is_loaded_once_a_worker_and_survives_bad_texts(spark):
+    loads, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+
+        def embed(texts):
+            calls.add(1)
+            assert sum(len(x.encode()) for x in texts) <= 40 or len(texts) == 1
+            if any("bad" in x for x in texts):
+                raise ValueError
+            return [[len(x), 1.0] for x in texts]
+
+        return embed
+
+    rows = spark.createDataFrame([(i, None if i == 7 else "bad" if i == 9 else "é" * (i % 30)) for i in range(400)], "id long, body string").repartition(32)
+    got = {r.id: r.embedding for r in index.ExecutorModel(load, 2, 40).attach(rows, "body").collect()}
+    assert len(got) == 400 and got[7] is None and got[9] is None and all(v == [i % 30, 1.0] for i, v in got.items() if i not in (7, 9))
+    assert 1 <= loads.value < 32 and calls.value  # fewer loads than tasks; a kept model counts its calls in the first task alone
