@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import labels, text
-from sheaf.operators import filters, joins, ranking
+from sheaf.operators import filters, joins, ledger, links, ranking
 from sheaf.plans.binding import Plans, docs, table, with_docs
 from sheaf.plans.scalars import distinct_sql, js, squeeze_sql
 
@@ -74,18 +74,15 @@ def jn6(spark, d):
 @P.query("jn7_capture_preview", "SELECT conv_id, count(*) AS total, count(*) FILTER (seen) AS n_seen, count(*) FILTER (NOT seen) AS n_new, arg_min(seen, turn) AS oldest_seen FROM (SELECT conv_id, turn, sha1(trim(text)) IN (SELECT sha1(trim(text)) FROM conversations WHERE turn % 2 = 0) AS seen FROM conversations) GROUP BY 1")
 def jn7(spark, d):
     m = table(spark, d, "conversations").withColumn("h", joins.message_key(c("text")))
-    seen = m.where("turn % 2 = 0").select("h").distinct().withColumn("hit", F.lit(True))
-    j = m.join(seen, "h", "left").withColumn("seen", c("hit").isNotNull())
-    return j.groupBy("conv_id").agg(F.count("*").alias("total"), F.count_if("seen").alias("n_seen"), F.count_if(~c("seen")).alias("n_new"), F.min_by("seen", "turn").alias("oldest_seen"))
+    return ledger.capture_preview(m, m.where("turn % 2 = 0"), "conv_id", "turn", "h")
 
 
 @P.query("jn8_capture_status", "SELECT c_custkey, count(o_orderkey) AS n, cast(max(o_orderdate) AS date)::varchar AS latest FROM customer LEFT JOIN orders ON CASE WHEN c_custkey % 2 = 0 THEN o_custkey = c_custkey ELSE 'Customer#' || lpad(cast(o_custkey AS varchar), 9, '0') = trim(c_name) END GROUP BY 1")
 def jn8(spark, d):
-    cu, o = table(spark, d, "customer"), table(spark, d, "orders").select("o_orderkey", "o_custkey", c("o_orderdate").cast("date").alias("day"))
-    by_id = cu.where("c_custkey % 2 = 0").join(o, c("c_custkey") == c("o_custkey"), "left")
-    named = o.withColumn("name", F.concat(F.lit("Customer#"), F.lpad(c("o_custkey").cast("string"), 9, "0")))
-    by_name = cu.where("c_custkey % 2 <> 0").join(named, F.trim("c_name") == c("name"), "left").drop("name")
-    return by_id.unionByName(by_name).groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.max("day").cast("string").alias("latest"))
+    o = table(spark, d, "orders").withColumn("day", c("o_orderdate").cast("date"))
+    by_id = (c("c_custkey") % 2 == 0, c("c_custkey"), c("o_custkey"))
+    by_name = (F.lit(True), F.trim("c_name"), F.concat(F.lit("Customer#"), F.lpad(c("o_custkey").cast("string"), 9, "0")))
+    return ledger.capture_status(table(spark, d, "customer"), o, "c_custkey", [by_id, by_name], "day", "o_orderkey").withColumn("latest", c("latest").cast("string"))
 
 
 REGISTRY = [(f"Person {chr(65 + i)}", [f"P{i}"], [f"Person {chr(65 + (i + 1) % 26)}"]) for i in range(0, 26, 2)]
@@ -129,9 +126,8 @@ def jn17(spark, d):
 def jn18(spark, d):
     p = table(spark, d, "part")
     rows = p.select("p_partkey", F.when(c("p_partkey") % 3 == 0, c("p_partkey")).alias("id"), F.when(c("p_partkey") % 3 == 1, F.concat(F.lit("K"), "p_partkey")).alias("key"))
-    known = p.select(c("p_partkey").alias("id2"), F.concat(F.lit("K"), "p_partkey").alias("key2"))
-    j = rows.join(known.select("id2"), c("id") == c("id2"), "left").join(known.select("key2", c("id2").alias("id3")), c("key") == c("key2"), "left")
-    return j.select("p_partkey", F.coalesce("id2", "id3").alias("hit"), F.when(c("id2").isNotNull(), "id").when(c("id3").isNotNull(), "key").otherwise("none").alias("via"))
+    known = p.select(c("p_partkey").alias("target"), c("p_partkey").alias("known_id"), F.concat(F.lit("K"), "p_partkey").alias("known_key"))
+    return ledger.cascade(rows, known, "target", [("id", "known_id"), ("key", "known_key")]).select("p_partkey", "hit", "via")
 
 
 @P.query("jn19_nearest_event", """SELECT id, event_id, tier FROM (SELECT id, event_id, tier, row_number() OVER (PARTITION BY id ORDER BY tier, CASE WHEN tier = 2 THEN -gap ELSE abs(gap) END, event_id) AS n FROM (SELECT *, CASE WHEN gap = 0 THEN 0 WHEN abs(gap) = 1 THEN 1 WHEN gap < 0 THEN 2 ELSE 3 END AS tier FROM (SELECT a.o_orderkey AS id, b.o_orderkey AS event_id, cast(b.o_orderdate AS date) - cast(a.o_orderdate AS date) AS gap FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey % 2 = 0 AND b.o_orderkey % 2 = 1))) WHERE n = 1""")
@@ -148,9 +144,9 @@ def jn23(spark, d):
 @P.query("jn24_change_upsert", "SELECT coalesce(n.k, o.k) AS change_key, coalesce(n.v, o.v) AS total, CASE WHEN o.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'keep' ELSE 'update' END AS action FROM (SELECT printf('CHG-%03d-%02d', l_orderkey % 1000, l_linenumber) AS k, max(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) o FULL JOIN (SELECT printf('CHG-%03d-%02d', l_orderkey % 1000, l_linenumber) AS k, min(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1) n ON o.k = n.k")
 def jn24(spark, d):
     li = table(spark, d, "lineitem").withColumn("k", F.format_string("CHG-%03d-%02d", c("l_orderkey") % 1000, c("l_linenumber")))
-    old = li.where("l_orderkey % 3 <> 0").groupBy("k").agg(F.max("l_extendedprice").alias("v"))
-    new = li.where("l_orderkey % 4 <> 0").groupBy(c("k").alias("k2")).agg(F.min("l_extendedprice").alias("v2"))
-    return old.join(new, c("k") == c("k2"), "full_outer").select(F.coalesce("k2", "k").alias("change_key"), F.coalesce("v2", "v").alias("total"), F.when(c("k").isNull(), "insert").when(c("k2").isNull(), "keep").otherwise("update").alias("action"))
+    old = li.where("l_orderkey % 3 <> 0").groupBy(c("k").alias("change_key")).agg(F.max("l_extendedprice").alias("total"))
+    new = li.where("l_orderkey % 4 <> 0").groupBy(c("k").alias("change_key")).agg(F.min("l_extendedprice").alias("total"))
+    return ledger.upserted(old, new, "change_key", "total")
 
 
 @P.query("jn25_latest_change_key", "SELECT o_orderkey, (SELECT arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS latest FROM orders")
@@ -165,7 +161,7 @@ def jn26(spark, d):
     return j.where("o_orderstatus = 'O' or c_custkey < 50").orderBy(c("o_orderkey").desc()).limit(50).select("o_orderkey", "c_name", F.coalesce("n_name", F.lit("none")).alias("nation"))
 
 
-P.over_docs("jn27_scanned_projects", lambda d: d.where("doc_id % 3 = 0").groupBy("project").agg(F.count("*").alias("n")).join(d.where("doc_id % 20 <> 3").groupBy(c("project").alias("p2")).agg(F.max(c("doc_date").cast("string")).alias("seen_at")), c("project") == c("p2"), "full_outer").select(F.coalesce("project", "p2").alias("project"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("seen_at", F.lit("never")).alias("scanned")),
+P.over_docs("jn27_scanned_projects", lambda d: ledger.scanned(d.where("doc_id % 3 = 0"), d.where("doc_id % 20 <> 3"), "project", "doc_date"),
     "SELECT coalesce(a.project, b.project) AS project, coalesce(n, 0) AS n, coalesce(seen_at, 'never') AS scanned FROM (SELECT project, count(*) AS n FROM docs WHERE doc_id % 3 = 0 GROUP BY 1) a FULL JOIN (SELECT project, max(cast(doc_date AS varchar)) AS seen_at FROM docs WHERE doc_id % 20 <> 3 GROUP BY 1) b ON a.project = b.project")
 P.over_docs("jn28_workspace_rollup", lambda d: d.sparkSession.createDataFrame([("src1",), ("src2",), ("nope",)], "workspace string").join(d.groupBy(c("project").alias("workspace")).agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs")), "workspace", "left").select("workspace", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("langs", F.lit(0)).alias("langs")),
     "SELECT workspace, coalesce(n, 0) AS n, coalesce(langs, 0) AS langs FROM (VALUES ('src1'), ('src2'), ('nope')) w(workspace) LEFT JOIN (SELECT project, count(*) AS n, count(DISTINCT lang) AS langs FROM docs GROUP BY 1) ON project = workspace")
@@ -200,34 +196,23 @@ def jn32(spark, d):
 
 # aggregates ----------------------------------------------------------------------------------------------------------
 def facet_counts(d):
-    scalars = d.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("project", "channel", "type"))), F.array("project", "source_channel", "doc_type"))).alias("facet", "value"))
-    arrays = [d.select(F.lit(n).alias("facet"), F.explode(col).alias("value")) for n, col in (("ticket", "ticket_ids"), ("person", "people"))]
-    counts = scalars.unionByName(arrays[0]).unionByName(arrays[1]).groupBy("facet", "value").agg(F.count("*").alias("n"))
-    return ranking.top(counts, ["facet"], 20, c("n").desc(), c("value")).select("facet", "value", "n")
+    return links.facet_counts(d, {"project": "project", "channel": "source_channel", "type": "doc_type", "ticket": "ticket_ids", "person": "people"})
 
 
 P.over_docs("ag1_facet_counts", facet_counts, "WITH v AS (SELECT 'project' AS facet, project AS value FROM docs UNION ALL SELECT 'channel', source_channel FROM docs UNION ALL SELECT 'type', doc_type FROM docs UNION ALL SELECT 'ticket', unnest(ticket_ids) FROM docs UNION ALL SELECT 'person', unnest(people) FROM docs) SELECT facet, value, n FROM (SELECT facet, value, count(*) AS n, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, value) AS r FROM v GROUP BY 1, 2) WHERE r <= 20")
-_maps = lambda d, key: d.groupBy(key.alias("key")).agg(F.count("*").alias("n_docs"), js(F.sort_array(F.collect_set("project"))).alias("projects"), js(F.sort_array(F.collect_set("source_channel"))).alias("channels"), F.count_distinct("doc_type").alias("n_types"), F.count_if(c("doc_type") == "backlog").alias("n_backlog"), F.max("doc_date").cast("string").alias("latest"))
+_maps = lambda d, key: links.link_map(d, key).withColumns({"projects": js(c("projects")), "channels": js(c("channels")), "latest": c("latest").cast("string")})
 _maps_sql = lambda key, src="docs": f"SELECT {key} AS key, count(*) AS n_docs, string_agg(DISTINCT project, '|' ORDER BY project) AS projects, string_agg(DISTINCT source_channel, '|' ORDER BY source_channel) AS channels, count(DISTINCT doc_type) AS n_types, count(*) FILTER (doc_type = 'backlog') AS n_backlog, cast(max(doc_date) AS varchar) AS latest FROM {src} GROUP BY 1"
 P.over_docs("ag2_links_by_project", lambda d: _maps(d, c("project")), _maps_sql("project"))
 P.over_docs("ag2_links_by_channel", lambda d: _maps(d, c("source_channel")), _maps_sql("source_channel"))
 P.over_docs("ag2_links_by_month", lambda d: _maps(d, F.date_format("doc_date", "yyyy-MM")), _maps_sql("strftime(doc_date, '%Y-%m')"))
-P.over_docs("ag2_links_by_ticket", lambda d: _maps(d.withColumn("t", F.explode("ticket_ids")), c("t")), _maps_sql("t", "(SELECT *, unnest(ticket_ids) AS t FROM docs)"))
-P.over_docs("ag2_links_by_person", lambda d: _maps(d.withColumn("p", F.explode("people")), c("p")), _maps_sql("p", "(SELECT *, unnest(people) AS p FROM docs)"))
-P.over_docs("ag3_link_totals", lambda d: d.agg(F.count_distinct("project").alias("projects"), F.count_distinct("source_channel").alias("channels"), F.count_distinct(F.date_format("doc_date", "yyyy-MM")).alias("months"), F.count("*").alias("documents")), "SELECT count(DISTINCT project) AS projects, count(DISTINCT source_channel) AS channels, count(DISTINCT strftime(doc_date, '%Y-%m')) AS months, count(*) AS documents FROM docs")
-P.over_docs("ag4_backlink_groups", lambda d: ranking.top(d.where("project = 'src1'").select(F.explode("ticket_ids").alias("ticket")).groupBy("ticket").agg(F.count("*").alias("hits")).withColumn("g", F.lit(1)), ["g"], 8, c("hits").desc(), c("ticket")).select("ticket", "hits"), "SELECT t AS ticket, count(*) AS hits FROM (SELECT unnest(ticket_ids) AS t FROM docs WHERE project = 'src1') GROUP BY 1 ORDER BY hits DESC, ticket LIMIT 8")
-P.over_docs("ag5_anchor_detail", lambda d: d.where(F.array_contains("ticket_ids", "TKT-3")).agg(F.count("*").alias("n_docs"), js(F.sort_array(F.collect_set("project"))).alias("projects"), js(F.sort_array(F.array_distinct(F.flatten(F.collect_set("people"))))).alias("people"), F.max("doc_date").cast("string").alias("latest")), "SELECT count(*) AS n_docs, string_agg(DISTINCT project, '|' ORDER BY project) AS projects, string_agg(DISTINCT people[1], '|' ORDER BY people[1]) AS people, cast(max(doc_date) AS varchar) AS latest FROM docs WHERE list_contains(ticket_ids, 'TKT-3')")
-
-
-def related(d):
-    a = d.where("doc_id = 3").select(c("project").alias("p"), c("ticket_ids").alias("t"), c("people").alias("w"), c("source_channel").alias("ch"), F.date_format("doc_date", "yyyy-MM").alias("m"))
-    j = d.where("doc_id <> 3").crossJoin(F.broadcast(a))
-    same = lambda x, y, n: F.when(c(x) == c(y), n).otherwise(0)
-    score = same("project", "p", 3) + 4 * F.size(F.array_intersect("ticket_ids", "t")) + 2 * F.least(F.size(F.array_intersect("people", "w")), F.lit(3)) + same("source_channel", "ch", 1) + F.when(F.date_format("doc_date", "yyyy-MM") == c("m"), 1).otherwise(0)
-    return j.withColumn("score", score).where("score > 0").orderBy(c("score").desc(), "doc_date", "rel_path").limit(12).select("doc_id", "score")
+P.over_docs("ag2_links_by_ticket", lambda d: _maps(d, "ticket_ids"), _maps_sql("t", "(SELECT *, unnest(ticket_ids) AS t FROM docs)"))
+P.over_docs("ag2_links_by_person", lambda d: _maps(d, "people"), _maps_sql("p", "(SELECT *, unnest(people) AS p FROM docs)"))
+P.over_docs("ag3_link_totals", links.link_totals, "SELECT count(DISTINCT project) AS projects, count(DISTINCT source_channel) AS channels, count(DISTINCT strftime(doc_date, '%Y-%m')) AS months, count(*) AS documents FROM docs")
+P.over_docs("ag4_backlink_groups", lambda d: links.backlinks(d.where("project = 'src1'"), "ticket_ids").withColumnRenamed("link", "ticket"), "SELECT t AS ticket, count(*) AS hits FROM (SELECT unnest(ticket_ids) AS t FROM docs WHERE project = 'src1') GROUP BY 1 ORDER BY hits DESC, ticket LIMIT 8")
+P.over_docs("ag5_anchor_detail", lambda d: links.anchor_detail(d, "ticket_ids", "TKT-3").withColumns({"projects": js(c("projects")), "people": js(c("people")), "latest": c("latest").cast("string")}), "SELECT count(*) AS n_docs, string_agg(DISTINCT project, '|' ORDER BY project) AS projects, string_agg(DISTINCT people[1], '|' ORDER BY people[1]) AS people, cast(max(doc_date) AS varchar) AS latest FROM docs WHERE list_contains(ticket_ids, 'TKT-3')")
 
 
-P.over_docs("ag6_related_documents", related, "SELECT d.doc_id, (d.project = a.project)::int * 3 + 4 * len(list_intersect(d.ticket_ids, a.ticket_ids)) + 2 * len(list_intersect(d.people, a.people)) + (d.source_channel = a.source_channel)::int + (strftime(d.doc_date, '%Y-%m') = strftime(a.doc_date, '%Y-%m'))::int AS score FROM docs d, docs a WHERE a.doc_id = 3 AND d.doc_id <> 3 ORDER BY score DESC, d.doc_date, d.rel_path LIMIT 12")
+P.over_docs("ag6_related_documents", lambda d: links.related(d, "doc_id", 3), "SELECT d.doc_id, (d.project = a.project)::int * 3 + 4 * len(list_intersect(d.ticket_ids, a.ticket_ids)) + 2 * len(list_intersect(d.people, a.people)) + (d.source_channel = a.source_channel)::int + (strftime(d.doc_date, '%Y-%m') = strftime(a.doc_date, '%Y-%m'))::int AS score FROM docs d, docs a WHERE a.doc_id = 3 AND d.doc_id <> 3 ORDER BY score DESC, d.doc_date, d.rel_path LIMIT 12")
 _cov = {"project": "project <> ''", "channel": "doc_id % 3 > 0", "date": "doc_id % 7 > 0", "tickets": "doc_id % 2 = 0", "people": "doc_id % 5 > 0", "reliability": "doc_id % 11 > 0", "type": "doc_type <> 'report'"}
 P.over_docs("ag7_metadata_coverage", lambda d: d.agg(F.count("*").alias("total"), *(F.count_if(F.expr(e)).alias(f"n_{k}") for k, e in _cov.items()), *(F.round(F.avg(F.expr(e).cast("int")) * 100, 1).alias(f"pct_{k}") for k, e in _cov.items())), "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER ({e}) AS n_{k}, round(avg(({e})::int) * 100, 1) AS pct_{k}" for k, e in _cov.items()) + " FROM docs")
 P.over_docs("ag8_health_summary", lambda d: d.agg(F.count_if(F.expr("prev_hash is null")).alias("missing"), F.count_if(F.expr("prev_hash <> content_hash")).alias("changed"), F.count_if(F.expr("prev_hash = content_hash")).alias("fresh")), "SELECT count(*) FILTER (prev_hash IS NULL) AS missing, count(*) FILTER (prev_hash <> content_hash) AS changed, count(*) FILTER (prev_hash = content_hash) AS fresh FROM docs")
@@ -421,7 +406,7 @@ P.over_docs("st6_shared_tags", lambda d: d.select("doc_id", js(F.array_intersect
 
 # sources that are relational -----------------------------------------------------------------------------------------
 P.over_docs("src14_message_blocks", lambda d: d.select("doc_id", F.posexplode(F.split(F.concat(F.lit("[group]\n\n"), c("text")), "\n\n")).alias("pos", "block")).select("doc_id", "pos", "block", ((c("pos") == 0) & c("block").startswith("[")).alias("header")), "SELECT doc_id, cast(pos - 1 AS int) AS pos, block, pos = 1 AND starts_with(block, '[') AS header FROM (SELECT doc_id, unnest(string_split('[group]' || chr(10) || chr(10) || text, chr(10) || chr(10))) AS block, generate_subscripts(string_split('[group]' || chr(10) || chr(10) || text, chr(10) || chr(10)), 1) AS pos FROM docs)")
-P.over_docs("src16_convert_ledger", lambda d: d.select("doc_id", "content_hash").join(d.where("doc_id % 5 > 0").select(c("doc_id").alias("k"), "prev_hash"), c("doc_id") == c("k"), "left").select("doc_id", F.when(c("prev_hash") == c("content_hash"), "unchanged").when(c("doc_id") % 29 == 0, "error").when(c("doc_id") % 4 == 0, "needs_ocr").otherwise("converted").alias("status")), "SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND prev_hash = content_hash THEN 'unchanged' WHEN doc_id % 29 = 0 THEN 'error' WHEN doc_id % 4 = 0 THEN 'needs_ocr' ELSE 'converted' END AS status FROM docs")
+P.over_docs("src16_convert_ledger", lambda d: ledger.convert_ledger(d, d.where("doc_id % 5 > 0").select("doc_id", c("prev_hash").alias("content_hash")), "doc_id", "content_hash", c("doc_id") % 29 == 0, c("doc_id") % 4 == 0), "SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND prev_hash = content_hash THEN 'unchanged' WHEN doc_id % 29 = 0 THEN 'error' WHEN doc_id % 4 = 0 THEN 'needs_ocr' ELSE 'converted' END AS status FROM docs")
 P.over_docs("src17_convert_summary", lambda d: d.groupBy(F.when(c("prev_hash") == c("content_hash"), "unchanged").otherwise("converted").alias("status")).agg(F.count("*").alias("n")), "SELECT CASE WHEN prev_hash = content_hash THEN 'unchanged' ELSE 'converted' END AS status, count(*) AS n FROM docs GROUP BY 1")
 
 
