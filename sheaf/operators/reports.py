@@ -237,13 +237,48 @@ def plan_rows(rows: DataFrame, start: str, end: str) -> DataFrame:
     return rows.withColumns({"lo": lo, "hi": hi}).select(labels.backlog_key(c("key")).alias("key"), "title", text_status(c("note"), F.lit(False), F.lit(False)).alias("status"), F.when(c("lo").isNotNull(), F.round(left, 1)).alias("left_pct"), F.when(c("lo").isNotNull(), F.round(width, 1)).alias("width_pct"))
 
 
-def artifact_scores(rows: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """rows(name, key, history, text) -> (name, score): words in the name 24, key 18, history 8, text 3, a heading 5; best first."""
-    score = F.lit(0)
-    for w in words:
-        hit = lambda col, n: F.when(F.contains(F.lower(col), F.lit(w)), n).otherwise(0)  # noqa: B023, E731
-        score = score + hit("name", 24) + hit("key", 18) + hit("history", 8) + hit("text", 3) + F.when(F.lower("text").rlike(f"(?m)^#+ [^\\n]*{w}"), 5).otherwise(0)
-    return rows.select("name", "history", score.alias("score")).where("score > 0").orderBy(c("score").desc(), c("history").desc(), "name").select("name", "score")
+# Words that tell no artifact, points by where its words stand, and how many of its parts are looked at.
+ARTIFACT_STOP = """the and for with from this that draft tai lieu document file ban nhap thu mau
+yeu cau nghiep vu thiet ke kiem thu markdown docx pdf output files""".split()
+ARTIFACT_POINTS = {"name": 24, "key": 18, "history": 8, "word_file": 6, "word_text": 3, "heading": 5}
+ARTIFACT_PARTS = {"lines": 10, "items": 12, "words": 40, "headings": 6, "names": 3, "texts": 2}
+
+
+def plain_words(value: str) -> str:
+    """A setting's text as words: marks off, lower case, anything but letters and digits a space."""
+    import re
+    import unicodedata
+
+    bare = "".join(ch for ch in unicodedata.normalize("NFD", value or "") if unicodedata.category(ch) != "Mn")
+    return re.sub("[^a-z0-9]+", " ", bare.lower()).strip()
+
+
+def artifact_candidates(uploads: DataFrame, artifacts: list[dict]) -> DataFrame:
+    """uploads(upload_id, names array, texts array, history array of keys) -> (upload_id, artifact_key, name, score, has_history, place), best first.
+
+    ``artifacts`` are settings: {artifact_key, name, description, template, checklist}. An artifact scores by whether its name, its key, its words
+    and its headings stand in the names or texts of an upload, and by its history there. Ties: with history first, then by name. Texts are read whole.
+    """
+    p, n = ARTIFACT_POINTS, ARTIFACT_PARTS
+    rows = []
+    for a in artifacts:
+        lines = (a.get("template") or "").splitlines()
+        told = [a["artifact_key"], a.get("name") or "", a.get("description") or "", *(x for x in lines[: n["lines"]] if x.strip().startswith(("#", "*", "-"))), *(a.get("checklist") or [])[: n["items"]]]
+        words = sorted({w for x in told for w in plain_words(x).split() if len(w) >= 3 and w not in ARTIFACT_STOP}, key=lambda w: (-len(w), w))[: n["words"]]
+        heads = [h for x in [x.strip("#*- ") for x in lines if x.strip().startswith("#")][: n["headings"]] if (h := plain_words(x))]
+        rows.append((a["artifact_key"], a.get("name") or a["artifact_key"], plain_words(a.get("name") or a["artifact_key"]), plain_words(a["artifact_key"]), words, heads))
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    one = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(name).alias("name"), F.lit(nw).alias("name_words"), F.lit(kw).alias("key_words"), strings(w).alias("words"), strings(h).alias("heads")) for k, name, nw, kw, w, h in rows))
+    bare = lambda xs, most, mark: F.trim(F.regexp_replace(text.fold_keep_stroke(F.array_join(F.slice(xs, 1, most), mark)), "[^a-z0-9]+", " "))
+    u = uploads.select("upload_id", "history", bare("names", n["names"], " ").alias("file"), bare("texts", n["texts"], "\n").alias("body"), F.explode(one).alias("a"))
+    has = lambda where, x: (x != "") & F.contains(c(where), x)
+    points = lambda hit, k: F.when(hit, p[k]).otherwise(0)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda s, x: s + f(x))
+    history = F.coalesce(F.array_contains("history", c("a.key")), F.lit(False))
+    score = points(has("file", c("a.name_words")), "name") + points(has("file", c("a.key_words")), "key") + points(history, "history")
+    score = score + total(c("a.words"), lambda w: F.when(F.contains(c("file"), w), p["word_file"]).when(F.contains(c("body"), w), p["word_text"]).otherwise(0)) + total(c("a.heads"), lambda h: points(F.contains(c("body"), h), "heading"))
+    out = u.select("upload_id", c("a.key").alias("artifact_key"), c("a.name").alias("name"), score.alias("score"), history.alias("has_history"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("upload_id").orderBy(c("score").desc(), c("has_history").desc(), F.lower("name"))))
 
 
 def trim_context(context: Column, most: int, mark: str = "\n---\n") -> Column:

@@ -40,7 +40,6 @@ P.over_docs("wn20_newest_source", lambda d: reports.newest_source(d.select(c("pr
 P.over_docs("rt17_project_timeline", lambda d: reports.timeline(*((k, d.where(c("doc_id") % 6 == i).select(F.when(c("doc_id") % 5 > 0, F.date_format("doc_date", "dd/MM/yyyy")).otherwise("n/a").alias("date_text"), c("rel_path").alias("title"), c("lang").alias("body"))) for i, k in enumerate(("alerts", "decision", "raid", "milestone", "adr", "retro")))).select("lane", F.date_format("event_ts", "yyyy-MM-dd").alias("day"), "title", "text"), "SELECT ['alerts', 'decision', 'raid', 'milestone', 'adr', 'retro'][cast(doc_id % 6 + 1 AS int)] AS lane, CASE WHEN doc_id % 5 > 0 THEN cast(doc_date AS varchar) END AS day, rel_path AS title, lang AS text FROM docs")
 P.over_docs("rt18_plan_rows", lambda d: reports.plan_rows(d.select(F.concat(F.lit("YC-"), "doc_id").alias("key"), "title", c("state").alias("note"), F.when(c("doc_id") % 2 == 0, F.concat(F.lit("Q"), c("doc_id") % 4 + 1, F.lit("/2024"))).otherwise(F.when(c("doc_id") % 3 == 0, F.date_format("doc_date", "dd/MM/yyyy")).otherwise("soon")).alias("deadline")), "2024-01-01", "2024-12-31").select("key", "left_pct", "width_pct"),
     """SELECT cast(doc_id AS varchar) AS key, round(l, 1) AS left_pct, CASE WHEN l IS NOT NULL THEN round(greatest(r - l, 1.2), 1) END AS width_pct FROM (SELECT doc_id, CASE WHEN lo IS NOT NULL THEN least(greatest((lo - date '2024-01-01') / 365.0::double, 0), 1) * 100 END AS l, least(greatest((hi - date '2024-01-01') / 365.0::double, 0), 1) * 100 AS r FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN make_date(2024, cast(doc_id % 4 * 3 + 1 AS int), 1) WHEN doc_id % 3 = 0 THEN doc_date END AS lo, CASE WHEN doc_id % 2 = 0 THEN cast(make_date(2024, cast(doc_id % 4 * 3 + 1 AS int), 1) + interval 3 month - interval 1 day AS date) WHEN doc_id % 3 = 0 THEN doc_date END AS hi FROM docs))""")
-P.over_docs("rt6_artifact_scores", lambda d: reports.artifact_scores(d.select(c("rel_path").alias("name"), c("lang").alias("key"), F.when(c("doc_id") % 2 == 0, "used src1").otherwise("").alias("history"), F.concat(F.lit("# erand\n"), c("text")).alias("text")), ("src1", "erand")), "SELECT rel_path AS name, contains(rel_path, 'src1')::int * 24 + (doc_id % 2 = 0)::int * 8 + contains(lower(text), 'src1')::int * 3 + 3 + 5 AS score FROM docs")
 P.over_docs("rt12_trim_context", lambda d: d.select("doc_id", F.md5(reports.trim_context(F.concat(c("text"), F.lit("\n---\n"), c("text")), 1500)).alias("h")), "SELECT doc_id, md5(CASE WHEN length(x) <= 1500 THEN x WHEN length(text) + 5 <= 1500 AND length(text) > 750 THEN text ELSE substring(x, 1, 1500) END) AS h FROM (SELECT doc_id, text, text || chr(10) || '---' || chr(10) || text AS x FROM docs)")
 P.over_docs("src12_pipe_tables", lambda d: payloads.pipe_tables(d.select("doc_id", F.concat(c("text"), F.lit("\n| a | b |\n|---|---|\n| "), c("lang"), F.lit(" | "), c("doc_id"), F.lit(" |\n| "), F.translate("text", "\n|", "  "), F.lit(" | z |\n"), c("text"), F.lit("\n| no | no |")).alias("text"))).select("doc_id", F.md5(js(c("cells"))).alias("cells")), "SELECT doc_id, md5(lang || '|' || doc_id) AS cells FROM docs UNION ALL SELECT doc_id, md5(trim(translate(text, chr(10) || '|', '  ')) || '|z') FROM docs")
 _sheet = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))

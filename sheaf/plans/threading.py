@@ -140,6 +140,22 @@ P.over_docs("ag29_status_chunks", lambda d: reports.status_chunks(d.select("doc_
     """SELECT doc_id, unnest(['1', '2', '3', '4', 'EK7']) AS key, md5(unnest(['YC-1 open; ', 'QLYC-2 / 3 late ' || text || ' ', 'QLYC-3/4 and ', 'QLYC-3/4 and ', 'EK7 done ' || text || ' '])) AS body FROM docs""")
 
 
+# artifacts -------------------------------------------------------------------------------------------------------------
+ARTIFACTS = [
+    {"artifact_key": "test_plan", "name": "Kế hoạch kiểm thử", "description": "How the release is tested", "template": "# Erand\nplain line\n- Scope of thth\n## Die der", "checklist": ["Entry criteria", "the end"]},
+    {"artifact_key": "brd", "name": "Business requirement", "description": "", "template": "", "checklist": []},
+    {"artifact_key": "api", "name": "API design", "description": "the of and", "template": "# the", "checklist": None},
+]
+FILES = ("Business-Requirement v2.docx", "ke_hoach_kiem_thu.md", "notes.txt", "test plan scope.pdf", "brd.docx")
+_words = {"test_plan": ("criteria", "release", "tested", "entry", "erand", "hoach", "scope", "thth", "plan", "test", "how", "end", "die", "der"), "brd": ("requirement", "business", "brd"), "api": ("design", "api")}
+_kinds = {"test_plan": ("Kế hoạch kiểm thử", "ke hoach kiem thu", "test plan", ("erand", "die der")), "brd": ("Business requirement", "business requirement", "brd", ()), "api": ("API design", "api design", "api", ("the",))}
+_bare = lambda e: f"trim(regexp_replace({fold_sql(e)}, '[^a-z0-9]+', ' ', 'g'))"
+P.over_docs("rt6_artifact_candidates", lambda d: reports.artifact_candidates(d.select(c("doc_id").alias("upload_id"), F.array(pick(FILES, c("doc_id")), "rel_path").alias("names"), F.array("text", "lang").alias("texts"), F.when(c("doc_id") % 3 == 0, F.array(F.lit("api"))).otherwise(F.array().cast("array<string>")).alias("history")), ARTIFACTS),
+    f"""WITH u AS (SELECT doc_id, {_bare(f"{pick_sql(FILES, 'doc_id')} || ' ' || rel_path")} AS f, {_bare("text || chr(10) || lang")} AS b FROM docs), s AS ({" UNION ALL ".join(
+        f"SELECT doc_id AS upload_id, '{k}' AS artifact_key, '{name}' AS name, contains(f, '{nw}')::int * 24 + contains(f, '{kw}')::int * 18 + {"(doc_id % 3 = 0)::int * 8" if k == "api" else "0"} + {" + ".join(f"CASE WHEN contains(f, '{w}') THEN 6 WHEN contains(b, '{w}') THEN 3 ELSE 0 END" for w in _words[k])} + {" + ".join([f"contains(b, '{h}')::int * 5" for h in heads] or ["0"])} AS score, {"doc_id % 3 = 0" if k == "api" else "false"} AS has_history FROM u"
+        for k, (name, nw, kw, heads) in _kinds.items())})
+    SELECT upload_id, artifact_key, name, cast(score AS int) AS score, has_history, row_number() OVER (PARTITION BY upload_id ORDER BY score DESC, has_history DESC, lower(name)) AS place FROM s""")
+
 # chat ------------------------------------------------------------------------------------------------------------------
 TAGGED = ("", "[ctx: a] [b]  ", "[x]\n", "[not closed ", " [] ")
 SAID = (
