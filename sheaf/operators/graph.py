@@ -34,21 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
 HUB = 10_000
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """(node, salt, n_salts, other, from_id, relation, to_id): every edge at both of its ends; a hub's edges are dealt over salts."""
-    one = edges.select("from_id", "relation", "to_id").distinct()
-    both = one.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), "*").unionByName(one.where("from_id <> to_id").select(F.col("to_id").alias("node"), F.col("from_id").alias("other"), "*"))
-    hubs = both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("n_salts"))
-    salted = both.join(hubs, "node", "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
-    return cut(salted.withColumn("salt", F.pmod(F.xxhash64("from_id", "relation", "to_id"), F.col("n_salts")).cast("int")))
+def neighbours(edges, frontier: DataFrame) -> DataFrame:
+    """(node, salt, n_salts, other, from_id, relation, to_id): the edges at the nodes of frontier(node), in one scan; a hub's edges are dealt over salts.
 
-
-def at(edges, frontier: DataFrame) -> DataFrame:
-    """The edges at the nodes of frontier(node): of a table by two semi-joins, of an index from the buckets of those nodes."""
-    if not isinstance(edges, DataFrame):
-        return edges.at(frontier)
-    end = lambda side: edges.join(frontier.select(F.col("node").alias(side)), side, "left_semi").select("from_id", "relation", "to_id")
-    return end("from_id").unionByName(end("to_id"))
+    ``edges`` is a table, or an index that gives the edges at some nodes from their buckets (``at``).
+    """
+    rows = edges if isinstance(edges, DataFrame) else edges.at(frontier)
+    ends = F.array(F.struct(F.col("from_id").alias("node"), F.col("to_id").alias("other")), F.struct(F.col("to_id").alias("node"), F.col("from_id").alias("other")))
+    both = rows.select("from_id", "relation", "to_id", F.explode(ends).alias("e")).select("e.*", "from_id", "relation", "to_id")
+    near = cut(both.join(frontier, "node", "left_semi").distinct())
+    hubs = near.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("n_salts"))
+    salted = near.join(hubs, "node", "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
+    return salted.withColumn("salt", F.pmod(F.xxhash64("from_id", "relation", "to_id"), F.col("n_salts")).cast("int"))
 
 
 def k_hop_each(edges, seeds: DataFrame, hops: int) -> DataFrame:
@@ -62,7 +59,7 @@ def k_hop_each(edges, seeds: DataFrame, hops: int) -> DataFrame:
     front = cut(seeds.select("question_id", F.col("id").alias("node")).distinct())
     before, found = front.limit(0), None
     for hop in range(1, hops + 1):
-        near = neighbours(at(edges, cut(front.select("node").distinct())))
+        near = neighbours(edges, cut(front.select("node").distinct()))
         hubs = near.where("n_salts > 1").select("node", "n_salts").distinct()
         asked = front.join(hubs, "node", "left").select(*key, F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)).alias("salt"))
         met = asked.join(near, ["node", "salt"])
