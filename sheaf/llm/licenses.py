@@ -185,7 +185,12 @@ class Classifier:
         plain = []
         for t in negatives:
             words = WORD.findall(t.lower())
-            plain += [w for i in range(0, max(1, len(words) - WIDTH // 2), WIDTH) if (w := words[i : i + WIDTH]) and not any(len(p & pairs_of(w)) >= LIKE * len(p) for p in every)]
+            for i in range(0, max(1, len(words) - WIDTH // 2), WIDTH):
+                w = words[i : i + WIDTH]
+                own = pairs_of(w)
+                # no window that holds a statement, or that a longer statement holds
+                if w and not any(len(p & own) >= LIKE * min(len(p), max(1, len(own))) for p in every):
+                    plain.append(w)
         # statements alone, and within the prose of the corpus; of every third statement, half of the variants calibrate
         rows, held = [(0, w) for w in plain], []
         prose = [w for p in plain for w in p]
