@@ -55,7 +55,7 @@ def related(docs: DataFrame, key: str, value, most: int = 12, project: str = "pr
     if own is None:
         return docs.select(key, F.lit(0).alias("score")).limit(0)
     p = RELATED
-    shared = lambda name, values: F.size(F.array_intersect(name, F.array(*map(F.lit, values)).cast("array<string>")))
+    shared = lambda name, values: F.size(F.array_intersect(F.coalesce(F.col(name), F.array().cast("array<string>")), F.array(*map(F.lit, values)).cast("array<string>")))
     same = lambda e, v, n: F.when(e == F.lit(v), n).otherwise(0)
     score = same(F.col(project), own[0], p["project"]) + p["ticket"] * shared(tickets, own[1] or []) + p["person"] * F.least(shared(people, own[2] or []), F.lit(p["person_most"])) + same(F.col(channel), own[3], p["channel"]) + same(F.date_format(day, "yyyy-MM"), own[4], p["month"])
     return docs.where(F.col(key) != value).withColumn("score", score).where("score > 0").orderBy(F.desc("score"), day, path).limit(most).select(key, "score")
