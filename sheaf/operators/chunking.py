@@ -49,6 +49,11 @@ def windows(cut: str, length: str, size: int, overlap: int) -> Column:
     return F.transform(F.slice(cut, 1, last + 1), window)
 
 
+def chunk_key() -> Column:
+    """The chunk_id of (doc_id, chunk_index)."""
+    return F.substring(F.sha1(F.concat_ws(":", "doc_id", "chunk_index")), 1, 16)
+
+
 def chunks(docs: DataFrame, size: int = 2048, overlap: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, chunk_index, chunk_id, start, chunk, *keep). The index counts blank pieces, which are then dropped.
 
@@ -56,6 +61,5 @@ def chunks(docs: DataFrame, size: int = 2048, overlap: int = 256, keep: tuple[st
     """
     cut = docs.select("doc_id", *keep, strides(F.col("text"), size - overlap).alias("_cut"), F.length("text").alias("_length"))
     out = cut.select("doc_id", *keep, F.posexplode(windows("_cut", "_length", size, overlap)).alias("chunk_index", "chunk"))
-    key = F.substring(F.sha1(F.concat_ws(":", "doc_id", "chunk_index")), 1, 16)
     start = F.col("chunk_index") * (size - overlap)
-    return out.where(F.trim("chunk") != "").select("doc_id", "chunk_index", key.alias("chunk_id"), start.alias("start"), "chunk", *keep)
+    return out.where(F.trim("chunk") != "").select("doc_id", "chunk_index", chunk_key().alias("chunk_id"), start.alias("start"), "chunk", *keep)

@@ -24,7 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, so that rounds do not grow a lineage. The files go when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

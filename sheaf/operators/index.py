@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from pyspark.util import inheritable_thread_target
 
 from sheaf.operators import graph, ranking, retrieval
 
-from sheaf.operators.chunking import chunks
+from sheaf.operators.chunking import chunk_key, chunks
 from sheaf.operators.joins import changed, deleted
 
 #: Buckets of a table by the hash of its key, and parts that a bucket is written in at once.
@@ -162,25 +164,43 @@ class Buckets:
         """The buckets that some keys are in: at most ``buckets`` numbers."""
         return sorted(r[0] for r in keys.select(self._bucket(column).alias("b")).distinct().collect())
 
-    def write(self, touched: list[int] | dict[str, list[int]], **tables: DataFrame) -> None:
-        """Give the touched buckets (of each table its own, or the same) of each table these rows, all of them, and none others. A bucket's rows are in order of the key."""
-        number, known = self.current()
-        at = f"v{number + 1:09d}-{uuid.uuid4().hex}"
+    def dealt(self, table: str, rows: DataFrame) -> DataFrame:
+        """rows with ``_bucket``, each bucket's together in SPREAD parts."""
+        return rows.withColumn("_bucket", self._bucket(self.keys[table])).repartition("_bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(SPREAD)))
+
+    def put(self, at: str, /, **tables: DataFrame) -> None:
+        """Write tables into a new folder, side by side; rows that have a ``_bucket`` are dealt already. No reader sees them before ``point``."""
         def put_down(table: str, rows: DataFrame) -> None:
-            put = rows.withColumn("_bucket", self._bucket(self.keys[table])).repartition("_bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(SPREAD)))
-            put.sortWithinPartitions("_bucket", self.keys[table]).write.partitionBy("_bucket").parquet(f"{self.folder}/{at}/{table}")
+            put = rows if "_bucket" in rows.columns else self.dealt(table, rows)
+            put.sortWithinPartitions("_bucket", self.keys[table]).write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.folder}/{at}/{table}")
 
         with ThreadPoolExecutor(len(tables)) as pool:  # the jobs of the tables side by side
             list(pool.map(inheritable_thread_target(self.spark)(put_down), tables, tables.values()))
-        for table, rows in tables.items():
+
+    def was_put(self, at: str, table: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{at}/{table}").select(*schema.names)
+
+    def point(self, at: str, touched: list[int] | dict[str, list[int]], schemas: dict[str, T.StructType]) -> None:
+        """Make the tables of a new folder the touched buckets of the kept ones."""
+        number, known = self.current()
+        for table, schema in schemas.items():
             there = {s.getPath().getName().removeprefix("_bucket=") for s in self._fs.listStatus(self._path(f"{at}/{table}")) if s.isDirectory()}
             old = known.get(table, {"at": {}})["at"]
             mine = set(touched[table] if isinstance(touched, dict) else touched)
-            known[table] = {"schema": rows.schema.jsonValue(), "buckets": self.buckets, "at": {b: f for b, f in old.items() if int(b) not in mine} | dict.fromkeys(there, at)}
+            known[table] = {"schema": schema.jsonValue(), "buckets": self.buckets, "at": {b: f for b, f in old.items() if int(b) not in mine} | dict.fromkeys(there, at)}
         out = self._fs.create(self._path(f"pointer-{number + 1:09d}"), False)
         out.write(bytearray(json.dumps(known).encode()))
         out.close()
 
+    def folder_of_next(self) -> str:
+        return f"v{self.current()[0] + 1:09d}-{uuid.uuid4().hex}"
+
+    def write(self, touched: list[int] | dict[str, list[int]], **tables: DataFrame) -> None:
+        """Give the touched buckets (of each table its own, or the same) of each table these rows, all of them, and none others. A bucket's rows are in order of the key."""
+        at = self.folder_of_next()
+        self.put(at, **tables)
+        self.point(at, touched, {t: rows.schema for t, rows in tables.items()})
+
     def vacuum(self) -> int:
         """Remove folders that the newest pointer does not name, once no reader is on an older one; how many went."""
         number, known = self.current()
@@ -282,7 +302,8 @@ class TextIndex(ChunkTable):
 
     docs(doc_id, text, content_hash, meta_hash, *labels) where the labels have the names that retrieval searches
     (source_path, section, project, doc_type, source_channel, reliability, ticket_ids, people, ...). A build or an upsert reads and
-    writes the buckets of the documents that changed, and of the tokens that they have or had. A lookup
+    writes the buckets of the documents that changed, and of the tokens that they have or had. A row of postings is a token of a chunk
+    with all its places. A lookup
     scans the dictionary (token, n: chunks that hold it), then the buckets of the tokens found, and chunks only
     to show them. It serves wherever retrieval takes a chunk table.
     """
@@ -315,31 +336,93 @@ class TextIndex(ChunkTable):
         return chunks(docs, size, overlap, self.labels).withColumnRenamed("chunk", "text")
 
     def _merge(self, new: DataFrame, gone: DataFrame, size: int, overlap: int) -> None:
-        """Put new or changed documents and remove others, in their buckets and their tokens' buckets alone."""
-        new = graph.cut(new)
+        """Put new or changed documents and remove others, in their buckets and their tokens' buckets alone.
+
+        Chunks are written first; their postings are made from them, and the dictionaries from the postings, so nothing is written twice.
+        """
+        at = self.folder_of_next()
         ids = graph.cut(new.select("doc_id").unionByName(gone.select("doc_id")))
-        fresh = graph.cut(self._chunks(new, size, overlap))
         touched = {"chunks": self.touched(ids, "doc_id")}
         touched["state"] = touched["chunks"]
         old = self.read("chunks", touched["chunks"])
         was = None if old is None else old.join(ids, "doc_id", "left_semi")
-        tables = {"chunks": fresh, "state": new.select("doc_id", "content_hash", "meta_hash")}
+        tables = {"chunks": self._chunks(new, size, overlap), "state": new.select("doc_id", "content_hash", "meta_hash")}
         for table in ("chunks", "state"):
             kept = self.read(table, touched[table])
             tables[table] = tables[table] if kept is None else tables[table].unionByName(kept.join(ids, "doc_id", "left_anti"))
-        for kind, made in retrieval.KINDS.items():
-            rows = graph.cut(made(fresh, ("chunk_id", "doc_id")))
-            tokens = rows.select("token") if was is None else rows.select("token").union(made(was).select("token"))
-            mine = self.touched(tokens, "token")
+        schemas = {t: rows.schema for t, rows in tables.items()}
+        self.put(at, **tables)
+        fresh = self.was_put(at, "chunks", schemas["chunks"])
+        if old is not None:
+            fresh = fresh.join(new.select("doc_id"), "doc_id", "left_semi")
+        tables = {}
+        for kind in retrieval.KINDS:
+            if old is None:
+                mine = list(range(self.buckets))
+            else:
+                mine = self.touched(retrieval.packed(fresh, kind).select("token").union(retrieval.packed(was, kind).select("token")), "token")
             kept = self.read(kind, mine)
-            tables[kind] = rows if kept is None else rows.unionByName(kept.join(ids, "doc_id", "left_anti"))
-            tables[f"{kind}_terms"] = tables[kind].groupBy("token").agg(F.count_distinct("chunk_id").alias("n"))
+            tables[kind] = self._postings(fresh, kind, len(mine))
+            if kept is not None:
+                tables[kind] = tables[kind].unionByName(self.dealt(kind, kept.join(ids, "doc_id", "left_anti")))
             touched[kind] = touched[f"{kind}_terms"] = mine
-        self.write(touched, **tables)
+            schemas[kind] = tables[kind].drop("_bucket").schema
+        self.put(at, **tables)
+        terms = {f"{kind}_terms": self.was_put(at, kind, schemas[kind]).groupBy("token").agg(F.count("*").alias("n")) for kind in retrieval.KINDS}
+        self.put(at, **terms)
+        self.point(at, touched, schemas | {t: rows.schema for t, rows in terms.items()})
         if self.near:
             self.near.delete(ids.select("doc_id"), "doc_id")
             self.near.upsert(self.embedder.attach(fresh, "text").select(F.col("chunk_id").alias("vec_id"), "embedding", "doc_id"))
 
+    def _bucket(self, key: str):
+        return F.pmod(F.crc32("token"), F.lit(self.buckets)).cast("int") if key == "token" else super()._bucket(key)
+
+    def _postings(self, chunks: DataFrame, kind: str, parts: int) -> DataFrame:
+        """Packed postings (token, doc_id, chunk_index, at, _bucket), each bucket's together.
+
+        A batch of chunks leaves its task as one compressed block a bucket, so that a shuffle moves blocks and no single postings.
+        """
+        key = ("doc_id", "chunk_index")
+        words, fields, positions = retrieval.KINDS[kind]
+        rows, pack, buckets, spread = words(chunks, key), retrieval.packing(2, len(fields), positions), self.buckets, SPREAD
+        kept = retrieval.packed_type(rows, key)
+        out = T.StructType([kept["token"], kept["doc_id"], kept["chunk_index"], kept["at"], T.StructField("_bucket", T.IntegerType())])
+
+        whole = {n: "DELTA_BINARY_PACKED" for n in ("doc_id", "chunk_index") if isinstance(kept[n].dataType, (T.IntegerType, T.LongType))}
+        encoded = {"use_dictionary": ["token"], "column_encoding": whole | {"at.list.element": "DELTA_BINARY_PACKED"}}
+
+        def blocks(batches):
+            for no, b in enumerate(batches):
+                of = []
+
+                def order(found):  # by bucket, then as they come
+                    of.append(np.array([zlib.crc32(t.encode()) % buckets for t in found.to_pylist()], np.int64))  # noqa: B023
+                    by = np.empty(len(found), np.int64)
+                    by[np.argsort(of[0], kind="stable")] = np.arange(len(found))  # noqa: B023
+                    return by
+
+                row, code, found, entry, ends = pack(b, order)
+                own = of[0][code]
+                edges = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+                table = pa.RecordBatch.from_arrays([found.take(pa.array(code)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(ends), pa.array(entry))], names=["token", "doc_id", "chunk_index", "at"])
+                part = (zlib.crc32(str(b.column(0)[0]).encode()) + no) % spread if b.num_rows else 0
+                sent = []
+                for i, j in zip(edges, edges[1:]):
+                    sink = pa.BufferOutputStream()
+                    pq.write_table(pa.table([*(pa.concat_arrays([c.slice(i, j - i)]) for c in table.columns)], table.schema.names), sink, compression="zstd", write_statistics=False, store_schema=False, **encoded)
+                    sent.append((int(own[i]), part, sink.getvalue().to_pybytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())], names=["bucket", "part", "block"])
+
+        def opened(batches):
+            for b in batches:
+                for bucket, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    for rows in pq.ParquetFile(pa.py_buffer(block.as_py())).iter_batches(1 << 16):
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, bucket, np.int32))], names=[*rows.schema.names, "_bucket"])
+
+        # a number of partitions that is not merged by the blocks' compressed sizes
+        return rows.mapInArrow(blocks, "bucket int, part int, block binary").repartition(max(1, parts), "bucket", "part").select("bucket", "block").mapInArrow(opened, out)
+
     def delete(self, doc_ids: DataFrame) -> None:
         if self.current()[0]:
             state = self.read("state")
@@ -353,7 +436,10 @@ class TextIndex(ChunkTable):
         return self.read(f"{kind}_terms").select("token")
 
     def postings(self, kind: str, found: DataFrame) -> DataFrame:
-        return named(self, kind, "token", found)
+        rows = named(self, kind, "token", found)
+        if "at" not in rows.columns:
+            raise ValueError("this index keeps its postings in an older form: reset it and build it anew")
+        return retrieval.unpacked(rows, kind, chunk_key().alias("chunk_id"), "doc_id")
 
     def places(self) -> DataFrame:
         return self.read("chunks").drop("text")

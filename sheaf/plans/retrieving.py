@@ -64,8 +64,9 @@ class LetterCounts:
     size = 26
 
     def attach(self, rows, text):
-        low = F.lower(text)
-        return rows.withColumn("embedding", F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i), F.lit(""))) + 1).cast("double")))
+        # bound to a variable, so that it is lower-cased once and not for each letter
+        count = lambda low: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: (F.length(low) - F.length(F.replace(low, F.char(i), F.lit(""))) + 1).cast("double"))
+        return rows.withColumn("embedding", F.element_at(F.transform(F.array(F.lower(text)), count), 1))
 
 
 QUESTIONS = [(1, "TKT-3 status of the erand"), (2, "src2/en/doc-42.md"), (3, "erand Thth"), (4, "what is the plan of Person C on src1"), (5, "report TKT-7 email timeline"), (6, "who does phu trach golive of src3 erand")]

@@ -70,6 +70,25 @@ def test_no_text_is_read_before_the_best_are_known(spark, rows, tmp_path):
     assert len({f.split("_bucket=")[1].split("/")[0] for f in found.inputFiles()}) == 1
 
 
+def test_a_token_of_a_chunk_is_one_row_of_postings(spark, rows, tmp_path):
+    """Packed, so that disk does not grow by the occurrence; unpacked, they are the words of the fields by brute force."""
+    at = index.TextIndex(spark, f"{tmp_path}/i", retrieving.LABELS, 8)
+    at.build(rows)
+    low = at.read("low")
+    assert 0 < low.count() == low.select("token", "doc_id", "chunk_index").distinct().count()
+    assert low.agg(F.sum(F.size("at"))).first()[0] > low.count()
+    got = {tuple(r) for r in at.postings("low", low).select("chunk_id", "token", "field", "pos", "last").collect()}
+    want = set()
+    for r in at.read("chunks").collect():
+        for field in retrieval.LOW:
+            words = " ".join((r[field] or "").lower().split()).split(" ")
+            want |= {(r.chunk_id, w, field, i, i + 1 == len(words)) for i, w in enumerate(words) if w}
+    assert got == want
+    # a block a bucket and batch is shuffled, not a row a posting
+    plan = at._postings(at.read("chunks"), "low", 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 == plan.count("Exchange")
+
+
 def test_phrases_are_found_as_parts_of_fields(spark):
     """By brute force over squeezed lower-case fields: words, parts of words, and runs of words that begin and end inside tokens."""
     texts = ["alpha beta gamma", "xalpha betay", "beta alpha", "alpha beta", "a/alpha beta", "alpha  beta\tgamma alpha beta", "", "gamma/alpha", "alpha", None]
