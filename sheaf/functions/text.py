@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -107,6 +108,11 @@ def anchor_terms(keywords: Column) -> Column:
     return F.filter(keywords, lambda t: ~t.isin(*GENERIC_TERMS) & ((F.length(t) >= 4) | t.isin(*SHORT_ANCHORS)))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value worked out once, however often f names it: an expression is written out wherever it is named, a variable is not."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def any_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(p) for p in phrases])
 
