@@ -37,7 +37,11 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def generic(value: Column) -> Column:
     """A heading that says nothing: blank, a word for content, or a page."""
-    f = fold_table(F.coalesce(value, F.lit("")))
+    return text.bound(fold_table(F.coalesce(value, F.lit(""))), says_nothing)
+
+
+def says_nothing(f: Column) -> Column:
+    """``generic`` of what is folded already."""
     return (f == "") | f.isin(*GENERIC) | f.rlike(GENERIC_PAGE)
 
 
@@ -55,9 +59,10 @@ def line_subject(lines: Column) -> Column:
     """The first line that reads like a subject of business; null without any."""
 
     def fits(raw: Column) -> Column:
-        x = F.trim(F.regexp_replace(raw, "^\\s+|\\s+$", ""))
-        f = fold_table(x)
-        out = generic(x) | x.startswith("#") | x.startswith("---") | x.rlike("(?i)^https?://\\S+$") | x.rlike(METADATA) | x.rlike(HEADERS)
+        return text.bound(F.trim(F.regexp_replace(raw, "^\\s+|\\s+$", "")), lambda x: text.bound(fold_table(x), lambda f: tells(x, f)))
+
+    def tells(x: Column, f: Column) -> Column:
+        out = says_nothing(f) | x.startswith("#") | x.startswith("---") | x.rlike("(?i)^https?://\\S+$") | x.rlike(METADATA) | x.rlike(HEADERS)
         for opening in OPENINGS:
             out = out | f.startswith(opening)
         return ~out & (F.length(x) >= LEAST_LETTERS) & any_phrase(f, BUSINESS)
@@ -129,9 +134,12 @@ def event_blocks(docs: DataFrame) -> DataFrame:
 
     def starts(i: Column) -> Column:
         x = F.trim(F.regexp_replace(F.element_at("lines", i), "^\\s+|\\s+$", ""))
+        return text.bound(x, lambda x: text.bound(fold_table(x), lambda f: opens(i, x, f)))
+
+    def opens(i: Column, x: Column, f: Column) -> Column:
         near = F.array_join(F.slice("lines", i + 1, 5), "\n")
-        event = x.rlike("(?i)^Subject:\\s*.+$") | x.rlike("(?i)^(RE|FW|FWD):\\s*.+$") | (any_phrase(fold_table(x), EVENT_BUSINESS) & near.rlike("(?mi)^(Từ|From|Ngày|Date):"))
-        return ~generic(x) & ~x.startswith("#") & ~x.startswith("---") & event
+        event = x.rlike("(?i)^Subject:\\s*.+$") | x.rlike("(?i)^(RE|FW|FWD):\\s*.+$") | (any_phrase(f, EVENT_BUSINESS) & near.rlike("(?mi)^(Từ|From|Ngày|Date):"))
+        return ~says_nothing(f) & ~x.startswith("#") & ~x.startswith("---") & event
 
     at = F.when(c("whole"), F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), F.size("lines")), starts))
     d = once(d, at=at)

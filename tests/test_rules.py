@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sheaf.functions import chat
+from sheaf.functions import chat, labels
 from sheaf.operators import ledger, links, reports, threads
 
 
@@ -59,3 +59,18 @@ def test_ledgers_over_any_table(spark):
 def test_placeholders_and_issues(spark):
     p = spark.createDataFrame([("Chưa triển khai", "x", "x", "x", "x"), ("chưa rõ", "", "Chưa rõ", "", "chưa chốt"), ("chưa rõ", "", "An", "", ""), ("Viết", "", "", "", "")], "t string, s string, p string, u string, d string")
     assert [r[0] for r in p.select(reports.placeholder(*(F.col(c) for c in "tspud"))).collect()] == [True, True, False, False]
+
+
+def test_rules_fold_a_text_once(spark):
+    """A fold that each phrase writes out again is done again for each of them."""
+    d = spark.createDataFrame([("a", ["x"])], "text string, lines array<string>")
+    text = F.col("text")
+    rules = {
+        "codes": (labels.process_codes(text), 1), "status": (labels.workflow_status(text), 2), "priority": (labels.workflow_priority(text), 2), "generic": (threads.generic(text), 1),
+        "subject": (threads.line_subject(F.col("lines")), 1), "code": (labels.has_code(text), 1),
+    }
+    for name, (rule, n) in rules.items():
+        plan = d.select(rule.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == n, name
+    plan = d.select(labels.category(text).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
