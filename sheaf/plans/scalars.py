@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import dates, labels, text
+from sheaf.operators import threads
 from sheaf.plans.binding import Plans, docs, table, with_docs
 
 P = Plans()
@@ -146,7 +147,7 @@ P.over_docs("fn34_workflow_labels", lambda d: d.select("doc_id", labels.workflow
     f"SELECT doc_id, {tiers_sql('t', labels.WORKFLOW_STATUS, f'CASE WHEN t <> {chr(39)}{chr(39)} THEN {chr(39)}{labels.IN_WORK}{chr(39)} ELSE {chr(39)}{labels.NO_LABEL}{chr(39)} END')} AS status, {tiers_sql('t', labels.WORKFLOW_PRIORITY, chr(39) + labels.NO_LABEL + chr(39))} AS priority FROM (SELECT doc_id, {_fold(canonical_sql('label'))} AS t FROM docs)")
 P.over_docs("fn36_cell_status", lambda d: d.select("doc_id", labels.cell_status(F.concat(F.lit('<b class="status-tag '), c("lang"), F.lit('">x</b> '), c("state"))).alias("status")), "SELECT doc_id, CASE WHEN contains(lower(state), 'cancel') THEN 'cancelled' ELSE lang END AS status FROM docs")
 P.over_docs("fn37_backlog_key", lambda d: d.select("doc_id", labels.backlog_key(F.concat(F.lit(" qlyc–"), c("doc_id"))).alias("key")), "SELECT doc_id, cast(doc_id AS varchar) AS key FROM docs")
-P.over_docs("fn38_title_tokens", lambda d: d.select("doc_id", F.md5(labels.canonical_title(c("label"))).alias("canonical"), F.md5(js(F.array_sort(labels.title_tokens(c("label"))))).alias("tokens")),
+P.over_docs("fn38_title_tokens", lambda d: threads.once(d.select("doc_id", "label"), title=labels.canonical_title(c("label"))).select("doc_id", F.md5("title").alias("canonical"), F.md5(js(F.array_sort(labels.canonical_tokens(c("title"))))).alias("tokens")),
     f"SELECT doc_id, md5(t) AS canonical, md5(array_to_string(list_sort(list_filter(list_distinct(string_split({_fold('t')}, ' ')), lambda w: length(w) >= 3)), '|')) AS tokens FROM (SELECT doc_id, {canonical_sql('label')} AS t FROM docs)")
 P.over_docs("fn39_excerpt", lambda d: d.select("doc_id", text.excerpt(c("text")).alias("excerpt")), "SELECT doc_id, CASE WHEN length(trim(text)) <= 110 THEN trim(text) ELSE (CASE WHEN contains(substring(trim(text), 1, 110), ' ') THEN regexp_extract(substring(trim(text), 1, 110), '(?s)^(.*) [^ ]*$', 1) ELSE substring(trim(text), 1, 110) END) || '…' END AS excerpt FROM (SELECT doc_id, replace(text, '**', '') AS text FROM docs)")
 P.over_docs("fn43_priority_guess", lambda d: d.select("doc_id", labels.priority(c("state"), c("title")).alias("priority")),
