@@ -127,7 +127,7 @@ def resolve_entities(mentions: DataFrame) -> DataFrame:
     return linked.select(F.col("node").alias("mention_id"), F.col("root").alias("node_id"))
 
 
-#: Vectors of a unit, pivots at most, and vectors that pivots are chosen from.
+#: Vectors of a block, pivots at most, and vectors that pivots are chosen from.
 UNIT, PIVOTS, SAMPLE = 4096, 1024, 20_000
 #: Coordinates of the first look at a pair.
 PREFIX = 16
@@ -139,11 +139,12 @@ def near_pairs(vectors: DataFrame, least: float, compared=None) -> DataFrame:
     A class is named by its smallest id; its other members are given with it alone, at cosine 1, so a direction that many
     vectors have never makes all their pairs. Zero vectors have no direction and take no part.
 
-    Directions belong to the cell of their nearest pivot, and a cell to units of about UNIT of them. A direction meets its own unit,
-    and visits earlier units: those of its cell, and those of cells that the triangle inequality leaves open - it lies
-    within the cell's radius and the threshold's angle of the pivot, and no more than twice that angle farther than its own. In
-    a unit, rows of visitors and of the unit are compared in blocks, first by PREFIX coordinates and the length of the rest. So
-    work shrinks where the vectors cluster; for directions spread evenly in many dimensions no bound helps and it is all pairs, in blocks.
+    Directions belong to the cell of their nearest pivot; cells are dealt, in order, to blocks of about UNIT directions, each one row. Blocks meet
+    in a cross join of what was written, so each is shuffled once, however many it meets, and those whose pivots lie too far apart for
+    any pair do not meet. Of a pair of blocks, a direction is compared with the cells that the triangle inequality leaves open - it lies
+    within the cell's radius and the threshold's angle of the pivot, and no more than twice that angle farther than its own - first by
+    PREFIX coordinates and the length of the rest. So work shrinks where the vectors cluster; for directions spread evenly in many
+    dimensions no bound helps and it is all pairs, in blocks.
     ``compared``: an accumulator that counts the pairs that had to be compared whole.
     """
     import numpy as np
@@ -159,71 +160,80 @@ def near_pairs(vectors: DataFrame, least: float, compared=None) -> DataFrame:
     k = max(1, min(PIVOTS, n // 256, len(sample)))
     pivots = sample[np.random.default_rng(3).choice(len(sample), k, replace=False)] if len(sample) else np.zeros((1, 1))
     reach = float(np.arccos(np.clip(least - 1e-6, -1, 1))) + 1e-7
-    angles = lambda b: np.arccos(np.clip(np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, -1) @ pivots.T, -1, 1))
+    turned = lambda x, y: np.arccos(np.clip(x @ y.T, -1, 1))
+    ways = lambda b: b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
 
     def homes(batches):
         for b in batches:
             if b.num_rows:
-                far = angles(b)
+                far = turned(ways(b), pivots)
                 own = far.argmin(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64()), pa.array(far[np.arange(len(own)), own])], names=["way", "vec_id", "cell", "far"])
 
     placed = cut(classes.select("way", F.col("vec_id").cast("long").alias("vec_id")).mapInArrow(homes, "way array<double>, vec_id long, cell long, far double"))
-    cells = {r.cell: (r.radius, -(-r.n // UNIT)) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # PIVOTS rows
-
-    schema = pa.schema([("cell", pa.int64()), ("unit", pa.int64()), ("visits", pa.bool_()), ("vec_id", pa.int64()), ("way", pa.list_(pa.float64()))])
-
-    def sent(batches):
+    radius, group, first, units = np.zeros(k), np.zeros(k, np.int64), np.zeros(k, np.int64), np.ones(k, np.int64)
+    room, n_groups, n_blocks = 0, 0, 0
+    for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).orderBy("cell").collect():  # PIVOTS rows
+        if r.n > room:  # a block of its own or, for a large cell, some
+            units[r.cell], room = -(-r.n // UNIT), UNIT if r.n <= UNIT else 0
+            n_groups, n_blocks = n_groups + 1, n_blocks + int(units[r.cell])
+        radius[r.cell], group[r.cell], first[r.cell], room = r.radius, n_groups - 1, n_blocks - units[r.cell], max(0, room - r.n)
+    apart = turned(pivots, pivots)
+    open_ = (apart <= radius[:, None] + radius + reach + 1e-7) & (apart <= 2 * radius[:, None] + 2 * reach + 1e-7) | np.eye(k, dtype=bool)
+
+    def dealt(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            far, own, ids = angles(b), b.column(2).to_numpy(), b.column(1).to_numpy()
+            cell, ids = b.column(2).to_numpy(), b.column(1).to_numpy()
             mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            least_far = far[np.arange(len(own)), own]
-            for cell, (radius, units) in cells.items():
-                home = own == cell
-                meets = (own > cell) & (far[:, cell] <= radius + reach) & (far[:, cell] <= least_far + 2 * reach)
-                for unit in range(units):
-                    for visits, at in ((False, np.flatnonzero(home & (mine % units == unit))), (True, np.flatnonzero(meets | (home & (mine % units > unit))))):
-                        some = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell)), pa.array(np.full(len(at), unit)), pa.array(np.full(len(at), visits)), b.column(1).take(some), b.column(0).take(some)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first[cell] + mine % units[cell])], names=[*b.schema.names, "block"])
+
+    packed_row = pa.schema([("block", pa.int64()), ("grp", pa.int64()), ("meets", pa.list_(pa.int64())), ("ids", pa.binary()), ("cells", pa.binary()), ("fars", pa.binary()), ("ways", pa.binary())])
+
+    def packed(t):
+        b = t.sort_by([("cell", "ascending"), ("vec_id", "ascending")]).combine_chunks().to_batches()[0]
+        cell = b.column(2).to_numpy()
+        meets = np.unique(group[open_[np.unique(cell)].any(0)])
+        out = [b.column("block")[0].as_py(), int(group[cell[0]]), meets[meets <= group[cell[0]]].tolist(), *(x.tobytes() for x in (b.column(1).to_numpy(), cell, b.column(3).to_numpy(), ways(b)))]
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(out, packed_row, strict=True)], schema=packed_row)
 
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 
     def met(batches):
-        now, ids, x = None, np.zeros(0, np.int64), np.zeros((0, 1))
-
-        def block(own_ids, y, triangle):
-            looked = y[:, :PREFIX] @ x[:, :PREFIX].T + np.outer(np.sqrt(np.maximum(1 - (y[:, :PREFIX] ** 2).sum(1), 0)), np.sqrt(np.maximum(1 - (x[:, :PREFIX] ** 2).sum(1), 0)))
-            hope = looked >= least - 1e-6
-            if triangle:
-                hope &= own_ids[:, None] > ids[None, :]
-            i, j = np.nonzero(hope)
-            if compared is not None:
-                compared.add(len(i))
-            if len(i) > hope.size // 8:
-                cosine = (y @ x.T)[i, j]
-            else:
-                cosine = (y[i] * x[j]).sum(1)
-            near = cosine >= least - 1e-6
-            a, b = np.minimum(own_ids[i[near]], ids[j[near]]), np.maximum(own_ids[i[near]], ids[j[near]])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine[near])], schema=pair)
-
+        def near(x, y, same):
+            """Pairs of a row of y and a row of x; ``same``: both are one block."""
+            own_cells, slot = np.unique(x["cells"], return_inverse=True)
+            for s in range(0, len(y["ids"]), 512):
+                ids, cell, far, way = (y[c][s : s + 512] for c in ("ids", "cells", "fars", "ways"))
+                to = turned(way, pivots[own_cells])
+                meets = (cell[:, None] > own_cells) & (to <= radius[own_cells] + reach) & (to <= far[:, None] + 2 * reach) | (cell[:, None] == own_cells)
+                at = np.flatnonzero(meets.any(0)[slot])
+                some = x["ways"][at]
+                looked = way[:, :PREFIX] @ some[:, :PREFIX].T + np.outer(np.sqrt(np.maximum(1 - (way[:, :PREFIX] ** 2).sum(1), 0)), np.sqrt(np.maximum(1 - (some[:, :PREFIX] ** 2).sum(1), 0)))
+                hope = looked >= least - 1e-6
+                if not meets.all():
+                    hope &= meets[:, slot[at]]
+                if same:
+                    hope &= (cell[:, None] != x["cells"][at]) | (ids[:, None] > x["ids"][at])
+                i, j = np.nonzero(hope)
+                if compared is not None:
+                    compared.add(len(i))
+                cosine = (way @ some.T)[i, j] if len(i) > hope.size // 8 else (way[i] * some[j]).sum(1)
+                hit = cosine >= least - 1e-6
+                a, b = ids[i[hit]], x["ids"][at][j[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine[hit])], schema=pair)
+
+        kinds = {"ids": np.int64, "cells": np.int64, "fars": np.float64, "ways": np.float64}
         for b in batches:
-            if not b.num_rows:
-                continue
-            cell, unit, visits, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            y = np.array(b.column(4).to_pylist(), float)
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(unit) != 0) | (np.diff(visits.astype(int)) != 0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
-                if (cell[lo], unit[lo]) != now:
-                    now, ids, x = (cell[lo], unit[lo]), np.zeros(0, np.int64), np.zeros((0, y.shape[1]))
-                if not visits[lo]:
-                    ids, x = np.concatenate([ids, own[lo:hi]]), np.concatenate([x, y[lo:hi]])
-                for s in range(lo, hi, 512):
-                    yield block(own[s : min(s + 512, hi)], y[s : min(s + 512, hi)], not visits[lo])
-
-    dealt = placed.mapInArrow(sent, "cell long, unit long, visits boolean, vec_id long, way array<double>").repartition("cell", "unit").sortWithinPartitions("cell", "unit", "visits", "vec_id")
-    near = dealt.mapInArrow(met, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= least)
+            for n in range(b.num_rows):
+                x, y = ({c: np.frombuffer(b.column(f"{side}_{c}")[n].as_buffer(), t) for c, t in kinds.items()} for side in "xy")
+                for z in (x, y):
+                    z["ways"] = z["ways"].reshape(len(z["ids"]), -1)
+                yield from near(x, y, b.column("x_block")[n] == b.column("y_block")[n])
+
+    blocks = placed.mapInArrow(dealt, "way array<double>, vec_id long, cell long, far double, block long").groupBy("block").applyInArrow(packed, "block long, grp long, meets array<long>, ids binary, cells binary, fars binary, ways binary")
+    blocks = cut(blocks)
+    x, y = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns)) for side in "xy")
+    both = y.join(x, F.expr("x_block <= y_block and array_contains(y_meets, x_grp)")).select(*(f"{side}_{c}" for side in "xy" for c in ("block", "ids", "cells", "fars", "ways")))
+    near = both.mapInArrow(met, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= least)
     same = members.join(classes.withColumnRenamed("vec_id", "a"), "way").where("vec_id > a").select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("cosine"))
     return near.unionByName(same)

@@ -191,6 +191,28 @@ def test_near_pairs_miss_none(spark, monkeypatch, unit, width):
     assert all(abs(r.cosine - s[r.a, r.b]) < 2e-6 for r in got)
 
 
+def shuffled(spark, run) -> int:
+    """Rows that the shuffles of a run write."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        jvm = spark.sparkContext._jvm
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for i, n in stages().items() if i not in before)
+
+
+def test_vectors_are_shuffled_once_however_many_blocks_they_meet(spark, monkeypatch):
+    """Directions spread evenly: every block meets every other, and no row is written for a meeting."""
+    monkeypatch.setattr(graph, "UNIT", 50)
+    x = np.random.default_rng(5).normal(size=(2400, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert shuffled(spark, lambda: graph.near_pairs(rows, 0.92).count()) < 6 * 2400
+
+
 def test_cells_are_pruned_where_vectors_cluster(spark):
     """Far clusters do not meet: most pairs are never compared, and the plan does not grow with the table."""
     rng = np.random.default_rng(4)
