@@ -106,17 +106,28 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of edges(a, b): smallest label over each connected component."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = cut(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
-        labels = new.select("node", "root")
-        if not new.where("root <> was").limit(1).count():
-            return labels
+    """(node, root) of edges(a, b): smallest label over each connected component.
+
+    Each round gives a node to that one of itself and its neighbours whose hash is least, and keeps the edges between what nodes were given to, without
+    loops and repeats. A round has its own hash, so what is left shrinks by a part of it whatever the edges look like, long chains as well, and all rounds
+    together cost a few times the first. Then the nodes are led back, last round first, and the smallest node of a component names it.
+    """
+    at = cut(edges.select("a", "b"))
+    rounds = []
+    while not rounds or at.limit(1).count():
+        order = lambda x, seed=len(rounds): F.xxhash64(F.col(x), F.lit(seed))
+        near = at.union(at.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min_by("b", order("b")).alias("near"))
+        lead = cut(near.select("node", F.when(order("node") <= order("near"), F.col("node")).otherwise(F.col("near")).alias("lead")))
+        rounds.append(lead)
+        to = lambda x, lead=lead: lead.select(F.col("node").alias(x), F.col("lead").alias(f"{x}_lead"))
+        left = at.where("a <> b").join(to("a"), "a").select("a_lead", "b").join(to("b"), "b").where("a_lead <> b_lead")
+        at = cut(left.select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b")).distinct())
+    labels = rounds.pop().withColumnRenamed("lead", "root")
+    while rounds:
+        labels = rounds.pop().join(labels.select(F.col("node").alias("lead"), "root"), "lead", "left").select("node", F.coalesce("root", "lead").alias("root"))
+    labels = cut(labels)
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return labels.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def resolve_entities(mentions: DataFrame) -> DataFrame:

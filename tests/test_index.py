@@ -281,6 +281,23 @@ def test_a_traversal_reads_the_buckets_that_it_meets(spark, tmp_path):
     assert sum(before[b] != after.get(b) for b in before) <= 16
 
 
+def test_components_of_a_long_chain_cost_a_few_times_its_edges(spark):
+    """A chain of consecutive ids, loops and cliques, by their known roots; what is left shrinks every round."""
+    chain = [(i, i + 1) for i in range(1000, 3000)]
+    rest = [(7, 7), (5, 9), (9, 5), (9, 6), *((i, j) for i in range(20, 30) for j in range(20, 30))]
+    edges = spark.createDataFrame(chain + rest, "a long, b long")
+    want = {i: 1000 for i in range(1000, 3001)} | {7: 7, 5: 5, 9: 5, 6: 5} | {i: 20 for i in range(20, 30)}
+    got = {}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that every join counts
+    try:
+        n = shuffled(spark, lambda: got.update({r.node: r.root for r in graph.components(edges).collect()}))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == want
+    assert n < 30 * len(chain + rest), n
+
+
 def test_entities_grow_as_a_rebuild_would(spark, tmp_path):
     """Any order of changes and deletions gives what resolving all mentions at once gives; untouched buckets stay as they are."""
     rng = np.random.default_rng(7)
