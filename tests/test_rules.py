@@ -72,3 +72,23 @@ def test_rules_fold_a_text_once(spark):
     for name, (rule, n) in rules.items():
         plan = d.select(rule.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("translate(") == n, name
+
+
+def test_headings_without_a_description_are_looked_through_once(spark):
+    """Linear in the headings; the rules on small odd sections."""
+    import time
+
+    parts = ["### a/b\n## Purpose\n\n\n## Next\nx", "### a/b\n### REQ-A1 **Mô tả:** no\ntext\n**Mô tả:** yes **Mô tả:** twice\n### REQ-B\n### REQ-C\n**Mô tả:**\n\n next\n### REQ-D", "### a/b", "### \na/b\n**Given:** x"]
+    rows = spark.createDataFrame(list(enumerate(parts)), "doc_id int, text string")
+    got = {r.doc_id: (r.purpose, r.requirements) for r in reports.requirement_facts(rows).collect()}
+    assert got == {0: ("## Next\nx", []), 1: ("", ["REQ-A1 **Mô tả:** no: yes **Mô tả:** twice", "REQ-B: next"])}
+
+    def took(n):
+        long = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("### a/b\n**Given:** x\n"), F.repeat(F.lit("### REQ-1 x\n"), n)).alias("text"))
+        start = time.time()
+        assert reports.requirement_facts(long).first().scenarios == ["x"]
+        return time.time() - start
+
+    took(100)
+    small, large = took(3000), took(30_000)
+    assert large < 12 * max(small, 0.5), (small, large)
