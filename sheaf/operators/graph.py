@@ -111,8 +111,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives a node to that one of itself and its neighbours whose hash is least, and keeps the edges between what nodes were given to, without
     loops and repeats. A round has its own hash, so what is left shrinks by a part of it whatever the edges look like, long chains as well, and all rounds
     together cost a few times the first. Then the nodes are led back, last round first, and the smallest node of a component names it.
+    Edges with a null end are left out.
     """
-    at = cut(edges.select("a", "b"))
+    at = cut(edges.select("a", "b").where("a is not null and b is not null"))
     rounds = []
     while not rounds or at.limit(1).count():
         order = lambda x, seed=len(rounds): F.xxhash64(F.col(x), F.lit(seed))

@@ -284,7 +284,7 @@ def test_a_traversal_reads_the_buckets_that_it_meets(spark, tmp_path):
 def test_components_of_a_long_chain_cost_a_few_times_its_edges(spark):
     """A chain of consecutive ids, loops and cliques, by their known roots; what is left shrinks every round."""
     chain = [(i, i + 1) for i in range(1000, 3000)]
-    rest = [(7, 7), (5, 9), (9, 5), (9, 6), *((i, j) for i in range(20, 30) for j in range(20, 30))]
+    rest = [(7, 7), (None, 7), (None, None), (5, None), (5, 9), (9, 5), (9, 6), *((i, j) for i in range(20, 30) for j in range(20, 30))]
     edges = spark.createDataFrame(chain + rest, "a long, b long")
     want = {i: 1000 for i in range(1000, 3001)} | {7: 7, 5: 5, 9: 5, 6: 5} | {i: 20 for i in range(20, 30)}
     got = {}
