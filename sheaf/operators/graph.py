@@ -93,8 +93,11 @@ def resolve_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def validated(relations: DataFrame, ontology: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected) by ontology(relation, from_type, to_type), a small configuration table."""
-    on = ["relation", "from_type", "to_type"]
+    """(kept, rejected) by ontology(relation, from_type, to_type), a small configuration table.
+
+    It goes to all tasks: dealt by its few keys, all relations of a kind would meet in one.
+    """
+    on, ontology = ["relation", "from_type", "to_type"], F.broadcast(ontology)
     return relations.join(ontology, on, "left_semi"), relations.join(ontology, on, "left_anti")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sheaf.functions import chat, labels
-from sheaf.operators import ledger, links, reports, threads
+from sheaf.operators import graph, ledger, links, reports, threads
 
 
 def test_threads_are_cut_where_events_start(spark):
@@ -92,3 +92,11 @@ def test_headings_without_a_description_are_looked_through_once(spark):
     took(100)
     small, large = took(3000), took(30_000)
     assert large < 12 * max(small, 0.5), (small, large)
+
+
+def test_an_ontology_goes_to_the_relations(spark):
+    rows = spark.createDataFrame([("DEPENDS_ON", "Part", "Supplier", i) for i in range(20)] + [("MADE_BY", "Part", "Person", 20)], "relation string, from_type string, to_type string, no int")
+    kept, lost = graph.validated(rows.repartition(4, "no"), spark.createDataFrame([("DEPENDS_ON", "Part", "Supplier")], "relation string, from_type string, to_type string"))
+    assert {r.no for r in kept.collect()} == set(range(20)) and [r.no for r in lost.collect()] == [20]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan, plan  # dealt by the kind of relation, all would be in one task
