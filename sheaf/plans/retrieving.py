@@ -289,10 +289,11 @@ def jn14(spark, d):
 
 
 def relations(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    rel = li.select(c("l_orderkey").alias("chunk_id"), F.concat(F.lit("part "), "l_partkey").alias("from_name"), F.when(c("l_partkey") % 3 == 0, "MADE_BY").otherwise("DEPENDS_ON").alias("relation"), F.concat(F.lit("supplier "), "l_suppkey").alias("to_name"))
-    ent = li.where("l_partkey % 4 > 0").select(c("l_orderkey").alias("chunk_id"), F.concat(F.lit("part "), "l_partkey").alias("name"), F.concat(F.lit("p"), "l_partkey").alias("node_id"), F.lit("Part").alias("type")).union(
-        li.select("l_orderkey", F.concat(F.lit("supplier "), "l_suppkey"), F.concat(F.lit("s"), "l_suppkey"), F.when(c("l_suppkey") % 2 == 0, "Supplier").otherwise("Person"))).distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    rel = li.distinct().select(c("l_orderkey").alias("chunk_id"), F.concat(F.lit("part "), "l_partkey").alias("from_name"), F.when(c("l_partkey") % 3 == 0, "MADE_BY").otherwise("DEPENDS_ON").alias("relation"), F.concat(F.lit("supplier "), "l_suppkey").alias("to_name"))
+    part, supplier = li.where("l_partkey % 4 > 0").select("l_orderkey", "l_partkey").distinct(), li.select("l_orderkey", "l_suppkey").distinct()  # made distinct as numbers, which take a fraction of the names' memory
+    ent = part.select(c("l_orderkey").alias("chunk_id"), F.concat(F.lit("part "), "l_partkey").alias("name"), F.concat(F.lit("p"), "l_partkey").alias("node_id"), F.lit("Part").alias("type")).union(
+        supplier.select("l_orderkey", F.concat(F.lit("supplier "), "l_suppkey"), F.concat(F.lit("s"), "l_suppkey"), F.when(c("l_suppkey") % 2 == 0, "Supplier").otherwise("Person")))
     return rel, ent
 
 

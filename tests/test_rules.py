@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import chat, labels
 from sheaf.operators import graph, ledger, links, reports, threads
+from sheaf.plans import retrieving
 
 
 def test_threads_are_cut_where_events_start(spark):
@@ -100,3 +101,10 @@ def test_an_ontology_goes_to_the_relations(spark):
     assert {r.no for r in kept.collect()} == set(range(20)) and [r.no for r in lost.collect()] == [20]
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan, plan  # dealt by the kind of relation, all would be in one task
+
+
+def test_entities_are_made_distinct_as_numbers(spark):
+    _, ent = retrieving.relations(spark, "/root/testdata/sf0.001")
+    keys = [x.split("[")[1] for x in ent._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert len(keys) == 2 and not [x for x in keys if "name" in x], keys
+    assert ent.count() == ent.distinct().count()
