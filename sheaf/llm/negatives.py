@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from sheaf.llm.common import batch, partitions, written
 
 #: Rows of a leaf page, of a tile that is cut into pages at once, pages under one upper box, and pages that a task searches at once.
 PAGE, TILE, FAN, AT_ONCE = 64, 4096, 16, 512
+#: Anchors that are searched in step, pages that an anchor takes in its first round (eight times as many in each round after it), and scores that are put in at once.
+TOGETHER, HEAD, PENDING = 256, 4, 200_000
 #: Bytes of anchors that go out with a pass.
 BLOCK = 8 << 20
 #: Components are whole numbers of 1 / SCALE.
@@ -105,65 +106,99 @@ class Best:
     """The k best (score, id) of each anchor and window so far; higher scores first, ties to the smaller id."""
 
     def __init__(self, anchors: int, windows: int, k: int):
-        self.k = k
-        self.found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.ids, self.scores, self.n = np.zeros((anchors, windows, k), np.int64), np.zeros((anchors, windows, k), np.int64), np.zeros((anchors, windows), np.int64)
         self.kth = np.full((anchors, windows), -np.inf)
 
-    def add(self, a: int, w: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if (a, w) in self.found:
-            ids, scores = np.concatenate([self.found[a, w][0], ids]), np.concatenate([self.found[a, w][1], scores])
-        top = np.lexsort((ids, -scores))[: self.k]
-        self.found[a, w] = ids[top], scores[top]
-        if len(top) == self.k:
-            self.kth[a, w] = scores[top[-1]]
+    def held(self, s: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, counted from the first of s, window, id, score) of what some anchors have."""
+        a, w, place = np.nonzero(np.arange(self.ids.shape[2]) < self.n[s][..., None])
+        return a, w, self.ids[s][a, w, place], self.scores[s][a, w, place]
+
+    def add(self, s: slice, a: np.ndarray, w: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows found for anchors of s (counted from its first) and windows."""
+        a, w, ids, scores = (np.concatenate(c) for c in zip(self.held(s), (a, w, ids, scores), strict=True))
+        windows, k = self.ids.shape[1:]
+        key = a * windows + w
+        order = np.lexsort((ids, -scores, key))
+        key = key[order]
+        place = np.arange(len(key)) - np.searchsorted(key, key)
+        order, place = order[place < k], place[place < k]
+        a, w = a[order], w[order]
+        self.ids[s][a, w, place], self.scores[s][a, w, place] = ids[order], scores[order]
+        np.maximum.at(self.n[s], (a, w), place + 1)
+        full = place == k - 1
+        self.kth[s][a[full], w[full]] = scores[order[full]]
 
 
 def hopes(top: np.ndarray, bottom: np.ndarray, low: np.ndarray, high: np.ndarray, kth: np.ndarray) -> np.ndarray:
     """Boxes by their interval of inner products -> the highest score that could still count, -inf where none can.
 
-    A box is out where its interval misses every window, or lies strictly below the kth of every window it meets.
+    A box is out where its interval misses every window, or lies strictly below the kth of every window it meets. Windows are
+    the last axis of low, high and kth, which may have those of top and bottom before it.
     """
-    most = np.minimum(top[:, None], high)
-    return np.where((top[:, None] >= low) & (bottom[:, None] <= high) & (most >= kth), most, -np.inf).max(axis=1)
+    out = np.full(top.shape, -np.inf)
+    for w in range(low.shape[-1]):
+        lo, hi, k = low[..., w], high[..., w], kth[..., w]
+        most = np.minimum(top, hi)
+        np.maximum(out, np.where((top >= lo) & (bottom <= hi) & (most >= k), most, -np.inf), out=out)
+    return out
 
 
 def search(anchors: Anchors, best: Best, label: np.ndarray, low: np.ndarray, high: np.ndarray, ids: list[np.ndarray], rows: list[np.ndarray], same: bool) -> None:
-    """One best-first queue an anchor over upper boxes, pages and rows; ``same``: pages of the anchor's label, else of all others."""
+    """One best-first queue an anchor over the pages under the upper boxes that may count; ``same``: pages of the anchor's label, else of all others.
+
+    TOGETHER anchors go in step: in each round an anchor takes the pages at the head of its queue, more every round, and a
+    page is multiplied at once with all the anchors that took it. The queue ends where nothing in it may still count.
+    """
     cut = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
     start = np.concatenate([np.arange(a, b, FAN) for a, b in zip(cut, [*cut[1:], len(label)], strict=True)])
-    end = np.concatenate([start[1:], [len(label)]])
+    under = np.repeat(np.arange(len(start)), np.diff([*start, len(label)]))
     up_low, up_high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
     # interval ends as doubles: one unit and a share of slack outweigh their rounding
     interval = lambda x, lo, hi: (np.maximum(x, 0) @ hi.T + np.minimum(x, 0) @ lo.T, np.maximum(x, 0) @ lo.T + np.minimum(x, 0) @ hi.T)
     wider = lambda top, bottom: (top + 1 + abs(top) * 1e-12, bottom - 1 - abs(bottom) * 1e-12)
-    exact = float(abs(low).max(initial=1).astype(float)) ** 2 < 2.0**53 / low.shape[1] and abs(high).max(initial=1).astype(float) ** 2 < 2.0**53 / low.shape[1]
-    for s in range(0, len(anchors.ids), 256):
-        x = anchors.x[s : s + 256].astype(float)
-        exact_x = exact and float(abs(x).max(initial=1)) ** 2 < 2.0**53 / low.shape[1]
-        up, page = wider(*interval(x, up_low, up_high)), wider(*interval(x, low, high))
-        for i in range(len(x)):
-            a = s + i
-            lo, hi, kth = anchors.low[a], anchors.high[a], best.kth[a]
-            hope = hopes(up[0][i], up[1][i], lo, hi, kth)
-            hope[(label[start] == anchors.labels[a]) != same] = -np.inf
-            queue = [(-h, 0, n) for n, h in enumerate(hope.tolist()) if h > -np.inf]
-            heapq.heapify(queue)
-            while queue:
-                h, is_page, n = heapq.heappop(queue)
-                if -h < kth.min():
-                    break
-                if not is_page:
-                    own = slice(start[n], end[n])
-                    for m, p in enumerate(hopes(page[0][i, own], page[1][i, own], lo, hi, kth).tolist(), start[n]):
-                        if p > -np.inf:
-                            heapq.heappush(queue, (-p, 1, m))
-                elif (min(page[0][i, n], hi.max()) >= kth).any():
-                    score = (rows[n].astype(float) @ x[i]).astype(np.int64) if exact_x else rows[n].astype(np.int64) @ anchors.x[a].astype(np.int64)
-                    other = ids[n] != anchors.ids[a]
-                    for w in np.flatnonzero(hi >= lo):
-                        ok = other & (score >= max(lo[w], kth[w])) & (score <= hi[w])
-                        if ok.any():
-                            best.add(a, w, ids[n][ok], score[ok])
+    small = lambda m: float(abs(m).max(initial=1).astype(float)) ** 2 < 2.0**53 / low.shape[1]
+    exact = small(low) and small(high)
+
+    def put(s: slice, found: list[tuple[np.ndarray, ...]]) -> int:
+        if found:
+            a, of, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            hit, w = np.nonzero((score[:, None] >= np.maximum(anchors.low[s], best.kth[s])[a]) & (score[:, None] <= anchors.high[s][a]))
+            best.add(s, a[hit], w, of[hit], score[hit])
+            found.clear()
+        return 0
+
+    for a in range(0, len(anchors.ids), TOGETHER):
+        s = slice(a, a + TOGETHER)
+        x = anchors.x[s].astype(float)
+        exact_x = exact and small(x)
+        lo, hi, kth = anchors.low[s], anchors.high[s], best.kth[s]
+        own = (label[start] == anchors.labels[s, None]) == same
+        up = own & (hopes(*wider(*interval(x, up_low, up_high)), lo[:, None], hi[:, None], kth[:, None]) > -np.inf)
+        top, bottom = wider(*interval(x, low, high))
+        left, take = up[:, under], HEAD
+        while True:
+            hope = np.where(left, hopes(top, bottom, lo[:, None], hi[:, None], kth[:, None]), -np.inf)
+            left = hope > -np.inf
+            if not left.any():
+                break
+            now = left
+            if take < left.shape[1]:
+                now = np.zeros_like(left)
+                np.put_along_axis(now, np.argpartition(-hope, take - 1, axis=1)[:, :take], True, axis=1)
+                now &= left
+            found, waits = [], 0
+            least, most = np.where(hi >= lo, np.maximum(lo, kth), np.inf).min(axis=1), np.where(hi >= lo, hi, -np.inf).max(axis=1)
+            for n in np.flatnonzero(now.any(axis=0)).tolist():
+                at = np.flatnonzero(now[:, n])
+                score = (x[at] @ rows[n].T.astype(float)).astype(np.int64) if exact_x else anchors.x[s][at].astype(np.int64) @ rows[n].T.astype(np.int64)
+                i, j = np.nonzero((score >= least[at, None]) & (score <= most[at, None]) & (anchors.ids[s][at, None] != ids[n]))
+                found.append((at[i], ids[n][j], score[i, j]))
+                waits += len(i)
+                if waits > PENDING:
+                    waits = put(s, found)
+            put(s, found)
+            left, take = left & ~now, take * 8
 
 
 def searching(shared, k: int, same: bool):
@@ -187,8 +222,7 @@ def searching(shared, k: int, same: bool):
         if held:
             turn()
         schema = pa.schema([("a", pa.int64()), ("w", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        out = [(a, w, i, s) for (a, w), (x, y) in best.found.items() for i, s in zip(x.tolist(), y.tolist(), strict=True)]
-        yield batch(schema, *(zip(*out, strict=True) if out else [[]] * 4))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.held(slice(None))], schema=schema)
 
     return run
 

@@ -178,6 +178,33 @@ def test_pruned_boxes_hold_nothing_wanted():
         assert not len(wanted) or hope >= wanted.max()
 
 
+def test_a_page_is_multiplied_with_many_anchors_at_once():
+    """512 anchors and 100 pages: a page is read some times a round, not once an anchor; the rows found are those of brute force."""
+
+    class Pages(list):
+        reads = 0
+
+        def __getitem__(self, n):
+            self.reads += 1
+            return super().__getitem__(n)
+
+    rng = np.random.default_rng(6)
+    x, label = rng.integers(-300, 300, (6400, 8)).astype("<i4"), np.repeat(np.arange(4), 1600)
+    pages = Pages(np.split(x, 100))
+    low, high, ids = np.array([p.min(0) for p in pages]), np.array([p.max(0) for p in pages]), np.arange(6400)
+    at = rng.choice(6400, 512, replace=False)
+    lo, hi = np.tile([1.0, 20_000.0, 1.0], (512, 1)), np.tile([90_000.0, 40_000.0, 0.0], (512, 1))
+    anchors, best = negatives.Anchors(ids[at], label[at], x[at], lo, hi), negatives.Best(512, 3, 3)
+    negatives.search(anchors, best, label[::64], low, high, np.split(ids, 100), pages, False)
+    want, score = [], x[at].astype(np.int64) @ x.T.astype(np.int64)
+    for a in range(512):
+        for w in range(3):
+            ok = np.flatnonzero((label != label[at[a]]) & (score[a] >= lo[a, w]) & (score[a] <= hi[a, w]))
+            want += [(a, w, i, score[a, i]) for i in ok[np.lexsort((ok, -score[a, ok]))[:3]]]
+    assert sorted(zip(*(c.tolist() for c in best.held(slice(None))), strict=True)) == sorted(want)
+    assert pages.reads <= 100 * 4 * 2
+
+
 def test_components_too_large_for_a_long_take_no_part(spark):
     rows = [(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1e300 / 1e270, 0.0], 1), (3, [1.0, 1.0], 2)]
     assert [tuple(r)[:2] for r in negatives.hard_negatives(table_of(spark, rows)).collect()] == [(0, 1)]
