@@ -183,37 +183,52 @@ def pipe_tables(docs: DataFrame) -> DataFrame:
     return first.where((F.col("row_no") > 0) & ~F.col("line").rlike("^[ |:-]+$")).select("doc_id", "row_no", cells.alias("cells"))
 
 
+#: The break before a line '=== Sheet: name ===', which may end with white space and one more line break.
+OPENS = "\n(?= *===[ \\t\\x0B\\f\\r]*Sheet:[^\\n\\r\\u0085\\u2028\\u2029]*===[ \\t\\x0B\\f\\r]*[\\u0085\\u2028\\u2029]?(?:\n|\\z))"
+
+
 def tab_sheets(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) of '=== Sheet: name ===' parts -> (doc_id, sheet, title, description, priority, category).
 
     A sheet's header is its first tabbed line with a title and a description column (labels.HEADER_ROLES); a line
     without a tab continues the description above it; totals and rows without title or description are dropped; one
-    row a normalised (title, description) of a document.
+    row a normalised (title, description) of a document. A text is cut into sheets, and a sheet into items, where it lies: only
+    items are shuffled.
     """
-    c, order = F.col, Window.partitionBy("doc_id").orderBy("n")
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where("trim(line) <> ''")
-    opens = c("line").rlike("^ *===\\s*Sheet:.*===\\s*$")
-    line = line.withColumn("sheet_no", F.sum(opens.cast("int")).over(order)).withColumn("cells", F.transform(F.split("line", "\t"), lambda x: F.trim(x)))
-    own = Window.partitionBy("doc_id", "sheet_no")
-    heads = (F.size("cells") > 1) & (labels.header_role(c("cells"), "title") > 0) & (labels.header_role(c("cells"), "description") > 0)
-    line = line.where("sheet_no > 0").withColumn("sheet", F.max(F.when(opens, F.trim(F.regexp_extract("line", "===\\s*Sheet:(.*?)===", 1)))).over(own)).withColumn("header", F.min(F.when(heads, F.struct("n", "cells"))).over(own))
-    line = line.where(c("n") > c("header.n")).withColumn("item", F.sum((F.size("cells") > 1).cast("int")).over(own.orderBy("n"))).where("item > 0")
-    more = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.size("cells") == 1, F.struct("n", "cells")))), lambda x: x["cells"][0]), "\n")
-    item = line.groupBy("doc_id", "sheet_no", "sheet", "item").agg(F.min_by("cells", "n").alias("cells"), F.first("header.cells").alias("header"), more.alias("more"))
-    last = F.size("header")
+    c, cells = F.col, lambda x: F.transform(F.split(x, "\t"), lambda y: F.trim(y))
+    part = docs.select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), F.replace("text", F.lit("\r\n"), F.lit("\n"))), OPENS)).alias("sheet_no", "part")).where("sheet_no > 0")
+    low = lambda x: F.transform(cells(x), lambda y: squeeze(F.lower(y)))
+    heads = lambda x: x.contains("\t") & (labels.role_of(low(x), "title") > 0) & (labels.role_of(low(x), "description") > 0)
+    first = F.aggregate(F.split("part", "\n"), F.lit(None).cast("string"), lambda found, x: F.when(found.isNotNull(), found).when(heads(x), x))
+    # explode stands between what is worked out and the conditions on it, which would be worked out a second time below it
+    sheet = part.select("doc_id", "sheet_no", "part", F.explode(F.array_compact(F.array(first))).alias("header"))
+    line = lambda x: F.concat(F.lit("\n"), x, F.lit("\n"))
+    rest = F.substring("part", F.instr(line(c("part")), line(c("header"))) + F.length("header"), F.length("part"))
+    sheet = sheet.select("doc_id", "sheet_no", F.trim(F.regexp_extract(F.substring_index("part", "\n", 1), "===\\s*Sheet:(.*?)===", 1)).alias("sheet"), low(c("header")).alias("header"), rest.alias("rest"))
+    sheet = sheet.withColumn("at", F.struct(F.size("header").alias("last"), *(labels.role_of(c("header"), r).alias(r) for r in labels.HEADER_ROLES)))
+    head = lambda x: F.substring_index(x, "\n", 1)
+    more = lambda x: F.array_join(F.filter(F.transform(F.split(F.substring(x, F.length(head(x)) + 2, F.length(x)), "\n"), lambda y: F.trim(y)), lambda y: y != ""), "\n")
+    item = sheet.select("doc_id", "sheet_no", "sheet", "at", F.posexplode(F.transform(F.split("rest", "\n(?=[^\n\t]*+\t)"), lambda x: F.struct(cells(head(x)).alias("cells"), more(x).alias("more")))).alias("item", "x")).where("item > 0")
+    item = item.select("doc_id", "sheet_no", "sheet", "at", "item", "x.cells", "x.more")
+    last = c("at.last")
     whole = F.when(F.size("cells") > last, F.concat(F.slice("cells", F.lit(1), last - 1), F.array(F.trim(F.array_join(F.slice("cells", last, F.size("cells")), " "))))).otherwise(c("cells"))
     item = item.withColumn("cells", whole)
-    cell = lambda role: F.coalesce(F.get("cells", F.nullif(labels.header_role(c("header"), role), F.lit(0)) - 1), F.lit(""))
+    cell = lambda role: F.coalesce(F.get("cells", F.nullif(c(f"at.{role}"), F.lit(0)) - 1), F.lit(""))
     norm = lambda x: squeeze(F.lower(x))
     strip = lambda x, marks: F.regexp_replace(x, f"^[{marks}]+|[{marks}]+$", "")
     label = F.coalesce(F.nullif(strip(F.regexp_replace("sheet", "^[0-9]+[_\\s-]*", ""), " _-"), F.lit("")), c("sheet"))
     out = item.select("doc_id", "sheet_no", "item", label.alias("sheet"), strip(cell("title"), " •\t-").alias("title"), F.trim(F.concat_ws("\n", F.nullif(cell("description"), F.lit("")), F.nullif("more", F.lit("")))).alias("body"), *(cell(r).alias(r) for r in ("priority", "category", "quarter", "count", "notes")))
     out = out.where((c("title") != "") & (c("body") != "") & ~norm(c("title")).isin(*labels.TOTALS) & ~norm(c("title")).startswith(labels.TOTALS[0] + " "))
+    out = out.withColumn("low", norm(c("body")))
     when = lambda hit, x: F.when(hit, F.regexp_replace(x, "[ .]+$", ""))
-    parts = (when(c("quarter") != "", F.concat(F.lit(labels.PERIOD), c("quarter"))), when(c("count") != "", F.concat(c("count"), F.lit(labels.DETAILS))), when(F.lit(True), c("body")), when((c("notes") != "") & ~norm(c("body")).contains(norm(c("notes"))), F.concat(F.lit(labels.NOTES), c("notes"))))
+    parts = (when(c("quarter") != "", F.concat(F.lit(labels.PERIOD), c("quarter"))), when(c("count") != "", F.concat(c("count"), F.lit(labels.DETAILS))), when(F.lit(True), c("body")), when((c("notes") != "") & ~c("low").contains(norm(c("notes"))), F.concat(F.lit(labels.NOTES), c("notes"))))
     named = (c("sheet") != "") & ~norm(c("title")).contains(norm(c("sheet")))
     full = F.substring(F.when(named, F.concat_ws(" - ", "sheet", "title")).otherwise(c("title")), 1, 200)
-    told = F.concat_ws(" ", "title", "body", "sheet")
-    out = out.select("doc_id", "sheet_no", "item", "sheet", full.alias("title"), F.trim(F.concat_ws(". ", *parts)).alias("description"), labels.priority(F.coalesce(F.nullif("priority", F.lit("")), c("quarter")), told).alias("priority"), labels.category(F.concat_ws(" ", "title", "body", "category")).alias("category"))
-    first = F.row_number().over(Window.partitionBy("doc_id", norm(c("title")), norm(c("description"))).orderBy("sheet_no", "item"))
-    return out.withColumn("_r", first).where("_r = 1").drop("_r", "item", "sheet_no")
+    told = lambda *x: F.concat_ws(" ", *(F.nullif(y, F.lit("")) for y in x))
+    urgent, words = told(norm(c("title")), c("low"), norm(c("sheet"))), told(norm(c("title")), c("low"), norm(c("category")))
+    out = out.select("doc_id", "sheet_no", "item", "sheet", full.alias("title"), F.trim(F.concat_ws(". ", *parts)).alias("description"), labels.priority(F.coalesce(F.nullif("priority", F.lit("")), c("quarter")), urgent, squeezed=True).alias("priority"), labels.category(words, squeezed=True).alias("category"))
+    # descriptions are normalised only where one title has several
+    own = Window.partitionBy("doc_id", "_title")
+    out = out.withColumn("_title", norm(c("title"))).withColumn("_several", F.min("description").over(own) != F.max("description").over(own)).withColumn("_key", F.when(c("_several"), norm(c("description"))))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_title", "_key").orderBy("sheet_no", "item"))
+    return out.withColumn("_r", first).where("_r = 1").drop("_r", "_key", "_several", "_title", "item", "sheet_no")

@@ -394,3 +394,15 @@ def test_fuzzy_titles_are_the_brute_force(spark):
                 want[i] = min(scores)[1]
         got = joins.fuzzy_titles(spark.createDataFrame(a, "id int, tokens array<string>"), spark.createDataFrame(b, "id int, tokens array<string>"), least)
         assert {r.left_id: r.right_id for r in got.collect()} == want
+
+
+def test_sheets_are_cut_where_a_text_lies(spark):
+    """Texts of one doc_id do not mix, only items are shuffled, and odd breaks, blank lines and repeats in other letters are as before."""
+    a = "x\ty\n=== Sheet: 1_A ===\nnote\nTitle\tDescription\tQuarter\nlost\nOne\tfirst\r\n more \n\n  \nrest\n\tno title\nTổng sum\t9\nTwo\tb\tQ1\textra\none\tFIRST \nmore\nrest\n"
+    b = "=== Sheet: B ===\tTitle\n===Sheet: title\tmô tả===\nOne\tof b"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, None)], "doc_id long, text string")
+    got = payloads.tab_sheets(docs)
+    assert sorted((r.doc_id, r.sheet, r.title, r.description) for r in got.collect()) == [
+        (1, "A", "A - One", "first\nmore\nrest"), (1, "A", "A - Two", "Kỳ: Q1 extra. b"), (1, "title\tmô tả", "title\tmô tả - One", "of b")]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning(doc_id#" not in plan.replace(" ", "") and plan.count("Generate posexplode") == 2
