@@ -37,7 +37,7 @@ HUB = 10_000
 def neighbours(edges, frontier: DataFrame) -> DataFrame:
     """(node, salt, n_salts, other, from_id, relation, to_id): the edges at the nodes of frontier(node), in one scan; a hub's edges are dealt over salts.
 
-    ``edges`` is a table, or an index that gives the edges at some nodes from their buckets (``at``).
+    ``edges`` is a table, which may repeat edges (what the frontier meets is made distinct, not the table), or an index that gives the edges at some nodes from their buckets (``at``).
     """
     rows = edges if isinstance(edges, DataFrame) else edges.at(frontier)
     ends = F.array(F.struct(F.col("from_id").alias("node"), F.col("to_id").alias("other")), F.struct(F.col("to_id").alias("node"), F.col("from_id").alias("other")))

@@ -256,35 +256,40 @@ def rt7(spark, d):
 EDGES_SQL = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS from_id, 'MENTIONS' AS relation, 'p' || l_partkey AS to_id FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'DEPENDS_ON', 's' || l_suppkey FROM lineitem UNION SELECT 's' || s_suppkey, 'BELONGS_TO', 'n' || s_nationkey FROM supplier)"
 
 
-def edges(spark, d):
+def links(spark, d):
+    """The edges as they come, repeats among them."""
     li = table(spark, d, "lineitem")
     tag = lambda p, col: F.concat(F.lit(p), col.cast("string"))
     a = li.select(tag("o", c("l_orderkey")).alias("from_id"), F.lit("MENTIONS").alias("relation"), tag("p", c("l_partkey")).alias("to_id"))
     b = li.select(tag("p", c("l_partkey")), F.lit("DEPENDS_ON"), tag("s", c("l_suppkey")))
     s = table(spark, d, "supplier").select(tag("s", c("s_suppkey")), F.lit("BELONGS_TO"), tag("n", c("s_nationkey")))
-    return a.union(b).union(s).distinct()
+    return a.union(b).union(s)
+
+
+def edges(spark, d):
+    return links(spark, d).distinct()
 
 
 @P.query("jn12_k_hop", f"WITH {EDGES_SQL}, h1 AS (SELECT * FROM edges WHERE from_id IN ('o10', 's3') OR to_id IN ('o10', 's3')), n1 AS (SELECT from_id AS id FROM h1 UNION SELECT to_id FROM h1), h2 AS (SELECT * FROM edges WHERE from_id IN (SELECT id FROM n1) OR to_id IN (SELECT id FROM n1)) SELECT from_id, relation, to_id, CASE WHEN (from_id, relation, to_id) IN (SELECT from_id, relation, to_id FROM h1) THEN 1 ELSE 2 END AS hop FROM h2")
 def jn12(spark, d):
-    return graph.k_hop(edges(spark, d), spark.createDataFrame([("o10",), ("s3",)], "id string"), 2)
+    return graph.k_hop(links(spark, d), spark.createDataFrame([("o10",), ("s3",)], "id string"), 2)
 
 
 @P.query("jn12_k_hop_each", f"WITH RECURSIVE {EDGES_SQL}, seeds AS (SELECT o_orderkey AS q, 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 1000 < 8), b AS (SELECT from_id AS x, to_id AS y, * FROM edges UNION ALL SELECT to_id, from_id, * FROM edges), n1 AS (SELECT DISTINCT q, y AS id FROM seeds JOIN b ON x = id), h AS (SELECT q, from_id, relation, to_id, 1 AS hop FROM seeds JOIN b ON x = id UNION ALL SELECT q, from_id, relation, to_id, 2 FROM n1 JOIN b ON x = id) SELECT q AS question_id, from_id, relation, to_id, min(hop) AS hop FROM h GROUP BY ALL")
 def jn12_each(spark, d):
     """Two hops from a set of orders, each a question of its own."""
     o = table(spark, d, "orders").where("o_orderkey % 1000 < 8").select(c("o_orderkey").alias("question_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"))
-    return graph.k_hop_each(edges(spark, d), o, 2)
+    return graph.k_hop_each(links(spark, d), o, 2)
 
 
 @P.query("jn13_seed_entities", f"WITH {EDGES_SQL} SELECT DISTINCT to_id AS id FROM edges WHERE relation = 'MENTIONS' AND from_id IN ('o10', 'o20', 'o30')")
 def jn13(spark, d):
-    return graph.seed_entities(edges(spark, d), spark.createDataFrame([("o10",), ("o20",), ("o30",)], "chunk_id string"))
+    return graph.seed_entities(links(spark, d), spark.createDataFrame([("o10",), ("o20",), ("o30",)], "chunk_id string"))
 
 
 @P.query("jn14_subgraph_expand", f"WITH {EDGES_SQL}, s AS (SELECT DISTINCT to_id AS id FROM edges WHERE relation = 'MENTIONS' AND from_id IN ('o10', 'o20')) SELECT from_id, relation, to_id, 1 AS hop FROM edges WHERE from_id IN (SELECT id FROM s) OR to_id IN (SELECT id FROM s)")
 def jn14(spark, d):
-    e = edges(spark, d)
+    e = links(spark, d)
     return graph.k_hop(e, graph.seed_entities(e, spark.createDataFrame([("o10",), ("o20",)], "chunk_id string")), 1)
 
 

@@ -406,3 +406,17 @@ def test_sheets_are_cut_where_a_text_lies(spark):
         (1, "A", "A - One", "first\nmore\nrest"), (1, "A", "A - Two", "Kỳ: Q1 extra. b"), (1, "title\tmô tả", "title\tmô tả - One", "of b")]
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "hashpartitioning(doc_id#" not in plan.replace(" ", "") and plan.count("Generate posexplode") == 2
+
+
+def test_traversals_do_not_make_all_edges_distinct(spark, monkeypatch):
+    """The queries hand on edges as they come; repeated edges are met once."""
+    from sheaf.plans import retrieving
+
+    given = []
+    monkeypatch.setattr(graph, "k_hop_each", lambda e, seeds, hops: given.append(e) or e)
+    retrieving.jn12_each(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    e = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c")] * 3, "from_id string, relation string, to_id string")
+    got = graph.k_hop_each(e, spark.createDataFrame([(1, "a"), (2, "c")], "question_id int, id string"), 2)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", "R", "b", 1), (1, "b", "R", "c", 2), (2, "a", "R", "b", 2), (2, "b", "R", "c", 1)]
