@@ -37,6 +37,8 @@ IDENTIFIERS = (
 SHORT_LETTERS, SHORT_WORDS, SHORT_MARK = 80, 3, "[A-Z0-9._\\\\/-]"
 
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
+#: Blanks and line ends as RE2 has them in \\s, for use between brackets; all separators of category Zs.
+BLANK, SPACES = " \\t\\n\\r\\f", " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def squeeze(c: Column) -> Column:

@@ -76,20 +76,22 @@ def requirement_facts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) of file sections '### folder/file' -> (doc_id, file, purpose, requirements, scenarios) of the sections that have any.
 
     A purpose's first 160 characters; up to five '### REQ-..' headings with what their description line says; up to two Given lines.
+    Purposes lose blanks and line ends about them, all else any kind of space.
     """
+    trim, gap = lambda x: F.trim(x, F.lit(text.SPACES)), text.BLANK
     part = docs.select("doc_id", F.explode(F.split("text", "\n(?=### [^\n]+/[^\n]+\n)")).alias("part")).where(c("part").startswith("### ") & F.substring("part", 5, 1).rlike("."))
     end = F.instr("part", "\n")
-    part = part.select("doc_id", F.trim(F.regexp_extract("part", "^### ([^\n]+)", 1)).alias("file"), F.when(end > 0, F.substring("part", end, F.length("part"))).otherwise("").alias("body"))
+    part = part.select("doc_id", trim(F.regexp_extract("part", "^### ([^\n]+)", 1)).alias("file"), F.when(end > 0, F.substring("part", end, F.length("part"))).otherwise("").alias("body"))
     after = lambda p: F.locate("\n##", p, 2)
-    purpose = text.bound(F.regexp_extract("body", "(?s)##\\s*Purpose\\s*\n+(.+)", 1), lambda p: F.when(after(p) > 0, F.substring(p, F.lit(1), after(p) - 1)).otherwise(p))
-    purpose = F.regexp_extract(purpose, "(?s)^\\s*(\\S.*\\S|\\S)\\s*\\z", 1)
+    purpose = text.bound(F.regexp_extract("body", f"(?s)##\\s*Purpose[{gap}]*\n+(.+)", 1), lambda p: F.when(after(p) > 0, F.substring(p, F.lit(1), after(p) - 1)).otherwise(p))
+    purpose = F.regexp_extract(purpose, f"(?s)^[{gap}]*([^{gap}](?:.*[^{gap}])?)[{gap}]*\\z", 1)
     # a requirement is found once, from its heading through its description; what it says is cut out of what was found
     head = "###\\s+(REQ-[A-Z0-9\\-]+[^\n]*)\n"
     told = F.regexp_extract("body", "(?s)^.*\\*\\*Mô tả:\\*\\*\\s*[^\n]{0,150}", 0)  # headings after the last description would each look through the rest
     found = F.slice(text.matches(told, f"{head}(?s:.*?)\\*\\*Mô tả:\\*\\*\\s*[^\n]{{0,150}}"), 1, 5)
     said = lambda m: F.regexp_extract(m, f"(?s)^{head}.*?\\*\\*Mô tả:\\*\\*\\s*(.*)", 2)
-    lines = F.transform(found, lambda m: F.concat(F.trim(F.regexp_extract(m, f"^{head}", 1)), F.lit(": "), F.substring(F.trim(said(m)), 1, 120)))
-    given = F.slice(F.transform(text.matches(c("body"), "\\*\\*Given:\\*\\*\\s*([^\n]{0,100})", 1), lambda x: F.trim(x)), 1, 2)
+    lines = F.transform(found, lambda m: F.concat(trim(F.regexp_extract(m, f"^{head}", 1)), F.lit(": "), F.substring(trim(said(m)), 1, 120)))
+    given = F.slice(F.transform(text.matches(c("body"), "\\*\\*Given:\\*\\*\\s*([^\n]{0,100})", 1), trim), 1, 2)
     out = once(part, purpose=F.substring(purpose, 1, 160), requirements=lines, scenarios=given).select("doc_id", "file", "purpose", "requirements", "scenarios")
     return out.where((c("purpose") != "") | (F.size("requirements") > 0) | (F.size("scenarios") > 0))
 

@@ -108,3 +108,20 @@ def test_entities_are_made_distinct_as_numbers(spark):
     keys = [x.split("[")[1] for x in ent._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
     assert len(keys) == 2 and not [x for x in keys if "name" in x], keys
     assert ent.count() == ent.distinct().count()
+
+
+def test_requirement_facts_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    """Texts that are blank or begin with a heading, and spaces that engines see in different ways."""
+    import duckdb
+
+    from sheaf.plans import threading
+
+    texts = ["", " ", "\n", "\x0b", "\n##", "\n\n## x", " \r\n## x\ny", "##", "a\n##b", "x", "\U0001f600", "\x0ba\x0b", "a\x0b\n## b", "\x0b\n## b", "\xa0a\xa0", "a" * 95 + "\xa0" + "b" * 99, "a" * 159 + "\xa0b", "\u2003a\u3000\n", "\x85a\x85", "a \u2028"]
+    d = str(tmp_path)
+    rows = [(i, t, "en", "src1") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    want = duck.execute(threading.ORACLE["fn51_requirement_facts"]).fetchall()
+    got = threading.QUERIES["fn51_requirement_facts"](spark, d).select("doc_id", "file", "purpose", "requirements", "scenarios").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 2 * len(texts)
