@@ -45,10 +45,14 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def marks_off(c: Column) -> Column:
+    """Lower case, marks off; decomposed marks are dropped, the stroke of d stays."""
+    return F.regexp_replace(F.translate(F.lower(c), MARKED + OTHER_MARKED, PLAIN + OTHER_PLAIN), "\\p{Mn}", "")
+
+
 def fold_keep_stroke(c: Column) -> Column:
-    """Fold A: lower case, marks off, spaces squeezed; decomposed marks are dropped, the stroke of d stays."""
-    off = F.translate(F.lower(c), MARKED + OTHER_MARKED, PLAIN + OTHER_PLAIN)
-    return squeeze(F.regexp_replace(off, "\\p{Mn}", ""))
+    """Fold A: ``marks_off`` with spaces squeezed."""
+    return squeeze(marks_off(c))
 
 
 def fold_table(c: Column) -> Column:

@@ -346,3 +346,51 @@ def test_a_model_is_loaded_once_a_worker_and_survives_bad_texts(spark):
     got = {r.id: r.embedding for r in index.ExecutorModel(load, 2, 40).attach(rows, "body").collect()}
     assert len(got) == 400 and got[7] is None and got[9] is None and all(v == [i % 30, 1.0] for i, v in got.items() if i not in (7, 9))
     assert 1 <= loads.value < 32 and calls.value  # fewer loads than tasks; a kept model counts its calls in the first task alone
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_few_terms_are_looked_for_in_the_chunks(spark, rows, tmp_path, monkeypatch, few):
+    """As the index finds them, odd texts among them; without postings where terms are few."""
+    odd = ["TKT-3 status of\tthe\n\nerand ERAND", "réport, émail Đoc", "x doc-42.md", "doc-42.md", "a/doc-42.md", "thethethe statusx", "Kİ plan", "src1.src1 plan"]
+    some = rows.where("doc_id % 5 = 0").unionByName(rows.limit(1).select(F.explode(F.array(*[F.struct(F.lit(10**6 + i).cast("long").alias("id"), F.lit(x).alias("t")) for i, x in enumerate(odd)])).alias("o"), "*").withColumns({"doc_id": F.col("o.id"), "text": F.col("o.t"), "source_path": F.col("o.t"), "section": F.lit(None).cast("string")}).drop("o"))
+    at = index.TextIndex(spark, f"{tmp_path}/i", retrieving.LABELS, 8)
+    at.build(some)
+    monkeypatch.setattr(retrieval, "FEW", few)
+    made = []
+    packed = retrieval.packed
+    monkeypatch.setattr(retrieval, "packed", lambda *a, **k: made.append(a[1]) or packed(*a, **k))
+    q = spark.createDataFrame([*QUESTIONS, (5, "TKT-3 status of the erand"), (6, "report email plan src1"), (7, "the")], "question_id int, text string")
+    known = retrieval.Corpus(at.read("chunks"))
+    for find in (retrieval.exact, retrieval.keyword, retrieval.term_frequency):
+        a, b = (sorted(map(tuple, find(q, x, 30).collect())) for x in (at, known))
+        assert a == b and a, find
+    assert (made == []) == (few > 0)
+    none = spark.createDataFrame([(1, "?")], "question_id int, text string")
+    assert [find(none, known, 5).count() for find in (retrieval.exact, retrieval.keyword, retrieval.term_frequency)] == [0, 0, 0]
+
+
+def plain_rows(df):
+    return sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+def test_one_batch_of_questions_builds_no_index(spark):
+    """The queries look through the chunks where no index is built, and give the rows that they give with it; those by tenant never need it."""
+    d = f"{DATA}/."  # a table of its own to the session
+    names = ("jn4_rt1_exact_retrieval",)
+    before = {}
+    for n in names:
+        before[n] = plain_rows(retrieving.QUERIES[n](spark, d))
+        assert not retrieving.kept(spark, d).current()[0], n
+    retrieving.built(spark, d)
+    assert before == {n: plain_rows(retrieving.QUERIES[n](spark, d)) for n in names}
+
+
+def test_letters_are_counted_as_the_text_has_them(spark):
+    texts = ["", "aAbz", "éÉzß", "K\U0001f600k", "x" * 300, None]
+    got = {r.t: r.embedding for r in retrieving.LetterCounts().attach(spark.createDataFrame([(x,) for x in texts], "t string"), "t").collect()}
+    assert got.pop(None) is None
+    assert got == {x: [x.lower().count(chr(97 + i)) + 1.0 for i in range(26)] for x in texts if x is not None}
+    # text leaves the task for its letters alone
+    chunks = retrieving.chunk_table(spark, DATA)
+    plan = retrieval.Corpus(chunks).nearest(retrieving.LetterCounts().attach(retrieving.questions(spark), "text").select("question_id", F.col("embedding").alias("q")), retrieving.LetterCounts(), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan
