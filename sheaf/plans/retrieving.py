@@ -59,8 +59,9 @@ def stored(spark, rows, name, *by):
 
 
 def tenants(spark, d):
-    """The chunks in folders by tenant: a reader of one or two tenants reads no other's."""
-    rows = built(spark, d).read("chunks").withColumn("tenant", F.when(c("project") < "src15", "own").otherwise("shared"))
+    """The chunks in folders by tenant: a reader of one or two tenants reads no other's. They need no index."""
+    at = kept(spark, d)
+    rows = (at.read("chunks") if at.current()[0] else chunk_table(spark, d)).withColumn("tenant", F.when(c("project") < "src15", "own").otherwise("shared"))
     return stored(spark, rows, f"tenants-{spark.sparkContext.applicationId}-{abs(hash(d))}", "tenant")
 
 
