@@ -75,7 +75,7 @@ def ticket_graph(spark, d):
     """The kept graph of MENTIONS edges from chunks to tickets, as ``built``."""
     at = index.GraphTable(spark, f"{graph.shared_folder(spark)}/graph-{spark.sparkContext.applicationId}-{abs(hash(d))}", index.LEAST)
     if not at.current()[0]:
-        at.upsert(edges=built(spark, d).places().select(c("chunk_id").alias("from_id"), F.lit("MENTIONS").alias("relation"), F.explode(F.array_distinct("ticket_ids")).alias("to_id"), "doc_id"))
+        at.upsert(edges=known(spark, d).places().select(c("chunk_id").alias("from_id"), F.lit("MENTIONS").alias("relation"), F.explode(F.array_distinct("ticket_ids")).alias("to_id"), "doc_id"))
         at.forget_at_exit()
     return at
 
@@ -274,7 +274,7 @@ HYBRID_SQL = (
 @P.query("rt7_hybrid_query", with_chunks("""SELECT question_id, cast(count(*) AS int) AS n_blocks, string_agg(chunk_id, '|' ORDER BY place) AS chunk_ids FROM (SELECT *, sum(size) OVER (PARTITION BY question_id ORDER BY place) AS used FROM (SELECT question_id, chunk_id, length('[' || source_channel || ' | ' || date || ' | ' || source_path || '#' || section || ']' || chr(10) || text || chr(10)) AS size, row_number() OVER (PARTITION BY question_id ORDER BY r, f) AS place FROM (SELECT k.question_id, k.chunk_id, h.*, row_number() OVER (PARTITION BY question_id, source_path ORDER BY k.place) AS r, min(k.place) OVER (PARTITION BY question_id, source_path) AS f FROM placed k JOIN (SELECT chunk_id AS cid, * EXCLUDE (chunk_id) FROM chunks) h ON h.cid = k.chunk_id))) WHERE used <= 24000 GROUP BY 1""", EXACT_SQL, ALL_KEYWORD_SQL, FREQUENCY_SQL, VECTOR_SQL, *HYBRID_SQL))
 def rt7(spark, d):
     """Variants, four lists, fusion, graph chunks, reranking, diversification and the budget, over all chunks."""
-    ch, q = built(spark, d), questions(spark)
+    ch, q = known(spark, d), questions(spark)
     registry = spark.createDataFrame(REGISTRY, "canonical string, aliases array<string>")
     ranked = graph.cut(retrieval.hybrid(q, ch, 20, registry, LetterCounts(), retrieval.related(q, ticket_graph(spark, d), ch.places(), 20)))
     packed = retrieval.pack(ranked, ch.rows(ranked))

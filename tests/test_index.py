@@ -376,7 +376,7 @@ def plain_rows(df):
 def test_one_batch_of_questions_builds_no_index(spark):
     """The queries look through the chunks where no index is built, and give the rows that they give with it; those by tenant never need it."""
     d = f"{DATA}/."  # a table of its own to the session
-    names = ("jn4_rt1_exact_retrieval", "rt8_conditional_branches", "rt9_federation")
+    names = ("jn4_rt1_exact_retrieval", "rt8_conditional_branches", "rt9_federation", "rt7_hybrid_query")
     before = {}
     for n in names:
         before[n] = plain_rows(retrieving.QUERIES[n](spark, d))
